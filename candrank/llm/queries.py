@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from candrank.llm.near_duplicates import op5_simhash
 from candrank.llm.packing import op3_packing
+from candrank.llm.quality import OP6_SQL, op6_quality
 from candrank.llm.token_counts import op10_token_counts
 from candrank.llm.token_files import op9_token_files
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_simhash, op9_token_files, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_packing, op5_simhash, op6_quality, op9_token_files, op10_token_counts)}
+ORACLES: dict[str, str] = {"op6_quality": OP6_SQL}
