@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from candrank.llm.chat import op4_chat
 from candrank.llm.decontamination import op8_decontamination
 from candrank.llm.language_model import op2_language_model
 from candrank.llm.near_duplicates import op5_simhash
@@ -10,6 +11,7 @@ from candrank.llm.quality import OP6_SQL, op6_quality
 from candrank.llm.secrets import op1_secrets
 from candrank.llm.token_counts import op10_token_counts
 from candrank.llm.token_files import op9_token_files
+from candrank.llm.url_filter import op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_language_model, op3_packing, op5_simhash, op6_quality, op8_decontamination, op9_token_files, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_language_model, op3_packing, op4_chat, op5_simhash, op6_quality, op7_url_filter, op8_decontamination, op9_token_files, op10_token_counts)}
 ORACLES: dict[str, str] = {"op6_quality": OP6_SQL}

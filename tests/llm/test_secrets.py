@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from candrank.llm.secrets import compressor, find_secrets, novelty, redact_secrets
 from tests.llm.conftest import DOCS, rows
 
@@ -56,9 +58,9 @@ def test_novelty_orders():
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame(table(), DOCS).withColumn("row", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("x"))
-    out = {r.doc_id: r for r in redact_secrets(docs.drop("row")).collect()}
+    docs = spark.createDataFrame(table(), DOCS).withColumn("found", F.lit("x"))
+    out = {r.doc_id: r for r in redact_secrets(docs).collect()}
     assert out[1001].text == "AKIA123 [SECRET] [SECRET]" and out[1001].n_chars == len(out[1001].text)
     assert out[1004].text == "the private auth header is [SECRET] here"
     assert out[1007].text is None and out[1006].text == TEXTS[6]
-    assert redact_secrets(docs.drop("row")).count() == len(table())
+    assert redact_secrets(docs).count() == len(table())
