@@ -124,7 +124,7 @@ def jaccard_pairs(df: DataFrame, block: str, items: str) -> DataFrame:
     apart = a.join(b, block).where("xa < xb").select(block, (inter / (F.size("xa") + F.size("xb") - inter)).alias("j"), (F.col("ca") * F.col("cb")).alias("w"))
     equal = sets.where("c > 1").select(block, F.lit(1.0).alias("j"), F.expr("c * (c - 1) div 2").alias("w"))
     every = apart.unionByName(equal)
-    return every.groupBy(block).agg(F.sum("w").alias("n"), (F.sum(F.col("j") * F.col("w")) / F.sum("w")).alias("mean"), F.percentile("j", F.lit(0.5), "w").alias("median"), (F.sum(F.when(F.col("j") == 1, F.col("w")).otherwise(0)) / F.sum("w")).alias("same"))
+    return every.groupBy(block).agg(F.sum("w").alias("n"), (F.sum(F.col("j") * F.col("w")) / F.sum("w")).alias("mean"), F.expr("percentile(j, 0.5, w)").alias("median"), (F.sum(F.when(F.col("j") == 1, F.col("w")).otherwise(0)) / F.sum("w")).alias("same"))
 
 
 def jaccard_floor(sizes: DataFrame, pool: int, draws: int) -> DataFrame:
