@@ -86,9 +86,9 @@ def honest_selection(spark, sf):
     return splits.honest_selection(rule_evaluations(spark, sf), ["g"], 10)
 
 
-@query("rule string, val_rank bigint, val double, best_val double, gap double", f"WITH {RULES}, q AS (SELECT rule, exp(avg(ln(regret)) FILTER (WHERE g % 3 <> 0)) AS train, exp(avg(ln(regret)) FILTER (WHERE g % 3 = 0)) AS val FROM rules GROUP BY rule), o AS (SELECT *, rank() OVER (ORDER BY val) AS vr, row_number() OVER (ORDER BY train, rule) AS rn, min(val) OVER () AS best FROM q) SELECT rule, vr AS val_rank, val, best AS best_val, val - best AS gap FROM o WHERE rn = 1")
+@query("rule string, val_rank bigint, val double, best_val double, gap double", f"WITH {RULES}, q AS (SELECT rule, exp(avg(ln(regret)) FILTER (WHERE p_size <= 35)) AS train, exp(avg(ln(regret)) FILTER (WHERE p_size > 35)) AS val FROM rules JOIN part ON g = p_partkey GROUP BY rule), o AS (SELECT *, rank() OVER (ORDER BY val) AS vr, row_number() OVER (ORDER BY train, rule) AS rn, min(val) OVER () AS best FROM q) SELECT rule, vr AS val_rank, val, best AS best_val, val - best AS gap FROM o WHERE rn = 1")
 def selection_overfit(spark, sf):
-    return splits.selection_overfit(rule_evaluations(spark, sf).withColumn("role", F.when(F.col("g") % 3 == 0, "val").otherwise("train")))
+    return splits.selection_overfit(rule_evaluations(spark, sf).join(parts(spark, sf), "g").withColumn("role", F.when(F.col("size") > 35, "val").otherwise("train")))
 
 
 @query("rule string, k bigint, g bigint, regret double", f"WITH {RULES} SELECT rule, 1 AS k, g, regret FROM rules")
