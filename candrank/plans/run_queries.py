@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from candrank.operators import summaries as su
 from candrank.plans.core_queries import EV, PART_SQL, ST, STRATA, _strata_sql
 from candrank.plans.fixtures import BRAND_SQL, RUNS_SQL, brand, evaluate_sql, part, read, runs, stats_sql
 from candrank.plans.registry import query
+from candrank.sources import bundle
 from candrank.table import evaluate, group_stats
 
 BEST = f"{RUNS_SQL}, top AS (SELECT max(round) AS top FROM runs), gr AS (SELECT run, unnest(range(min(round), (SELECT top FROM top) + 1)) AS round FROM runs GROUP BY run), cb AS (SELECT gr.run, gr.round, min(regret) OVER (PARTITION BY gr.run ORDER BY gr.round) AS best FROM gr LEFT JOIN runs ON gr.run = runs.run AND gr.round = runs.round)"
@@ -251,3 +255,13 @@ def diagnostic_report(spark, sf):
     train = read(spark, sf, "part").where("p_size <= 35").select(F.col("p_partkey").alias("g"))
     mt = mt.of(mt.rows.join(train, "g", "left_semi"))
     return cmp.stratified(evaluate(mt, "s"), group_stats(mt), ("g",))
+
+
+@query("run bigint, n bigint, value double", "SELECT user_id AS run, count(*) AS n, sum(value) AS value FROM events GROUP BY user_id")
+def read_run_logs(spark, sf):
+    """The events written as one folder of JSON lines for each run, and read back with the folder's name."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="candrank-")
+    at = f"{base.rstrip('/')}/runs-{uuid.uuid4().hex}"
+    read(spark, sf, "events").select(F.concat(F.lit("r"), "user_id").alias("folder"), "event_type", "value").repartition("folder").write.partitionBy("folder").json(at)
+    log = bundle.read_runs(spark, at, "*.json")
+    return log.groupBy(F.regexp_extract("run", r"r(\d+)$", 1).cast("long").alias("run")).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
