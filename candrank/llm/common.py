@@ -36,6 +36,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def sized(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """keys (a written table of row numbers) as a broadcast side of a join up to most rows, 8 MB; beyond that Spark shuffles."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; the folder is spark.checkpoint.dir where that is set."""
 

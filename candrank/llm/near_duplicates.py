@@ -30,6 +30,7 @@ IN_BUCKET = 64  # distinct fingerprints of a bucket that are compared pair by pa
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND = 16, 4  # masks of the signature, and components in each: any pair that differs in under 16 of 64 collides
+ROUNDS = 2  # the masks are taken in so many rounds; a later one checks only pairs that earlier links do not join
 PAIRED = 100  # distinct texts of a bucket that are compared pair by pair; larger ones against their first texts
 ESTIMATE_SLACK = 0.17  # a pair's estimate from 64 components has a deviation of 0.05; pairs this far below are not checked
 
@@ -201,46 +202,80 @@ def _verified(least: float):
     return run
 
 
-def _candidates(nodes: DataFrame, paired: int) -> DataFrame:
-    """Pairs a < b that share a bucket. A bucket of over paired nodes, and each of its parts by the next mask, pairs its nodes with the first."""
-    keyed = nodes.select("row", "bands", F.posexplode("bands").alias("band", "bucket"))
+def _candidates(nodes: DataFrame, bands: range, paired: int) -> DataFrame:
+    """Pairs a < b that share a bucket of the given masks. A bucket of over paired nodes, and each of its parts by the next mask, pairs its nodes with the first."""
+    own = F.array(*[F.struct(F.lit(i).alias("band"), F.element_at("bands", i + 1).alias("bucket"), F.element_at("bands", (i + 1) % BANDS + 1).alias("next")) for i in bands])
+    keyed = nodes.where(F.size("bands") > 0).select("row", F.explode(own).alias("x")).select("row", "x.*")
     sizes = keyed.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("row").alias("lead")).where("n > 1")
     shared = keyed.join(sizes, ["band", "bucket"])
     inside = shared.where(F.col("n") <= paired).groupBy("band", "bucket").agg(F.sort_array(F.collect_list("row")).alias("m"))
     pairs = inside.select(F.expr("explode(flatten(transform(sequence(0, size(m) - 2), i -> transform(slice(m, i + 2, size(m)), y -> struct(m[i] AS a, y AS b)))))").alias("p")).select("p.a", "p.b")
-    crowded = shared.where(F.col("n") > paired).select("band", "bucket", "row", "lead", F.element_at("bands", ((F.col("band") + 1) % BANDS + 1).cast("int")).alias("next"))
+    crowded = shared.where(F.col("n") > paired)
     parts = crowded.groupBy("band", "bucket", "next").agg(F.min("row").alias("first"))
     stars = crowded.select(F.col("lead").alias("a"), F.col("row").alias("b")).unionByName(crowded.join(parts, ["band", "bucket", "next"]).select(F.col("first").alias("a"), F.col("row").alias("b")))
     return pairs.unionByName(stars.where("a <> b")).distinct()
 
 
+def _apart(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The pairs that earlier links do not join already."""
+    if found is None:
+        return pairs
+    of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _groups(docs: DataFrame, shingle: int, similarity: float, paired: int) -> DataFrame:
+    """row, group_doc, doc_id of each row of docs(row, doc_id, text)."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    scratch = common.Scratch(spark, "similar")
+    signed = scratch.keep(docs.select("row", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signatures(shingle), "row long, content binary, grams binary, sig binary, bands array<long>"), "signed")
+    same = scratch.keep(signed.groupBy("content").agg(F.min("row").alias("node")), "same")
+    nodes = scratch.keep(signed.select("row", "bands").join(same.select(F.col("node").alias("row")), "row", "left_semi"), "nodes")
+    links = found = None
+    for turn in range(ROUNDS):
+        pairs = scratch.keep(_apart(_candidates(nodes, range(turn, BANDS, ROUNDS), paired), found), f"pairs-{turn}")
+        ends = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), f"ends-{turn}")
+        sig = scratch.keep(signed.select("row", "sig").join(common.sized(ends), "row", "left_semi"), f"sig-{turn}")
+        near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_estimated(similarity - ESTIMATE_SLACK), "a long, b long")
+        near = scratch.keep(near, f"near-{turn}")
+        needed = scratch.keep(near.select(F.explode(F.array("a", "b")).alias("row")).distinct(), f"needed-{turn}")
+        grams = scratch.keep(signed.select("row", "grams").join(common.sized(needed), "row", "left_semi"), f"grams-{turn}")
+        new = near.join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b").mapInArrow(_verified(similarity), "a long, b long")
+        new = scratch.keep(new, f"links-{turn}")
+        for name in ("sig", "grams"):
+            scratch.drop(f"{name}-{turn}")
+        links = new if links is None else links.unionByName(new)
+        found = scratch.keep(components(links, common.Scratch(spark, "similar-links")), f"found-{turn}")
+    placed = same.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("content", F.coalesce("root", "node").alias("group_doc"))
+    of = scratch.keep(signed.select("row", "content").join(placed, "content").select("row", "group_doc"), "groups")
+    scratch.drop("signed")
+    return of.join(docs.select("row", "doc_id"), "row")
+
+
 def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
-    """The columns of docs(doc_id, text, ...), with group_doc (row number of the group's first document) and first (is it that document).
+    """The columns of docs(doc_id, text, ...), with group_doc (row number of the group's first text) and first (does the document stay).
 
     Texts of the same words, and those of a Jaccard similarity of at least similarity on their shingles, are
-    linked; a group is what links reach, and its first document has the smallest doc_id (null ids come last).
+    linked; a group is what links reach, and the document with the smallest doc_id stays (null ids come last).
     Null and empty texts form one group. Columns of docs named group_doc, first or row are replaced. An empty
     table gives no rows.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    scratch = common.Scratch(spark, "similar")
+    docs, marks = _marked(docs, shingle, similarity, paired)
+    return docs.join(marks, "row").drop("row")
+
+
+def deduplicate(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
+    """The rows of docs that stay, with all their columns: those that similar_groups marks as first."""
+    own = [c for c in docs.columns if c not in ("row", "group_doc", "first")]
+    numbered, marks = _marked(docs, shingle, similarity, paired)
+    gone = common.Scratch(docs.sparkSession, "similar").keep(marks.where(~F.col("first")).select("row"), "gone")
+    return numbered.join(common.sized(gone), "row", "left_anti").select(*own)
+
+
+def _marked(docs: DataFrame, shingle: int, similarity: float, paired: int) -> tuple[DataFrame, DataFrame]:
     own = [c for c in docs.columns if c not in ("row", "group_doc", "first")]
     docs = docs.select(F.monotonically_increasing_id().alias("row"), *own)
-    signed = scratch.keep(docs.select("row", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signatures(shingle), "row long, content binary, grams binary, sig binary, bands array<long>"), "signed")
-    same = scratch.keep(signed.groupBy("content").agg(F.min("row").alias("node")), "same")
-    nodes = signed.join(same.select(F.col("node").alias("row")), "row", "left_semi")
-    pairs = scratch.keep(_candidates(nodes.select("row", "bands"), paired), "pairs")
-    sig = signed.select("row", "sig")
-    near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_estimated(similarity - ESTIMATE_SLACK), "a long, b long")
-    near = scratch.keep(near, "near")
-    needed = near.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    grams = scratch.keep(signed.select("row", "grams").join(needed, "row", "left_semi"), "grams")
-    links = near.join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b").mapInArrow(_verified(similarity), "a long, b long")
-    found = components(links, scratch)
-    placed = same.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("content", F.coalesce("root", "node").alias("root"))
-    of = signed.select("row", "content").join(placed, "content").select("row", F.col("root").alias("group_doc"))
-    of = scratch.keep(of.join(docs.select("row", "doc_id"), "row"), "groups")
+    of = common.Scratch(docs.sparkSession, "similar").keep(_groups(docs, shingle, similarity, paired), "marked")
     lead = of.groupBy("group_doc").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("lead")).select("group_doc", F.col("lead.row").alias("lead"))
-    marks = of.join(lead, "group_doc").select("row", "group_doc", (F.col("row") == F.col("lead")).alias("first"))
-    return docs.join(marks, "row").drop("row")
+    return docs, of.join(lead, "group_doc").select("row", "group_doc", (F.col("row") == F.col("lead")).alias("first"))
