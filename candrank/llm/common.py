@@ -37,10 +37,20 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def sized(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """keys (a written table of row numbers) as a broadcast side of a join up to most rows, 8 MB; beyond that Spark shuffles."""
+    """keys (a written table of one or two longs a row) as a broadcast side of a join up to most rows, 16 MB; beyond that Spark shuffles."""
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+def by_key(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """docs joined with marks on doc_id (null equals null) and __key, a hash of the text.
+
+    Marks are joined back by value: row numbers of a table that is read twice need not be the same when
+    executors come or go between the two reads, as Spark then cuts the files elsewhere.
+    """
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["__key"] == F.col("__of"))
+    return docs.join(marks.withColumnRenamed("doc_id", "__id").withColumnRenamed("__key", "__of"), same, how).drop("__id", "__of")
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; the folder is spark.checkpoint.dir where that is set."""
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candrank.llm import common
@@ -175,7 +175,10 @@ def _signatures(k: int):
                 s = sig.astype("<u4")
                 sigs.append(s.tobytes())
                 bands.append([xxhash.xxh64_intdigest(s[i * BAND : (i + 1) * BAND].tobytes(), i) - (1 << 63) for i in range(BANDS)] if parts else [])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(content, pa.binary()), pa.array(grams, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["row", "content", "grams", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("row", "doc_id", "__key")), pa.array(content, pa.binary()), pa.array(grams, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["row", "doc_id", "__key", "content", "grams", "sig", "bands"],
+            )
 
     return run
 
@@ -224,13 +227,18 @@ def _apart(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _groups(docs: DataFrame, shingle: int, similarity: float, paired: int) -> DataFrame:
-    """row, group_doc, doc_id of each row of docs(row, doc_id, text)."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__key", F.xxhash64("text"))
+
+
+def _groups(docs: DataFrame, shingle: int, similarity: float, paired: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, __key, content of each row; and content, group_doc, lead (the doc_id and key of its first document) of each text."""
     spark = docs.sparkSession
     common.small_batches(spark)
     scratch = common.Scratch(spark, "similar")
-    signed = scratch.keep(docs.select("row", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signatures(shingle), "row long, content binary, grams binary, sig binary, bands array<long>"), "signed")
-    same = scratch.keep(signed.groupBy("content").agg(F.min("row").alias("node")), "same")
+    read = _keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "__key", F.coalesce("text", F.lit("")).alias("text"))
+    signed = scratch.keep(read.mapInArrow(_signatures(shingle), "row long, doc_id long, __key long, content binary, grams binary, sig binary, bands array<long>"), "signed")
+    same = scratch.keep(signed.groupBy("content").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("lead")), "same")
     nodes = scratch.keep(signed.select("row", "bands").join(same.select(F.col("node").alias("row")), "row", "left_semi"), "nodes")
     links = found = None
     for turn in range(ROUNDS):
@@ -247,10 +255,16 @@ def _groups(docs: DataFrame, shingle: int, similarity: float, paired: int) -> Da
             scratch.drop(f"{name}-{turn}")
         links = new if links is None else links.unionByName(new)
         found = scratch.keep(components(links, common.Scratch(spark, "similar-links")), f"found-{turn}")
-    placed = same.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("content", F.coalesce("root", "node").alias("group_doc"))
-    of = scratch.keep(signed.select("row", "content").join(placed, "content").select("row", "group_doc"), "groups")
-    scratch.drop("signed")
-    return of.join(docs.select("row", "doc_id"), "row")
+    placed = same.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("content", F.coalesce("root", "node").alias("group_doc"), "lead")
+    rows, placed = scratch.keep(signed.select("doc_id", "__key", "content"), "rows"), scratch.keep(placed, "placed")
+    for name in ("signed", "same", "nodes"):
+        scratch.drop(name)
+    return rows, placed
+
+
+def _first(placed: DataFrame) -> DataFrame:
+    """doc_id and key of each group's first document."""
+    return placed.groupBy("group_doc").agg(F.min("lead").alias("lead")).select("lead.doc_id", "lead.__key", F.lit(True).alias("__first"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
@@ -258,24 +272,28 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
 
     Texts of the same words, and those of a Jaccard similarity of at least similarity on their shingles, are
     linked; a group is what links reach, and the document with the smallest doc_id stays (null ids come last).
-    Null and empty texts form one group. Columns of docs named group_doc, first or row are replaced. An empty
-    table gives no rows.
+    Null and empty texts form one group; of repeated rows one can stay. Columns of docs named group_doc or
+    first are replaced; names that begin with two underscores are used inside. An empty table gives no rows.
     """
-    docs, marks = _marked(docs, shingle, similarity, paired)
-    return docs.join(marks, "row").drop("row")
+    own = [c for c in docs.columns if c not in ("group_doc", "first")]
+    rows, placed = _groups(docs, shingle, similarity, paired)
+    marks = rows.distinct().join(placed.select("content", "group_doc"), "content").drop("content")
+    marks = common.by_key(marks, _first(placed), "left")
+    out = common.by_key(_keyed(docs.select(*own)), marks, "inner")
+    once = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0))) == 1
+    return out.select(*own, "group_doc", (F.coalesce("__first", F.lit(False)) & once).alias("first"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
-    """The rows of docs that stay, with all their columns: those that similar_groups marks as first."""
-    own = [c for c in docs.columns if c not in ("row", "group_doc", "first")]
-    numbered, marks = _marked(docs, shingle, similarity, paired)
-    gone = common.Scratch(docs.sparkSession, "similar").keep(marks.where(~F.col("first")).select("row"), "gone")
-    return numbered.join(common.sized(gone), "row", "left_anti").select(*own)
-
-
-def _marked(docs: DataFrame, shingle: int, similarity: float, paired: int) -> tuple[DataFrame, DataFrame]:
-    own = [c for c in docs.columns if c not in ("row", "group_doc", "first")]
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), *own)
-    of = common.Scratch(docs.sparkSession, "similar").keep(_groups(docs, shingle, similarity, paired), "marked")
-    lead = of.groupBy("group_doc").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("lead")).select("group_doc", F.col("lead.row").alias("lead"))
-    return docs, of.join(lead, "group_doc").select("row", "group_doc", (F.col("row") == F.col("lead")).alias("first"))
+    """The rows of docs that similar_groups marks as first, with all their columns."""
+    rows, placed = _groups(docs, shingle, similarity, paired)
+    scratch = common.Scratch(docs.sparkSession, "similar-first")
+    counted = common.by_key(rows.groupBy("doc_id", "__key").agg(F.count("*").alias("n")), _first(placed), "left")
+    gone = scratch.keep(counted.where(F.col("__first").isNull()).select("doc_id", "__key"), "gone")
+    repeated = scratch.keep(counted.where(F.col("__first") & (F.col("n") > 1)).select("doc_id", "__key"), "repeated")
+    read = _keyed(docs)
+    out = common.by_key(read, common.sized(gone), "left_anti")
+    if not repeated.isEmpty():  # rows of one id and text: one of them stays
+        once = common.by_key(read, common.sized(repeated), "left_semi").dropDuplicates(["doc_id", "__key"])
+        out = common.by_key(out, common.sized(repeated), "left_anti").unionByName(once)
+    return out.select(*docs.columns)

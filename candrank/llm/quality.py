@@ -48,13 +48,20 @@ def repeated_words(hashes: Column, windows: Column) -> Column:
     )
 
 
+def host_of(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
+
+
+def content_of(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """row, doc_id, host, content and the base measures, with the lines' hashes and words."""
-    host = F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", host.alias("host"), text.alias("text"))
+    read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", host_of(docs).alias("host"), text.alias("text"))
     split = read.select(
-        "row", "doc_id", "host", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("content"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), words(F.col("text")).alias("words"),
+        "row", "doc_id", "host", content_of(F.col("text")).alias("content"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), words(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     hashed = split.select(
@@ -108,12 +115,17 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The columns of docs, for kept documents, without the removed lines; n_chars follows the text."""
-    own = [c for c in docs.columns if c not in ("row", "removed", "kept")]
+    """The columns of docs, for kept documents, without the removed lines; n_chars follows the text.
+
+    Repeated rows stay each. Names that begin with two underscores are used inside.
+    """
+    own = docs.columns
     verdict, removed = judged(docs, **limits)
-    marks = verdict.where("kept").select("row").join(removed, "row", "left")
-    out = docs.select(F.monotonically_increasing_id().alias("row"), *own).join(marks, "row")
-    gone = F.col("removed")
+    marks = verdict.where("kept").select("row", "doc_id", F.xxhash64("host", "content").alias("__key")).join(removed, "row", "left")
+    marks = marks.groupBy("doc_id", "__key").agg(F.first("removed").alias("__removed"))
+    read = docs.withColumn("__key", F.xxhash64(host_of(docs), content_of(F.coalesce("text", F.lit("")))))
+    out = common.by_key(read, marks, "inner")
+    gone = F.col("__removed")
     text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normalised(x)))), "\n"))
     out = out.withColumn("text", text)
     if "n_chars" in own:

@@ -152,11 +152,12 @@ def _cut(text: str | None, spans: list[dict], mark: str) -> str | None:
 def _redact(mark: str, text_at: int, size_at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = batch.select([n for n in batch.schema.names if n != "found"])
-            texts = [_cut(t, s or [], mark) for t, s in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist())]
+            table = batch.select([n for n in batch.schema.names if n != "__found"])
+            found = batch.column("__found").to_pylist()
+            texts = [_cut(t, s or [], mark) for t, s in zip(batch.column("text").to_pylist(), found)]
             table = table.set_column(text_at, "text", pa.array(texts, pa.string()))
             if size_at is not None:
-                sizes = [len(t) if s and t is not None else n for t, s, n in zip(texts, batch.column("found").to_pylist(), batch.column("n_chars").to_pylist())]
+                sizes = [len(t) if s and t is not None else n for t, s, n in zip(texts, found, batch.column("n_chars").to_pylist())]
                 table = table.set_column(size_at, "n_chars", pa.array(sizes, pa.int64()))
             yield table
 
@@ -164,14 +165,17 @@ def _redact(mark: str, text_at: int, size_at: int | None):
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", least: float = NOVEL) -> DataFrame:
-    """docs with the mark in place of each finding; n_chars follows the text. All rows and columns stay; null text stays null."""
-    own = [c for c in docs.columns if c not in ("row", "found")]
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), *own)
-    read = docs.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = common.Scratch(docs.sparkSession, "secrets").keep(_scanned(read, least).where(F.size("found") > 0).select("row", "found"), "spans")
-    joined = docs.join(spans, "row", "left").select(*own, "found")
-    schema = docs.select(*own).schema
-    return joined.mapInArrow(_redact(mark, own.index("text"), own.index("n_chars") if "n_chars" in own else None), schema)
+    """docs with the mark in place of each finding; n_chars follows the text. All rows and columns stay; null text stays null.
+
+    Names that begin with two underscores are used inside.
+    """
+    own = docs.columns
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    read = keyed.select(F.col("__key").alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    spans = _scanned(read, least).where(F.size("found") > 0).groupBy("doc_id", F.col("row").alias("__key")).agg(F.first("found").alias("__found"))
+    spans = common.Scratch(docs.sparkSession, "secrets").keep(spans, "spans")
+    joined = common.by_key(keyed, spans, "left").select(*own, "__found")
+    return joined.mapInArrow(_redact(mark, own.index("text"), own.index("n_chars") if "n_chars" in own else None), docs.schema)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
