@@ -31,7 +31,8 @@ SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND = 16, 4  # masks of the signature, and components in each: any pair that differs in under 16 of 64 collides
 ROUNDS = 2  # the masks are taken in so many rounds; a later one checks only pairs that earlier links do not join
-PAIRED = 100  # distinct texts of a bucket that are compared pair by pair; larger ones against their first texts
+PAIRED = 100  # distinct texts of a bucket that are compared pair by pair; larger ones against their first texts, then what is left in blocks
+BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20  # of a block
 ESTIMATE_SLACK = 0.17  # a pair's estimate from 64 components has a deviation of 0.05; pairs this far below are not checked
 
 
@@ -205,18 +206,74 @@ def _verified(least: float):
     return run
 
 
-def _candidates(nodes: DataFrame, bands: range, paired: int) -> DataFrame:
-    """Pairs a < b that share a bucket of the given masks. A bucket of over paired nodes, and each of its parts by the next mask, pairs its nodes with the first."""
+def _candidates(nodes: DataFrame, bands: range, paired: int, scratch: common.Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b that share a bucket of the given masks, and the rows of buckets of over paired nodes.
+
+    Such a bucket, and each of its parts by the next mask, pairs its nodes with the first only; what that does
+    not join is left to _left_links.
+    """
     own = F.array(*[F.struct(F.lit(i).alias("band"), F.element_at("bands", i + 1).alias("bucket"), F.element_at("bands", (i + 1) % BANDS + 1).alias("next")) for i in bands])
     keyed = nodes.where(F.size("bands") > 0).select("row", F.explode(own).alias("x")).select("row", "x.*")
     sizes = keyed.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("row").alias("lead")).where("n > 1")
     shared = keyed.join(sizes, ["band", "bucket"])
     inside = shared.where(F.col("n") <= paired).groupBy("band", "bucket").agg(F.sort_array(F.collect_list("row")).alias("m"))
     pairs = inside.select(F.expr("explode(flatten(transform(sequence(0, size(m) - 2), i -> transform(slice(m, i + 2, size(m)), y -> struct(m[i] AS a, y AS b)))))").alias("p")).select("p.a", "p.b")
-    crowded = shared.where(F.col("n") > paired)
+    crowded = scratch.keep(shared.where(F.col("n") > paired).drop("n"), name)
     parts = crowded.groupBy("band", "bucket", "next").agg(F.min("row").alias("first"))
     stars = crowded.select(F.col("lead").alias("a"), F.col("row").alias("b")).unionByName(crowded.join(parts, ["band", "bucket", "next"]).select(F.col("first").alias("a"), F.col("row").alias("b")))
-    return pairs.unionByName(stars.where("a <> b")).distinct()
+    return pairs.unionByName(stars.where("a <> b")).distinct(), crowded.select("row", "band", "bucket")
+
+
+def _between(similarity: float):
+    """Links between the rest and all members of one block of each, where they are not joined yet; one for each two components."""
+
+    def run(block: pa.Table) -> pa.Table:
+        rest = np.array(block.column("rest").to_pylist(), bool)
+        band = block.column("band")[0].as_py()
+        row, root = (block.column(c).to_numpy() for c in ("row", "root"))
+        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), "<u4").reshape(-1, BANDS * BAND)
+        bands = np.array(block.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)[:, :band]
+        grams = [np.frombuffer(x, "<u4") for x in block.column("grams").to_pylist()]
+        ours, theirs, done, a, b = np.flatnonzero(rest), np.flatnonzero(~rest), set(), [], []
+        for i in ours.tolist():
+            fresh = theirs[(root[theirs] != root[i]) & ~(bands[theirs] == bands[i]).any(1)]  # an earlier mask has the pair too
+            for j in fresh[(sig[fresh] == sig[i]).mean(1) >= similarity - ESTIMATE_SLACK].tolist():
+                two = (min(root[i], root[j]), max(root[i], root[j]))
+                if two in done:
+                    continue
+                both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
+                if both >= similarity * (len(grams[i]) + len(grams[j]) - both):
+                    done.add(two)
+                    a.append(int(row[i]))
+                    b.append(int(row[j]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _left_links(signed: DataFrame, crowded: DataFrame, found: DataFrame, similarity: float, scratch: common.Scratch) -> DataFrame | None:
+    """The links that crowded buckets have beside those found; None where each such bucket is one component already.
+
+    A bucket's rest, all members outside its largest component, is searched against all its members, in
+    blocks of BLOCK_ROWS and about BLOCK_BYTES, so that no pair of different components is passed over.
+    """
+    at = crowded.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    parts = at.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    members = scratch.keep(at.join(mixed, ["band", "bucket"]).withColumn("rest", F.col("root") != F.col("main")).drop("main"), "left-members")
+    if members.isEmpty():
+        return None
+    rows = scratch.keep(members.select("row").distinct(), "left-rows")
+    data = scratch.keep(signed.select("row", "sig", "bands", "grams").join(common.sized(rows), "row", "left_semi"), "left-data")
+    weighed = members.join(data.select("row", F.octet_length("grams").alias("bytes")), "row").withColumn("other", F.when(F.col("rest"), F.col("bytes")))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    sizes = weighed.groupBy("band", "bucket").agg(blocks(F.count("*"), F.sum("bytes")).alias("n_all"), blocks(F.count("other"), F.sum("other")).alias("n_rest"))
+    sized = members.join(sizes, ["band", "bucket"])
+    mine = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    theirs = sized.select("band", "bucket", "row", "root", F.lit(False).alias("rest"), mine(F.col("n_all")).alias("x"), every(F.col("n_rest")).alias("y"))
+    ours = sized.where("rest").select("band", "bucket", "row", "root", "rest", every(F.col("n_all")).alias("x"), mine(F.col("n_rest")).alias("y"))
+    return theirs.unionByName(ours).join(data, "row").groupBy("band", "bucket", "x", "y").applyInArrow(_between(similarity), "a long, b long")
 
 
 def _apart(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -240,9 +297,10 @@ def _groups(docs: DataFrame, shingle: int, similarity: float, paired: int) -> tu
     signed = scratch.keep(read.mapInArrow(_signatures(shingle), "row long, doc_id long, __key long, content binary, grams binary, sig binary, bands array<long>"), "signed")
     same = scratch.keep(signed.groupBy("content").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("lead")), "same")
     nodes = scratch.keep(signed.select("row", "bands").join(same.select(F.col("node").alias("row")), "row", "left_semi"), "nodes")
-    links = found = None
+    links = found = crowded = None
     for turn in range(ROUNDS):
-        pairs = scratch.keep(_apart(_candidates(nodes, range(turn, BANDS, ROUNDS), paired), found), f"pairs-{turn}")
+        pairs, many = _candidates(nodes, range(turn, BANDS, ROUNDS), paired, scratch, f"crowded-{turn}")
+        pairs, crowded = scratch.keep(_apart(pairs, found), f"pairs-{turn}"), many if crowded is None else crowded.unionByName(many)
         ends = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), f"ends-{turn}")
         sig = scratch.keep(signed.select("row", "sig").join(common.sized(ends), "row", "left_semi"), f"sig-{turn}")
         near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_estimated(similarity - ESTIMATE_SLACK), "a long, b long")
@@ -255,6 +313,10 @@ def _groups(docs: DataFrame, shingle: int, similarity: float, paired: int) -> tu
             scratch.drop(f"{name}-{turn}")
         links = new if links is None else links.unionByName(new)
         found = scratch.keep(components(links, common.Scratch(spark, "similar-links")), f"found-{turn}")
+    left = _left_links(signed, crowded, found, similarity, scratch)
+    if left is not None:
+        links = links.unionByName(scratch.keep(left, "left-links"))
+        found = scratch.keep(components(links, common.Scratch(spark, "similar-links")), "found-left")
     placed = same.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("content", F.coalesce("root", "node").alias("group_doc"), "lead")
     rows, placed = scratch.keep(signed.select("doc_id", "__key", "content"), "rows"), scratch.keep(placed, "placed")
     for name in ("signed", "same", "nodes"):

@@ -100,3 +100,30 @@ def test_similar_groups(spark, none):
         assert sorted(x.doc_id for x in similar_groups(docs, paired=paired).where("first").collect()) == want
     assert similar_groups(none).count() == 0
     assert similar_groups(docs).columns == ["doc_id", "text", "lang", "source", "n_chars", "group_doc", "first"]
+
+
+def test_crowded_loose_groups_lose_no_link(spark, monkeypatch):
+    from candrank.llm import near_duplicates
+
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 8)
+    r = random.Random(21)
+    base = [f"w{r.randrange(500)}" for _ in range(200)]
+    table = []
+    for _ in range(80):  # chains of texts, few of them near the first
+        w = list(base)
+        for _ in range(r.randrange(7)):
+            w[r.randrange(200)] = f"n{r.randrange(500)}"
+        table.append((len(table), " ".join(w), "en", "s", 0))
+        if r.random() < 0.3:
+            base = w
+    sets = [frozenset(shingles(words_of(t), 5)) for _, t, *_ in table]
+    root = reach(range(len(table)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    groups = {}
+    for i, x in root.items():
+        groups.setdefault(x, set()).add(i)
+    docs = spark.createDataFrame(table, DOCS)
+    for paired in (100, 3):
+        got = {}
+        for x in similar_groups(docs, paired=paired).collect():
+            got.setdefault(x.group_doc, set()).add(x.doc_id)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
