@@ -7,13 +7,14 @@ string "$ref:ID"; that call then comes first.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candrank.llm import common
 
 TAGS = r"(?s)<tool_(?:call|response)>.*?</tool_(?:call|response)>"
-ROUNDS = 30  # references of references that are followed; what is left after them is cyclic
 # Fixed value: argument, kind and whether it is needed, of each tool that is known where no schemas are given.
 SCHEMAS = (("search", "query", "STRING", True), ("search", "limit", "BIGINT", False), ("fetch", "url", "STRING", True), ("calculate", "expression", "STRING", True))
 
@@ -58,27 +59,75 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return out.withColumn("valid", F.coalesce(there & fits, F.lit(False))).drop("given", "known")
 
 
+def peeled(refs: DataFrame, first: DataFrame, known: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """conv_id, call_id, at, depth of the calls of refs that follow from the known ones: a round places those whose needs all are.
+
+    A reference to a call that waits for one other is led on to that one, so chains take as many rounds as
+    their length has binary digits. The rounds end when one places nothing: what is left waits for a cycle.
+    """
+    call = ["conv_id", "call_id"]
+    kept = "conv_id string, call_id string, at long, depth long"
+    # of the known calls those that a reference names, to which the calls placed are added
+    scratch.keep(known.join(refs.select("conv_id", F.col("needs").alias("call_id")), call, "left_semi").select(*call, "at", "depth"), f"{name}-known")
+    to = lambda df: df.select("conv_id", F.col("call_id").alias("needs"), F.lit(None).cast("string").alias("then"), F.col("depth").alias("more"), F.col("at").alias("at0"))
+    hop = to(scratch.spark.read.schema(kept).parquet(scratch.path(f"{name}-known")))
+    waiting = refs.join(first.select(*call, "at"), call).select(*call, "needs", F.lit(1).cast("long").alias("size"), "at")
+    scratch.keep(known.select(*call, "at", "depth").limit(0), name)
+    for turn in itertools.count():
+        led = waiting.join(hop.withColumn("found", F.lit(True)), ["conv_id", "needs"], "left")
+        # the sizes of what goes round in a cycle double and are never read
+        led = led.select(*call, F.when(F.col("found"), F.col("then")).otherwise(F.col("needs")).alias("needs"), F.least(F.col("size") + F.coalesce("more", F.lit(0)), F.lit(1 << 40)).alias("size"), F.greatest("at", "at0").alias("at"))
+        read = scratch.keep(led, f"{name}-{turn}")
+        own = read.groupBy(*call).agg(F.count("*").alias("n"), F.count("needs").alias("open"), F.max("needs").alias("then"), F.max("size").alias("more"), F.max("at").alias("at0"))
+        ready = own.where("open = 0")
+        if turn:
+            scratch.drop(f"{name}-{turn - 1}")
+        if ready.isEmpty():
+            break
+        ready.select(*call, F.col("at0").alias("at"), F.col("more").alias("depth")).write.mode("append").parquet(scratch.path(name))
+        waiting = read.join(ready.select(*call), call, "left_anti")
+        so_far = scratch.spark.read.schema(kept).parquet(scratch.path(f"{name}-known"), scratch.path(name))
+        hop = to(so_far).unionByName(own.where("n = 1 AND open = 1").select("conv_id", F.col("call_id").alias("needs"), "then", "more", "at0"))
+    return scratch.spark.read.schema(kept).parquet(scratch.path(name))
+
+
+def core(refs: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """conv_id, call_id of the calls on a cycle or between two, from refs among calls that wait for a cycle: calls that none needs go, until all are needed."""
+    n = refs.count()
+    for turn in itertools.count():
+        refs = scratch.keep(refs.join(refs.select("conv_id", F.col("needs").alias("call_id")), ["conv_id", "call_id"], "left_semi"), f"core-{turn}")
+        before, n = n, refs.count()
+        if n == before:
+            return refs.select("conv_id", "call_id").distinct()
+
+
 def placed(calls: DataFrame, scratch: common.Scratch) -> DataFrame:
     """conv_id, call_id, at, depth, cyclic of each call: after all the calls that its arguments refer to.
 
-    at is the largest turn among the call's and those, and depth the longest chain of references. Calls
-    without references, the usual case, cost no further round.
+    at is the largest turn among the call's and those, and depth the longest chain of references, of any
+    length. Calls on a cycle, or between two, are cyclic and come after what they need outside of these; calls
+    that need them come after them and are not cyclic. Calls without references cost no further round.
     """
-    first = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("cyclic"))
+    call = ["conv_id", "call_id"]
+    first = calls.groupBy(*call).agg(F.min("turn").cast("long").alias("at"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("cyclic"))
     first = scratch.keep(first, "calls")
-    refs = calls.select("conv_id", "call_id", F.explode(F.regexp_extract_all("arguments", F.lit(r'"\$ref:([^"]+)"'), F.lit(1))).alias("needs")).distinct()
+    refs = calls.select(*call, F.explode(F.regexp_extract_all("arguments", F.lit(r'"\$ref:([^"]+)"'), F.lit(1))).alias("needs")).distinct()
     refs = scratch.keep(refs.join(first.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi"), "refs")
+    out = lambda df: df.withColumn("depth", F.col("depth").cast("int"))
     if refs.isEmpty():
-        return first
-    state = first
-    for turn in range(ROUNDS):
-        before = refs.join(state.select("conv_id", F.col("call_id").alias("needs"), "at", "depth"), ["conv_id", "needs"]).groupBy("conv_id", "call_id").agg(F.max("at").alias("at0"), (F.max("depth") + 1).alias("depth0"))
-        moved = state.join(before, ["conv_id", "call_id"], "left")
-        new = moved.select("conv_id", "call_id", F.greatest("at", "at0").alias("at"), F.greatest("depth", "depth0").alias("depth"), (F.coalesce(F.col("depth0"), F.lit(0)) > F.col("depth")).alias("cyclic"))
-        state = scratch.keep(new, f"placed-{turn}")
-        if state.where("cyclic").isEmpty():
-            break
-    return state
+        return out(first)
+    done = first.join(refs, call, "left_anti").unionByName(peeled(refs, first, first.join(refs, call, "left_anti"), scratch, "peeled").withColumn("cyclic", F.lit(False)))
+    done = scratch.keep(done, "done")
+    left = scratch.keep(refs.join(done, call, "left_anti"), "left")
+    if left.isEmpty():
+        return out(done)
+    needed = lambda df: df.select("conv_id", F.col("call_id").alias("needs"), F.col("at").alias("at0"), (F.col("depth") + 1).alias("depth0"))
+    rings = scratch.keep(core(left.join(done.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti"), scratch), "rings")
+    before = left.join(rings, call, "left_semi").join(needed(done), ["conv_id", "needs"]).groupBy(*call).agg(F.max("at0").alias("at0"), F.max("depth0").alias("depth0"))
+    rings = first.join(rings, call, "left_semi").join(before, call, "left").select(*call, F.greatest("at", "at0").alias("at"), F.coalesce("depth0", "depth").alias("depth"), F.lit(True).alias("cyclic"))
+    done = scratch.keep(done.unionByName(rings), "with-rings")
+    rest = peeled(left.join(done, call, "left_anti"), first, done, scratch, "after-rings").withColumn("cyclic", F.lit(False))
+    return out(done.unionByName(rest))
 
 
 def link_tools(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:

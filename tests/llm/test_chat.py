@@ -69,5 +69,18 @@ def test_against_brute_force(spark):
     assert sum(x.kind != "message" for x in got) == sum(t.count("</tool_") for *_, t in rows) and sum(x.kind == "message" for x in got) == len(rows)
 
 
+def test_long_chains_and_cycles(spark):
+    """Chains of 100 calls, one on a cycle; last calls first, so that turns do not give the order."""
+    need = {f"c{p}": [f"c{p - 1}"] if p else [] for p in range(100)} | {"wide": ["c99", "c50", "c0", "missing"]}
+    need |= {"a": ["b"], "b": ["c"], "c": ["a", "c3"], "own": ["own"]} | {f"d{p}": [f"d{p - 1}" if p else "a"] for p in range(8)} | {"both": ["d7", "c98"]}
+    rows = [(1, t, "assistant", call(i, "search", {"query": [f"$ref:{n}" for n in need[i]]})) for t, i in enumerate(reversed(need))]
+    got = {r.call_id: r for r in link_tools(spark.createDataFrame(rows, COLS)).collect()}
+    assert {i for i, r in got.items() if r.cyclic} == {"a", "b", "c", "own"}
+    assert [got[f"c{p}"].depth for p in range(100)] == [*range(100)] and got["wide"].depth == 100
+    order = {i: (r.at, r.depth, r.step, r.turn) for i, r in got.items()}
+    assert all(order[n] < order[i] for i in need for n in need[i] if n in need and not got[i].cyclic)
+    assert all(got[i].at == got["c0"].turn for i in need if i[0] in "cw" and i != "c")
+
+
 def test_empty(spark):
     assert link_tools(spark.createDataFrame([], COLS)).count() == 0
