@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from candrank.llm import common
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-TRAIN_ROWS = 50_000  # labelled urls that the trees are fitted on at most, those with the smallest hashes
+TRAIN_ROWS = 50_000  # distinct labelled urls that the trees are fitted on at most, those of each label with the smallest hashes
 TREES, DEPTH = 12, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digits", "entropy", "hyphens", "params", "equals", "fragment", "suffix_pages", "suffix_hosts")
@@ -57,15 +59,30 @@ def features(pages: DataFrame) -> DataFrame:
     return pages.join(known, "suffix")
 
 
+def sampled(labelled: DataFrame, train_rows: int, scratch: common.Scratch) -> tuple[DataFrame, list[float]]:
+    """At most train_rows distinct urls of labelled with label, weight and features, and the labels that there are.
+
+    A url counts as often as it is found, whatever their number, and takes one row. Each label may have half of
+    the rows and what the other leaves; a label's weights add up to its rows, about, however few are drawn.
+    """
+    urls = scratch.keep(labelled.groupBy("url", "label", *FEATURES).agg(F.count("*").alias("n")), "urls")
+    found = {r.label: r.n for r in urls.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two at most
+    parts = []
+    for label, n in sorted(found.items()):
+        k = min(n, max(train_rows // 2, train_rows - sum(found.values()) + n, 1))
+        drawn = urls.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(k)
+        parts.append(drawn.select("label", (F.col("n") * (n / k)).alias("weight"), *FEATURES))
+    return reduce(DataFrame.unionByName, parts, urls.select("label", F.lit(1.0).alias("weight"), *FEATURES).limit(0)), sorted(found)
+
+
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS):
     """A model for labelled(url, label, features...), or the only label there is, or None."""
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(train_rows).select("label", *FEATURES)
-    sample = common.Scratch(labelled.sparkSession, "url-filter").keep(sample, "sample")
-    labels = [r.label for r in sample.select("label").distinct().collect()]  # two at most
+    scratch = common.Scratch(labelled.sparkSession, "url-filter")
+    sample, labels = sampled(labelled, train_rows, scratch)
     if len(labels) < 2:
         return labels[0] if labels else None
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(sample)
-    return GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(vectors)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(scratch.keep(sample, "sample"))
+    return GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(vectors)
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:

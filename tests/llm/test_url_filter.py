@@ -3,7 +3,8 @@ import random
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from candrank.llm.url_filter import FEATURES, RULES, features, fit, judge_urls, parts
+from candrank.llm.common import Scratch
+from candrank.llm.url_filter import FEATURES, RULES, features, fit, judge_urls, parts, sampled
 
 URLS = ["http://A.Example.NET/en/x?y#z", "https://b.net", "https://b.net/", "https://net/q", "http://example.com/de", "http://m.example.com/de/1", "HTTP://x.org/fr/?a=/de/", "x.org/fr/", None, "", "a://b://c.net/d", "http://notexample.net/en/", "http://x.org?/fr/", "http://é.ORG/fr/é#"]
 
@@ -52,3 +53,18 @@ def test_held_out_accuracy(spark):
     model = fit(train)
     out = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(test))
     assert out.where("prediction = label").count() > 0.9 * out.count()
+
+
+def test_one_url_in_most_rows(spark):
+    """Copies of the url with the smallest hash, more than train_rows, do not push the others out of the sample."""
+    urls = [f"http://a{i}.org/fr/x" for i in range(60)] + [f"http://buy-{i}-now.net/{i * 7919}/{'9' * (i % 5)}?id={i}" for i in range(60)]
+    first = spark.createDataFrame([(u,) for u in urls], "url string").orderBy(F.xxhash64("url")).first().url
+    other = ["http://b.de/fr/x", "http://buy-11-now.de/87109/99?id=11"]
+    table = spark.createDataFrame([*enumerate(urls + [first] * 300 + other)], "page_id long, url string")
+    got = {r.page_id: r for r in judge_urls(table, train_rows=100).collect()}
+    assert len(got) == len(urls) + 302 and all(r.block_score is not None for r in got.values())
+    assert sum((got[i].block_score > 0.5) == (i >= 60) for i in range(120)) > 110
+    assert [got[420].verdict, got[421].verdict] == ["allow", "block"]
+    labelled = features(parts(table.limit(420))).withColumn("label", F.col("url").contains(".net/").cast("double"))
+    sample = sampled(labelled, 100, Scratch(spark, "test"))[0].toPandas()
+    assert len(sample) == 100 and sample.groupby("label").size().tolist() == [50, 50]
