@@ -20,9 +20,10 @@ from candrank.llm import common
 
 Q = 12
 WINDOW, STRIDE = 160, 80
+SHORT, SHORT_STRIDE = 64, 16  # further windows: a passage copied as it is is found from SHORT + SHORT_STRIDE - 1 bytes on, wherever it is cut
 EDITS = 0.05  # of a window's bytes
 SHORTEST = 24  # bytes; a shorter benchmark text says nothing about its source and is never matched
-BLOCK_BYTES = 8 << 20  # of normalised benchmark text that is broadcast at once; more is searched in further blocks
+BLOCK_BYTES = 2 << 20  # of normalised benchmark text that is broadcast at once; more is searched in further blocks
 FILTER_BITS = 24
 AT_ONCE = 4_000_000  # shared q-grams that are counted at once, from whole documents
 PAD = 1024
@@ -32,14 +33,18 @@ def normalised(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
 
 
+def _cut(data: bytes, window: int, stride: int) -> list[bytes]:
+    """Overlapping windows, the last at the end."""
+    starts = [*range(0, len(data) - window, stride), len(data) - window]
+    return [data[s : s + window] for s in starts]
+
+
 def windows_of(data: bytes, window: int = WINDOW, stride: int = STRIDE) -> list[bytes]:
-    """The whole text, or overlapping windows of it, the last at its end."""
+    """The whole text or long windows of it, for passages with edits far apart, and short ones for partial copies."""
     if len(data) < SHORTEST:
         return []
-    if len(data) < window + stride:
-        return [data]
-    starts = [*range(0, len(data) - window, stride), len(data) - window]
-    return [data[s : s + window] for s in starts]
+    whole = [data] if len(data) < window + stride else _cut(data, window, stride)
+    return whole + (_cut(data, SHORT, SHORT_STRIDE) if len(data) > SHORT else [])
 
 
 def gram_keys(data: np.ndarray) -> np.ndarray:
@@ -74,7 +79,8 @@ class Index:
 
 def index_of(block: list[tuple[int, bytes]]) -> Index | None:
     """block: item_id and normalised text."""
-    parts = [(i, w) for i, data in block for w in windows_of(data)]
+    # by size, as windows are aligned many at once, each as long as the longest of them
+    parts = sorted(((i, w) for i, data in block for w in windows_of(data)), key=lambda x: len(x[1]))
     if not parts:
         return None
     sizes = np.array([len(w) for _, w in parts])

@@ -70,3 +70,24 @@ def test_blocks_find_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, de.find_leaks(*args).collect()))
     monkeypatch.setattr(de, "BLOCK_BYTES", 300)
     assert whole and sorted(map(tuple, de.find_leaks(*args).collect())) == whole
+
+
+def test_partial_quotes(spark):
+    """Any 79 bytes of a text are found wherever they are cut, of short texts too; passages with 5 % edits in two places still are."""
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n)).replace("  ", "q ").strip().ljust(n, "z")
+    items = [(0, text(239)), (1, text(700)), (2, text(130)), (3, text(79))]
+    docs, want = [], set()
+    for i, t in items:
+        for s in range(0, len(t) - 78, 7):
+            want.add((len(docs), i))
+            docs.append((len(docs), f"{text(150)}#{t[s : s + 79]}#{text(150)}", "en", "s", 0))
+    t = items[1][1]
+    want.add((len(docs), 1))
+    docs.append((len(docs), "#" * 99 + t[:50] + "####" + t[54:110] + "####" + t[114:160] + "#" * 99, "en", "s", 0))
+    docs += [(len(docs) + i, text(300), "en", "s", 0) for i in range(20)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = de.find_leaks(spark.createDataFrame(docs, DOCS), table).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == want
+    kept = de.decontaminate(spark.createDataFrame(docs, DOCS), table).select("doc_id").collect()
+    assert {x.doc_id for x in kept} == {d for d, *_ in docs} - {d for d, _ in want}
