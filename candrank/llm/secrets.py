@@ -8,7 +8,9 @@ its characters. Names and paths repeat what the dictionary or the surroundings h
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,10 +26,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same as runs of any length, those under 24 dropped
 ASSIGN_WORDS = ("passw", "secret", "token", "key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
-LONGEST = 512  # characters of a candidate; longer runs are data, not keys
+GAP = re.compile(r"""(?:[\s"'+,;=|>#*]|\\[nr]){1,32}""")  # between the lines of one string
+TAIL = re.compile(r"(?:\s|\\[nr]){1,32}([A-Za-z0-9+/_-]{1,15}=*)(?=\s|\\[nr]|[\"']|$)")  # the last line of one, shorter than a candidate
 AROUND = 48  # characters on each side that are its surroundings
 SENSITIVE = re.compile(r"pass|pwd|secret|token|api|key|auth|credential|bearer|private|access|signature|session|cookie")
 NOVEL = 0.7  # compressed bytes for each character
+EVEN = 0.95  # a string's entropy, as a share of what evenly drawn letters of its alphabet have
+OWN_SHARE = 0.9  # compressed bytes as a share of that entropy, which they near in long strings
+ALPHABETS = tuple(map(re.compile, ("[0-9a-fA-F]+", "[0-9a-z_-]+", "[0-9A-Z_-]+", ".+")))
+LETTERS = (16, 36, 36, 64)
 DICTIONARY_WORDS = 4096  # corpus words in the dictionary, the most frequent ones of at most 32 bytes
 # Fixed value: words of code and configuration.
 CODE_WORDS = (
@@ -52,18 +59,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Strings of letters and digits after a sensitive word, outside the spans that are known already."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        x = m[0]
-        if len(x) > LONGEST or not any(c.isdigit() for c in x) or x.isdigit():
-            continue
-        a, b = m.span()
-        if any(s < b and a < e for s, _, e in spans):
+    """Strings of letters and digits, of any length, near a sensitive word, outside the spans that are known already.
+
+    Strings with little but line ends between them, as the lines of a key, are near a sensitive word if one of
+    them is; the short end of such lines goes with the last.
+    """
+    out: list[dict] = []
+    found = list(CANDIDATE.finditer(text))
+    at = 0
+    while at < len(found):
+        block = [found[at]]
+        while at + len(block) < len(found) and GAP.fullmatch(text, block[-1].end(), found[at + len(block)].start()):
+            block.append(found[at + len(block)])
+        at += len(block)
+        known = [any(s < m.end() and m.start() < e for s, _, e in spans) for m in block]
+        near = any(known) and len(block) > 1 or any(SENSITIVE.search(text[max(0, m.start() - AROUND) : m.start()].lower()) or SENSITIVE.search(text[m.end() : m.end() + AROUND].lower()) for m in block)
+        if not near or not any(c.isdigit() for m in block for c in m[0]):
             continue
-        before = text[max(0, a - AROUND) : a]
-        if SENSITIVE.search(before.lower()):
-            out.append({"start": a, "end": b, "before": before, "string": x, "after": text[b : b + AROUND]})
+        for m, skip in zip(block, known):
+            if skip or m[0].isdigit() or (len(block) == 1 and not any(c.isdigit() for c in m[0])):
+                continue
+            a, b = m.span()
+            if len(block) > 1 and m is block[-1] and (tail := TAIL.match(text, b)):
+                b = tail.end(1)
+            out.append({"start": a, "end": b, "before": text[max(0, a - AROUND) : a], "string": text[a:b], "after": text[b : b + AROUND]})
     return out
 
 
@@ -97,6 +116,24 @@ def novelty(own: zstandard.ZstdCompressor, before: str, string: str, after: str)
     return (len(own.compress(around + string.encode())) - len(own.compress(around))) / len(string)
 
 
+def even_entropy(string: str) -> float:
+    """Bytes of entropy for each character, or infinite if the letters are less even than drawn ones of their alphabet."""
+    string = re.sub("[^A-Za-z0-9+/_-]", "", string)
+    n, counts = len(string), Counter(string)
+    bits = math.log2(n) - sum(c * math.log2(c) for c in counts.values()) / n
+    size = next(k for k, p in zip(LETTERS, ALPHABETS) if p.fullmatch(string))
+    if size == 16 and not re.search("[0-9]", string):
+        size = 64
+    drawn = math.log2(min(size, n)) if n < size else math.log2(size) - (size - 1) / (2 * n * math.log(2))
+    return bits / 8 if bits >= EVEN * drawn else math.inf
+
+
+def is_novel(own: zstandard.ZstdCompressor, before: str, string: str, after: str, least: float) -> bool:
+    """The string adds least bytes a character, or near its own entropy: long strings compress to that, which is under least."""
+    share = novelty(own, before, string, after)
+    return share >= least or share >= least / NOVEL * OWN_SHARE * even_entropy(string)
+
+
 def _judge(words: list[str], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = compressor(words)
@@ -104,7 +141,7 @@ def _judge(words: list[str], least: float):
             rows: list[tuple] = []
             for base, near in zip(batch.column("base").to_pylist(), batch.column("near").to_pylist()):
                 spans = [(x["start"], x["kind"], x["end"]) for x in base]
-                new = [(x["start"], 3, x["end"]) for x in near if novelty(own, x["before"], x["string"], x["after"]) >= least]
+                new = [(x["start"], 3, x["end"]) for x in near if is_novel(own, x["before"], x["string"], x["after"], least)]
                 n = [sum(k == i for _, k, _ in spans) for i in range(3)]
                 every = sorted(spans + new)
                 rows.append((*n, len(new), hashlib.sha256(written(spans).encode()).hexdigest(), written(every), [{"start": a, "kind": k, "end": b} for a, k, b in every]))

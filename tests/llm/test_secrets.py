@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -64,3 +66,29 @@ def test_redaction(spark):
     assert out[1004].text == "the private auth header is [SECRET] here"
     assert out[1007].text is None and out[1006].text == TEXTS[6]
     assert redact_secrets(docs).count() == len(table())
+
+
+def test_keys_of_any_length(spark):
+    """Long keys in one line or many, in alphabets of 16, 36 and 64 letters, before or after the word; names are left."""
+    r = random.Random(3)
+    letters = {"hex": string.digits + "ABCDEF", "b36": string.digits + string.ascii_lowercase, "b64": string.ascii_letters + string.digits + "+/"}
+    texts, keys = [], []
+    for alphabet in letters.values():
+        for n in (40, 100, 150, 250, 500, 1600, 5000):
+            keys.append("".join(r.choices(alphabet, k=n)))
+            texts.append(f"private_key={keys[-1]} end")
+    keys.append("".join(r.choices(letters["b64"], k=1610)))
+    lines = [keys[-1][i : i + 64] for i in range(0, 1610, 64)]
+    texts.append("-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----\n")
+    keys.append("".join(r.choices(letters["b64"], k=40)))
+    texts.append(f"x: {keys[-1]} (the access credential)")
+    names = "session_" + "_".join(r.choices(["authorization", "identifier", "configuration", "description"], k=60)) + "_2"
+    texts.append(f"the private header is {names} here")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    out = {x.doc_id: x.text for x in redact_secrets(docs).collect()}
+    for i, key in enumerate(keys[:-2]):
+        assert out[i] == "private_key=[SECRET] end", (len(key), out[i])
+    left = out[len(keys) - 2]
+    assert not any(x in left for x in lines) and left.startswith("-----BEGIN PRIVATE KEY-----\n[SECRET]") and left.endswith("[SECRET]\n-----END PRIVATE KEY-----\n")
+    assert out[len(keys) - 1] == "x: [SECRET] (the access credential)"
+    assert out[len(keys)] == texts[-1]
