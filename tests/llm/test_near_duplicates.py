@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import xxhash
@@ -127,3 +128,12 @@ def test_crowded_loose_groups_lose_no_link(spark, monkeypatch):
         for x in similar_groups(docs, paired=paired).collect():
             got.setdefault(x.group_doc, set()).add(x.doc_id)
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_estimate_loses_less_than_the_masks():
+    """Of pairs at the threshold the estimate drops under a twentieth of those that no mask finds."""
+    from candrank.llm import near_duplicates as nd
+
+    n, p = nd.BANDS * nd.BAND, nd.SIMILARITY
+    dropped = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n) if i / n < p - nd.ESTIMATE_SLACK)
+    assert dropped < 0.05 * (1 - p**nd.BAND) ** nd.BANDS
