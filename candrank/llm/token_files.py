@@ -46,21 +46,16 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-def _encode(path: str, end: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids in encoded(batches, path, end):
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ids, pa.binary())], ["row", "doc_id", "ids"])
-
-    return run
+def _encode(path: str, end: int, size: int):
+    """A row for each document, and a last one for each task with the frequency of every id in it."""
 
-
-def _frequencies(kind: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(size, np.int64)
-        for batch in batches:
-            n += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=size)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["id", "n"])
+        kind, n = encoder(path).dtype, np.zeros(size, np.int64)
+        rows = lambda row, doc_id, ids, counts: pa.RecordBatch.from_arrays([row, doc_id, pa.array(ids, pa.binary()), pa.array(counts, pa.list_(pa.int64()))], ["row", "doc_id", "ids", "counts"])
+        for batch, ids in encoded(batches, path, end):
+            n += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=size)
+            yield rows(batch.column("row"), batch.column("doc_id"), ids, [None] * len(ids))
+        yield rows(pa.array([None], pa.int64()), pa.array([None], pa.int64()), [None], [n])
 
     return run
 
@@ -68,23 +63,25 @@ def _frequencies(kind: str, size: int):
 def _write(kind: str, ranks, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rank, before = TaskContext.get().partitionId(), ranks.value, 0
-        docs: list = []
-        held: list[np.ndarray] = []
-        names = ["shard", "before", "doc_ids", "lengths", "control", "data"]
+        each = np.dtype(kind).itemsize
+        docs: list[int | None] = []
+        held: list[bytes] = []
+        n = 0  # tokens held
 
         def block() -> pa.RecordBatch:
-            control, data = pack_ranks(rank[np.concatenate(held)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) for x in held]], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], names
-            )
+            control, data = pack_ranks(rank[np.frombuffer(b"".join(held), kind)])
+            lengths = [len(x) // each for x in held]
+            cols = [pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["shard", "before", "doc_ids", "lengths", "control", "data"])
 
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 docs.append(doc_id)
-                held.append(np.frombuffer(ids, kind))
-                if (n := sum(map(len, held))) >= block_tokens:
+                held.append(ids)
+                n += len(ids) // each
+                if n >= block_tokens:
                     yield block()
-                    before, docs, held = before + n, [], []
+                    before, docs, held, n = before + n, [], [], 0
         if docs:
             yield block()
 
@@ -117,15 +114,16 @@ def write_token_files(docs: DataFrame, to: str, path: str | None = None, end: in
     path = path or default_path()
     own = encoder(path)
     scratch = common.Scratch(spark, "token-files")
-    kept = scratch.keep(common.numbered(docs).mapInArrow(_encode(path, end), "row long, doc_id long, ids binary"), "ids")
     size = own.tokenizer.get_vocab_size()
+    kept = scratch.keep(common.numbered(docs).mapInArrow(_encode(path, end, size), "row long, doc_id long, ids binary, counts array<long>"), "ids")
     # at most one row for each id of the vocabulary
-    counts = {r.id: r.n for r in kept.select("ids").mapInArrow(_frequencies(own.dtype, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    found = kept.where(F.col("row").isNull()).select(F.posexplode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
+    counts = {r.id: r.n for r in found.collect()}
     vocab = np.array(sorted(range(size), key=lambda i: (-counts.get(i, 0), i)), "<u4")
     rank = np.empty(size, "<u4")
     rank[vocab] = np.arange(size)
     spark.createDataFrame(list(enumerate(vocab.tolist())), "rank int, id int").coalesce(1).write.mode("overwrite").parquet(f"{to}/vocab.parquet")
-    blocks = kept.orderBy(F.asc_nulls_first("doc_id"), "row").mapInArrow(_write(own.dtype, spark.sparkContext.broadcast(rank), block_tokens), BLOCKS)
+    blocks = kept.where(F.col("row").isNotNull()).select("row", "doc_id", "ids").orderBy(F.asc_nulls_first("doc_id"), "row").mapInArrow(_write(own.dtype, spark.sparkContext.broadcast(rank), block_tokens), BLOCKS)
     blocks.write.mode("overwrite").option("compression", "zstd").parquet(f"{to}/blocks.parquet")
     scratch.drop("ids")
 

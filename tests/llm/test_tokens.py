@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -7,7 +9,7 @@ from tokenizers import Tokenizer
 from candrank.llm.packing import hilbert_keys, pack
 from candrank.llm.token_counts import token_counts
 from candrank.llm.token_files import pack_ranks, read_token_files, unpack_ranks, write_token_files
-from candrank.llm.tokens import default_path, encoder
+from candrank.llm.tokens import Encoder, default_path, encoder
 from tests.llm.conftest import rows
 
 T = Tokenizer.from_file(default_path())
@@ -28,6 +30,18 @@ def test_encoder_equals_the_library():
         assert sum(len(own.piece_ids(p)) for p in own.pieces(text or "")) == len(ids(text))
 
 
+def test_encoder_equals_the_library_on_mixed_strings_and_small_caches():
+    r = random.Random(4)
+    own = Encoder(default_path())
+    own.cache.entries = 50
+    parts = ["a", "é", "B", "1", "23", ".", ",", "'s", "'", "'ll", " ", " ", "\n", "\t", "_", "ß", "\xa0", "<|endoftext|>", "日", "½", "\x1c", "-", "(", "hello", "  ", "×", "ǅ", "·", "x" * 70]
+    for _ in range(8000):
+        text = "".join(r.choices(parts, k=r.randint(0, 12)))
+        assert np.frombuffer(own.ids(text), own.dtype).tolist() == ids(text), text
+        assert sum(len(own.piece_ids(p)) for p in own.pieces(text)) == len(ids(text)), text
+    assert len(own.cache) <= 50 and len(own.cache.older) <= 50
+
+
 def test_counts(small, none, clashing):
     want = sorted(((d, len((t or "").encode()), len(ids(t)), len(ids(t)) > 1024) for d, t, *_ in rows()), key=str)
     for head in (1 << 18, 5, 0):
@@ -50,6 +64,17 @@ def test_files_round_trip(spark, small, none, tmp_path):
     assert read_token_files(spark, str(tmp_path / "n")).count() == 0
 
 
+def test_files_of_clashing_columns_and_very_many_tiny_documents(spark, clashing, tmp_path):
+    write_token_files(clashing, str(tmp_path / "c"))
+    got = read_token_files(spark, str(tmp_path / "c")).collect()
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(((d, len(ids(t)) + 1, crc([*ids(t), 0])) for d, t, *_ in rows()), key=str)
+    began = time.monotonic()
+    write_token_files(spark.range(300_000).coalesce(1).selectExpr("id AS doc_id", "'' AS text"), str(tmp_path / "t"))
+    got = read_token_files(spark, str(tmp_path / "t"))
+    assert got.where(f"start = doc_id AND n_tokens = 1 AND ids_crc32 = {crc([0])}").count() == got.count() == 300_000
+    assert time.monotonic() - began < 60  # a block's cost does not grow with the square of its documents
+
+
 def test_code_round_trip():
     r = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 1001):
