@@ -22,11 +22,12 @@ Q = 12
 WINDOW, STRIDE = 160, 80
 SHORT, SHORT_STRIDE = 64, 16  # further windows: a passage copied as it is is found from SHORT + SHORT_STRIDE - 1 bytes on, wherever it is cut
 EDITS = 0.05  # of a window's bytes
-SHORTEST = 24  # bytes; a shorter benchmark text says nothing about its source and is never matched
+SHORTEST = 24  # bytes; a shorter benchmark text is matched by documents that say nothing else only
 BLOCK_BYTES = 2 << 20  # of normalised benchmark text that is broadcast at once; more is searched in further blocks
 FILTER_BITS = 24
-AT_ONCE = 4_000_000  # shared q-grams that are counted at once, from whole documents
+AT_ONCE = 4_000_000  # shared q-grams that are counted at once
 PAD = 1024
+CODE = 8  # bits of an alignment's value that hold where it starts in its band
 
 
 def normalised(text: str) -> bytes:
@@ -63,9 +64,9 @@ def gram_keys(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of a block of benchmark texts and the places of their q-grams."""
+    """Windows of a block of benchmark texts and the places of their q-grams; the items of texts under SHORTEST bytes by text."""
 
-    items: np.ndarray  # of each window
+    items: list[list[int]]  # of each window; equal windows are one
     texts: np.ndarray  # windows x longest, padded
     sizes: np.ndarray
     edits: np.ndarray
@@ -75,60 +76,113 @@ class Index:
     window: np.ndarray
     place: np.ndarray
     bitmap: np.ndarray
+    whole: dict[bytes, list[int]]
 
 
 def index_of(block: list[tuple[int, bytes]]) -> Index | None:
     """block: item_id and normalised text."""
+    whole: dict[bytes, list[int]] = {}
+    for i, data in block:
+        if 0 < len(data) < SHORTEST:
+            whole.setdefault(data, []).append(i)
+    items: dict[bytes, set[int]] = {}
+    for i, data in block:
+        for w in windows_of(data):
+            items.setdefault(w, set()).add(i)
     # by size, as windows are aligned many at once, each as long as the longest of them
-    parts = sorted(((i, w) for i, data in block for w in windows_of(data)), key=lambda x: len(x[1]))
-    if not parts:
+    parts = sorted(items, key=len)
+    if not parts and not whole:
         return None
-    sizes = np.array([len(w) for _, w in parts])
-    texts = np.zeros((len(parts), sizes.max()), np.uint8)
-    for n, (_, w) in enumerate(parts):
+    sizes = np.array([len(w) for w in parts], np.int64)
+    texts = np.zeros((len(parts), sizes.max(initial=1)), np.uint8)
+    for n, w in enumerate(parts):
         texts[n, : len(w)] = np.frombuffer(w, np.uint8)
     edits = np.minimum((EDITS * sizes).astype(int), (sizes - Q) // Q)
     keys = [gram_keys(texts[n, : sizes[n]]) for n in range(len(parts))]
-    window = np.repeat(np.arange(len(parts)), [len(k) for k in keys])
-    place = np.concatenate([np.arange(len(k)) for k in keys])
-    every = np.concatenate(keys)
+    window = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k in keys])
+    place = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(k), dtype=np.int32) for k in keys)])
+    every = np.concatenate([np.zeros(0, np.uint64), *keys])
     order = np.argsort(every, kind="stable")
     distinct, first = np.unique(every[order], return_index=True)
     bitmap = np.zeros(1 << FILTER_BITS, bool)
     bitmap[distinct >> np.uint64(64 - FILTER_BITS)] = True
-    return Index(np.array([i for i, _ in parts]), texts, sizes, edits, sizes - Q + 1 - edits * Q, distinct, np.append(first, len(every)), window[order], place[order], bitmap)
+    return Index([sorted(items[w]) for w in parts], texts, sizes, edits, sizes - Q + 1 - edits * Q, distinct, np.append(first, len(every)), window[order], place[order], bitmap, whole)
 
 
-def aligned(own: Index, buffer: np.ndarray, window: np.ndarray, lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits of each window against the buffer within its band of diagonals, and where that ends.
+def aligned(own: Index, buffer: np.ndarray, window: np.ndarray, lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least edits of each window against the buffer within its band of diagonals, and where that starts and ends.
 
     lowest: the band's first diagonal; the band has 2(k+1) and k more on each side. The start and end in the
-    buffer are free.
+    buffer are free. A value is the edits so far and, in its last bits, where in the band it started.
     """
     k, sizes = own.edits[window], own.sizes[window]
     base = lowest - k
     width = int((2 * (k + 1) + 2 * k).max())
+    if width > 1 << CODE:
+        raise ValueError("windows are too long for their edits")
     steps = np.arange(width)
     inside = steps < (2 * (k + 1) + 2 * k)[:, None]
-    far = np.int32(1 << 20)
-    d = np.where(inside, 0, far).astype(np.int32)
+    far, edit = np.int32(1 << 30), np.int32(1 << CODE)
+    d = np.where(inside, steps, far).astype(np.int32)
+    cost = (steps << CODE).astype(np.int32)
     final = d.copy()
     for i in range(int(sizes.max())):
         at = np.clip(base[:, None] + i + steps, 0, len(buffer) - 1)
-        other = (buffer[at] != own.texts[window, i][:, None]).astype(np.int32)
-        skip = np.concatenate([d[:, 1:], np.full((len(d), 1), far, np.int32)], 1) + 1
-        e = np.minimum(d + other, skip) - steps
-        d = np.where(inside, np.minimum.accumulate(e, 1) + steps, far).astype(np.int32)
+        other = (buffer[at] != own.texts[window, i][:, None]) * edit
+        skip = np.concatenate([d[:, 1:], np.full((len(d), 1), far, np.int32)], 1) + edit
+        e = np.minimum(d + other, skip) - cost
+        d = np.where(inside, np.minimum.accumulate(e, 1) + cost, far)
         ended = sizes == i + 1
         final[ended] = d[ended]
     best = final.argmin(1)
-    return final[np.arange(len(final)), best], base + sizes + best
+    value = final[np.arange(len(final)), best]
+    return value >> CODE, base + (value & (1 << CODE) - 1), base + sizes + best
 
 
-def hits(own: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-    """Place of the text, window, edits, start and end (in the normalised text) of each window found in a text."""
-    starts = np.cumsum([PAD] + [len(t) + 1 for t in texts])
-    buffer = np.frombuffer(b"\n" * PAD + b"\n".join(texts) + b"\n" * PAD, np.uint8)
+def cells_of(own: Index, maybe: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows with cells of diagonals (window << 40 | cell), ascending, and the q-grams in each, for places of the buffer and their keys.
+
+    What is counted at once has a bound: windows are taken in parts, by number, and the places of a part in turns.
+    """
+    keys, of = np.unique(at, return_inverse=True)
+    sizes = own.first[keys + 1] - own.first[keys]
+    parts = int(-(-sizes[of].sum() // AT_ONCE))
+    postings = np.repeat(own.first[keys] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    key = np.repeat(np.arange(len(keys)), sizes)
+    for part in range(parts):
+        mine = own.window[postings] % parts == part
+        held, size = postings[mine], np.bincount(key[mine], minlength=len(keys))
+        begin, n = (np.cumsum(size) - size)[of], size[of]
+        turns = np.cumsum(n) // AT_ONCE
+        counted = []
+        for turn in np.unique(turns):
+            s = turns == turn
+            total = np.repeat(np.arange(s.sum()), n[s])
+            posting = held[begin[s][total] + np.arange(len(total)) - np.repeat(np.cumsum(n[s]) - n[s], n[s])]
+            window = own.window[posting].astype(np.int64)
+            counted.append(np.unique((window << 40) + (maybe[s][total] - own.place[posting]) // (own.edits[window] + 1), return_counts=True))
+        if len(counted) == 1:
+            yield counted[0]
+        else:
+            cells, where = np.unique(np.concatenate([c for c, _ in counted]), return_inverse=True)
+            yield cells, np.bincount(where, np.concatenate([n for _, n in counted])).astype(np.int64)
+
+
+def hits(own: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Place of the text, item, window, edits, start and end (in the normalised text) of each window found in a text.
+
+    The texts lie in one buffer with line ends between them, which no window has: more than any window may
+    have edits, so none is found across two texts.
+    """
+    for t, text in enumerate(texts):
+        for i in own.whole.get(text, ()):
+            yield t, i, -1, 0, 0, len(text)
+    if not len(own.keys):
+        return
+    gap = int(own.edits.max()) + 1
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = PAD + np.cumsum(sizes + gap) - sizes - gap
+    buffer = np.frombuffer(b"\n" * PAD + (b"\n" * gap).join(texts) + b"\n" * PAD, np.uint8)
     keys = gram_keys(buffer)
     maybe = np.flatnonzero(own.bitmap[keys >> np.uint64(64 - FILTER_BITS)])
     at = np.searchsorted(own.keys, keys[maybe])
@@ -142,26 +196,22 @@ def hits(own: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, i
     group = np.cumsum(n) // AT_ONCE  # documents are not split between groups
     group = np.maximum.reduceat(group, np.flatnonzero(np.diff(doc, prepend=-1)))[np.unique(doc, return_inverse=True)[1]]
     for g in np.unique(group):
-        s = group == g
-        total = np.repeat(np.arange(s.sum()), n[s])
-        posting = own.first[at[s]][total] + np.arange(len(total)) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
-        window = own.window[posting]
-        diagonal = maybe[s][total] - own.place[posting]
-        cell = diagonal // (own.edits[window] + 1)
-        cells, count = np.unique((window << 40) + cell, return_counts=True)
-        following = np.searchsorted(cells, cells + 1)
-        after = np.where((following < len(cells)) & (cells[np.minimum(following, len(cells) - 1)] == cells + 1), count[np.minimum(following, len(cells) - 1)], 0)
-        # a band that begins one cell earlier holds the same q-grams as this one if that cell has none
-        enough = count + after >= own.bounds[cells >> 40]
-        chosen = cells[enough]
-        for part in range(0, len(chosen), 2048):
-            c = chosen[part : part + 2048]
-            w, low = c >> 40, (c & ((1 << 40) - 1)) * (own.edits[c >> 40] + 1)
-            edits, end = aligned(own, buffer, w, low)
-            good = edits <= own.edits[w]
-            of = np.searchsorted(starts, end[good] - 1, "right") - 1
-            for x in zip(of.tolist(), w[good].tolist(), edits[good].tolist(), (end[good] - own.sizes[w[good]] - starts[of]).tolist(), (end[good] - starts[of]).tolist()):
-                yield x
+        for cells, count in cells_of(own, maybe[group == g], at[group == g]):
+            following = np.minimum(np.searchsorted(cells, cells + 1), len(cells) - 1)
+            after = np.where(cells[following] == cells + 1, count[following], 0)
+            # a band that begins one cell earlier holds the same q-grams as this one if that cell has none
+            chosen = cells[count + after >= own.bounds[cells >> 40]]
+            for part in range(0, len(chosen), 2048):
+                c = chosen[part : part + 2048]
+                w, low = c >> 40, (c & ((1 << 40) - 1)) * (own.edits[c >> 40] + 1)
+                edits, start, end = aligned(own, buffer, w, low)
+                good = edits <= own.edits[w]
+                w, start, end = w[good], start[good], end[good]
+                of = np.searchsorted(starts, (start + end) // 2, "right") - 1
+                start, end = np.maximum(start - starts[of], 0), np.minimum(end - starts[of], sizes[of])
+                for found in zip(of.tolist(), w.tolist(), edits[good].tolist(), start.tolist(), end.tolist()):
+                    for item in own.items[found[1]]:
+                        yield found[0], item, *found[1:]
 
 
 def _search(index):
@@ -169,10 +219,10 @@ def _search(index):
         own = index.value
         for batch in batches:
             best: dict[tuple[int, int], list] = {}
-            for doc, w, edits, start, end in hits(own, [normalised(t) for t in batch.column("text").to_pylist()]):
-                got = best.setdefault((doc, int(own.items[w])), [set(), edits, start, end])
+            for doc, item, w, edits, start, end in hits(own, [normalised(t) for t in batch.column("text").to_pylist()]):
+                got = best.setdefault((doc, item), [set(), edits, start, end])
                 got[0].add(w)
-                got[1:] = [min(got[1], edits), max(0, min(got[2], start)), max(got[3], end)]
+                got[1:] = [min(got[1], edits), min(got[2], start), max(got[3], end)]
             ids = batch.column("doc_id")
             rows = [(ids[d].as_py(), i, len(x[0]), *x[1:]) for (d, i), x in best.items()]
             cols = list(zip(*rows)) or [()] * 6
@@ -208,9 +258,9 @@ def _blocks(benchmark: DataFrame) -> Iterator:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, edits, norm_start, norm_end for each text of docs that has a window of a benchmark text.
 
-    edits is the least of its windows, norm_start and norm_end the bytes of the normalised text from the first
-    to the last. Null and empty texts have no match; benchmark texts under SHORTEST bytes and those without
-    text or id are never matched. Repeated rows give their matches each. Further columns are left out; empty
+    n_windows counts different windows, edits is the least of theirs, norm_start and norm_end the bytes of the normalised text from the first
+    to the last. Null and empty texts have no match; benchmark texts under SHORTEST bytes are matched by texts
+    that equal them; those without text or id are never matched. Repeated rows give their matches each. Further columns are left out; empty
     tables give no rows. The benchmark is searched in blocks of BLOCK_BYTES, each against all documents.
     """
     spark = docs.sparkSession
