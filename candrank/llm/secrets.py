@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and strings near sensitive words that a primed zstandard cannot compress.
 
 A candidate's novelty is its marginal compressed size: the bytes that it adds to its surrounding text, with a
-dictionary of code words and of the words that stand in such surroundings over the whole corpus, for each of
-its characters. Names and paths repeat what the dictionary or the surroundings have; keys do not.
+dictionary of code words and of the words that stand in such surroundings and in several candidates over the
+whole corpus, for each of its characters. Names and paths repeat what the dictionary or the surroundings have; keys do not. Other strings
+that look drawn are no part of surroundings or dictionary, so a secret is as novel in its copies.
 """
 
 from __future__ import annotations
@@ -26,9 +27,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same as runs of any length, those under 24 dropped
 ASSIGN_WORDS = ("passw", "secret", "token", "key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+EDGE = re.compile(r"[A-Za-z0-9+/_-]+")
 GAP = re.compile(r"""(?:[\s"'+,;=|>#*]|\\[nr]){1,32}""")  # between the lines of one string
-TAIL = re.compile(r"(?:\s|\\[nr]){1,32}([A-Za-z0-9+/_-]{1,15}=*)(?=\s|\\[nr]|[\"']|$)")  # the last line of one, shorter than a candidate
+TAIL = re.compile(r"[^\S\n]{0,32}(?:\n|\\[nr])\s{0,32}([A-Za-z0-9+/_-]{1,15}=*)(?=\s|\\[nr]|[\"']|$)")  # the last line of one, shorter than a candidate
+DRAWN = re.compile(r"(?=[A-Za-z]*[0-9])[A-Za-z0-9]{8,}")  # in a candidate: not put together from words
+PLAIN_WORD = "^[A-Za-z_]+[0-9]{0,3}$"  # what the dictionary takes from surroundings
+NAME_PARTS = ("[A-Z]?[a-z]{3,15}", "[A-Za-z/_-]{6,48}")  # ... and from candidates
 AROUND = 48  # characters on each side that are its surroundings
+NEAR = 96  # characters on each side in which a sensitive word counts
 SENSITIVE = re.compile(r"pass|pwd|secret|token|api|key|auth|credential|bearer|private|access|signature|session|cookie")
 NOVEL = 0.7  # compressed bytes for each character
 EVEN = 0.95  # a string's entropy, as a share of what evenly drawn letters of its alphabet have
@@ -58,6 +64,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
+    """What stands before and after a string, without the other strings there that look drawn: a secret is no surrounding of its copy."""
+    strip = lambda x: CANDIDATE.sub(lambda m: "" if DRAWN.search(m[0]) else m[0], x)
+    lo, hi = max(0, a - AROUND), b + AROUND
+    before, after = text[lo:a], text[b:hi]
+    if lo and (m := EDGE.match(before)) and EDGE.match(text, lo - 1):  # cut strings could be shorter than candidates
+        before = before[m.end() :]
+    if (m := EDGE.search(after[::-1])) and m.start() == 0 and EDGE.match(text, hi):
+        after = after[: len(after) - m.end()]
+    return strip(before), strip(after)
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Strings of letters and digits, of any length, near a sensitive word, outside the spans that are known already.
 
@@ -73,16 +91,17 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
             block.append(found[at + len(block)])
         at += len(block)
         known = [any(s < m.end() and m.start() < e for s, _, e in spans) for m in block]
-        near = any(known) and len(block) > 1 or any(SENSITIVE.search(text[max(0, m.start() - AROUND) : m.start()].lower()) or SENSITIVE.search(text[m.end() : m.end() + AROUND].lower()) for m in block)
+        near = any(known) and len(block) > 1 or any(SENSITIVE.search(text[max(0, m.start() - NEAR) : m.start()].lower()) or SENSITIVE.search(text[m.end() : m.end() + NEAR].lower()) for m in block)
         if not near or not any(c.isdigit() for m in block for c in m[0]):
             continue
         for m, skip in zip(block, known):
             if skip or m[0].isdigit() or (len(block) == 1 and not any(c.isdigit() for c in m[0])):
                 continue
             a, b = m.span()
-            if len(block) > 1 and m is block[-1] and (tail := TAIL.match(text, b)):
+            if len(block) > 1 and m is block[-1] and len(m[0]) == len(block[0][0]) and (tail := TAIL.match(text, b)):
                 b = tail.end(1)
-            out.append({"start": a, "end": b, "before": text[max(0, a - AROUND) : a], "string": text[a:b], "after": text[b : b + AROUND]})
+            before, after = surroundings(text, a, b)
+            out.append({"start": a, "end": b, "before": before, "string": text[a:b], "after": after})
     return out
 
 
@@ -157,8 +176,13 @@ def _scanned(docs: DataFrame, least: float) -> DataFrame:
     common.small_batches(spark)
     scratch = common.Scratch(spark, "secrets")
     found = scratch.keep(docs.mapInArrow(_scan, FOUND), "found")
-    around = found.select(F.explode("near").alias("x")).select(F.explode(F.split(F.concat_ws(" ", "x.before", "x.after"), r"[^A-Za-z0-9_]+")).alias("word"))
-    common_words = around.where((F.length("word") > 2) & (F.octet_length("word") <= 32)).groupBy("word").count().where("count > 2").orderBy(F.desc("count"), "word").limit(DICTIONARY_WORDS)
+    near = found.select(F.explode("near").alias("x")).select("x.before", "x.string", "x.after")
+    around = near.select("before", "after").distinct()  # copies of a text count once
+    around = around.select(F.explode(F.split(F.concat_ws(" ", "before", "after"), r"[^A-Za-z0-9_]+")).alias("word"))
+    around = around.where((F.length("word") > 2) & (F.octet_length("word") <= 32) & F.col("word").rlike(PLAIN_WORD))
+    # parts of identifiers: a drawn string's letters are found in its copies alone, which count once
+    named = near.select("string").distinct().select(F.explode(F.array_distinct(F.concat(*[F.regexp_extract_all("string", F.lit(p), F.lit(0)) for p in NAME_PARTS]))).alias("word"))
+    common_words = around.unionByName(named).groupBy("word").count().where("count > 2").orderBy(F.desc("count"), "word").limit(DICTIONARY_WORDS)
     words = [r.word for r in common_words.collect()]  # at most DICTIONARY_WORDS
     spans = "array<struct<start:long,kind:int,end:long>>"
     return found.mapInArrow(_judge(words, least), f"row long, doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, found {spans}")
@@ -168,8 +192,8 @@ def find_secrets(docs: DataFrame, least: float = NOVEL) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans for each row of docs(doc_id, text, ...).
 
     spans has kind:start:end of every finding in code points, end exclusive, by start and then kind, and
-    base_sha256 the SHA-256 of those of the fixed patterns. Null text is empty and has none. Repeated rows keep
-    a row each; further columns are left out; an empty table gives no rows.
+    base_sha256 the SHA-256 of those of the fixed patterns. A string with no sensitive word within NEAR characters, in or
+    beside the lines that adjoin it, is not judged. Null text is empty and has none. Repeated rows keep a row each; further columns are left out; an empty table gives no rows.
     """
     return _scanned(common.numbered(docs), least).drop("row", "found")
 

@@ -92,3 +92,38 @@ def test_keys_of_any_length(spark):
     assert not any(x in left for x in lines) and left.startswith("-----BEGIN PRIVATE KEY-----\n[SECRET]") and left.endswith("[SECRET]\n-----END PRIVATE KEY-----\n")
     assert out[len(keys) - 1] == "x: [SECRET] (the access credential)"
     assert out[len(keys)] == texts[-1]
+
+
+def test_copies_neighbours_and_long_keys(spark, clashing):
+    """Planted keys: in 1 to 100 copies, beside each other, far from the word, long; at least 0.9 are found, and names are left."""
+    r = random.Random(11)
+    made = lambda n: "".join(r.choices(string.ascii_letters + string.digits, k=n))
+    words = "the river of data over and under a house with many open windows".split()
+    filler = lambda n: " ".join(r.choices(words, k=n))
+    texts, planted = [], []
+    for copies in (1, 2, 3, 10, 100):
+        for size in (20, 24, 32, 40, 64, 2000):
+            one, two = made(size), made(size)
+            texts += [f"{filler(5)} the auth header {one} {two} {filler(5)}"] * copies
+            planted += [(one, copies), (two, copies)]
+        key = made(40)
+        texts += [f"{filler(3)} private credential is {key} and again {key} {filler(3)}"] * copies
+        planted.append((key, 2 * copies))
+        key = made(40)
+        texts += [f"signature (see {filler(9)}) {key}"] * copies
+        planted.append((key, copies))
+        key = made(40)
+        texts += [f"key {filler(60)} {key}"] * copies  # out of reach
+    names = ["my_widget_factory_handler_", "session-store-backend-", "com/example/project/module/", "TokenRequestBuilderFactory", "access_policy_statement_v"]
+    for i in range(60):
+        texts.append(f"{filler(4)} the api key of {r.choice(names)}{i % 7} and {r.choice(names)}{i % 5} {filler(4)}")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    found = [(texts[x.doc_id][int(a) : int(b)], x.doc_id) for x in find_secrets(docs).collect() for k, a, b in (y.split(":") for y in x.spans.split(",") if y)]
+    hits = sum(min(n, sum(s == key for s, _ in found)) for key, n in planted)
+    wanted = sum(n for _, n in planted)
+    false = [s for s, _ in found if s not in {key for key, _ in planted}]
+    print(f"planted {wanted}, found {hits}, false alarms {len(false)} of 120 names")
+    assert hits >= 0.9 * wanted and len(false) <= 6
+    for copies in (1, 3, 100):
+        assert sum(sum(s == key for s, _ in found) >= n for key, n in planted if n == copies) >= 0.9 * sum(n == copies for _, n in planted)
+    assert find_secrets(clashing).count() == clashing.count() == redact_secrets(clashing).count() and redact_secrets(clashing).columns == clashing.columns
