@@ -15,8 +15,9 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_SHARE = 0.3
-MAX_LINE_DOCS = 100  # a host's line is above the limit in more documents than this
-MAX_LINE_SHARE = 0.005  # ... that are more than this share of the host's documents
+MAX_LINE_DOCS = 5  # a host's line is above the limit in more documents than this, whatever the host's size
+LONG_LINE = 50  # words; a line of so many is hardly written twice
+MAX_LONG_LINE_DOCS = 2  # the limit for long lines
 MIN_KEPT_SHARE = 0.5  # a document that keeps less of its words is depleted
 
 
@@ -79,20 +80,18 @@ def measures(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEAT_SHARE) * F.col("n_words")))
 
 
-def frequent_lines(measured: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+def frequent_lines(measured: DataFrame, max_docs: int, max_long_docs: int) -> DataFrame:
     """host, line, keeper: the lines above the limits, and the content hash of the document that keeps them."""
-    lines = measured.select("host", "content", F.explode("lines.line").alias("line"))
-    per_line = lines.groupBy("host", "line", "content").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n"), F.min("content").alias("keeper"))
-    hosts = measured.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
-    above = per_line.where(F.col("n") > max_docs)
-    return above.join(hosts, "host").where(F.col("n") > max_share * F.col("docs")).select("host", "line", "keeper")
+    lines = measured.select("host", "content", F.explode("lines").alias("x")).select("host", "content", "x.line", "x.n")
+    per_line = lines.groupBy("host", "line", "content").agg(F.max("n").alias("words")).groupBy("host", "line").agg(F.count("*").alias("n"), F.min("content").alias("keeper"), F.max("words").alias("words"))
+    return per_line.where(F.col("n") > F.when(F.col("words") >= LONG_LINE, max_long_docs).otherwise(max_docs)).select("host", "line", "keeper")
 
 
-def judged(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: float = MAX_LINE_SHARE, min_kept: float = MIN_KEPT_SHARE) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_long_docs: int = MAX_LONG_LINE_DOCS, min_kept: float = MIN_KEPT_SHARE) -> tuple[DataFrame, DataFrame]:
     """The measures with kept, and for each row the hashes of its lines that are removed (rows with such lines only)."""
     scratch = common.Scratch(docs.sparkSession, "quality")
     measured = scratch.keep(measures(docs), "measured")
-    frequent = frequent_lines(measured, max_docs, max_share)
+    frequent = frequent_lines(measured, max_docs, max_long_docs)
     lines = measured.select("row", "host", "content", F.explode("lines").alias("x")).select("row", "host", "content", "x.line", "x.n")
     lost = lines.join(frequent, ["host", "line"]).where(F.col("content") != F.col("keeper")).groupBy("row").agg(F.sum("n").alias("lost"), F.collect_set("line").alias("removed"))
     lost = scratch.keep(lost, "lost")
@@ -106,8 +105,8 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of docs(doc_id, text, source, ...).
 
     A line (normalised: case, digits and white space) is above the limits if it is in more than max_docs of
-    its host's documents and in more than max_share of them; documents of the same text count once, and the
-    document with the smallest content hash keeps the line. A document is kept if it passes the base rules and
+    its host's documents, or has LONG_LINE words and is in more than max_long_docs of them; a line in just so
+    many stays. Documents of the same text count once, and the one with the smallest content hash keeps the line. A document is kept if it passes the base rules and
     what it keeps is at least 20 words and min_kept of its words. Null text is empty, null source the host '';
     repeated rows keep a row each; further columns are left out; an empty table gives no rows.
     """
@@ -147,9 +146,7 @@ cov AS (SELECT r, sum(least(8, i - before)) AS n FROM (SELECT r, i, lag(i, 1, -1
 l AS (SELECT r, host, content, unnest(lines) AS line FROM w),
 nl AS (SELECT r, host, content, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
         len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l),
-freq AS (SELECT host, line, count(DISTINCT content) AS docs, min(content) AS keeper FROM nl GROUP BY host, line HAVING count(DISTINCT content) > 100),
-hosts AS (SELECT host, count(DISTINCT content) AS docs FROM d GROUP BY host),
-above AS (SELECT f.host, f.line, f.keeper FROM freq f JOIN hosts h ON f.host = h.host WHERE f.docs > 0.005 * h.docs),
+above AS (SELECT host, line, min(content) AS keeper FROM nl GROUP BY host, line HAVING count(DISTINCT content) > CASE WHEN max(n) >= 50 THEN 2 ELSE 5 END),
 lost AS (SELECT nl.r, sum(nl.n) AS lost FROM nl JOIN above a ON nl.host = a.host AND nl.line = a.line WHERE nl.content <> a.keeper GROUP BY nl.r),
 m AS (SELECT w.r, doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,

@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -28,18 +30,61 @@ def table():
     return out
 
 
-def test_rules_against_brute_force(spark, none):
+def verdicts(table, max_docs=5, max_long_docs=2):
+    """Which rows the rules keep, and their texts, from the definition."""
+    normal = lambda x: " ".join(W.findall(re.sub("[0-9]", "0", x.lower())))
+    holders = defaultdict(set)
+    for _, t, _, host, _ in table:
+        for x in filter(W.search, (t or "").split("\n")):
+            holders[host or "", normal(x)].add(t)
+    keeper = {k: min(v, key=lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)) for k, v in holders.items() if len(v) > (max_long_docs if len(k[1].split()) >= 50 else max_docs)}
+    out = []
+    for d, t, _, host, _ in table:
+        text = t or ""
+        gone = lambda x: keeper.get((host or "", normal(x)), text) != text  # noqa: E731,B023
+        left = "\n".join(x for x in text.split("\n") if not W.search(x) or not gone(x))
+        n, kept = len(W.findall(text)), len(W.findall(left))
+        out.append((d, not brute(t)[-1] and kept >= 20 and 2 * kept >= n, left))
+    return out
+
+
+def test_rules_against_brute_force(spark, none, clashing):
     docs = spark.createDataFrame(table(), DOCS)
-    got = sorted((tuple(r)[:7] for r in quality_rules(docs).collect()), key=str)
-    assert got == sorted(((d, *brute(t)) for d, t, *_ in table()), key=str)
-    assert all(r.kept == (not r.base_failed) for r in quality_rules(docs).collect())
-    assert quality_rules(none).count() == 0
+    got = sorted((tuple(r) for r in quality_rules(docs).collect()), key=str)
+    assert got == sorted(((d, *brute(t), kept) for (d, t, *_), (_, kept, _) in zip(table(), verdicts(table()))), key=str)
+    assert quality_rules(none).count() == 0 and filter_documents(none).count() == 0
     assert quality_rules(docs.drop("source").withColumn("row", docs.lang)).count() == len(table())
+    assert sorted(map(str, quality_rules(clashing).collect())) == sorted(map(str, quality_rules(clashing.select(*docs.columns)).collect()))
+    assert set(filter_documents(clashing).columns) == set(clashing.columns)
+
+
+def test_the_registered_limits(spark):
+    """Lines in just as many documents as allowed stay, in one more they go from all but one; long lines sooner; other hosts do not count."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    own = lambda k: " ".join(word() for _ in range(k))
+    out, long, longer = [], own(50), own(60)
+    for i in range(6):
+        lines = ["All  RIGHTS reserved %d" % i, own(30)] + ["in five documents"] * (i < 5) + [long] * (i < 2) + [longer.upper() if i else longer] * (i < 3)
+        out.append((i, "\n".join(lines), "en", "h", 0))
+        out.append((10 + i, f"{'long words ' * 25 if i % 2 else 'short'}\nmenu and footer text\n{own(9) if i else ''}", "en", f"o{i % 2}", 0))
+        out.append((20 + i, own(21) + "\nthe same banner everywhere on this page as ever before and after that one\n", "en", "b", 0))
+        out.append((30 + i, own(12) + "\nthe same banner everywhere on this page as ever before and after that one\n", "en", "b", 0))
+    out += [(40, out[0][1], "en", "h", 0), (41, None, "en", "h", 0), (42, "", None, None, None)]
+    docs = spark.createDataFrame(out, DOCS)
+    want = verdicts(out)
+    got = {x.doc_id: x for x in quality_rules(docs).collect()}
+    assert {d: k for d, k, _ in want} == {d: x.kept for d, x in got.items()}
+    assert any(not k and not got[d].base_failed for d, k, _ in want)
+    texts = {x.doc_id: x.text for x in filter_documents(docs).collect()}
+    assert texts == {d: left for d, k, left in want if k}
+    assert sum("in five documents" in t for t in texts.values()) == 6 and sum("RIGHTS" in t for d, t in texts.items() if d < 10) == 1
+    assert sum(long in t for t in texts.values()) == 3 and sum(longer.lower() in t.lower() for d, t in texts.items() if d < 10) == 1
 
 
 def test_shared_lines(spark):
     docs = spark.createDataFrame(table(), DOCS)
-    limits = {"max_docs": 20, "max_share": 0.1}
+    limits = {"max_docs": 20, "max_long_docs": 100}
     kept = {r.doc_id: r.kept for r in quality_rules(docs, **limits).collect()}
     share = defaultdict(int)
     for i in range(30):
