@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candrank.sources.shared import shared_folder
+
 # Fixed value: rows in one Arrow batch handed to Python; long texts make larger batches costly.
 BATCH_ROWS = "1000"
 
@@ -56,11 +57,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="candrank-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
