@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candrank.functions import columns as C
+from candrank.functions.features import level_code
 from candrank.table import Measurements
 
 PENALTY = float(np.log(1000.0))
@@ -93,11 +94,22 @@ def _target(mt: Measurements) -> DataFrame:
     return mt.with_best().where(C.usable(F.col(mt.cost)))
 
 
-def gbdt(mt: Measurements, features: list[str], train: Column, trees: int = 20, depth: int = 4) -> tuple[DataFrame, dict[str, float]]:
-    """Rows outside the training groups with a predicted ln of the relative cost, and the features' importances."""
-    rows = VectorAssembler(inputCols=features, outputCol="vector").transform(_target(mt).withColumn("label", F.log(F.col(mt.cost) / F.col("best"))))
+def gbdt(mt: Measurements, features: list[str], train: Column, trees: int = 20, depth: int = 4, categories: dict[str, tuple[str, ...]] | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """Rows outside the training groups with a predicted ln of the relative cost, and the features' importances.
+
+    categories are columns with fixed levels, which the trees split as sets; a value that is none of them is an error.
+    """
+    rows = _target(mt).withColumn("label", F.log(F.col(mt.cost) / F.col("best")))
+    coded = {}
+    for c, levels in (categories or {}).items():
+        coded[f"__{c}"] = c
+        nominal = {"ml_attr": {"type": "nominal", "name": f"__{c}", "vals": list(levels)}}
+        rows = rows.withColumn(f"__{c}", level_code(c, levels).cast("double")).withMetadata(f"__{c}", nominal)
+    features = [*features, *coded]
+    rows = VectorAssembler(inputCols=features, outputCol="vector").transform(rows)
     model = GBTRegressor(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, seed=1).fit(rows.where(train))
-    return model.transform(rows.where(~train)).drop("vector"), dict(zip(features, model.featureImportances.toArray().tolist()))
+    names = [coded.get(f, f) for f in features]
+    return model.transform(rows.where(~train)).drop("vector", *coded), dict(zip(names, model.featureImportances.toArray().tolist()))
 
 
 def ridge(mt: Measurements, features: list[str], train: Column, alpha: float = 1.0) -> tuple[DataFrame, np.ndarray]:

@@ -35,10 +35,12 @@ def conditional_curve(mt: Measurements, axes: tuple[str, ...], ks: tuple[int, ..
     replacement by probability is sorting by -ln(u) / p.
     """
     groups = list(mt.groups)
-    rows = mt.with_best().groupBy(*groups, *axes).agg((F.min(mt.cost) / F.first("best")).alias("rel"))
+    least = mt.rows.groupBy(*groups, *axes).agg(F.min(mt.cost).alias("least"))
+    rows = least.join(mt.bests(), groups).select(*groups, *axes, (F.col("least") / F.col("best")).alias("rel"))
     inverse = []
     for i, a in enumerate(axes):
-        rows = rows.withColumn(f"alive{i}", F.size(F.collect_set(a).over(Window.partitionBy(*groups, *axes[:i]))))
+        alive = rows.groupBy(*groups, *axes[:i]).agg(F.count_distinct(a).alias(f"alive{i}"))
+        rows = rows.join(alive, [*groups, *axes[:i]])
         inverse.append(F.col(f"alive{i}"))
     weight = reduce(lambda p, c: p * c, inverse, F.lit(1.0))
     rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -39,24 +41,119 @@ def regret_batch(mt: Measurements, features: list[str], vectors: DataFrame) -> D
     return out.withColumn("regret", F.when(~F.col("infeasible"), F.col("regret")))
 
 
-def coordinate_fit(mt: Measurements, features: list[str], start: list[float], steps: tuple[float, ...] = (1.0, 0.3, 0.1), rounds: int = 2) -> DataFrame:
-    """round, regret and weights: from the start, the best of all single-weight steps, as long as one is better.
+STEPS = (10.0, 3.0, 1.0, 0.5, 0.25, 0.1)  # shares of a weight (of 1 where it is smaller), large ones first
+RESTART_SPREAD = 0.35
+_MOVES = ((1, 1), (1, -1), (-1, 1), (-1, -1))
 
-    Each batch is one pass over all rows; the result is never worse than the start.
+
+def _bounded(w: list[float], bounds: list[tuple[float, float]] | None) -> list[float]:
+    return [float(min(max(x, lo), hi)) for x, (lo, hi) in zip(w, bounds)] if bounds else [float(x) for x in w]
+
+
+def _singles(w: list[float], step: float) -> list[list[float]]:
+    return [[x + (d * step * max(abs(x), 1.0) if i == j else 0.0) for j, x in enumerate(w)] for i in range(len(w)) for d in (-1, 1)]
+
+
+def _pairs(w: list[float], step: float) -> list[list[float]]:
+    by = lambda x, d: x + d * step * max(abs(x), 1.0)
+    return [[by(x, d) if j == i else by(x, e) if j == k else x for j, x in enumerate(w)] for i, k in combinations(range(len(w)), 2) for d, e in _MOVES]
+
+
+def descend(mt: Measurements, features: list[str], start: list[float], steps: tuple[float, ...] = STEPS, pairs: bool = True, bounds: list[tuple[float, float]] | None = None, budget: int = 400) -> list[tuple[str, float, list[float]]]:
+    """(kind, regret, weights) of the start and each strict improvement.
+
+    For each step size the best of all single-weight steps, as long as one is better; then, as the single ones
+    are stuck, the best of all steps of two weights. Each batch is one pass over all rows; budget is the number
+    of weight vectors that may be tried.
     """
-    spark = mt.rows.sparkSession
-    best, log = list(start), []
-    value = regret_batch(mt, features, weight_table(spark, [best])).first().regret
-    log.append((0, float(value), best))
+    spark, best = mt.rows.sparkSession, _bounded(start, bounds)
+    first = regret_batch(mt, features, weight_table(spark, [best])).first()
+    value = float("inf") if first is None or first.infeasible or first.regret is None else float(first.regret)
+    log, used = [("start", value, best)], 1
+
+    def tried(kind: str, tries: list[list[float]]) -> bool:
+        nonlocal best, value, used
+        tries = [_bounded(t, bounds) for t in tries][: max(0, budget - used)]
+        if not tries:
+            return False
+        used += len(tries)
+        got = regret_batch(mt, features, weight_table(spark, tries)).where("NOT infeasible").orderBy("regret", "weight_id").first()
+        if got is None or got.regret is None or got.regret >= value - 1e-12:
+            return False
+        best, value = tries[got.weight_id], float(got.regret)
+        log.append((kind, value, best))
+        return True
+
     for step in steps:
-        for _ in range(rounds):
-            tries = [[x + (d * step if i == j else 0.0) for j, x in enumerate(best)] for i in range(len(best)) for d in (-1, 1)]
-            got = regret_batch(mt, features, weight_table(spark, tries)).where("NOT infeasible").orderBy("regret", "weight_id").first()
-            if got is None or got.regret >= value - 1e-12:
-                break
-            best, value = tries[got.weight_id], got.regret
-            log.append((len(log), float(value), best))
-    return spark.createDataFrame(log, "round int, regret double, weights array<double>")
+        while tried("single", _singles(best, step)):
+            pass
+        if pairs and len(best) > 1:
+            tried("pair", _pairs(best, step))
+    return log
+
+
+def coordinate_fit(mt: Measurements, features: list[str], start: list[float], steps: tuple[float, ...] = STEPS, pairs: bool = True, restarts: int = 0, bounds: list[tuple[float, float]] | None = None, budget: int = 400, train: Column | None = None, seed: int = 5) -> DataFrame:
+    """round, kind, regret, val_regret, weights: the start, each improvement and each restart that is better than all before.
+
+    Restarts begin at seeded points around the best weights so far. Only the rows of train are fitted; the others
+    give val_regret, null without them. The result is never worse than the start. The rows are kept in memory
+    and on disk while the batches run; what an executor loses is computed again.
+    """
+    spark = mt.rows.sparkSession
+    every = mt.rows.select(*mt.groups, *mt.ids, mt.cost, *features, (train if train is not None else F.lit(True)).alias("__train")).persist()
+    try:
+        own, other = (mt.of(every.where(c).drop("__train")) for c in (F.col("__train"), ~F.col("__train")))
+        log = descend(own, features, start, steps, pairs, bounds, budget)
+        rng = np.random.default_rng(seed)
+        for _ in range(restarts):
+            _, value, best = log[-1]
+            point = [x + float(rng.normal(0.0, RESTART_SPREAD * max(abs(x), 1.0))) for x in best]
+            again = descend(own, features, point, steps, pairs, bounds, budget)
+            if again[-1][1] < value - 1e-12:
+                log.append(("restart", *again[-1][1:]))
+        held = {r.weight_id: r.regret for r in regret_batch(other, features, weight_table(spark, [w for *_, w in log])).collect()} if train is not None else {}  # one for each improvement
+    finally:
+        every.unpersist()
+    return spark.createDataFrame([(i, kind, value, held.get(i), w) for i, (kind, value, w) in enumerate(log)], "round int, kind string, regret double, val_regret double, weights array<double>")
+
+
+def constant_features(mt: Measurements, features: list[str]) -> tuple[list[str], dict[str, bool]]:
+    """Features with one value in all rows, and for each whether it is constant inside every group."""
+    per = mt.rows.groupBy(*mt.groups).agg(*[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features])
+    row = per.agg(*[F.every(F.col(f"lo_{f}") == F.col(f"hi_{f}")).alias(f"g_{f}") for f in features], *[(F.min(f"lo_{f}") == F.max(f"hi_{f}")).alias(f"a_{f}") for f in features]).first()
+    return [f for f in features if row[f"a_{f}"]], {f: bool(row[f"g_{f}"]) for f in features}
+
+
+def transfer_cells(tables: dict[str, tuple[Measurements, list[float]]], features: list[str], fold: Column, folds: int, others: dict[str, Callable[[Measurements, int], float | None]], steps: tuple[float, ...] = (1.0, 0.3)) -> DataFrame:
+    """For each fold and pair of tables: regrets on the target's held-out groups and what differs between the two.
+
+    as_is: the source's weights fitted on its own training groups; refit: those fitted again on the target's;
+    native: the target's own weights fitted there; others: baselines on the held-out groups, by name. moved:
+    the second fit changed the weights; level_flips: features that are constant inside groups in one table
+    only; constant: features with one value on the target's held-out groups.
+    """
+    spark = next(iter(tables.values()))[0].rows.sparkSession
+    tables = {k: (mt.of(mt.rows.persist()), w) for k, (mt, w) in tables.items()}  # on disk where memory is short, computed again where an executor goes
+    out = []
+    for i in range(folds):
+        train = {k: mt.of(mt.rows.where(fold != i)) for k, (mt, _) in tables.items()}
+        held = {k: mt.of(mt.rows.where(fold == i)) for k, (mt, _) in tables.items()}
+        own = {k: descend(train[k], features, w, steps, pairs=False)[-1][2] for k, (_, w) in tables.items()}
+        kinds = {k: constant_features(held[k], features) for k in tables}
+        beside = {k: {name: f(held[k], i) for name, f in others.items()} for k in tables}
+        for src in tables:
+            for dst in tables:
+                if src == dst:
+                    continue
+                again = descend(train[dst], features, own[src], steps, pairs=False)[-1][2]
+                got = {r.weight_id: r.regret for r in regret_batch(held[dst], features, weight_table(spark, [own[src], again, own[dst]])).collect()}  # three rows
+                flips = sum(kinds[src][1][f] != kinds[dst][1][f] for f in features)
+                n = held[dst].rows.select(*held[dst].groups).distinct().count()
+                out.append((i, src, dst, n, got[0], got[1], got[2], *beside[dst].values(), again != own[src], flips, len(kinds[dst][0])))
+    for mt, _ in tables.values():
+        mt.rows.unpersist()
+    names = ", ".join(f"{n} double" for n in others)
+    return spark.createDataFrame(out, f"fold int, src string, dst string, n long, as_is double, refit double, native double, {names}, moved boolean, level_flips int, constant int")
 
 
 def rank_loss(pairs: DataFrame, score_a: Column, score_b: Column) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candrank.functions import columns as C
-from candrank.functions.features import Feature, with_features
+from candrank.functions.features import Feature, expanded, with_features
+from candrank.operators import order
 from candrank.table import Measurements
 
 
@@ -35,29 +36,8 @@ def constant_check(fm: DataFrame, names: list[str]) -> DataFrame:
 
 def quantiles(fm: DataFrame, names: list[str], at: tuple[float, ...] = (0.0, 0.01, 0.5, 0.99, 1.0)) -> DataFrame:
     """feature, q, value: exact quantiles, linear between values."""
-    row = fm.agg(*[F.percentile(n, F.array(*[F.lit(q) for q in at])).alias(f"q__{n}") for n in names])
-    return _long(row, names, {"v": "q"}).select("feature", F.posexplode("v").alias("i", "value")).select("feature", F.element_at(F.array(*[F.lit(q) for q in at]), F.col("i") + 1).alias("q"), "value")
-
-
-def places(df: DataFrame, names: list[str], key: list[str], prefix: str = "p_", parts: int = 64) -> DataFrame:
-    """df with the ordinal place of each row by each of the columns, ties by key.
-
-    One pass finds approximate quantiles of all columns and one counts the buckets between them; a place is a
-    window over the row's bucket and the bucket's offset, so that no single task sorts all.
-    """
-    at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    edges = df.agg(*[F.percentile_approx(n, at).alias(f"edges_{n}") for n in names])
-    rows = df.crossJoin(F.broadcast(edges))
-    rows = rows.select(*df.columns, *[F.size(F.filter(f"edges_{n}", lambda e: e < F.col(n))).alias(f"bucket_{n}") for n in names])
-    sizes = rows.select([f"bucket_{n}" for n in names]).unpivot([], [f"bucket_{n}" for n in names], "of", "bucket").groupBy("of", "bucket").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("of").orderBy("bucket")  # as many rows as parts for each column
-    before = sizes.select("of", "bucket", (F.sum("c").over(w) - F.col("c")).alias("before"))
-    offsets = before.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "of", "bucket"), "before"))).alias("offsets"))
-    rows = rows.crossJoin(F.broadcast(offsets))
-    for n in names:
-        inside = F.row_number().over(Window.partitionBy(f"bucket_{n}").orderBy(n, *key))
-        rows = rows.withColumn(prefix + n, inside + F.element_at("offsets", F.concat(F.lit(f"bucket_{n}|"), F.col(f"bucket_{n}").cast("string"))))
-    return rows.drop("offsets", *[f"bucket_{n}" for n in names])
+    found = order.exact_quantiles(fm, names, at)
+    return fm.sparkSession.createDataFrame([(n, q, v) for n in names for q, v in zip(at, found[n])], "feature string, q double, value double")
 
 
 def pair_correlations(fm: DataFrame, names: list[str], prefix: str = "") -> DataFrame:
@@ -69,7 +49,7 @@ def pair_correlations(fm: DataFrame, names: list[str], prefix: str = "") -> Data
 
 def spearman(fm: DataFrame, names: list[str], key: list[str]) -> DataFrame:
     """Correlation of ordinal places, ties by key."""
-    return pair_correlations(places(fm.select(*key, *names), names, key), names, "p_")
+    return pair_correlations(order.places(fm.select(*key, *names), names, key), names, "p_")
 
 
 def duplicates(fm: DataFrame, names: list[str], key: list[str], rho: float = 0.95) -> DataFrame:
@@ -104,7 +84,7 @@ def scale_check(df: DataFrame, features: list[Feature], alternative: dict[str, f
     both = with_features(both.withColumns({k: F.lit(v) for k, v in alternative.items()}), features, strict=False, prefix="alt_")
     row = both.agg(*[F.max(F.abs(F.col(f.name) - F.col(f"alt_{f.name}"))).alias(f"d__{f.name}") for f in features])
     out = _long(row, [f.name for f in features], {"change": "d"})
-    used = F.create_map(*[x for f in features for x in (F.lit(f.name), F.lit(any(k in f.sql for k in alternative)))])
+    used = F.create_map(*[x for f in features for x in (F.lit(f.name), F.lit(any(k in expanded(f.sql) for k in alternative)))])
     return out.withColumn("uses", used[F.col("feature")])
 
 
@@ -122,7 +102,8 @@ def varying(groups: DataFrame, names: list[str]) -> DataFrame:
 
 def rank_libraries(libraries: DataFrame, ident: str) -> DataFrame:
     """Place by varying and covered (more is better), largest correlation (less is better), then identity."""
-    return libraries.withColumn("place", F.row_number().over(Window.orderBy(F.desc("varying"), F.desc("covered"), "rho", ident)))
+    rows = libraries.withColumns({"__varying": -F.col("varying"), "__covered": -F.col("covered")})
+    return order.places(rows, ["__varying"], ["__covered", "rho", ident], "__p").withColumnRenamed("__p__varying", "place").select(*libraries.columns, "place")
 
 
 def separability(mt: Measurements, names: list[str], n: int = 100) -> DataFrame:

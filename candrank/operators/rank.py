@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candrank.functions.columns import floor, geomean, tolerance
+from candrank.functions.columns import best_of, floor, geomean, tolerance
+from candrank.operators.order import exact_quantiles
 from candrank.table import Measurements
 
 
@@ -42,8 +43,8 @@ def classify(mt: Measurements, rules: list[tuple[str, Column]], other: str) -> D
 
 
 def tertile_band(df: DataFrame, col: str) -> DataFrame:
-    edges = df.agg(F.percentile(col, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("e"))
-    return df.crossJoin(F.broadcast(edges)).withColumn("band", F.when(F.col(col) > F.col("e")[0], 1).otherwise(0) + F.when(F.col(col) > F.col("e")[1], 1).otherwise(0)).drop("e")
+    edges = exact_quantiles(df, [col], (1 / 3, 2 / 3))[col]
+    return df.withColumn("band", sum((F.when(F.col(col) > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0)))
 
 
 def validity(mt: Measurements, score: str, place: str) -> DataFrame:
@@ -78,8 +79,9 @@ def regret_mean_at_k(mt: Measurements, score: str, ks: tuple[int, ...]) -> DataF
 
 def hit_at_pct(mt: Measurements, score: str, pcts: tuple[int, ...]) -> DataFrame:
     """Share of groups whose first pct % by score (one at least) hold a best candidate, and an answer."""
-    w = mt.per_group()
-    rows = mt.of(mt.with_best().withColumn("n", F.count("*").over(w))).ranked(score)
+    sizes = mt.rows.groupBy(*mt.groups).agg(best_of(F.col(mt.cost)).alias("best"), F.count("*").alias("n"))
+    top = F.greatest(F.lit(1), F.ceil(F.col("n") * max(pcts) / 100))
+    rows = mt.of(mt.rows.join(sizes, list(mt.groups))).ranked(score).where(F.col("rn") <= top)
     t, good = F.col(mt.cost), F.col("best") * (1 + tolerance(F.col("best"), mt.noise))
     cols = []
     for p in pcts:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candrank.functions import columns as C
+from candrank.operators.order import values_at
 
 
 def cumulative_best(runs: DataFrame, last_round: Column | None = None) -> DataFrame:
@@ -40,9 +43,11 @@ def simulate_stop(curve: DataFrame, patiences: tuple[int, ...], threshold: float
         quiet = F.max("new").over(w.rowsBetween(-(n - 1), 0)) == 0
         moved = F.round(F.abs(F.lag("best", n).over(w) - F.col("best")), 9)
         rows = rows.withColumn(f"stop{n}", F.when((F.col("place") >= n) & quiet & (moved <= threshold), F.col("place")))
-    final = rows.groupBy("run").agg(*[F.min(f"stop{n}").alias(f"stop{n}") for n in patiences], F.min_by("best", -F.col("place")).alias("final"), F.map_from_entries(F.collect_list(F.struct("place", "best"))).alias("at"))
+    final = rows.groupBy("run").agg(*[F.min(f"stop{n}").alias(f"stop{n}") for n in patiences], F.min_by("best", -F.col("place")).alias("final"))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("patience"), F.col(f"stop{n}").alias("stop")) for n in patiences])).alias("x")
-    return final.select("run", "final", "at", each).select("run", "x.patience", "x.stop", (F.try_element_at("at", F.col("x.stop")) - F.col("final")).alias("missed"))
+    stops = final.select("run", "final", each).select("run", "final", "x.patience", "x.stop")
+    there = curve.select(F.col("run").alias("of"), F.col("place").alias("at"), F.col("best").alias("then"))
+    return stops.join(there, (F.col("run") == F.col("of")) & (F.col("stop") == F.col("at")), "left").select("run", "patience", "stop", (F.col("then") - F.col("final")).alias("missed"))
 
 
 def improvements(curve: DataFrame, threshold: float) -> DataFrame:
@@ -102,21 +107,14 @@ def elite_grid(rules: DataFrame, axes: tuple[str, ...], key: str, ident: str, to
     The cut is the key at place max(1, floor(top n)) in ascending order; an axis' edges are its values at
     places min(n-1, floor(n q / bands)) from 0. All rules are taken at once.
     """
-    n = F.count("*").over(Window.partitionBy())
-    placed = rules.withColumns({"n": n, "pk": F.row_number().over(Window.orderBy(key, ident))})
-    cut = placed.where(F.col("pk") == F.greatest(F.lit(1), F.floor(F.col("n") * top))).select(F.col(key).alias("cut"))
-    elite = rules.crossJoin(F.broadcast(cut)).where(F.col(key) <= F.col("cut")).drop("cut")
-    size = F.count("*").over(Window.partitionBy())
-    edges = []
-    ranked = elite.withColumn("n", size)
-    for a in axes:
-        ranked = ranked.withColumn(f"p_{a}", F.row_number().over(Window.orderBy(a, ident)) - 1)
-    for a in axes:
-        for q in range(1, bands):
-            edges.append(F.max(F.when(F.col(f"p_{a}") == F.least(F.col("n") - 1, F.floor(F.col("n") * q / bands)), F.col(a))).alias(f"e_{a}_{q}"))
-    cells = elite.crossJoin(F.broadcast(ranked.agg(*edges)))
+    at = max(1, math.floor(rules.where(F.col(key).isNotNull()).count() * top)) - 1
+    cut = values_at(rules, {key: [at]})[key].get(at)
+    cells = rules.where(F.col(key) <= F.lit(cut))
+    n = cells.count()
+    places = {q: min(n - 1, math.floor(n * q / bands)) for q in range(1, bands)}
+    found = values_at(cells, {a: list(places.values()) for a in axes})
     for a in axes:
-        cells = cells.withColumn(f"band_{a}", C.band(F.col(a), [F.col(f"e_{a}_{q}") for q in range(1, bands)]))
+        cells = cells.withColumn(f"band_{a}", C.band(F.col(a), [F.lit(found[a].get(p)) for p in places.values()]))
     own = [f"band_{a}" for a in axes]
     best = cells.groupBy(*own).agg(F.min(F.struct(key, ident)).alias("b"), F.count("*").alias("n"))
     lowest = best.agg(F.min("b").alias("lowest"))

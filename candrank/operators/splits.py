@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candrank.functions import columns as C
-
-
-def draw(key: list[str], *seed: object) -> Column:
-    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], *[s.cast("string") if isinstance(s, Column) else F.lit(str(s)) for s in seed]))
+from candrank.operators.order import draw, seeded_places, values_at
 
 
 def split_by_predicate(groups: DataFrame, key: list[str], held: Column, val_share: float = 1.0, seed: int = 0) -> DataFrame:
     """role: train, val or test. The held groups are val up to val_share of them in seeded order, then test."""
-    rows = groups.withColumn("held", held)
-    w = Window.partitionBy("held")
-    place = F.row_number().over(w.orderBy(draw(key, seed), *key))
-    cut = F.floor(F.count("*").over(w) * val_share + 0.5)
-    return rows.withColumn("role", F.when(~F.col("held"), "train").when(place <= cut, "val").otherwise("test")).drop("held")
+    placed = seeded_places(groups.withColumn("held", held), ["held"], key, seed)
+    cut = F.floor(F.col("part_rows") * val_share + 0.5)
+    return placed.withColumn("role", F.when(~F.col("held"), "train").when(F.col("place") < cut, "val").otherwise("test")).drop("held", "place", "part_rows")
 
 
 def check_split(split: DataFrame, key: list[str], unseal: bool = False) -> DataFrame:
@@ -39,32 +37,51 @@ def role(split: DataFrame, name: str, unseal: bool = False) -> DataFrame:
 
 def stratified_kfold(groups: DataFrame, key: list[str], stratum: str, k: int, seed: int = 0) -> DataFrame:
     """fold: each stratum in seeded order, dealt round."""
-    w = Window.partitionBy(stratum).orderBy(draw(key, seed), *key)
-    return groups.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    return seeded_places(groups, [stratum], key, seed).withColumn("fold", F.col("place") % k).drop("place", "part_rows")
 
 
-def grouped_folds(groups: DataFrame, block: list[str], k: int, in_band: Column, bound: int = 100_000) -> DataFrame:
-    """fold of each block of groups: the k largest one each, then each to the fold with the fewest groups, then out-of-band groups.
+def deal(classes: Iterable[tuple[int, int, int]], k: int) -> list[tuple[int, int, int, int, list[int]]]:
+    """Each block of classes (size, out, count) to the fold with the fewest groups, then out-of-band groups, then the first.
 
-    The deal is a fold over the array of blocks; above bound blocks they are dealt in a snake, largest first,
-    which needs no array.
+    Gives (size, out, begin, end, folds): the class's blocks from begin to end go to the folds in turn. Folds
+    that a round reaches are dealt one block each, in the same order round after round, until another fold is
+    as low: so many rounds are one step, and the work grows with the different sizes, not with the blocks.
+    """
+    load, out_of, runs = [0] * k, [0] * k, []
+    for size, out, count in classes:
+        at = 0
+        while at < count:
+            order = sorted(range(k), key=lambda i: (load[i], out_of[i], i))
+            low = load[order[0]]
+            turn = [i for i in order if load[i] < low + max(size, 1)]
+            others = [load[i] for i in order if load[i] >= low + max(size, 1)]
+            rounds = max(1, -(-(min(others) - low) // size) - 1) if others and size else -(-count // len(turn))
+            rounds = min(rounds, (count - at) // len(turn))
+            if not rounds:  # the last of the class
+                turn, rounds = turn[: count - at], 1
+            end = at + rounds * len(turn)
+            runs.append((size, out, at, end, turn))
+            for i in turn:
+                load[i] += rounds * size
+                out_of[i] += rounds * out
+            at = end
+    return runs
+
+
+def grouped_folds(groups: DataFrame, block: list[str], k: int, in_band: Column) -> DataFrame:
+    """fold of each block of groups: largest first, each to the fold with the fewest groups, then out-of-band groups, then the first.
+
+    Blocks of one size and out-of-band count are in seeded order. What the driver deals is the table of
+    different sizes, at whatever number of blocks; n^2 / 2 groups at least have n different sizes.
     """
     sizes = groups.groupBy(*block).agg(F.count("*").alias("n"), F.count_if(~in_band).alias("out"))
-    if sizes.count() > bound:
-        place = F.row_number().over(Window.orderBy(F.desc("n"), *block)) - 1
-        turn = F.floor(place / k) % 2
-        return sizes.withColumn("fold", F.when(turn == 0, place % k).otherwise(k - 1 - place % k).cast("int"))
-    rows = sizes.select(F.struct((-F.col("n")).alias("minus"), F.col("out"), *block).alias("b")).agg(F.sort_array(F.collect_list("b")).alias("blocks"))
-
-    def deal(a: Column, b: Column) -> Column:
-        at = F.array_min(F.transform(a["load"], lambda x, i: F.struct(x["n"], x["out"], i.alias("fold"))))["fold"]
-        load = F.transform(a["load"], lambda x, i: F.when(i == at, F.struct((x["n"] - b["minus"]).alias("n"), (x["out"] + b["out"]).alias("out"))).otherwise(x))
-        return F.struct(load.alias("load"), F.concat(a["folds"], F.array(at)).alias("folds"))
-
-    empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("out"))
-    start = F.struct(F.array_repeat(empty, k).alias("load"), F.array().cast("array<int>").alias("folds"))
-    dealt = rows.select(F.explode(F.arrays_zip("blocks", F.aggregate("blocks", start, deal, lambda a: a["folds"]).alias("folds"))).alias("z"))
-    return dealt.select(*[F.col(f"z.blocks.{c}").alias(c) for c in block], (-F.col("z.blocks.minus")).alias("n"), F.col("z.blocks.out").alias("out"), F.col("z.folds").alias("fold"))
+    classes = sizes.groupBy("n", "out").agg(F.count("*").alias("c")).orderBy(F.desc("n"), "out")
+    runs = deal(((r.n, r.out, r.c) for r in classes.toLocalIterator()), k)
+    dealt = groups.sparkSession.createDataFrame(runs, "__n long, __out long, __begin long, __end long, __turn array<int>")
+    placed = seeded_places(sizes, ["n", "out"], block)
+    on = (F.col("n") == F.col("__n")) & (F.col("out") == F.col("__out")) & (F.col("place") >= F.col("__begin")) & (F.col("place") < F.col("__end"))
+    fold = F.get("__turn", ((F.col("place") - F.col("__begin")) % F.size("__turn")).cast("int"))
+    return placed.join(dealt, on).select(*block, "n", "out", fold.alias("fold"))
 
 
 def fold_checks(folds: DataFrame, key: list[str], block: list[str], in_band: Column) -> DataFrame:
@@ -93,41 +110,51 @@ def sample_stratified(groups: DataFrame, key: list[str], stratum: str, n: int, s
     return groups.withColumn("place", place).join(wanted, stratum).where("place <= wanted").drop("place", "wanted")
 
 
-def sample_spread(groups: DataFrame, key: str, value: str, n: int, bound: int = 1_000_000) -> DataFrame:
+def sample_spread(groups: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """n groups whose values are nearest to the centres of n equal shares, none twice, ties to the lower value and key.
 
-    A fold over the array of targets, each a search in the array of groups; more than bound groups are refused.
+    The targets are exact quantiles. A target can lose n - 1 groups to those before it, so its n nearest are
+    enough: they lie between the values n places below and above it, and n for each target reach the driver.
     """
-    if groups.count() > bound:
-        raise ValueError(f"over {bound} groups: sample them by stratum first")
-    quantiles = F.percentile(value, F.array(*[F.lit((i + 0.5) / n) for i in range(n)]))
-    rows = groups.agg(F.sort_array(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col(key).alias("k")))).alias("all"), quantiles.alias("targets"))
-
-    def take(a: Column, target: Column) -> Column:
-        free = F.filter(F.col("all"), lambda x: ~F.array_contains(a, x))
-        near = F.array_min(F.transform(free, lambda x: F.struct(F.abs(x["v"] - target).alias("d"), x["v"].alias("v"), x["k"].alias("k"))))
-        return F.concat(a, F.array(F.struct(near["v"].alias("v"), near["k"].alias("k"))))
-
-    start = F.slice("all", 1, 0)
-    picked = rows.select(F.explode(F.aggregate("targets", start, take)).alias("x"))
-    return picked.select(F.col("x.k").alias(key), F.col("x.v").alias(value))
+    total = groups.where(F.col(value).isNotNull()).count()
+    n = min(n, total)
+    ranks, targets = {0}, []
+    for i in range(n):
+        x = (i + 0.5) / n * (total - 1)
+        targets.append((i, x, max(0, math.floor(x) - n), min(total - 1, math.ceil(x) + n)))
+        ranks |= {math.floor(x), math.ceil(x), *targets[-1][2:]}
+    found = values_at(groups, {value: sorted(ranks)})[value] if n else {}
+    rows = []
+    for i, x, lo, hi in targets:
+        share = x - math.floor(x)
+        a, b = found[math.floor(x)], found[math.ceil(x)]
+        rows.append((i, a if share == 0 else (1 - share) * a + share * b, found[lo], found[hi]))
+    spark = groups.sparkSession
+    wanted = spark.createDataFrame(rows, "i int, target double, lo double, hi double")
+    v = F.col(value).cast("double")
+    near = groups.select(F.col(key).alias("k"), v.alias("v")).join(F.broadcast(wanted), F.col("v").between(F.col("lo"), F.col("hi"))).withColumn("d", F.abs(F.col("v") - F.col("target")))
+    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("d", "v", "k"))).where(F.col("rn") <= n)
+    taken, picked = set(), []
+    for r in sorted(near.collect(), key=lambda r: (r.i, r.rn)):  # n^2 rows at most
+        if len(picked) == r.i and r.k not in taken:
+            taken.add(r.k)
+            picked.append((r.k, r.v))
+    return spark.createDataFrame(picked, f"{key} {dict(groups.dtypes)[key]}, {value} double")
 
 
 def spread_groups(groups: DataFrame, key: list[str], structure: str, n: int) -> DataFrame:
     """One of each structure at least, then further ones round by round up to n."""
-    inside = groups.withColumn("turn", F.row_number().over(Window.partitionBy(structure).orderBy(*key)))
-    place = F.row_number().over(Window.orderBy("turn", structure, *key))
-    return inside.withColumn("place", place).where((F.col("turn") == 1) | (F.col("place") <= n)).drop("place")
+    inside = groups.withColumn("turn", F.row_number().over(Window.partitionBy(structure).orderBy(*key))).where(F.col("turn") <= max(1, n))
+    return inside.where("turn = 1").unionByName(inside.orderBy("turn", structure, *key).limit(n).where("turn > 1"))
 
 
 def halve(groups: DataFrame, key: list[str], seed: object, stratum: str | None = None) -> DataFrame:
     """half: a or b, in seeded order, stratum by stratum if given; an odd one goes to a where the seeded coin of the stratum is below a half."""
-    part = [stratum] if stratum else []
-    w = Window.partitionBy(*part)
-    place, n = F.row_number().over(w.orderBy(draw(key, seed), *key)), F.count("*").over(w)
+    placed = seeded_places(groups, [stratum] if stratum else [], key, seed)
     coin = C.uniform("coin", *([F.col(stratum)] if stratum else []), seed) < 0.5
+    n = F.col("part_rows")
     cut = F.floor(n / 2) + F.when((n % 2 == 1) & coin, 1).otherwise(0)
-    return groups.withColumn("half", F.when(place <= cut, "a").otherwise("b"))
+    return placed.withColumn("half", F.when(F.col("place") < cut, "a").otherwise("b")).drop("place", "part_rows")
 
 
 def honest_selection(ev_rules: DataFrame, key: list[str], halvings: int) -> DataFrame:
@@ -136,8 +163,7 @@ def honest_selection(ev_rules: DataFrame, key: list[str], halvings: int) -> Data
     ev_rules has rule, the key and regret; a group's half is the parity of its place in the halving's order.
     """
     groups = ev_rules.select(*key).distinct().crossJoin(ev_rules.sparkSession.range(halvings).toDF("halving"))
-    w = Window.partitionBy("halving").orderBy(draw(key, F.col("halving")), *key)
-    half = groups.withColumn("half", F.when(F.row_number().over(w) % 2 == 1, "a").otherwise("b"))
+    half = seeded_places(groups, ["halving"], key, F.col("halving")).withColumn("half", F.when(F.col("place") % 2 == 0, "a").otherwise("b"))
     geo = ev_rules.join(half, key).groupBy("halving", "rule").agg(*[C.geomean(F.when(F.col("half") == h, F.col("regret"))).alias(h) for h in "ab"])
     return geo.groupBy("halving").agg(F.min_by("rule", F.struct("a", "rule")).alias("rule"), F.min("a").alias("chosen_on"), F.min_by("b", F.struct("a", "rule")).alias("read_on"), F.min("b").alias("oracle")).withColumn("loss", F.col("read_on") - F.col("oracle"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candrank.functions import columns as C
@@ -54,8 +54,8 @@ def cost_by_sample(mt: Measurements, kernel: str, counts: tuple[int, ...], draws
     group = mt.groups[0]
     groups = mt.rows.select(group).distinct().crossJoin(F.broadcast(mt.rows.sparkSession.range(draws).toDF("draw")))
     top = max(counts)
-    order = F.struct(F.md5(F.concat_ws("|", F.col(group).cast("string"), "draw")), F.col(group))
-    ranked = groups.groupBy("draw").agg(F.slice(F.array_sort(F.collect_list(order)), 1, top).alias("g")).select("draw", F.posexplode("g").alias("at", "x")).select("draw", "at", F.col(f"x.{group}").alias(group))
+    w = Window.partitionBy("draw").orderBy(F.md5(F.concat_ws("|", F.col(group).cast("string"), "draw")), group)
+    ranked = groups.withColumn("at", F.row_number().over(w) - 1).where(F.col("at") < top)  # only these pass the shuffle
     each = ranked.withColumn("n", F.explode(F.array(*[F.lit(c) for c in counts]))).where("at < n")
     rows = mt.rows.select(group, kernel, mt.cost).join(each, group)
     cost = rows.groupBy("n", "draw").agg((F.sum(mt.cost) * seconds + F.count_distinct(kernel) * build_seconds).alias("s"))

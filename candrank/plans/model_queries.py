@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from candrank.functions import columns as C
-from candrank.functions.features import HARDWARE_AWARE, PHYSICAL, with_features
+from candrank.functions.features import HARDWARE_AWARE, PHYSICAL, expanded, level_code, raster_of, with_features
 from candrank.operators import baselines as ba
-from candrank.operators import cross, fit, quality, rank
+from candrank.operators import cross, fit, quality, rank, splits
 from candrank.operators import runs as ops
 from candrank.operators import summaries as su
 from candrank.plans.core_queries import EV, PART_SQL, ST
 from candrank.plans.fixtures import BRAND_SQL, NOISE, RUNS_SQL, brand, part, part_by_status, part_sql, read, runs, stats_sql
 from candrank.plans.registry import query
-from candrank.plans.split_queries import NEAREST, PAIRS, wanted
+from candrank.plans.split_queries import NEAREST, PAIRS, parts, wanted
+from candrank.sources.shared import shared_folder
 from candrank.table import Measurements, evaluate
 
 #: lineitem as candidates of tiled products; the same expressions for Spark and the oracle
@@ -26,10 +26,10 @@ CONFIG = {
     "tile_m": "32 * pow(2, l_suppkey % 4)", "tile_n": "32 * pow(2, l_linenumber % 4)", "tile_k": "32 * pow(2, l_suppkey % 2)", "split_k": "1 + l_linenumber % 4", "split_k_mode": "CASE WHEN l_returnflag = 'R' THEN 'parallel' ELSE 'serial' END",
     "threads": "128 * pow(2, l_suppkey % 2)", "max_blocks_per_sm": "1 + l_linenumber % 3", "smem_bytes": "8192 * (1 + l_suppkey % 8)", "regs_per_thread": "64 + l_suppkey", "spill_bytes": "greatest(0, l_suppkey - 90) * 8",
     "pipeline_kind": "CASE WHEN l_suppkey % 3 = 0 THEN 'pipelined' ELSE 'multistage' END", "inst_total": "1000 + l_orderkey % 5000", "warp_m": "32", "warp_n": "32", "warp_k": "32", "stages": "2 + l_suppkey % 4",
-    "sm_count": "84", "smem_per_block": "101376", "max_threads_per_sm": "1536", "regs_per_sm": "65536", "ridge_point": "159.1e0", "l2_bytes": "6291456", "peak_tflops_f16": "116.1e0", "bandwidth_gbps": "729.7e0",
+    "sm_count": "84", "smem_per_block": "101376", "max_threads_per_sm": "1536", "regs_per_sm": "65536", "ridge_point": "159.1e0", "swizzle_n": "1 + l_linenumber % 4", "align_a": "8", "align_b": "8", "align_c": "4 + 4 * (l_suppkey % 2)", "swizzle_type": "CASE WHEN l_suppkey % 2 = 0 THEN 'identity' ELSE 'horizontal' END", "l2_bytes": "6291456", "peak_tflops_f16": "116.1e0", "bandwidth_gbps": "729.7e0",
 }
 CONFIG_SQL = "cf AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in CONFIG.items()) + " FROM lineitem)"
-PLAIN = lambda sql: sql.replace("CAST(raise_error('unknown dtype') AS INT)", "NULL")
+PLAIN = lambda sql: expanded(sql).replace("CAST(raise_error('unknown dtype') AS INT)", "NULL")
 SIX = ("log_grid_tiles", "waves", "tail_waste", "edge_waste", "smem_pressure", "log_flops")
 FEATURES = {f.name: f for f in (*PHYSICAL, *HARDWARE_AWARE)}
 
@@ -58,9 +58,22 @@ def feature_matrix(spark, sf):
     return with_features(configs(spark, sf), PHYSICAL)
 
 
-@query(*catalogue(HARDWARE_AWARE))
+# Levels of the categories, in the order of their codes.
+LEVELS = {"pipeline_kind": ("multistage", "pipelined"), "split_k_mode": ("parallel", "serial"), "swizzle_type": ("horizontal", "identity")}
+_HARDWARE = catalogue(HARDWARE_AWARE)
+_CODES = "".join(f", CASE {c} " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(levels)) + f" END AS {c}_code" for c, levels in LEVELS.items())
+
+
+@query(_HARDWARE[0] + "".join(f", {c}_code bigint" for c in LEVELS), _HARDWARE[1].replace(" FROM cf", f"{_CODES} FROM cf"))
 def hwaware_features(spark, sf):
-    return with_features(configs(spark, sf), HARDWARE_AWARE)
+    return with_features(configs(spark, sf), HARDWARE_AWARE).withColumns({f"{c}_code": level_code(c, levels) for c, levels in LEVELS.items()})
+
+
+@query("g bigint, o bigint, l bigint, raster_order string, raster_width bigint", f"WITH {CONFIG_SQL} SELECT g, o, l, CASE WHEN l = 7 THEN '' WHEN swizzle_type = 'identity' THEN 'along_m' ELSE 'along_n' END AS raster_order, CASE WHEN l = 7 THEN 0 ELSE coalesce(nullif(swizzle_n, 4), 0) END AS raster_width FROM cf")
+def raster_order(spark, sf):
+    """Launch orders; the last lines have no kind, and widths of four are left out, so that all cases occur."""
+    rows = configs(spark, sf).select("g", "o", "l", F.when(F.col("l") < 7, F.col("swizzle_type")).alias("kind"), F.nullif("swizzle_n", F.lit(4)).alias("width"))
+    return rows.select("g", "o", "l", raster_of(F.col("kind"), F.col("width")).alias("r")).select("g", "o", "l", "r.*")
 
 
 def each(names, select: str) -> str:
@@ -176,8 +189,7 @@ def _greedy_sql(k: int) -> str:
 
 
 def scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="candrank-")
-    return f"{base.rstrip('/')}/static-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/static-{uuid.uuid4().hex}"
 
 
 @query("k bigint, i1 bigint, objective double", f"WITH {_greedy_sql(1)} SELECT 1 AS k, i1, objective FROM w1")
@@ -211,25 +223,58 @@ def _held_regret(mt, rows, score):
     return mt.of(rows.withColumn(score, F.round(score, 9)))
 
 
+NUMERIC, CATEGORIES = ["f0", "f1", "i2"], {"i3": ("A", "N", "R")}
+
+
+def in_blocks(spark, sf) -> Measurements:
+    """The part table with the fold of each group's block (brand and size)."""
+    mt, p = part(spark, sf), parts(spark, sf)
+    dealt = splits.grouped_folds(p, ["stratum", "size"], 5, F.col("price") < 1500).select("stratum", "size", "fold")
+    return mt.of(mt.rows.join(p.join(dealt, ["stratum", "size"]).select("g", "fold"), "g"))
+
+
 @query("k bigint, regret double, n bigint")
 def gbdt_holdout(spark, sf):
-    mt = part(spark, sf)
-    rows, _ = ba.gbdt(mt, ["f0", "f1"], _fold() != 0, 10, 3)
+    """Trees on numbers and a category, fitted on four folds of blocks and evaluated on the fifth."""
+    mt = in_blocks(spark, sf)
+    rows, _ = ba.gbdt(mt, NUMERIC, F.col("fold") != 0, 10, 3, CATEGORIES)
     return evaluate(_held_regret(mt, rows.drop("best"), "prediction"), "prediction").groupBy("k").agg(C.geomean(F.col("regret")).alias("regret"), F.count("*").alias("n"))
 
 
+@query("feature string, importance double")
+def gbdt_importances(spark, sf):
+    _, found = ba.gbdt(in_blocks(spark, sf), NUMERIC, F.col("fold") != 0, 10, 3, CATEGORIES)
+    return spark.createDataFrame(sorted(found.items()), "feature string, importance double")
+
+
 @query("fold bigint, regret double, n bigint")
 def gbdt_kfold(spark, sf):
+    """Each fold of groups once held out."""
     mt = part(spark, sf)
     frames = []
-    for i in range(2):
-        train = _fold() % 2 != i
-        rows, _ = ba.gbdt(mt, ["f0", "f1"], train, 5, 3)
+    for i in range(5):
+        rows, _ = ba.gbdt(mt, NUMERIC, _fold() != i, 5, 3, CATEGORIES)
         frames.append(evaluate(_held_regret(mt, rows.drop("best"), "prediction"), "prediction", (1,)).agg(C.geomean(F.col("regret")).alias("regret"), F.count("*").alias("n")).withColumn("fold", F.lit(i)))
     return cross.merge_shards(frames, ["fold"])
 
 
-@query("k bigint, regret double, n bigint")
+def _ridge_sql() -> str:
+    """The normal equations of three standardised features, solved by Cramer's rule."""
+    x = ("f0", "f1", "s2")
+    fold = "('0x' || substr(md5(m.g::VARCHAR), 1, 4))::BIGINT % 5"
+    cov = ", ".join(f"covar_pop({a}, {b}) AS c{i}{j}" for i, a in enumerate((*x, "y")) for j, b in enumerate((*x, "y")) if i <= j)
+    c = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    scaled = ", ".join([f"{c(i, j)} / (sqrt({c(i, i)}) * sqrt({c(j, j)})) * n + {int(i == j)} AS a{i}{j}" for i in range(3) for j in range(3)] + [f"{c(i, 3)} / sqrt({c(i, i)}) * n AS b{i}" for i in range(3)])
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    a = [[f"a{i}{j}" for j in range(3)] for i in range(3)]
+    solved = ", ".join(f"{det([[f'b{i}' if j == k else a[i][j] for j in range(3)] for i in range(3)])} / {det(a)} / sqrt({c(k, k)}) AS w{k}" for k in range(3))
+    score = "round(-((f0 - m0) * w0 + (f1 - m1) * w1 + (s2 - m2) * w2 + m3), 9)"
+    return f"""WITH {ST}, rw AS (SELECT m.*, best, tol, best / t AS y, {fold} AS fold FROM m JOIN st ON m.g = st.g WHERE t > 0), sm AS (SELECT count(*) AS n, avg(f0) AS m0, avg(f1) AS m1, avg(s2) AS m2, avg(y) AS m3, {cov} FROM rw WHERE fold <> 0),
+      sc AS (SELECT *, {scaled} FROM sm), so AS (SELECT *, {solved} FROM sc), rk AS (SELECT g, t, best, row_number() OVER (PARTITION BY g ORDER BY {score}, i1, i2, i3) AS rn FROM rw, so WHERE fold = 0),
+      pk AS (SELECT g, k, min(t) / any_value(best) AS regret FROM rk JOIN (SELECT unnest([1, 3, 5, 10]) AS k) ON rn <= k GROUP BY g, k) SELECT k, exp(avg(ln(regret))) AS regret, count(*) AS n FROM pk GROUP BY k"""
+
+
+@query("k bigint, regret double, n bigint", _ridge_sql())
 def ridge_holdout(spark, sf):
     mt = part(spark, sf)
     rows, _ = ba.ridge(mt, ["f0", "f1", "s2"], _fold() != 0)
@@ -255,9 +300,10 @@ def weight_grid_regret(spark, sf):
     return fit.regret_batch(part(spark, sf), ["f0", "f1"], fit.weight_table(spark, VECTORS))
 
 
-@query("round bigint, regret double")
+@query("round bigint, kind string, regret double, val_regret double")
 def coordinate_fit(spark, sf):
-    return fit.coordinate_fit(part(spark, sf), ["f0", "f1"], [0.28, 0.72])
+    """Single and pair steps from two starts on the training groups; the held-out regret is read, never fitted."""
+    return fit.coordinate_fit(part(spark, sf), ["f0", "f1"], [0.28, 0.72], restarts=1, train=_fold() != 0)
 
 
 def _pairs(mt):
@@ -344,6 +390,15 @@ def transfer_matrix(spark, sf):
     return cross.merge_shards(cells, ["src", "dst"])
 
 
+@query("fold bigint, src string, dst string, n bigint, as_is double, refit double, native double, nearest double, static_top1 double, moved boolean, level_flips bigint, constant bigint")
+def transfer_cells(spark, sf):
+    """The rule of each table on the held-out groups of the other, fold by fold: as it is, fitted again there, and beside the other's own fit, the nearest match and the static choice."""
+    names = ["f0", "f1"]
+    tables = {"a": (part_by_status(spark, sf, "F"), [0.28, 0.72]), "b": (part_by_status(spark, sf, "O"), [-0.1, 0.6])}
+    look = lambda mt, n: cross.match_nearest(wanted(spark, sf), mt, ("i1", "i2"), (1.0, 4.0)).join(mt.bests(), "g").agg(C.geomean(F.col("picked") / F.col("best")).alias("v")).first().v
+    return fit.transfer_cells(tables, names, _fold() % 2, 2, {"nearest": look, "static_top1": lambda mt, n: ba.static_regret(mt, ("i1",), ba.static_topk(mt, ("i1",), 1, scratch(spark))).first().geo})
+
+
 @query("arm bigint, round bigint, best double, native double, reached bigint, recovered double", f"WITH {RUNS_SQL}, x AS (SELECT run % 4 AS arm, round, min(regret) AS regret FROM runs GROUP BY 1, 2), c AS (SELECT arm, round, min(regret) OVER (PARTITION BY arm ORDER BY round) AS best FROM x), na AS (SELECT arm, quantile_cont(regret, 0.05) AS native FROM (SELECT run % 4 AS arm, regret FROM runs) GROUP BY arm), j AS (SELECT c.*, native, first_value(best) OVER (PARTITION BY c.arm ORDER BY round) AS s FROM c JOIN na ON c.arm = na.arm) SELECT arm, round, best, native, min(round) FILTER (WHERE best <= native) OVER (PARTITION BY arm) AS reached, CASE WHEN s > native THEN (s - best) / (s - native) END AS recovered FROM j")
 def porting_curve(spark, sf):
     r = runs(spark, sf).withColumn("arm", F.col("run") % 4)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -260,8 +259,7 @@ def diagnostic_report(spark, sf):
 @query("run bigint, n bigint, value double", "SELECT user_id AS run, count(*) AS n, sum(value) AS value FROM events GROUP BY user_id")
 def read_run_logs(spark, sf):
     """The events written as one folder of JSON lines for each run, and read back with the folder's name."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="candrank-")
-    at = f"{base.rstrip('/')}/runs-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
     read(spark, sf, "events").select(F.concat(F.lit("r"), "user_id").alias("folder"), "event_type", "value").repartition("folder").write.partitionBy("folder").json(at)
     log = bundle.read_runs(spark, at, "*.json")
     return log.groupBy(F.regexp_extract("run", r"r(\d+)$", 1).cast("long").alias("run")).agg(F.count("*").alias("n"), F.sum("value").alias("value"))

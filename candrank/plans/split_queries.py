@@ -29,7 +29,15 @@ def stratified_kfold(spark, sf):
     return splits.stratified_kfold(parts(spark, sf), ["g"], "stratum", 5, 7)
 
 
-@query("stratum string, size bigint, n bigint, fold bigint")
+FOLD = "list_min(list_transform(range(0, 5), lambda j: (l[j + 1] * 1000000 + q[j + 1]) * 5 + j)) % 5"
+#: the greedy deal, block by block
+BLOCK_FOLDS = f"""{PARTS}, bs AS (SELECT stratum, size, count(*) AS n, count(*) FILTER (WHERE NOT price < 1500) AS o FROM p GROUP BY stratum, size), bo AS (SELECT *, row_number() OVER (ORDER BY n DESC, o, md5(concat_ws('|', stratum, size)), stratum, size) AS i FROM bs),
+ dl AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS l, [0, 0, 0, 0, 0]::BIGINT[] AS q, NULL::BIGINT AS fold
+   UNION ALL SELECT bo.i, list_transform(range(0, 5), lambda j: x.l[j + 1] + CASE WHEN j = x.f THEN bo.n ELSE 0 END), list_transform(range(0, 5), lambda j: x.q[j + 1] + CASE WHEN j = x.f THEN bo.o ELSE 0 END), x.f FROM (SELECT *, {FOLD} AS f FROM dl) x JOIN bo ON bo.i = x.i + 1),
+ bf AS (SELECT bo.stratum, bo.size, bo.n, dl.fold FROM bo JOIN dl ON bo.i = dl.i)"""
+
+
+@query("stratum string, size bigint, n bigint, fold bigint", f"WITH RECURSIVE {BLOCK_FOLDS} SELECT * FROM bf")
 def grouped_folds(spark, sf):
     return splits.grouped_folds(parts(spark, sf), ["stratum", "size"], 5, F.col("price") < 1500)
 
@@ -58,7 +66,16 @@ def sample_stratified(spark, sf):
     return splits.sample_stratified(parts(spark, sf), ["g"], "stratum", 60, 2)
 
 
-@query("g bigint, price double")
+def _spread_sql(n: int) -> str:
+    """The targets one after the other, each taking the nearest group that is left."""
+    out = f"{PARTS}"
+    for i in range(n):
+        gone = " UNION ALL ".join(f"SELECT g FROM k{j}" for j in range(i)) or "SELECT NULL::BIGINT WHERE false"
+        out += f", k{i} AS (SELECT g, price FROM p, (SELECT quantile_cont(price, {(i + 0.5) / n!r}) AS target FROM p) WHERE g NOT IN ({gone}) ORDER BY abs(price - target), price, g LIMIT 1)"
+    return f"WITH {out} " + " UNION ALL ".join(f"SELECT g, price FROM k{i}" for i in range(n))
+
+
+@query("g bigint, price double", _spread_sql(12))
 def sample_spread(spark, sf):
     return splits.sample_spread(parts(spark, sf), "g", "price", 12)
 
@@ -181,7 +198,12 @@ def jaccard_overlap(spark, sf):
     return cross.jaccard_pairs(sets, "block", "x")
 
 
-@query("id bigint, mean double, draws bigint")
+FLOOR_SQL = """sz AS (SELECT st.g AS id, least(count(*) FILTER (WHERE t <= best * (1 + tol)), 20) AS a, least(any_value(st.n), 20) AS b FROM m JOIN st ON m.g = st.g GROUP BY st.g),
+ dr AS (SELECT id, draw, s, i, row_number() OVER (PARTITION BY id, draw, s ORDER BY md5(concat_ws('|', s, id, draw, i)), i) AS rn, CASE s WHEN 'a' THEN a ELSE b END AS want FROM sz, (SELECT unnest(range(0, 5)) AS draw), (SELECT unnest(['a', 'b']) AS s), (SELECT unnest(range(1, 41)) AS i)),
+ tk AS (SELECT id, draw, i, bool_or(s = 'a') AS x, bool_or(s = 'b') AS y FROM dr WHERE rn <= want GROUP BY id, draw, i)"""
+
+
+@query("id bigint, mean double, draws bigint", f"WITH {ST}, {FLOOR_SQL}, j AS (SELECT id, draw, count(*) FILTER (WHERE x AND y) / count(*) AS j FROM tk GROUP BY id, draw) SELECT id, avg(j) AS mean, count(*) AS draws FROM j GROUP BY id")
 def jaccard_floor(spark, sf):
     sizes = group_stats(part(spark, sf)).select(F.col("g").alias("id"), F.least("n_answers", F.lit(20)).alias("size_a"), F.least("n", F.lit(20)).alias("size_b"))
     return cross.jaccard_floor(sizes, 40, 5)

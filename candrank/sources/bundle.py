@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candrank.sources.shared import shared_folder
 from candrank.table import Measurements
 
 
@@ -73,12 +73,25 @@ def to_long(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
     return df.unpivot(ids, values, "name", "value")
 
 
+def _state_of(df: DataFrame) -> str:
+    """Names, sizes and times of the files that a plan reads, as a hash."""
+    spark, found = df.sparkSession, []
+    for file in sorted(df.inputFiles()):
+        p = spark._jvm.org.apache.hadoop.fs.Path(file)
+        s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        found.append(f"{file}|{s.getLen()}|{s.getModificationTime()}")
+    return hashlib.md5("\n".join(found).encode()).hexdigest()
+
+
 def materialize(mt: Measurements, features: dict[str, Column], path: str | None = None) -> DataFrame:
-    """Features by key, each written under the hash of its expression; what is there already is read, not computed again."""
+    """Features by key, each written under the hash of its expression and source; what is there already is read, not computed again.
+
+    The source is the plan and the names, sizes and times of its files, so that changed files are read again.
+    """
     spark = mt.rows.sparkSession
-    base = path or f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='candrank-')}/features"
+    base = path or f"{shared_folder(spark)}/features"
     key = [*mt.groups, *mt.ids]
-    source = str(mt.rows.semanticHash())
+    source = f"{mt.rows.semanticHash()}|{_state_of(mt.rows)}"
     frames = []
     for name, column in features.items():
         at = f"{base}/{hashlib.md5(f'{source}|{name}|{column}'.encode()).hexdigest()}"

@@ -1,5 +1,9 @@
 """Iterative and fitted operators against small recomputations and planted structure."""
 
+import hashlib
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -19,19 +23,23 @@ def planted(spark):
 
 
 def greedy(rows, k):
-    groups, ids = sorted({g for g, *_ in rows}), sorted({i for _, i, *_ in rows})
-    best = {g: min(t for x, _, t, *_ in rows if x == g) for g in groups}
-    a = np.full((len(ids), len(groups)), np.nan)
+    """Ids one after the other, each the one that makes the objective of the chosen set least."""
+    costs = {}
     for g, i, t, *_ in rows:
-        v = np.log(t / best[g])
-        at = ids.index(i), groups.index(g)
-        a[at] = np.fmin(a[at], v)
-    cur, out = np.full(len(groups), np.nan), []
+        costs.setdefault(g, {}).setdefault(i, []).append(t)
+
+    def objective(chosen):
+        total = 0.0
+        for own in costs.values():
+            best = min(min(ts) for ts in own.values())
+            reached = [math.log(t / best) for i in chosen for t in own.get(i, [])]
+            total += min(reached, default=math.log(1000))
+        return round(total / len(costs), 9)
+
+    out = []
     for _ in range(k):
-        objective = np.round(np.where(np.isnan(x := np.fmin(cur, a)), np.log(1000), x).mean(1), 9)
-        i = int(objective.argmin())
-        cur = np.fmin(cur, a[i])
-        out.append((ids[i], objective[i]))
+        free = sorted({i for own in costs.values() for i in own} - {i for i, _ in out})
+        out.append(min(((i, objective([c for c, _ in out] + [i])) for i in free), key=lambda x: (x[1], x[0])))
     return out
 
 
@@ -56,30 +64,92 @@ def test_ridge_and_trees_beat_a_constant(planted):
         assert r < 0.8 * mean
 
 
-def test_places_are_ordinal(spark):
-    r = np.random.default_rng(5)
-    rows = [(i, float(x)) for i, x in enumerate(r.integers(0, 50, 500))]
-    got = quality.places(spark.createDataFrame(rows, "i long, x double"), ["x"], ["i"]).collect()
-    want = {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda t: (t[1], t[0])))}
-    assert {x.i: x.p_x for x in got} == want
+def test_trees_on_categories(spark):
+    r = np.random.default_rng(3)
+    rows = [(g, k, {"a": 1.0, "b": 3.0, "c": 2.0}[c] * (1 + 0.01 * r.random()), float(r.random()), c) for g in range(20) for k, c in enumerate(r.choice(list("abc"), 12))]
+    mt = Measurements(spark.createDataFrame(rows, "g long, k long, t double, f0 double, c string"), ("g",), ("k",), noise=Noise(0, 0, 0))
+    out, importance = baselines.gbdt(mt, ["f0"], F.col("g") < 15, 5, 2, {"c": ("a", "b", "c")})
+    assert importance["c"] > 0.9 and set(importance) == {"f0", "c"} and "__c" not in out.columns
+    low = out.groupBy("g").agg(F.min_by("c", "prediction").alias("c")).collect()
+    assert len(low) == 5 and all(x.c == "a" for x in low)
+    with pytest.raises(Exception, match="not one of its levels"):
+        baselines.gbdt(mt, ["f0"], F.col("g") < 15, 2, 2, {"c": ("a", "b")})
+
+
+def test_fit_with_pairs_restarts_and_held_groups(planted):
+    fitted = fit.coordinate_fit(planted, ["f0", "f1"], [-0.5, 0.5], steps=(1.0, 0.3), restarts=2, train=F.col("g") < 8)
+    log = fitted.orderBy("round").collect()
+    regrets = [r.regret for r in log]
+    assert log[0].kind == "start" and regrets == sorted(regrets, reverse=True) and {r.kind for r in log} <= {"start", "single", "pair", "restart"}
+    held = planted.where("g >= 8")
+    want = fit.regret_batch(held, ["f0", "f1"], fit.weight_table(held.rows.sparkSession, [r.weights for r in log])).collect()
+    assert {i: r.val_regret for i, r in enumerate(log)} == pytest.approx({r.weight_id: r.regret for r in want})
+    inside = fit.coordinate_fit(planted, ["f0", "f1"], [5.0, 5.0], steps=(1.0,), bounds=[(-1, 1), (-1, 1)]).collect()
+    assert all(abs(w) <= 1 for r in inside for w in r.weights)
+    # of two weights that must move together only a pair step helps
+    assert len(fit._pairs([1.0, 2.0, 3.0], 0.5)) == 12 and fit._singles([0.0, 2.0], 0.5) == [[-0.5, 2.0], [0.5, 2.0], [0.0, 1.0], [0.0, 3.0]]
+
+
+def test_rank_fit_finds_the_direction(planted):
+    pairs = planted.rows.alias("a").join(planted.rows.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.t") < F.col("b.t")))
+    pairs = pairs.select(*[F.col(f"{s}.{f}").alias(f"{f}_{s}") for s in "ab" for f in ("f0", "f1")], F.lit(1.0).alias("weight"))
+    w = fit.rank_fit(pairs, ["f0", "f1"])
+    assert w[0] > 0 > w[1] and 1 < w[0] / -w[1] < 4
+    loss = fit.rank_loss(pairs, w[0] * F.col("f0_a") + w[1] * F.col("f1_a"), w[0] * F.col("f0_b") + w[1] * F.col("f1_b")).first().loss
+    assert loss < math.log(2)
+
+
+def test_transfer_cells(planted):
+    other = planted.of(planted.rows.withColumn("t", F.exp(0.5 * (F.col("f1") - F.col("f0")))).withColumn("f1", F.col("f1")))
+    got = fit.transfer_cells({"a": (planted, [1.0, 0.0]), "b": (other, [0.0, 1.0])}, ["f0", "f1"], F.col("g") % 2, 2, {"none": lambda mt, n: float(n)}).collect()
+    assert {(r.fold, r.src, r.dst) for r in got} == {(f, *x) for f in (0, 1) for x in (("a", "b"), ("b", "a"))}
+    assert all(r.n == 6 and r.refit <= r.as_is + 0.2 and r.none == r.fold and r.level_flips == r.constant == 0 for r in got)
+
+
+def test_deal_is_the_greedy_deal():
+    r = random.Random(1)
+    for case in range(60):
+        k = r.choice([1, 2, 5, 7])
+        sizes = sorted({(r.choice([1, 2, 3, 10, 50, 1000]), r.choice([0, 1])) for _ in range(r.randint(1, 7))}, key=lambda x: (-x[0], x[1]))
+        classes = [(n, o, r.choice([1, 2, 9, 300])) for n, o in sizes]
+        load, want = [(0, 0, i) for i in range(k)], []
+        for n, o, c in classes:
+            for _ in range(c):
+                at = min(load)
+                load[at[2]] = (at[0] + n, at[1] + o, at[2])
+                want.append(at[2])
+        got = []
+        for n, o, begin, end, turn in splits.deal(classes, k):
+            got += [turn[i % len(turn)] for i in range(end - begin)]
+        assert got == want, (k, classes)
+    assert len(splits.deal([(10**9, 0, 1), (1, 0, 10**9)], 5)) < 20  # rounds are not dealt one by one
 
 
 def test_grouped_folds(spark):
-    r = np.random.default_rng(6)
-    sizes = r.integers(1, 20, 30)
-    groups = spark.createDataFrame([(b, i) for b, n in enumerate(sizes) for i in range(int(n))], "b long, i long")
-    got = splits.grouped_folds(groups, ["b"], 4, F.lit(True)).collect()
-    assert sorted(x.b for x in got) == list(range(30)) and sorted(x.n for x in got) == sorted(sizes.tolist())
-    load = [sum(x.n for x in got if x.fold == f) for f in range(4)]
-    assert max(load) - min(load) <= max(sizes)
-    snake = splits.grouped_folds(groups, ["b"], 4, F.lit(True), bound=0).collect()
-    assert len(snake) == 30 and {x.fold for x in snake} == {0, 1, 2, 3}
-
-
-def test_sample_spread(spark):
-    groups = spark.createDataFrame([(i, float(i)) for i in range(100)], "g long, v double")
-    got = sorted(r.g for r in splits.sample_spread(groups, "g", "v", 4).collect())
-    assert got == [12, 37, 62, 87] or all(abs(a - b) <= 1 for a, b in zip(got, [12, 37, 62, 87]))
+    rows = [(i, b) for b in range(40) for i in range(1 + b * b % 23)]
+    groups = spark.createDataFrame(rows, "i long, b long")
+    got = splits.grouped_folds(groups, ["b"], 4, F.col("i") % 2 == 0).collect()
+    assert len(got) == 40 and {r.b: r.n for r in got} == {b: 1 + b * b % 23 for b in range(40)}
+    load, want = {i: (0, 0, i) for i in range(4)}, {}
+    for b in sorted(range(40), key=lambda b: (-(1 + b * b % 23), (1 + b * b % 23) // 2, hashlib.md5(str(b).encode()).hexdigest())):
+        at = min(load.values())
+        n = 1 + b * b % 23
+        load[at[2]] = (at[0] + n, at[1] + n // 2, at[2])
+        want[b] = at[2]
+    assert {r.b: r.fold for r in got} == want
+
+
+@pytest.mark.parametrize("kind", ["even", "ties", "constant"])
+def test_sample_spread(spark, kind):
+    r = random.Random(kind)
+    values = {"even": [r.random() for _ in range(300)], "ties": [float(r.randint(0, 5)) for _ in range(300)], "constant": [1.0] * 300}[kind]
+    groups = spark.createDataFrame(list(enumerate(values)), "g long, v double")
+    taken = []
+    for i in range(9):
+        target = float(np.quantile(values, (i + 0.5) / 9))
+        taken.append(min((g for g in range(300) if g not in taken), key=lambda g: (abs(values[g] - target), values[g], g)))
+    assert sorted(x.g for x in splits.sample_spread(groups, "g", "v", 9).collect()) == sorted(taken)
+    assert splits.sample_spread(groups.limit(3), "g", "v", 9).count() == 3 and splits.sample_spread(groups.limit(0), "g", "v", 9).count() == 0
 
 
 def test_features_refuse_what_is_not_finite(spark):

@@ -10,7 +10,7 @@ from candrank.plans import QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHEAP = ("group_stats", "evaluate", "stratified", "compare", "top_k", "pair_join", "recommend_exact", "stratified_kfold", "cumulative_best", "elite_grid", "static_topk", "feature_matrix", "pearson_pairs")
+CHEAP = ("group_stats", "evaluate", "stratified", "compare", "top_k", "pair_join", "recommend_exact", "stratified_kfold", "cumulative_best", "elite_grid", "static_topk", "feature_matrix", "pearson_pairs", "grouped_folds", "sample_spread", "jaccard_floor", "ridge_holdout", "spearman_pairs", "hwaware_features", "raster_order", "observed_quantiles")
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,13 @@ def test_equals_sql(spark, oracle, name):
     assert len(got) == len(want) and all(close(a, b) for x, y in zip(got, want) for a, b in zip(x, y))
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="the given tables are not here")
+def test_every_fold_is_held_out_once(spark):
+    got = QUERIES["gbdt_kfold"](spark, DIR).collect()
+    assert sorted(r.fold for r in got) == [0, 1, 2, 3, 4] and sum(r.n for r in got) == QUERIES["group_stats"](spark, DIR).count()
+    assert all(r.regret >= 1 for r in got)
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
