@@ -1,9 +1,11 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-A token's probability is P(class | history) * P(word | class). The class factor is a softmax over hashed
-n-gram and skip features of the classes of the three tokens before; its weights are trained by full-batch
-gradient steps, each a Spark job over the corpus's context counts. The word factor is a softmax with one
-weight for each word, whose add-one estimate has a closed form.
+A token's probability is P(class | history) * P(bucket | class, history) * P(word | bucket). The first two are
+softmaxes over hashed n-gram and skip features. The class factor starts from a model on the classes of the three
+tokens before, trained by full-batch steps on the corpus's context counts. Features of the words themselves
+follow (the word before, the one before that, and both), for the class and for the bucket in it: frequent words of
+a class have buckets of their own, the others share some. They are trained by full-batch steps over all training
+tokens, each a Spark job over a written table of word numbers. Inside a bucket a word has its add-one share.
 
 Frequent words are broadcast (at most HEAD words of HEAD_BYTES bytes); all others, most of the vocabulary,
 are joined. Every training token counts.
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import repeat
 
 import numpy as np
@@ -34,6 +36,14 @@ GROUP_WORDS = 8192  # frequent words on which the groups are fitted
 ROWS = 1 << 13  # of the hashed weights
 SLICES = 32  # the context counts are kept in so many rows, by the class of the token before
 STEPS, STEP, MOMENTUM, RIDGE = 14, 0.3, 0.6, 1.0
+BUCKETS = 16  # of each class
+OWN = 12  # frequent words of a class that have a bucket each
+WORDS = 1 << 16  # frequent words that are features themselves; the others stand for their classes
+WORD_ROWS = 1 << 14  # of the hashed weights of words, each with a column for each class or bucket
+WORD_STEPS, WORD_STEP, WORD_RIDGE = 2, 0.5, 4.0
+PIECE_TOKENS = 1 << 14  # of a row of the table of word numbers
+AT_ONCE = 1 << 17  # tokens that are scored or trained on at once
+NEVER = -1e9  # logarithm of a bucket without words
 
 
 @dataclass
@@ -42,12 +52,15 @@ class Lexicon:
 
     index: dict[bytes, int] = field(default_factory=dict)
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    classes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    leaves: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # class and bucket: class * BUCKETS + bucket
     suffix: dict[bytes, int] = field(default_factory=dict)
 
     def tail_class(self, word: bytes) -> int:
         return 1 + SINGLES + GROUPS + self.suffix.get(word[-2:], 0) * TAILS // GROUPS
 
+    def tail_leaf(self, word: bytes) -> int:
+        return self.tail_class(word) * BUCKETS + word[0] % BUCKETS
+
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -91,27 +104,31 @@ def lexicon(words: list[tuple[bytes, int]]) -> Lexicon:
         votes.setdefault(w[-2:], Counter())[g] += n
     lex.suffix = {s: max(c, key=lambda g: (c[g], -g)) for s, c in votes.items()}
     group = own.tolist() + [lex.suffix.get(w[-2:], 0) for w, _ in words[len(fit) :]]
-    lex.classes = np.array([1 + i if i < SINGLES else 1 + SINGLES + g for i, g in enumerate(group)], np.int64)
+    lex.leaves = np.array([1 + i if i < SINGLES else 1 + SINGLES + g for i, g in enumerate(group)], np.int64) * BUCKETS
+    for g in range(1 + SINGLES, 1 + SINGLES + GROUPS):  # words come by frequency
+        own = np.flatnonzero(lex.leaves == g * BUCKETS)
+        place = np.arange(len(own))
+        lex.leaves[own] += np.where(place < OWN, place, OWN + place % (BUCKETS - OWN))
     return lex
 
 
-def classes_of(lex: Lexicon, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], list[int]]:
-    """For all texts in a row: each token's class (three ends first, one last), its index (-1: not frequent, -2: end, -3: before the text), each text's other words, token counts."""
+def leaves_of(lex: Lexicon, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], list[int]]:
+    """For all texts in a row: each token's leaf (three ends first, one last), its index (-1: not frequent, -2: end, -3: before the text), each text's other words, token counts."""
     get, index, tails, sizes = lex.index.get, [], [], []
     for text in texts:
         words = words_of(text)
-        at = np.empty(len(words) + 4, np.int64)
+        at = np.empty(len(words) + 4, np.int32)
         at[:3], at[-1] = -3, -2
-        at[3:-1] = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        at[3:-1] = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
         tails.append([words[i] for i in np.flatnonzero(at[3:-1] == -1).tolist()])
         index.append(at)
         sizes.append(len(words) + 1)
-    at = np.concatenate(index) if index else np.zeros(0, np.int64)
-    classes = np.zeros(len(at), np.int64)
+    at = np.concatenate(index) if index else np.zeros(0, np.int32)
+    leaves = np.zeros(len(at), np.int64)
     frequent = at >= 0
-    classes[frequent] = lex.classes[at[frequent]]
-    classes[at == -1] = [lex.tail_class(w) for tail in tails for w in tail]
-    return classes, at, tails, sizes
+    leaves[frequent] = lex.leaves[at[frequent]]
+    leaves[at == -1] = [lex.tail_leaf(w) for tail in tails for w in tail]
+    return leaves, at, tails, sizes
 
 
 def contexts_of(classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,22 +151,40 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def _context_counts(lex):
+def _numbered(lex):
+    """Rows of whole texts as word numbers and leaves, PIECE_TOKENS tokens or a little more each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lex.value
-        n = np.zeros(CLASSES**4, np.int64)
         for batch in batches:
-            classes, at, _, _ = classes_of(own, batch.column("text").to_pylist())
-            where, contexts = contexts_of(classes, at)
-            n += np.bincount(contexts * CLASSES + classes[where], minlength=CLASSES**4)
-        parts = n.reshape(SLICES, -1)
-        for i in range(SLICES):
-            if parts[i].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], ["part", "counts"])
+            leaves, at, _, sizes = leaves_of(lex.value, batch.column("text").to_pylist())
+            ends = np.cumsum(np.array(sizes, np.int64) + 3)
+            cuts = [0, *(int(ends[i]) for i in np.flatnonzero(np.diff(ends // PIECE_TOKENS, append=-1)))]
+            parts = [(at[a:b].tobytes(), leaves[a:b].astype("<u2").tobytes()) for a, b in zip(cuts, cuts[1:]) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary())], ["at", "leaves"])
 
     return run
 
 
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word numbers and leaves of each row."""
+    for at, leaves in zip(batch.column("at").to_pylist(), batch.column("leaves").to_pylist()):
+        yield np.frombuffer(at, np.int32), np.frombuffer(leaves, "<u2").astype(np.int64)
+
+
+def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the contexts with the class that follows, in SLICES parts, and as a last part those of the leaves."""
+    n, cells = np.zeros(CLASSES**4, np.int64), np.zeros(CLASSES * BUCKETS, np.int64)
+    for batch in batches:
+        for at, leaves in _read(batch):
+            classes = leaves // BUCKETS
+            where, contexts = contexts_of(classes, at)
+            n += np.bincount(contexts * CLASSES + classes[where], minlength=CLASSES**4)
+            cells += np.bincount(leaves[where], minlength=len(cells))
+    for i, part in enumerate([*n.reshape(SLICES, -1), cells]):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the same part, one after the other, as sums."""
     total: dict[int, np.ndarray] = {}
@@ -213,25 +248,173 @@ def train(spark: SparkSession, counted: DataFrame, priors: np.ndarray, steps: in
     return best, kept
 
 
-def _score(lex, weights, word_base, word_own, tail_own, base_unit: float):
+@dataclass
+class WordModel:
+    """What the factors with features of words need: weights of the classes' contexts, of words for classes and for buckets, and the leaves' shares."""
+
+    contexts: np.ndarray  # ROWS x CLASSES
+    classes: np.ndarray  # WORD_ROWS x CLASSES
+    buckets: np.ndarray  # WORD_ROWS x BUCKETS
+    shares: np.ndarray  # CLASSES x BUCKETS, logarithms
+
+    def table(self) -> np.ndarray:
+        """To be filled with the contexts that occur."""
+        return np.full((CLASSES**3, CLASSES), np.nan, np.float32)
+
+    def fill(self, table: np.ndarray, contexts: np.ndarray) -> None:
+        new = np.zeros(len(table), bool)
+        new[contexts] = True
+        new = np.flatnonzero(new & np.isnan(table[:, 0]))
+        for i in range(0, len(new), 4096):
+            table[new[i : i + 4096]] = log_softmax(self.contexts, feature_rows(new[i : i + 4096]))
+
+
+def word_rows(at: np.ndarray, leaves: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed weight rows of each token's history for its class, and for the bucket in its class: the word before, the one before that, both."""
+    classes = leaves // BUCKETS
+    symbols = np.where((at >= 0) & (at < WORDS), at, WORDS + classes).astype(np.uint64)
+    one, two = symbols[where - 1], symbols[where - 2]
+    own = classes[where].astype(np.uint64) + np.uint64(1)
+    none = np.uint64((1 << 20) - 1)
+    parts = np.stack([one << np.uint64(20) | none, none << np.uint64(20) | two, one << np.uint64(20) | two], 1)
+    mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % WORD_ROWS
+    return mix(parts + np.uint64(1)), mix(parts + (own << np.uint64(44))[:, None] + np.uint64(1))
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def class_logs(model: WordModel, table: np.ndarray, contexts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return _log_softmax(table[contexts] + model.classes[rows[:, 0]] + model.classes[rows[:, 1]] + model.classes[rows[:, 2]])
+
+
+def bucket_logs(model: WordModel, classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return _log_softmax(model.shares[classes] + model.buckets[rows[:, 0]] + model.buckets[rows[:, 1]] + model.buckets[rows[:, 2]])
+
+
+def _add(sums: np.ndarray, rows: np.ndarray, logs: np.ndarray, target: np.ndarray) -> None:
+    """Adds to sums, for each weight row, how often each output followed and, in the second half, how often the model expects it."""
+    n = logs.shape[1]
+    p = np.exp(logs).T.copy()
+    for f in range(rows.shape[1]):
+        sums[:, :n] += np.bincount(rows[:, f] * n + target, minlength=len(sums) * n).reshape(-1, n)
+        for j in range(n):
+            sums[:, n + j] += np.bincount(rows[:, f], p[j], len(sums))
+
+
+def _in_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word numbers and leaves of several rows, AT_ONCE tokens or a little more."""
+    held, n = [], 0
+    for batch in batches:
+        for row in _read(batch):
+            held.append(row)
+            n += len(row[0])
+            if n >= AT_ONCE:
+                yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                held, n = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+
+
+def _word_gradients(model):
+    """What followed and what was expected, for the words' weights over the partition's tokens, in SLICES parts, and the log likelihood."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        table, like = own.table(), 0.0
+        sums, inside = np.zeros((WORD_ROWS, 2 * CLASSES)), np.zeros((WORD_ROWS, 2 * BUCKETS))
+        for at, leaves in _in_lots(batches):
+            where, contexts = contexts_of(leaves // BUCKETS, at)
+            own.fill(table, contexts)
+            rows, inner = word_rows(at, leaves, where)
+            c, b = leaves[where] // BUCKETS, leaves[where] % BUCKETS
+            logs = class_logs(own, table, contexts, rows)
+            like += float(logs[np.arange(len(c)), c].sum())
+            _add(sums, rows, logs, c)
+            split = c > SINGLES
+            c, b, inner = c[split], b[split], inner[split]
+            logs = bucket_logs(own, c, inner)
+            like += float(logs[np.arange(len(c)), b].sum())
+            _add(inside, inner, logs, b)
+        for i, x in enumerate(np.concatenate([sums, inside], 1).reshape(SLICES, -1)):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([like if i == 0 else 0.0]), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["part", "like", "sums"])
+
+    return run
+
+
+def _summed_gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, list] = {}
+    for batch in batches:
+        for part, like, sums in zip(*(batch.column(c).to_pylist() for c in ("part", "like", "sums"))):
+            x = np.frombuffer(sums, "<f4").astype(np.float64)
+            if part in total:
+                total[part][0] += like
+                total[part][1] += x
+            else:
+                total[part] = [like, x]
+    for part, (like, x) in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([like]), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["part", "like", "sums"])
+
+
+def train_words(spark: SparkSession, ids: DataFrame, model: WordModel, steps: int = WORD_STEPS) -> tuple[WordModel, list[float]]:
+    """The model with trained weights of words (steps along the gradient over a bound of its diagonal curvature), and the log likelihood before each step.
+
+    A step that lowered it is taken back by half. Each step is one job over all training tokens; what comes to
+    the driver is the model's size.
+    """
+    likes: list[float] = []
+    move = None
+    width = CLASSES + BUCKETS
+    for _ in range(steps):
+        held = spark.sparkContext.broadcast(model)
+        out = "part int, like double, sums binary"
+        parts = ids.mapInArrow(_word_gradients(held), out).repartition(8, "part").mapInArrow(_summed_gradients, out).collect()  # SLICES rows of the model
+        held.destroy()
+        if not parts:
+            break
+        likes.append(sum(p.like for p in parts))
+        if len(likes) > 1 and likes[-1] < likes[-2]:
+            model = replace(model, classes=model.classes - move[:, :CLASSES] / 2, buckets=model.buckets - move[:, CLASSES:] / 2)
+            break
+        sums = np.zeros((SLICES, WORD_ROWS // SLICES * 2 * width))
+        for p in parts:
+            sums[p.part] = np.frombuffer(p.sums, "<f4")
+        sums = sums.reshape(WORD_ROWS, -1)
+        seen, expected = (np.concatenate([sums[:, i * CLASSES : (i + 1) * CLASSES], sums[:, 2 * CLASSES + i * BUCKETS : 2 * CLASSES + (i + 1) * BUCKETS]], 1) for i in (0, 1))
+        n = np.concatenate([np.repeat(seen[:, :CLASSES].sum(1, keepdims=True), CLASSES, 1), np.repeat(seen[:, CLASSES:].sum(1, keepdims=True), BUCKETS, 1)], 1)
+        g, h = seen - expected, expected * (1 - expected / np.maximum(n, 1))  # no less than the sum of p (1 - p)
+        now = np.concatenate([model.classes, model.buckets], 1).astype(np.float64)
+        move = np.clip(WORD_STEP * (g - WORD_RIDGE * now) / (h + WORD_RIDGE), -2, 2).astype(np.float32)
+        model = replace(model, classes=model.classes + move[:, :CLASSES], buckets=model.buckets + move[:, CLASSES:])
+    return model, likes
+
+
+def _score(lex, model, word_base, word_own, tail_own, base_unit: float):
     """For each text a first row with what its frequent tokens sum to, then a row for each other word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w = lex.value, weights.value
-        table = np.full((CLASSES**3, CLASSES), np.nan, np.float32)  # filled for the contexts that occur
+        own, m = lex.value, model.value
+        table = m.table()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             if not texts:
                 continue
-            classes, at, tails, sizes = classes_of(own, texts)
-            where, contexts = contexts_of(classes, at)
-            new = np.zeros(len(table), bool)
-            new[contexts] = True
-            new = np.flatnonzero(new & np.isnan(table[:, 0]))
-            for i in range(0, len(new), 4096):
-                table[new[i : i + 4096]] = log_softmax(w, feature_rows(new[i : i + 4096]))
-            target, index = classes[where], at[where]
-            score = table[contexts, target].astype(np.float64) / np.log(10)
+            leaves, at, tails, sizes = leaves_of(own, texts)
+            where, contexts = contexts_of(leaves // BUCKETS, at)
+            m.fill(table, contexts)
+            target, index = leaves[where], at[where]
+            rows, inner = word_rows(at, leaves, where)
+            score = np.zeros(len(where))
+            for i in range(0, len(where), AT_ONCE):
+                part = slice(i, i + AT_ONCE)
+                c, b = target[part] // BUCKETS, target[part] % BUCKETS
+                score[part] = class_logs(m, table, contexts[part], rows[part])[np.arange(len(c)), c]
+                split = np.flatnonzero(c > SINGLES)
+                score[i + split] += bucket_logs(m, c[split], inner[part][split])[np.arange(len(split)), b[split]] if len(split) else 0
+            score /= np.log(10)
             frequent, tail = index >= 0, index == -1
             score[frequent] += word_own.value[index[frequent]]
             score[tail] += tail_own[target[tail]]
@@ -258,25 +441,32 @@ def _score(lex, weights, word_base, word_own, tail_own, base_unit: float):
 
 
 def _tail_sizes(lex):
-    """Distinct words that are not frequent, by class."""
+    """Distinct words that are not frequent, by leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = lex.value, np.zeros(CLASSES, np.int64)
+        own, n = lex.value, np.zeros(CLASSES * BUCKETS, np.int64)
         for batch in batches:
             for w in batch.column("word").to_pylist():
                 if w not in own.index:
-                    n[own.tail_class(w)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(n)], ["c", "n"])
+                    n[own.tail_leaf(w)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n)], ["c", "n"])
 
     return run
 
 
+def leaf_shares(by_leaf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Logarithm of each bucket's share in its class; a bucket without words has none, a class without words has even ones."""
+    n = np.where(sizes > 0, by_leaf + 1, 0).reshape(CLASSES, BUCKETS)
+    n[n.sum(1) == 0] = 1
+    return np.where(n > 0, np.log(np.maximum(n, 1) / n.sum(1, keepdims=True)), NEVER).astype(np.float32)
+
+
 def score_documents(docs: DataFrame, head: int = HEAD, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text, ...).
 
     Documents whose crc32(doc_id as text) mod 7 is not 2 train the model; those with a null id train it too.
     Null text is empty: the end token alone. Words that no training document has count as one unseen word in
-    the base score and as one of each class of infrequent words in the model's, so that both are proper
+    the base score and as one of each bucket of infrequent words in the model's, so that both are proper
     distributions. Repeated rows keep a row each; further columns are left out; an empty table gives no rows;
     without training documents every class is as likely.
     """
@@ -290,28 +480,32 @@ def score_documents(docs: DataFrame, head: int = HEAD, steps: int = STEPS) -> Da
     top = vocabulary.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head)
     lex = lexicon([(bytes(r.word), r.n) for r in top.toLocalIterator()])
     shared = spark.sparkContext.broadcast(lex)
-    pieces = training.mapInArrow(_context_counts(shared), "part int, counts binary")
-    counted = scratch.keep(pieces.repartition(8, "part").mapInArrow(_summed, "part int, counts binary"), "contexts")
-
-    by_class = np.zeros(CLASSES)  # from at most SLICES rows
-    for r in counted.toLocalIterator():
-        by_class += np.frombuffer(r.counts, np.int64).reshape(-1, CLASSES).sum(0)
+    ids = scratch.keep(training.mapInArrow(_numbered(shared), "at binary, leaves binary"), "ids")
+    counted = ids.mapInArrow(_context_counts, "part int, counts binary")
+    counted = scratch.keep(counted.repartition(8, "part").mapInArrow(_summed, "part int, counts binary"), "contexts")
+
+    by_leaf = np.zeros(CLASSES * BUCKETS)
+    for r in counted.where(F.col("part") == SLICES).collect():  # one row
+        by_leaf += np.frombuffer(r.counts, np.int64)
+    by_class = by_leaf.reshape(CLASSES, BUCKETS).sum(1)
     n_docs, n_train = int(by_class[0]), int(by_class.sum())
     distinct = vocabulary.count() + (n_docs > 0)
-    sizes = np.zeros(CLASSES)
-    for r in vocabulary.select("word").mapInArrow(_tail_sizes(shared), "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():  # one row for each class
+    sizes = np.zeros(CLASSES * BUCKETS)
+    for r in vocabulary.select("word").mapInArrow(_tail_sizes(shared), "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():  # one row for each leaf
         sizes[r.c] = r.n
-    sizes[1 + SINGLES + GROUPS :] += 1  # the unseen word
-    sizes += np.bincount(lex.classes, minlength=CLASSES)
-    weights, _ = train(spark, counted, (by_class + 1) / (n_train + CLASSES), steps)
+    sizes[(1 + SINGLES + GROUPS) * BUCKETS :] += 1  # the unseen word
+    sizes += np.bincount(lex.leaves, minlength=len(sizes))
+    weights, _ = train(spark, counted.where(F.col("part") < SLICES), (by_class + 1) / (n_train + CLASSES), steps)
+    model = WordModel(weights.astype(np.float32), np.zeros((WORD_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, BUCKETS), np.float32), leaf_shares(by_leaf, sizes))
+    model, _ = train_words(spark, ids, model, min(steps, WORD_STEPS))
 
     unit = float(np.log10(n_train + distinct + 1))
-    total = np.log10(np.maximum(1, by_class + sizes))
+    total = np.log10(np.maximum(1, by_leaf + sizes))
     word_base = np.append(np.log10(lex.counts + 1) - unit, [float(n_docs), np.log10(n_docs + 1) - unit])
-    word_own = np.log10(lex.counts + 1) - total[lex.classes] if len(lex.counts) else np.zeros(0)
+    word_own = np.log10(lex.counts + 1) - total[lex.leaves] if len(lex.counts) else np.zeros(0)
     word_own[: min(SINGLES, len(word_own))] = 0  # alone in their classes
     put = spark.sparkContext.broadcast
-    parts = read.mapInArrow(_score(shared, put(weights.astype(np.float32)), put(word_base), put(word_own), -total, unit), "row long, word binary, tf long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double")
+    parts = read.mapInArrow(_score(shared, put(model), put(word_base), put(word_own), -total, unit), "row long, word binary, tf long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double")
     joined = parts.join(vocabulary, "word", "left")
     found = F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0))
     gain = F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)))

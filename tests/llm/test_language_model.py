@@ -67,7 +67,24 @@ def test_model_is_a_distribution():
     lex = lm.lexicon([(b"w%d" % i, 100 - i) for i in range(50)])
     w = np.random.default_rng(1).standard_normal((lm.ROWS, lm.CLASSES))
     assert np.allclose(np.exp(lm.log_softmax(w, lm.feature_rows(np.arange(500)))).sum(1), 1)
-    assert lex.classes.min() >= 1 and lex.classes.max() < 1 + lm.SINGLES + lm.GROUPS
+    classes = lex.leaves // lm.BUCKETS
+    assert classes.min() >= 1 and classes.max() < 1 + lm.SINGLES + lm.GROUPS
+    r = np.random.default_rng(2)
+    sizes = np.bincount(lex.leaves, minlength=lm.CLASSES * lm.BUCKETS)
+    sizes[(1 + lm.SINGLES + lm.GROUPS) * lm.BUCKETS :] += 1
+    model = lm.WordModel(w, r.standard_normal((lm.WORD_ROWS, lm.CLASSES)), r.standard_normal((lm.WORD_ROWS, lm.BUCKETS)), lm.leaf_shares(np.zeros(len(sizes)), sizes))
+    leaves, at, _, n = lm.leaves_of(lex, ["w1 w2 w3 strange w40 w1", "", "W2 é w5"])
+    where, contexts = lm.contexts_of(leaves // lm.BUCKETS, at)
+    assert len(where) == sum(n) == 12
+    table = model.table()
+    model.fill(table, contexts)
+    rows, inner = lm.word_rows(at, leaves, where)
+    assert np.allclose(np.exp(lm.class_logs(model, table, contexts, rows)).sum(1), 1, atol=1e-5)
+    for c in range(1 + lm.SINGLES, lm.CLASSES):
+        p = np.exp(lm.bucket_logs(model, np.full(12, c), inner))
+        assert np.allclose(p.sum(1), 1, atol=1e-5)
+        used = sizes.reshape(-1, lm.BUCKETS)[c] > 0
+        assert not used.any() or p[:, ~used].max(initial=0) < 1e-9
 
 
 def test_likelihood_grows(spark):
@@ -77,3 +94,39 @@ def test_likelihood_grows(spark):
     table = spark.createDataFrame([(i, n[i].tobytes()) for i in range(lm.SLICES) if n[i].any()], "part int, counts binary")
     _, likes = lm.train(spark, table, np.full(lm.CLASSES, 1 / lm.CLASSES))
     assert len(likes) > 5 and all(b >= a for a, b in zip(likes, likes[1:])) and likes[-1] > 0.8 * likes[0]
+
+
+def test_words_before_tell_the_word(spark):
+    """Each word follows from the word before it, inside one class: only features of words can know."""
+    r = np.random.default_rng(7)
+    vocab = ["x%02dy" % i for i in range(60)]
+    texts = []
+    for d in range(300):
+        at, words = int(r.integers(60)), []
+        for _ in range(60):
+            words.append(vocab[at])
+            at = (at * 7 + 3) % 60 if r.random() < 0.9 else int(r.integers(60))
+        texts.append((d, " ".join(words), "en", "s", 0))
+    docs = spark.createDataFrame(texts, DOCS)
+    gains = {}
+    for steps in (0, 2):
+        lm_steps = lm.WORD_STEPS
+        try:
+            lm.WORD_STEPS = steps
+            out = [x for x in lm.score_documents(docs).collect() if x.held_out]
+        finally:
+            lm.WORD_STEPS = lm_steps
+        gains[steps] = sum(x.score for x in out) / sum(x.n_tokens for x in out)
+    assert gains[2] > gains[0] + 0.15, gains
+
+
+def test_likelihood_of_words_grows(spark):
+    lex = lm.lexicon([(b"w%d" % i, 100 - i) for i in range(50)])
+    r = np.random.default_rng(1)
+    texts = spark.createDataFrame([(" ".join(f"w{(j * 3 + i) % 50}" for j in range(40)) + f" t{r.integers(9)}",) for i in range(50)], "text string")
+    ids = texts.mapInArrow(lm._numbered(spark.sparkContext.broadcast(lex)), "at binary, leaves binary").cache()
+    sizes = np.bincount(lex.leaves, minlength=lm.CLASSES * lm.BUCKETS)
+    sizes[(1 + lm.SINGLES + lm.GROUPS) * lm.BUCKETS :] += 1
+    model = lm.WordModel(np.zeros((lm.ROWS, lm.CLASSES), np.float32), np.zeros((lm.WORD_ROWS, lm.CLASSES), np.float32), np.zeros((lm.WORD_ROWS, lm.BUCKETS), np.float32), lm.leaf_shares(np.zeros(len(sizes)), sizes))
+    _, likes = lm.train_words(spark, ids, model, 5)
+    assert likes[1] > 0.5 * likes[0] and all(b > a for a, b in zip(likes, likes[1:-1]))  # a last step that lowers it ends the steps
