@@ -11,6 +11,7 @@ from candrank.sources.shared import shared_folder
 
 # Fixed value: rows in one Arrow batch handed to Python; long texts make larger batches costly.
 BATCH_ROWS = "1000"
+LONG_HEAD, LONG_BYTES = 4096, 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def frequent(counts: DataFrame, word: str, head: int, head_bytes: int) -> DataFrame:
+    """The head most frequent words of counts(word, n, ...) that have head_bytes bytes at most, and the LONG_HEAD most frequent of up to LONG_BYTES.
+
+    What they weigh is bounded by head * head_bytes + LONG_HEAD * LONG_BYTES bytes; a long word in very many texts is among them.
+    """
+    size = F.octet_length(word)
+    most = lambda df, n: df.orderBy(F.desc("n"), word).limit(n)
+    return most(counts.where(size <= head_bytes), head).unionByName(most(counts.where((size > head_bytes) & (size <= LONG_BYTES)), min(head, LONG_HEAD)))
+
+
 def sized(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
     """keys (a written table of one or two longs a row) as a broadcast side of a join up to most rows, 16 MB; beyond that Spark shuffles."""
     return F.broadcast(keys) if keys.count() <= most else keys

@@ -7,7 +7,7 @@ follow (the word before, the one before that, and both), for the class and for t
 a class have buckets of their own, the others share some. They are trained by full-batch steps over all training
 tokens, each a Spark job over a written table of word numbers. Inside a bucket a word has its add-one share.
 
-Frequent words are broadcast (at most HEAD words of HEAD_BYTES bytes); all others, most of the vocabulary,
+Frequent words are broadcast (at most HEAD words of HEAD_BYTES bytes, and a bounded number of longer ones); all others, most of the vocabulary,
 are joined. Every training token counts.
 """
 
@@ -477,8 +477,8 @@ def score_documents(docs: DataFrame, head: int = HEAD, steps: int = STEPS) -> Da
     read = common.numbered(docs).withColumn("held_out", held)
     training = read.where(~F.col("held_out")).select("text")
     vocabulary = scratch.keep(training.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    top = vocabulary.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head)
-    lex = lexicon([(bytes(r.word), r.n) for r in top.toLocalIterator()])
+    top = [(bytes(r.word), r.n) for r in common.frequent(vocabulary, "word", head, HEAD_BYTES).toLocalIterator()]
+    lex = lexicon(sorted(top, key=lambda x: (-x[1], x[0])))
     shared = spark.sparkContext.broadcast(lex)
     ids = scratch.keep(training.mapInArrow(_numbered(shared), "at binary, leaves binary"), "ids")
     counted = ids.mapInArrow(_context_counts, "part int, counts binary")

@@ -13,7 +13,7 @@ from candrank.llm import common
 from candrank.llm.tokens import default_path, encoder
 
 HEAD_PIECES = 1 << 18  # pre-tokens that are broadcast with their counts, the most frequent ones
-HEAD_BYTES = 32  # longer pre-tokens are never broadcast: the broadcast stays under HEAD_PIECES * HEAD_BYTES bytes
+HEAD_BYTES = 32  # of longer pre-tokens only the common.LONG_HEAD most frequent are broadcast
 FLUSH = 300_000  # distinct pre-tokens that a task holds before it sends them on
 
 
@@ -81,7 +81,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, he
 
     Null text counts as empty: 0 bytes and 0 tokens. Repeated rows and null ids keep a row each; further
     columns are left out. An empty table gives no rows. The head_pieces most frequent pre-tokens of at most
-    HEAD_BYTES bytes are broadcast; all others are joined, so no pre-token is left uncounted.
+    HEAD_BYTES bytes, and a bounded number of longer ones, are broadcast; all others are joined, so no pre-token is left uncounted.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -90,7 +90,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, he
     read = common.numbered(docs)
     found = read.select("text").mapInArrow(_distinct(path), "piece string, n long")
     distinct = scratch.keep(found.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(_measured(path), "piece string, n long, k int"), "pieces")
-    head = distinct.where(F.octet_length("piece") <= HEAD_BYTES).orderBy(F.desc("n"), "piece").limit(head_pieces).select("piece", "k")
+    head = common.frequent(distinct, "piece", head_pieces, HEAD_BYTES).select("piece", "k")
     known = spark.sparkContext.broadcast({r.piece: r.k for r in head.toLocalIterator()})
     parts = read.mapInArrow(_per_document(path, known), "row long, piece string, tf long, doc_id long, n_bytes long, head long")
     joined = parts.join(distinct.select("piece", "k"), "piece", "left")
