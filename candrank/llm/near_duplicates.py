@@ -31,7 +31,7 @@ SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND = 16, 4  # masks of the signature, and components in each: any pair that differs in under 16 of 64 collides
 ROUNDS = 2  # the masks are taken in so many rounds; a later one checks only pairs that earlier links do not join
-PAIRED = 100  # distinct texts of a bucket that are compared pair by pair; larger ones against their first texts, then what is left in blocks
+PAIRED = 16  # distinct texts of a bucket that are compared pair by pair; larger ones against their first texts, then what is left in blocks
 BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20  # of a block
 ESTIMATE_SLACK = 0.25  # a pair's estimate from 64 components has a deviation of 0.05; pairs this far below are not checked, at 0.8 a few of a million
 

@@ -1,9 +1,13 @@
 import itertools
 import math
+import os
 import random
+from collections import Counter
 
+import pytest
 import xxhash
 
+from candrank.llm import near_duplicates as nd
 from candrank.llm.graph import components
 from candrank.llm.near_duplicates import masks, shingles, simhash_groups, similar_groups, words_of
 from candrank.llm.common import Scratch
@@ -137,3 +141,35 @@ def test_estimate_loses_less_than_the_masks():
     n, p = nd.BANDS * nd.BAND, nd.SIMILARITY
     dropped = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n) if i / n < p - nd.ESTIMATE_SLACK)
     assert dropped < 0.05 * (1 - p**nd.BAND) ** nd.BANDS
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are not here")
+def test_recall_on_the_given_documents(spark):
+    """Every pair of the given documents at the similarity or above, found by comparing all that share a shingle, is in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: nd.words_of(r.text or "") for r in docs.select("doc_id", "text").collect()}
+    grams = {d: set(nd.shingles(w, nd.SIMILAR_SHINGLE)) for d, w in rows.items()}
+    holders = {}
+    for d, g in grams.items():
+        for x in g:
+            holders.setdefault(x, []).append(d)
+    shared = Counter((a, b) for ds in holders.values() for i, a in enumerate(ds) for b in ds[i + 1 :])
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= nd.SIMILARITY * (len(grams[a]) + len(grams[b]) - n)]
+    group = {r.doc_id: r.group_doc for r in nd.similar_groups(docs).select("doc_id", "group_doc").collect()}
+    found = sum(group[a] == group[b] for a, b in pairs)
+    print(f"pairs {len(pairs)}, in one group {found}")
+    assert pairs and found == len(pairs)
+    # and no group without links: what the pairs reach is the groups
+    root = {d: d for d in group}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    empty = [d for d, g in grams.items() if not g]
+    for a, b in zip(empty, empty[1:]):
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    assert len({top(d) for d in group}) == len(set(group.values()))
