@@ -149,12 +149,16 @@ def parts_of(features: Iterable[Feature]) -> list[list[str]]:
 def with_features(df: DataFrame, features: Iterable[Feature], strict: bool = True, prefix: str = "") -> DataFrame:
     """df with the features: shared parts first, then the features, then one check; with strict a value that is not finite is an error when it is read."""
     features, own = list(features), df.columns
-    for level in parts_of(features):
+    levels = parts_of(features)
+    for level in levels:
         df = df.select("*", *[F.expr(PARTS[n]).alias(n) for n in level])
     names = [prefix + f.name for f in features]
-    df = df.select(*own, *[F.expr(f.sql).cast("double").alias(n) for f, n in zip(features, names)])
+    columns = [F.expr(f.sql).cast("double").alias(n) for f, n in zip(features, names)]
     if not strict:
-        return df
-    x = F.col
-    checked = [F.when(x(n).isNull() | F.isnan(n) | (F.abs(n) == float("inf")), F.raise_error(F.lit(f"{n} is not finite")).cast("double")).otherwise(x(n)).alias(n) for n in names]
-    return df.select(*own, *checked)
+        return df.select(*own, *columns)
+    # nothing but a finite number gives 0 times 0. A projection with a function of an array is compiled in small
+    # methods, where one of many plain expressions is a method that is too long for the JVM to optimise
+    finite = lambda cols: F.forall(F.array(F.lit(0.0), *[F.col(c).cast("double") for c in cols]), lambda x: x * 0 == 0)
+    df = df.select(*own, finite([n for level in levels for n in level]).alias("__parts"), *columns)
+    df = df.select(*own, *names, (F.col("__parts") & finite(names)).alias("__whole"))
+    return df.select(*own, *[F.when(F.col("__whole"), F.col(n)).otherwise(F.raise_error(F.lit(f"{n} or what is computed beside it is not finite")).cast("double")).alias(n) for n in names])
