@@ -3,7 +3,7 @@
 A token's probability is P(class | history) * P(bucket | class, history) * P(word | bucket). The first two are
 softmaxes over hashed n-gram and skip features. The class factor starts from a model on the classes of the three
 tokens before, trained by full-batch steps on the corpus's context counts. Features of the words themselves
-follow (the word before, the one before that, and both), for the class and for the bucket in it: frequent words of
+follow (the word before and, skipping it, the one before that), for the class and for the bucket in it: frequent words of
 a class have buckets of their own, the others share some. They are trained by full-batch steps over all training
 tokens, each a Spark job over a written table of word numbers. Inside a bucket a word has its add-one share.
 
@@ -40,9 +40,10 @@ BUCKETS = 16  # of each class
 OWN = 12  # frequent words of a class that have a bucket each
 WORDS = 1 << 16  # frequent words that are features themselves; the others stand for their classes
 WORD_ROWS = 1 << 14  # of the hashed weights of words, each with a column for each class or bucket
-WORD_STEPS, WORD_STEP, WORD_RIDGE = 2, 0.5, 4.0
+WORD_STEPS, WORD_STEP, WORD_RIDGE = 1, 0.8, 4.0
 PIECE_TOKENS = 1 << 14  # of a row of the table of word numbers
-AT_ONCE = 1 << 17  # tokens that are scored or trained on at once
+AT_ONCE = 1 << 16  # tokens that are trained on at once
+LOT = 1 << 12  # tokens of which all outputs are held at once; more do not fit the processor's cache
 NEVER = -1e9  # logarithm of a bucket without words
 
 
@@ -270,13 +271,13 @@ class WordModel:
 
 
 def word_rows(at: np.ndarray, leaves: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed weight rows of each token's history for its class, and for the bucket in its class: the word before, the one before that, both."""
+    """The hashed weight rows of each token's history for its class, and for the bucket in its class: the word before, and the one before that."""
     classes = leaves // BUCKETS
     symbols = np.where((at >= 0) & (at < WORDS), at, WORDS + classes).astype(np.uint64)
     one, two = symbols[where - 1], symbols[where - 2]
     own = classes[where].astype(np.uint64) + np.uint64(1)
     none = np.uint64((1 << 20) - 1)
-    parts = np.stack([one << np.uint64(20) | none, none << np.uint64(20) | two, one << np.uint64(20) | two], 1)
+    parts = np.stack([one << np.uint64(20) | none, none << np.uint64(20) | two], 1)
     mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % WORD_ROWS
     return mix(parts + np.uint64(1)), mix(parts + (own << np.uint64(44))[:, None] + np.uint64(1))
 
@@ -287,21 +288,29 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 
 
 def class_logs(model: WordModel, table: np.ndarray, contexts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return _log_softmax(table[contexts] + model.classes[rows[:, 0]] + model.classes[rows[:, 1]] + model.classes[rows[:, 2]])
+    return _log_softmax(table[contexts] + model.classes[rows[:, 0]] + model.classes[rows[:, 1]])
 
 
 def bucket_logs(model: WordModel, classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return _log_softmax(model.shares[classes] + model.buckets[rows[:, 0]] + model.buckets[rows[:, 1]] + model.buckets[rows[:, 2]])
+    return _log_softmax(model.shares[classes] + model.buckets[rows[:, 0]] + model.buckets[rows[:, 1]])
 
 
-def _add(sums: np.ndarray, rows: np.ndarray, logs: np.ndarray, target: np.ndarray) -> None:
-    """Adds to sums, for each weight row, how often each output followed and, in the second half, how often the model expects it."""
-    n = logs.shape[1]
-    p = np.exp(logs).T.copy()
+def _add(sums: np.ndarray, rows: np.ndarray, logs, target: np.ndarray) -> float:
+    """Adds to sums, for each weight row, how often each output followed and, in the second half, how often the model expects it; the log likelihood.
+
+    logs gives the outputs' logarithms of a slice of the tokens.
+    """
+    n, like = sums.shape[1] // 2, 0.0
+    p = np.empty((n, len(target)))
+    for i in range(0, len(target), LOT):
+        x = logs(slice(i, i + LOT))
+        like += float(x[np.arange(len(x)), target[i : i + LOT]].sum())
+        p[:, i : i + LOT] = np.exp(x).T
     for f in range(rows.shape[1]):
         sums[:, :n] += np.bincount(rows[:, f] * n + target, minlength=len(sums) * n).reshape(-1, n)
         for j in range(n):
             sums[:, n + j] += np.bincount(rows[:, f], p[j], len(sums))
+    return like
 
 
 def _in_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -330,14 +339,10 @@ def _word_gradients(model):
             own.fill(table, contexts)
             rows, inner = word_rows(at, leaves, where)
             c, b = leaves[where] // BUCKETS, leaves[where] % BUCKETS
-            logs = class_logs(own, table, contexts, rows)
-            like += float(logs[np.arange(len(c)), c].sum())
-            _add(sums, rows, logs, c)
+            like += _add(sums, rows, lambda x: class_logs(own, table, contexts[x], rows[x]), c)  # noqa: B023
             split = c > SINGLES
             c, b, inner = c[split], b[split], inner[split]
-            logs = bucket_logs(own, c, inner)
-            like += float(logs[np.arange(len(c)), b].sum())
-            _add(inside, inner, logs, b)
+            like += _add(inside, inner, lambda x: bucket_logs(own, c[x], inner[x]), b)  # noqa: B023
         for i, x in enumerate(np.concatenate([sums, inside], 1).reshape(SLICES, -1)):
             if x.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([like if i == 0 else 0.0]), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["part", "like", "sums"])
@@ -408,8 +413,8 @@ def _score(lex, model, word_base, word_own, tail_own, base_unit: float):
             target, index = leaves[where], at[where]
             rows, inner = word_rows(at, leaves, where)
             score = np.zeros(len(where))
-            for i in range(0, len(where), AT_ONCE):
-                part = slice(i, i + AT_ONCE)
+            for i in range(0, len(where), LOT):
+                part = slice(i, i + LOT)
                 c, b = target[part] // BUCKETS, target[part] % BUCKETS
                 score[part] = class_logs(m, table, contexts[part], rows[part])[np.arange(len(c)), c]
                 split = np.flatnonzero(c > SINGLES)
