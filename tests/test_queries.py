@@ -45,6 +45,13 @@ def test_every_fold_is_held_out_once(spark):
     assert all(r.regret >= 1 for r in got)
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="the given tables are not here")
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHEAP)))
+def test_every_plan_is_built(spark, name):
+    query = QUERIES[name]
+    assert tuple(query(spark, DIR).dtypes) == query.columns
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
