@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from candrank.llm.audit import OP13_SQL, op13_filter_audit
 from candrank.llm.chat import op4_chat
 from candrank.llm.decontamination import op8_decontamination
 from candrank.llm.language_model import op2_language_model
@@ -13,5 +14,5 @@ from candrank.llm.token_counts import op10_token_counts
 from candrank.llm.token_files import op9_token_files
 from candrank.llm.url_filter import op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_language_model, op3_packing, op4_chat, op5_simhash, op6_quality, op7_url_filter, op8_decontamination, op9_token_files, op10_token_counts)}
-ORACLES: dict[str, str] = {"op6_quality": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_language_model, op3_packing, op4_chat, op5_simhash, op6_quality, op7_url_filter, op8_decontamination, op9_token_files, op10_token_counts, op13_filter_audit)}
+ORACLES: dict[str, str] = {"op6_quality": OP6_SQL, "op13_filter_audit": OP13_SQL}
