@@ -12,6 +12,7 @@ from candrank.sources.shared import shared_folder
 # Fixed value: rows in one Arrow batch handed to Python; long texts make larger batches costly.
 BATCH_ROWS = "1000"
 LONG_HEAD, LONG_BYTES = 4096, 1024
+HOT = 10_000  # rows of a key that are too many for one task of a join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,17 @@ def sized(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+def joined_apart(rows: DataFrame, of: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """rows joined with of(key, m, ...), where m is how many rows have the key; m is left out.
+
+    Keys of over hot rows, of which there is one in hot rows at most, are broadcast, so that their rows stay
+    where they are; all others are joined by a shuffle. Both tables are read twice.
+    """
+    many = of.where(F.col("m") > hot).drop("m")
+    few = of.where(F.col("m") <= hot).drop("m")
+    return rows.join(sized(many), key).unionByName(rows.join(sized(many.select(key)), key, "left_anti").join(few, key))
+
+
 def by_key(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     """docs joined with marks on doc_id (null equals null) and __key, a hash of the text.
 
