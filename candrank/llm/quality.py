@@ -26,8 +26,8 @@ def words(text: Column) -> Column:
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, digits as 0, white space as single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), SPACE, " "))
+    """Lower case, white space as single spaces. Digits stay: rows of a table that differ in their numbers only are different lines."""
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
 
 
 def repeated_words(hashes: Column, windows: Column) -> Column:
@@ -104,7 +104,7 @@ def judged(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_long_docs: int =
 def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of docs(doc_id, text, source, ...).
 
-    A line (normalised: case, digits and white space) is above the limits if it is in more than max_docs of
+    A line (normalised: case and white space, not digits) is above the limits if it is in more than max_docs of
     its host's documents, or has LONG_LINE words and is in more than max_long_docs of them; a line in just so
     many stays. Documents of the same text count once, and the one with the smallest content hash keeps the line. A document is kept if it passes the base rules and
     what it keeps is at least 20 words and min_kept of its words. Null text is empty, null source the host '';
@@ -144,7 +144,7 @@ win AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS g FROM (SELECT r, w
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT r, sum(least(8, i - before)) AS n FROM (SELECT r, i, lag(i, 1, -100) OVER (PARTITION BY r ORDER BY i) AS before FROM rep) GROUP BY r),
 l AS (SELECT r, host, content, unnest(lines) AS line FROM w),
-nl AS (SELECT r, host, content, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+nl AS (SELECT r, host, content, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
         len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l),
 above AS (SELECT host, line, min(content) AS keeper FROM nl GROUP BY host, line HAVING count(DISTINCT content) > CASE WHEN max(n) >= 50 THEN 2 ELSE 5 END),
 lost AS (SELECT nl.r, sum(nl.n) AS lost FROM nl JOIN above a ON nl.host = a.host AND nl.line = a.line WHERE nl.content <> a.keeper GROUP BY nl.r),

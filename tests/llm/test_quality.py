@@ -32,7 +32,7 @@ def table():
 
 def verdicts(table, max_docs=5, max_long_docs=2):
     """Which rows the rules keep, and their texts, from the definition."""
-    normal = lambda x: " ".join(W.findall(re.sub("[0-9]", "0", x.lower())))
+    normal = lambda x: " ".join(W.findall(x.lower()))
     holders = defaultdict(set)
     for _, t, _, host, _ in table:
         for x in filter(W.search, (t or "").split("\n")):
@@ -65,7 +65,7 @@ def test_the_registered_limits(spark):
     own = lambda k: " ".join(word() for _ in range(k))
     out, long, longer = [], own(50), own(60)
     for i in range(6):
-        lines = ["All  RIGHTS reserved %d" % i, own(30)] + ["in five documents"] * (i < 5) + [long] * (i < 2) + [longer.upper() if i else longer] * (i < 3)
+        lines = [f"All{' ' * (1 + i % 3)}RIGHTS reserved{chr(9) * (i % 2)}", own(30)] + ["in five documents"] * (i < 5) + [long] * (i < 2) + [longer.upper() if i else longer] * (i < 3)
         out.append((i, "\n".join(lines), "en", "h", 0))
         out.append((10 + i, f"{'long words ' * 25 if i % 2 else 'short'}\nmenu and footer text\n{own(9) if i else ''}", "en", f"o{i % 2}", 0))
         out.append((20 + i, own(21) + "\nthe same banner everywhere on this page as ever before and after that one\n", "en", "b", 0))
@@ -78,8 +78,10 @@ def test_the_registered_limits(spark):
     assert any(not k and not got[d].base_failed for d, k, _ in want)
     texts = {x.doc_id: x.text for x in filter_documents(docs).collect()}
     assert texts == {d: left for d, k, left in want if k}
-    assert sum("in five documents" in t for t in texts.values()) == 6 and sum("RIGHTS" in t for d, t in texts.items() if d < 10) == 1
-    assert sum(long in t for t in texts.values()) == 3 and sum(longer.lower() in t.lower() for d, t in texts.items() if d < 10) == 1
+    source = {d: t for d, t, *_ in out}
+    assert all((line in t) == (line in source[d]) for d, t in texts.items() for line in ("in five documents", long)) and sum("in five documents" in t for t in texts.values()) >= 5
+    held = [sum(x in (source[d].lower(), t.lower())[k] for d, t in texts.items() if d < 10) for x in ("rights reserved", longer.lower()) for k in (0, 1)]
+    assert held[0] >= 5 and held[1] <= 1 and held[2] >= 2 and held[3] <= 1
 
 
 def test_shared_lines(spark):
@@ -96,3 +98,11 @@ def test_shared_lines(spark):
     assert len(cut) >= 29 and all(len(r.text) == r.n_chars for r in cut)
     assert all(out[d].text == t for d, t, *_ in table() if d in out and d is not None and d < 500 and d != 3)
     assert filter_documents(docs).columns == docs.columns
+
+
+def test_tables_of_numbers_stay(spark):
+    """Documents of table rows that differ in their numbers only are no copies of each other."""
+    docs = [(i, "\n".join(f"row {14 + j} total {(7919 * (i * 12 + j)) % 100000:05d} units sold in {1990 + i % 30}" for j in range(12)), "en", "h", 0) for i in range(40)]
+    table = spark.createDataFrame(docs, DOCS)
+    assert [r.kept for r in quality_rules(table).collect()] == [True] * 40 == [k for _, k, _ in verdicts(docs)]
+    assert sorted((r.doc_id, r.text) for r in filter_documents(table).collect()) == sorted((d, t) for d, t, *_ in docs)

@@ -20,7 +20,7 @@ def files(spark, tmp_path):
     return f"{tmp_path}/d", rows
 
 
-@pytest.mark.parametrize("stage", [lambda d: filter_documents(d, max_docs=5, max_share=0.0), redact_secrets, deduplicate])
+@pytest.mark.parametrize("stage", [lambda d: filter_documents(d, max_docs=5), redact_secrets, deduplicate])
 def test_same_rows_with_other_splits(spark, files, stage):
     path, _ = files
     want = sorted(map(str, stage(spark.read.parquet(path)).collect()))
