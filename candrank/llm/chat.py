@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 from candrank.llm import common
 
-TAGS = r"(?s)<tool_(?:call|response)>.*?</tool_(?:call|response)>"
+# A tagged part: up to the closing tag of its kind, outside JSON strings where the part is JSON. Possessive, so that long parts need no deep stack.
+_INSIDE = r'(?:[^"<]++|"(?:[^"\\\x00-\x1F]++|\\.)*+"|<(?!/tool_{0}>))*+'
+_KINDS = ("call", "response")
+TAGS = "(?s)" + "|".join(f"<tool_{k}>{_INSIDE.replace('{0}', k)}</tool_{k}>|<tool_{k}>.*?</tool_{k}>" for k in _KINDS)
+FIRST_TAGS = "(?s)" + "|".join(f"<tool_{k}>.*?</tool_{k}>" for k in _KINDS)  # ... up to the first closing tag of its kind
+BODY = r"(?s)^<[^>]*>(.*)</[^>]*>$"
 # Fixed value: argument, kind and whether it is needed, of each tool that is known where no schemas are given.
 SCHEMAS = (("search", "query", "STRING", True), ("search", "limit", "BIGINT", False), ("fetch", "url", "STRING", True), ("calculate", "expression", "STRING", True))
 
@@ -32,11 +37,13 @@ def events(messages: DataFrame) -> DataFrame:
     """A row for what is left of each message without its tagged parts (unless that is blank and there are parts), and one for each part."""
     text = F.coalesce(F.col("text"), F.lit(""))
     read = messages.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), text.alias("text"), F.regexp_extract_all(text, F.lit(TAGS), F.lit(0)).alias("found"))
-    plain = read.where((F.size("found") == 0) | (F.trim(F.regexp_replace("text", TAGS, "")) != "")).select(
-        "conv_id", "turn", "role", F.lit(0).alias("part"), F.lit("message").alias("kind"), F.when(F.size("found") == 0, F.col("text")).otherwise(F.trim(F.regexp_replace("text", TAGS, ""))).alias("body")
-    )
+    # an open string could take in what follows: where a part is no JSON, the message's tags end at the first closing ones
+    sound = F.forall("found", lambda x: F.try_parse_json(F.regexp_extract(x, BODY, 1)).isNotNull())
+    read = read.withColumn("sound", sound).withColumn("found", F.when(F.col("sound"), F.col("found")).otherwise(F.regexp_extract_all("text", F.lit(FIRST_TAGS), F.lit(0))))
+    rest = F.trim(F.when(F.col("sound"), F.regexp_replace("text", TAGS, "")).otherwise(F.regexp_replace("text", FIRST_TAGS, "")))
+    plain = read.where((F.size("found") == 0) | (rest != "")).select("conv_id", "turn", "role", F.lit(0).alias("part"), F.lit("message").alias("kind"), F.when(F.size("found") == 0, F.col("text")).otherwise(rest).alias("body"))
     tagged = read.select("conv_id", "turn", "role", F.posexplode("found").alias("part", "x")).select(
-        "conv_id", "turn", "role", (F.col("part") + 1).alias("part"), F.when(F.col("x").startswith("<tool_call>"), "call").otherwise("result").alias("kind"), F.regexp_extract("x", r"(?s)^<[^>]*>(.*)</[^>]*>$", 1).alias("body")
+        "conv_id", "turn", "role", (F.col("part") + 1).alias("part"), F.when(F.col("x").startswith("<tool_call>"), "call").otherwise("result").alias("kind"), F.regexp_extract("x", BODY, 1).alias("body")
     )
     both = plain.unionByName(tagged)
     json = F.when(F.col("kind") != "message", F.try_parse_json("body"))
@@ -48,13 +55,19 @@ def events(messages: DataFrame) -> DataFrame:
 
 
 def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """calls with valid: the tool is known, needed arguments are there, and each one is known and of its kind."""
-    tools = schemas.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("argument", F.struct("kind", "needed")))).alias("known"))  # as many entries as the tool has arguments
+    """calls with valid: the tool is known, needed arguments are there, and each one is known and of its kind.
+
+    Of several rows for an argument each gives a kind that it may have, and it is needed if one says so. Rows
+    without a name are passed over, rows without an argument make their tool known.
+    """
+    kinds = schemas.where(F.col("name").isNotNull()).groupBy("name", "argument").agg(F.collect_set("kind").alias("kinds"), F.coalesce(F.max("needed"), F.lit(False)).alias("needed"))
+    entry = F.when(F.col("argument").isNotNull(), F.struct("argument", F.struct("kinds", "needed")))
+    tools = kinds.groupBy("name").agg(F.map_from_entries(F.collect_list(entry)).alias("known"))  # as many entries as the tool has arguments
     given = F.map_entries(F.try_parse_json("arguments").cast("map<string,variant>"))
     given = F.when(F.substring("arguments", 1, 1) == "{", F.transform(given, lambda e: F.struct(e["key"].alias("argument"), F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0).alias("kind"))))
     out = calls.withColumn("given", given).join(tools, "name", "left")
     needed = F.map_keys(F.map_filter("known", lambda k, v: v["needed"]))
-    fits = F.forall("given", lambda g: F.coalesce(F.try_element_at("known", g["argument"])["kind"] == g["kind"], F.lit(False)))
+    fits = F.forall("given", lambda g: F.coalesce(F.array_contains(F.try_element_at("known", g["argument"])["kinds"], g["kind"]), F.lit(False)))
     there = F.size(F.array_except(needed, F.transform("given", lambda g: g["argument"]))) == 0
     return out.withColumn("valid", F.coalesce(there & fits, F.lit(False))).drop("given", "known")
 
@@ -136,8 +149,10 @@ def link_tools(messages: DataFrame, schemas: DataFrame | None = None) -> DataFra
     conv_id, turn, part, kind (message, call, result), call_id, linked (a call with a result, a result with a
     call), valid (calls only), cyclic, at, depth, step, json. Sorting a conversation by at, depth, step, turn
     and part puts calls before their results and before the calls that need these; results without a call stay
-    at their turn. Several calls of one id count as the first. Null text and role are empty; parts that are no
-    JSON have no id; null conversations are linked among themselves. Repeated rows keep a row each; further
+    at their turn. Several calls of one id count as the first. Null text and role are empty. A part ends at the
+    closing tag of its kind outside JSON strings, or, where one of the message's parts is no JSON, at the first
+    one; tags of other kinds close nothing. Parts that are no JSON have no id; identifiers and names may hold any
+    characters, numbers stand as their texts. schemas(name, argument, kind, needed) may have repeated rows and nulls, see validated; null conversations are linked among themselves. Repeated rows keep a row each; further
     columns are left out; an empty table gives no rows.
     """
     spark = messages.sparkSession
@@ -152,7 +167,7 @@ def link_tools(messages: DataFrame, schemas: DataFrame | None = None) -> DataFra
     parts = validated(parts, schemas if schemas is not None else default_schemas(spark)).join(links, ["conv", "call_id"], "left")
     call = F.col("kind") == "call"
     # the parts' JSON is put together from canonical pieces, keys in ascending order
-    as_json = lambda c: F.coalesce(F.to_json(F.try_parse_json(F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"')))), F.lit("null"))
+    as_json = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1))
     tail = F.concat(F.lit(',"id":'), as_json(F.col("call_id")))
     text = F.to_json(F.struct(F.col("body").alias("content"), "role"))
     json = F.when(F.col("arguments").isNull() & F.col("content").isNull(), text).when(

@@ -84,3 +84,49 @@ def test_long_chains_and_cycles(spark):
 
 def test_empty(spark):
     assert link_tools(spark.createDataFrame([], COLS)).count() == 0
+
+
+ODD = ['a"b', "a\nb", "tab\there", "back\\slash", "\u0001", "é", "{}", "</tool_call>", "</tool_response>", "<tool_call>", 'x</tool_call>"y', "null", "5", " ", "$ref:", "'"]
+
+
+def test_identifiers_of_any_characters(spark):
+    """Odd ids, names and arguments come through the link, and every part's JSON is what the Python library writes."""
+    rows = []
+    for t, i in enumerate(ODD):
+        rows += [(1, 2 * t, "assistant", f"so {call(i, i, {'query': i, i: [i]})} it"), (1, 2 * t + 1, "tool", result(i, {i: i}))]
+    got = {(r.kind, r.call_id): r for r in link_tools(spark.createDataFrame(rows, COLS)).collect() if r.kind != "message"}
+    assert set(got) == {(k, i) for k in ("call", "result") for i in ODD} and all(r.linked for r in got.values())
+    text = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    for i in ODD:
+        assert json.loads(got["call", i].json) == {"arguments": {"query": i, i: [i]}, "id": i, "name": i, "role": "tool_call"}
+        assert json.loads(got["result", i].json) == {"content": {i: i}, "id": i, "role": "tool_result"}
+        assert got["call", i].json.lower() == text(json.loads(got["call", i].json)).lower()
+
+
+def test_tags(spark):
+    """Tags close their own kind outside strings; broken JSON does not take in what follows; long parts are parts."""
+    good = call("g", "search", {"query": "</tool_call> and <tool_call>"})
+    rows = [
+        (1, 0, "a", "<tool_call>{\"id\": \"x\"}</tool_response>"),
+        (2, 0, "a", f"say {good}, then {result('g', '</tool_response>')} done"),
+        (3, 0, "a", '<tool_call>{"id: 1}</tool_call> and "so" ' + call("n", "search", {"query": "q"})),
+        (4, 0, "a", call("l", "search", {"query": "<" * 30_000 + '"\\' * 30_000, "more": [str(k) for k in range(30_000)]})),
+        (5, 0, "a", "<tool_call>" + "<" * 50_000 + '"' * 50_001),
+        (6, 0, "a", "<tool_call></tool_call>"),
+    ]
+    got = link_tools(spark.createDataFrame(rows, COLS)).collect()
+    by = lambda c: sorted((r.part, r.kind, r.call_id) for r in got if r.conv_id == c)
+    assert by(1) == [(0, "message", None)]
+    assert by(2) == [(0, "message", None), (1, "call", "g"), (2, "result", "g")]
+    assert [json.loads(r.json)["content"] for r in got if r.conv_id == 2 and r.kind == "message"] == ["say , then  done"]
+    assert by(3) == [(0, "message", None), (1, "call", None), (2, "call", "n")]
+    assert by(4) == [(1, "call", "l")] and by(5) == [(0, "message", None)] and by(6) == [(1, "call", None)]
+
+
+def test_odd_schemas(spark):
+    """Repeated rows, an argument of two kinds, null names, arguments and kinds, and a tool without arguments."""
+    schemas = [("t", "a", "STRING", True)] * 2 + [("t", "b", "STRING", None), ("t", "b", "BIGINT", False), ("t", None, None, None), (None, "a", "STRING", True), ("none", None, None, None), ("u", "k", None, True)]
+    args = [("t", {"a": "x"}, True), ("t", {"a": "x", "b": 1}, True), ("t", {"a": "x", "b": "1"}, True), ("t", {"a": 1}, False), ("t", {}, False), ("none", {}, True), ("none", {"a": "x"}, False), ("u", {"k": "x"}, False), ("v", {}, False)]
+    rows = [(1, t, "a", call(f"c{t}", n, a)) for t, (n, a, _) in enumerate(args)]
+    got = link_tools(spark.createDataFrame(rows, COLS), spark.createDataFrame(schemas, "name string, argument string, kind string, needed boolean").withColumn("valid", F.lit(1))).collect()
+    assert [r.valid for r in sorted(got, key=lambda r: r.turn)] == [v for *_, v in args]
