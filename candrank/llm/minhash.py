@@ -30,7 +30,8 @@ PERCENT = 80
 COORDINATES = 64
 MISS = 1e-6  # the chance that a pair just at the least similarity has fewer matches than are asked for
 PAIRED = 16  # sets of a list that are compared pair by pair; longer lists against one of their sets, then what is left in blocks
-BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20  # of a block
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20  # of a block
+COLUMNS = 4096  # shingles that are multiplied at a time
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -120,22 +121,44 @@ def _confirmed(percent: int):
     return run
 
 
-def _between(percent: int, least: int):
+def intersections(ours: list[np.ndarray], theirs: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of ours shares with each of theirs: products of 0/1 matrices, some shingles of both sides at a time."""
+    out = np.zeros((len(ours), len(theirs)), np.float32)
+    sides = [(np.repeat(np.arange(len(x)), [len(y) for y in x]), np.concatenate([np.zeros(0, np.uint64), *x])) for x in (ours, theirs)]
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    found = []
+    for row, gram in sides:
+        at = np.searchsorted(both, gram)
+        there = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == gram) if len(both) else np.zeros(len(gram), bool)
+        order = np.argsort(at[there], kind="stable")
+        found.append((row[there][order], at[there][order]))
+    for start in range(0, len(both), COLUMNS):
+        dense = []
+        for (row, at), n in zip(found, out.shape):
+            lo, hi = np.searchsorted(at, (start, start + COLUMNS))
+            x = np.zeros((n, min(COLUMNS, len(both) - start)), np.float32)
+            x[row[lo:hi], at[lo:hi] - start] = 1
+            dense.append(x)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _between(percent: int):
     """Links between the two sides of a tile that join what is not joined yet, fewer than it has sets."""
 
     def run(tile: pa.Table) -> pa.Table:
         rest, row, root, n = (tile.column(c).to_numpy() for c in ("rest", "row", "root", "n"))
-        sig, root = _signatures(tile.column("sig")), root.copy()
         grams = [np.frombuffer(x, np.uint64) for x in tile.column("grams").to_pylist()]
-        theirs, a, b = np.flatnonzero(~rest), [], []
-        for i in np.flatnonzero(rest).tolist():
-            sizes = (100 * np.minimum(n[theirs], n[i]) >= percent * np.maximum(n[theirs], n[i])) & (root[theirs] != root[i])
-            close = theirs[sizes]
-            for j in close[(sig[close] == sig[i]).sum(1) >= least].tolist():
-                if root[i] != root[j] and _alike(grams[i], grams[j], percent):
-                    root[root == root[j]] = root[i]
-                    a.append(int(row[i]))
-                    b.append(int(row[j]))
+        ours, theirs, root = np.flatnonzero(rest), np.flatnonzero(~rest), root.copy()
+        both = intersections([grams[i] for i in ours], [grams[j] for j in theirs])
+        near = 100 * both >= percent * (n[ours][:, None] + n[theirs][None, :] - both)
+        a, b = [], []
+        for i, x in enumerate(ours.tolist()):
+            for y in theirs[near[i]].tolist():
+                if root[x] != root[y]:
+                    root[root == root[y]] = root[x]
+                    a.append(int(row[x]))
+                    b.append(int(row[y]))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -170,10 +193,10 @@ def candidates(prefix: DataFrame, percent: int, paired: int, scratch: common.Scr
     return sized.select(F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")).distinct(), long.select("row", "n", "key")
 
 
-def left_links(signed: DataFrame, long: DataFrame, found: DataFrame, percent: int, least: int, scratch: common.Scratch) -> DataFrame | None:
+def left_links(signed: DataFrame, long: DataFrame, found: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame | None:
     """The links that long lists have beside those found; None where each such list is one component already.
 
-    A list's rest, all sets outside its largest component, is searched against all its sets, in tiles of two
+    A list's rest, all sets outside its largest component, is compared with all its sets, in tiles of two
     blocks, so that no link between different components is passed over.
     """
     at = long.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
@@ -183,7 +206,7 @@ def left_links(signed: DataFrame, long: DataFrame, found: DataFrame, percent: in
     if members.isEmpty():
         return None
     rows = scratch.keep(members.select("row").distinct(), "rows")
-    data = scratch.keep(signed.select("row", "sig", "grams").join(common.sized(rows), "row", "left_semi"), "data")
+    data = scratch.keep(signed.select("row", "grams").join(common.sized(rows), "row", "left_semi"), "data")
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(8 * size / BLOCK_BYTES)).cast("int")
     other = F.when(F.col("rest"), F.col("n"))
     sizes = members.groupBy("key").agg(F.count("*").alias("m"), blocks(F.count("*"), F.sum("n")).alias("n_all"), blocks(F.count(other), F.sum(other)).alias("n_rest"))
@@ -192,7 +215,7 @@ def left_links(signed: DataFrame, long: DataFrame, found: DataFrame, percent: in
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     theirs = cut.select("key", "row", "root", "n", F.lit(False).alias("rest"), mine(F.col("n_all")).alias("x"), every(F.col("n_rest")).alias("y"))
     ours = cut.where("rest").select("key", "row", "root", "n", "rest", every(F.col("n_all")).alias("x"), mine(F.col("n_rest")).alias("y"))
-    return theirs.unionByName(ours).join(data, "row").groupBy("key", "x", "y").applyInArrow(_between(percent, least), "a long, b long")
+    return theirs.unionByName(ours).join(data, "row").groupBy("key", "x", "y").applyInArrow(_between(percent), "a long, b long")
 
 
 def set_links(signed: DataFrame, nodes: DataFrame, percent: int, coordinates: int, paired: int, scratch: common.Scratch) -> DataFrame:
@@ -209,7 +232,7 @@ def set_links(signed: DataFrame, nodes: DataFrame, percent: int, coordinates: in
     for name in ("lengths", "sig", "grams", "pairs"):
         scratch.drop(name)
     found = scratch.keep(components(links, common.Scratch(spark, "minhash-links")), "found")
-    left = left_links(signed, long, found, percent, least, scratch)
+    left = left_links(signed, long, found, percent, scratch)
     if left is not None:
         found = scratch.keep(components(links.unionByName(scratch.keep(left, "left")), common.Scratch(spark, "minhash-links")), "found-left")
     return found

@@ -2,10 +2,12 @@ import itertools
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candrank.llm.minhash import candidates, least_matches, minhash_groups, prefix_lists, shingle_set
+from candrank.llm import minhash
+from candrank.llm.minhash import candidates, intersections, least_matches, minhash_groups, prefix_lists, shingle_set
 from tests.llm.conftest import DOCS, rows
 
 
@@ -101,6 +103,15 @@ def test_prefix_holds_all_pairs_with_enough_matches(spark, tmp_path):
     assert want and want <= got and len(got) < 120 * 119 / 4
 
 
+def test_intersections(monkeypatch):
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 90, k).astype(np.uint64)) for k in (0, 1, 5, 40, 200, 60)]
+    for columns in (4096, 7):
+        monkeypatch.setattr(minhash, "COLUMNS", columns)
+        assert intersections(sets, sets[1:]).tolist() == [[len(np.intersect1d(x, y)) for y in sets[1:]] for x in sets]
+    assert intersections([], sets).shape == (0, 6) and intersections(sets[:1], sets[:1]).tolist() == [[0]]
+
+
 def test_least_matches():
     assert least_matches(64, 80) == 34 and least_matches(64, 100) == 64 and least_matches(4, 10) == 1
 
