@@ -2,7 +2,9 @@
 
 A candidate's novelty is its marginal compressed size: the bytes that it adds to its surrounding text, with a
 dictionary of code words and of the words that stand in such surroundings and in several candidates over the
-whole corpus, for each of its characters. Names and paths repeat what the dictionary or the surroundings have; keys do not. Other strings
+whole corpus, for each of its characters. It is taken twice: with its letters as they are, which tells what of it the
+dictionary and the surroundings repeat, and with letters coded by their frequency beside a sample of plain text, which
+tells words that are new from drawn letters. Names and paths are low in one or the other; keys are not. Other strings
 that look drawn are no part of surroundings or dictionary, so a secret is as novel in its copies.
 """
 
@@ -26,19 +28,34 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same as runs of any length, those under 24 dropped
 ASSIGN_WORDS = ("passw", "secret", "token", "key")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{8,}")
+SHORT = 16  # shorter strings are candidates with both letters and digits only
+_PART = "(?:[A-Z]?[a-z]{1,15}(?:[A-Z][a-z]{1,15})*|[A-Z]{1,8}|)[0-9]{0,4}"
+NAME = re.compile(f"{_PART}(?:[+/_-]{_PART})*")  # words, each with a number at its end at most, are no candidate of any length
 EDGE = re.compile(r"[A-Za-z0-9+/_-]+")
 GAP = re.compile(r"""(?:[\s"'+,;=|>#*]|\\[nr]){1,32}""")  # between the lines of one string
 TAIL = re.compile(r"[^\S\n]{0,32}(?:\n|\\[nr])\s{0,32}([A-Za-z0-9+/_-]{1,15}=*)(?=\s|\\[nr]|[\"']|$)")  # the last line of one, shorter than a candidate
-DRAWN = re.compile(r"(?=[A-Za-z]*[0-9])[A-Za-z0-9]{8,}")  # in a candidate: not put together from words
+DRAWN = re.compile(r"(?=[A-Za-z]*[0-9])[A-Za-z0-9]{8,}|[A-Za-z]{16,}")  # in a candidate: not put together from words
+NUMBER = re.compile(r"(?<=[A-Za-z_/-]{4})[0-9]{1,4}$")  # at the end of a name: no part of what is judged
 PLAIN_WORD = "^[A-Za-z_]+[0-9]{0,3}$"  # what the dictionary takes from surroundings
 NAME_PARTS = ("[A-Z]?[a-z]{3,15}", "[A-Za-z/_-]{6,48}")  # ... and from candidates
 AROUND = 48  # characters on each side that are its surroundings
 NEAR = 96  # characters on each side in which a sensitive word counts
 SENSITIVE = re.compile(r"pass|pwd|secret|token|api|key|auth|credential|bearer|private|access|signature|session|cookie")
-NOVEL = 0.7  # compressed bytes for each character
+NOVEL = 0.75  # coded bytes for each character
+NOVEL_DRAWN = 0.58  # ... of strings in which the kind of character changes often, or of lower-case letters alone
+CHANGES = 0.2  # such changes for each character
+UNSEEN = 0.9  # bytes for each character, letters as they are
+UNREPEATED, FRAME = 0.8, 4  # ... beside the surroundings, where a block's form can take so many bytes more or less
+LONG = 24  # longer strings are coded by letters of their own: they count as novel, too, if these are even
 EVEN = 0.95  # a string's entropy, as a share of what evenly drawn letters of its alphabet have
-OWN_SHARE = 0.9  # compressed bytes as a share of that entropy, which they near in long strings
+# Fixed value: plain text with all letters, beside which a string is coded.
+SAMPLE = (
+    "it was the best of times and so they went along a quiet river where some old houses stood between tall trees and people there would often talk about rain or what might come after harvest while children ran down "
+    "to see boats pass by slowly under an arched bridge made from grey stone which had been brought up many years before from quarries far beyond those hills nobody knew quite how long ago that must have been but "
+    "everyone agreed on one thing namely how well built it looked even now; Her Garden, His Book. Most Days 1 2 3 4 5 6 7 8 9 0\nABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 +/_- the quick letter "
+    "jar zebra box of every vowel wind and key flew up to her in a hazy jungle view; Quartz Inks Jot Vex Zero Yes Ohm Kelp Lamp Under Near\n"
+)
 ALPHABETS = tuple(map(re.compile, ("[0-9a-fA-F]+", "[0-9a-z_-]+", "[0-9A-Z_-]+", ".+")))
 LETTERS = (16, 36, 36, 64)
 DICTIONARY_WORDS = 4096  # corpus words in the dictionary, the most frequent ones of at most 32 bytes
@@ -77,7 +94,7 @@ def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Strings of letters and digits, of any length, near a sensitive word, outside the spans that are known already.
+    """Strings of letters and digits, of SHORT characters or more, or of eight with both, that are no names, near a sensitive word, outside the spans that are known already.
 
     Strings with little but line ends between them, as the lines of a key, are near a sensitive word if one of
     them is; the short end of such lines goes with the last.
@@ -90,12 +107,14 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         while at + len(block) < len(found) and GAP.fullmatch(text, block[-1].end(), found[at + len(block)].start()):
             block.append(found[at + len(block)])
         at += len(block)
+        if len(block) > 1 and len(block[-1][0]) < SHORT and len(block[-2][0]) == len(block[0][0]) and TAIL.match(text, block[-2].end()):
+            block.pop()
         known = [any(s < m.end() and m.start() < e for s, _, e in spans) for m in block]
         near = any(known) and len(block) > 1 or any(SENSITIVE.search(text[max(0, m.start() - NEAR) : m.start()].lower()) or SENSITIVE.search(text[m.end() : m.end() + NEAR].lower()) for m in block)
-        if not near or not any(c.isdigit() for m in block for c in m[0]):
+        if not near:
             continue
         for m, skip in zip(block, known):
-            if skip or m[0].isdigit() or (len(block) == 1 and not any(c.isdigit() for c in m[0])):
+            if skip or NAME.fullmatch(m[0]) or len(m[0]) < SHORT and not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
                 continue
             a, b = m.span()
             if len(block) > 1 and m is block[-1] and len(m[0]) == len(block[0][0]) and (tail := TAIL.match(text, b)):
@@ -123,16 +142,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(spans, _SPAN), pa.array(near, _NEAR)], ["row", "doc_id", "base", "near"])
 
 
-def compressor(words: list[str]) -> zstandard.ZstdCompressor:
-    """Primed with the words, the first of them nearest to what is compressed."""
-    raw = "\n".join([*reversed(words), *CODE_WORDS.split(), ""]).encode()
-    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+def compressor(words: list[str], plain: bool = False) -> zstandard.ZstdCompressor:
+    """Primed with the words, the first of them nearest to what is compressed. plain leaves letters as they are: the fast strategy does not code them."""
+    code = CODE_WORDS.split()
+    raw = "\n".join([*reversed(words), *(w.capitalize() for w in code), *code, ""]).encode()
+    level = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(raw), write_content_size=False, write_checksum=False)
+    fast = {"strategy": zstandard.STRATEGY_FAST, "target_length": 1, "min_match": 4, "search_log": 1}
+    params = zstandard.ZstdCompressionParameters(window_log=level.window_log, chain_log=level.chain_log, hash_log=level.hash_log, write_content_size=False, write_checksum=False, **fast) if plain else level
+    primed = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=primed, compression_params=params)
 
 
-def novelty(own: zstandard.ZstdCompressor, before: str, string: str, after: str) -> float:
-    """Marginal compressed bytes of the string, for each of its characters."""
-    around = f"{before}\n{after}\n".encode()
-    return (len(own.compress(around + string.encode())) - len(own.compress(around))) / len(string)
+def added(own: zstandard.ZstdCompressor, around: str, string: str) -> int:
+    """Marginal compressed bytes of the string."""
+    return len(own.compress((around + string).encode())) - len(own.compress(around.encode()))
 
 
 def even_entropy(string: str) -> float:
@@ -147,20 +171,33 @@ def even_entropy(string: str) -> float:
     return bits / 8 if bits >= EVEN * drawn else math.inf
 
 
-def is_novel(own: zstandard.ZstdCompressor, before: str, string: str, after: str, least: float) -> bool:
-    """The string adds least bytes a character, or near its own entropy: long strings compress to that, which is under least."""
-    share = novelty(own, before, string, after)
-    return share >= least or share >= least / NOVEL * OWN_SHARE * even_entropy(string)
+_KIND = str.maketrans({c: k for k, group in (("a", "abcdefghijklmnopqrstuvwxyz"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("0", "0123456789"), (None, "+/_-")) for c in group})
+
+
+def is_novel(plain: zstandard.ZstdCompressor, coded: zstandard.ZstdCompressor, before: str, string: str, after: str, least: float) -> bool:
+    """Little of the string is in the dictionary or its surroundings, and its letters are rarer than a word's, or even as drawn ones; a number at its end does not count.
+
+    least is the coded bytes a character that a string of few changes between capitals, other letters and digits adds.
+    """
+    bare = NUMBER.sub("", string)
+    n = len(bare)
+    if added(plain, "", bare) < UNSEEN * n or added(plain, f"{before}\n{after}\n", bare) < UNREPEATED * n - FRAME:
+        return False
+    kinds = bare.translate(_KIND)
+    often = sum(x != y for x, y in zip(kinds, kinds[1:])) >= CHANGES * n or not re.search("[A-Z0-9]", bare[1:])
+    if added(coded, SAMPLE, bare) >= (least * NOVEL_DRAWN / NOVEL if often else least) * n:
+        return True
+    return n > LONG and even_entropy(bare) < math.inf
 
 
 def _judge(words: list[str], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = compressor(words)
+        plain, coded = compressor(words, True), compressor(words)
         for batch in batches:
             rows: list[tuple] = []
             for base, near in zip(batch.column("base").to_pylist(), batch.column("near").to_pylist()):
                 spans = [(x["start"], x["kind"], x["end"]) for x in base]
-                new = [(x["start"], 3, x["end"]) for x in near if is_novel(own, x["before"], x["string"], x["after"], least)]
+                new = [(x["start"], 3, x["end"]) for x in near if is_novel(plain, coded, x["before"], x["string"], x["after"], least)]
                 n = [sum(k == i for _, k, _ in spans) for i in range(3)]
                 every = sorted(spans + new)
                 rows.append((*n, len(new), hashlib.sha256(written(spans).encode()).hexdigest(), written(every), [{"start": a, "kind": k, "end": b} for a, k, b in every]))
@@ -193,7 +230,8 @@ def find_secrets(docs: DataFrame, least: float = NOVEL) -> DataFrame:
 
     spans has kind:start:end of every finding in code points, end exclusive, by start and then kind, and
     base_sha256 the SHA-256 of those of the fixed patterns. A string with no sensitive word within NEAR characters, in or
-    beside the lines that adjoin it, is not judged. Null text is empty and has none. Repeated rows keep a row each; further columns are left out; an empty table gives no rows.
+    beside the lines that adjoin it, is not judged, nor is one under eight characters, one under SHORT without
+    both letters and digits, or one that reads as words with numbers; other punctuation than +/_- parts strings. Null text is empty and has none. Repeated rows keep a row each; further columns are left out; an empty table gives no rows.
     """
     return _scanned(common.numbered(docs), least).drop("row", "found")
 

@@ -5,7 +5,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from candrank.llm.secrets import compressor, find_secrets, novelty, redact_secrets
+from candrank.llm.secrets import added, compressor, find_secrets, redact_secrets
 from tests.llm.conftest import DOCS, rows
 
 KEY = "q7Zx9Lk2Vb4Nw8Rt5Yp1"
@@ -55,8 +55,9 @@ def test_base_spans(spark, none):
 
 
 def test_novelty_orders():
-    own = compressor(["authorization", "session"])
-    assert novelty(own, "the session ", KEY, "") > 0.9 > 0.5 > novelty(own, "session_authorization ", "session_authorization", "")
+    for plain in (True, False):
+        own = compressor(["authorization", "session"], plain)
+        assert added(own, "the session ", KEY) > 0.9 * len(KEY) and 0.5 * len("session_authorization") > added(own, "session_authorization ", "session_authorization")
 
 
 def test_redaction(spark):
@@ -94,6 +95,30 @@ def test_keys_of_any_length(spark):
     assert out[len(keys)] == texts[-1]
 
 
+def test_drawn_strings_of_all_lengths(spark):
+    """One drawn string after "the auth header is", among plain words: at least 0.9 are found from 16 characters on, and 0.05 of names at most."""
+    r = random.Random(17)
+    words = "the river of data over and under a house with many open windows".split()
+    filler = lambda n: " ".join(r.choices(words, k=n))
+    alphabets = {"b62": string.ascii_letters + string.digits, "b36": string.ascii_lowercase + string.digits, "letters": string.ascii_letters, "digits": string.digits, "B36": string.ascii_uppercase + string.digits}
+    drawn = lambda a, n: "".join(r.choices(alphabets[a], k=n))
+    kinds = {f"{a}-{n}": [drawn(a, n) for _ in range(100)] for a in alphabets for n in (8, 12, 16, 20, 24, 32, 40)}
+    kinds["uuid"] = ["-".join("".join(r.choices("0123456789abcdef", k=n)) for n in (8, 4, 4, 4, 12)) for _ in range(100)]
+    part = "user account service request handler factory session token client widget orders payment gateway index search result".split()
+    kinds["names"] = ["".join(x.capitalize() for x in r.choices(part, k=3)) + r.choice(["", str(r.randrange(99))]) for _ in range(100)]
+    kinds["names"] += ["_".join(r.choices(part, k=3)) + r.choice(["", "_v2", "_2024"]) for _ in range(100)] + [f"{r.choice(part)}-{r.choice(part)}-{r.randrange(9)}" for _ in range(100)]
+    texts = [(k, x, f"{filler(6)} the auth header is {x} {filler(6)}") for k, xs in kinds.items() for x in xs]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, (_, _, t) in enumerate(texts)], DOCS)
+    hits = dict.fromkeys(kinds, 0)
+    for x in find_secrets(docs).collect():
+        kind, string_, text = texts[x.doc_id]
+        hits[kind] += any(text[int(a) : int(b)] == string_ for _, a, b in (y.split(":") for y in x.spans.split(",") if y))
+    print(hits)
+    assert hits["names"] <= 15 and hits["uuid"] >= 90
+    assert all(n >= 90 for k, n in hits.items() if k[-2:] in ("16", "20", "24", "32", "40")), hits
+    assert hits["b62-12"] >= 80
+
+
 def test_copies_neighbours_and_long_keys(spark, clashing):
     """Planted keys: in 1 to 100 copies, beside each other, far from the word, long; at least 0.9 are found, and names are left."""
     r = random.Random(11)
