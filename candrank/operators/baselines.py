@@ -54,13 +54,35 @@ def static_topk(mt: Measurements, ids: tuple[str, ...], k: int, scratch=None) ->
     return spark.createDataFrame(chosen, "k int, " + ", ".join(f"{i} {kinds[i]}" for i in ids) + ", objective double")
 
 
-def static_regret(mt: Measurements, ids: tuple[str, ...], chosen: DataFrame) -> DataFrame:
-    """k, geo, n, cover: geometric mean of the best of the first k chosen candidates over the groups that they cover."""
+def static_first(mt: Measurements, ids: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, ids, objective, geo, n, groups: the first static choice of each part of the groups (by: some of their columns), all parts in one pass.
+
+    geo is the geometric mean over the n groups that the choice covers.
+    """
+    rel = relative(mt, ids)
+    sizes = mt.rows.select(*mt.groups).distinct().groupBy(*by).agg(F.count("*").alias("groups"))
+    sums = rel.groupBy(*by, *ids).agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    sums = sums.join(F.broadcast(sizes), list(by)) if by else sums.crossJoin(F.broadcast(sizes))
+    gains = sums.withColumn("objective", F.round((F.col("v") + PENALTY * (F.col("groups") - F.col("n"))) / F.col("groups"), 9))
+    fields = F.struct(*ids, "objective", F.exp(F.col("v") / F.col("n")).alias("geo"), "n", "groups")
+    return gains.groupBy(*by).agg(F.min_by(fields, F.struct("objective", *ids)).alias("x")).select(*by, "x.*")
+
+
+def static_regret(mt: Measurements, ids: tuple[str, ...], chosen: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """k, geo, n, cover: geometric mean of the best of the first k chosen candidates over the groups that they cover.
+
+    With stats (group statistics with small and hard), the same over the covered groups of each stratum, as geo_
+    and its name.
+    """
     rel = relative(mt, ids)
     upto = chosen.select(F.col("k").alias("turn"), *ids).join(chosen.select("k"), F.col("turn") <= F.col("k"))
     per = rel.join(F.broadcast(upto), list(ids)).groupBy("k", *mt.groups).agg(F.min("v").alias("v"))
     total = mt.rows.select(*mt.groups).distinct().agg(F.count("*").alias("total"))
-    return per.groupBy("k").agg(F.exp(F.avg("v")).alias("geo"), F.count("*").alias("n")).crossJoin(total).withColumn("cover", F.col("n") / F.col("total"))
+    strata = []
+    if stats is not None:
+        per = per.join(stats.select(*mt.groups, "small", "hard"), list(mt.groups))
+        strata = [F.exp(F.avg(F.when(c, F.col("v")))).alias(f"geo_{n}") for n, c in {"large": ~F.col("small"), "small": F.col("small"), "hard": F.col("hard"), "easy": ~F.col("hard")}.items()]
+    return per.groupBy("k").agg(F.exp(F.avg("v")).alias("geo"), F.count("*").alias("n"), *strata).crossJoin(total).withColumn("cover", F.col("n") / F.col("total"))
 
 
 def individual(mt: Measurements, ids: tuple[str, ...]) -> Measurements:
@@ -81,13 +103,18 @@ def static_procedures(procedures: list[tuple[str, Measurements]], ids: tuple[str
     return out
 
 
-def random_column(mt: Measurements, draws: int = 64) -> DataFrame:
-    """Geometric mean over groups of the median relative cost of draws with replacement: the draw's place is an MD5 share of the group's size."""
+def random_groups(mt: Measurements, draws: int = 64) -> DataFrame:
+    """groups, m: the median relative cost of draws with replacement; the draw's place is an MD5 share of the group's size."""
     rows = mt.with_best().withColumn("rel", F.col(mt.cost) / F.col("best"))
     sizes = rows.withColumns({"n": F.count("*").over(mt.per_group()), "tb": F.row_number().over(mt.per_group(*mt.ids)) - 1})
     wanted = sizes.groupBy(*mt.groups).agg(F.max("n").alias("n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("tb", F.floor(C.uniform(*[F.col(g) for g in mt.groups], F.col("draw")) * F.col("n")).cast("int"))
     picked = wanted.select(*mt.groups, "tb").join(sizes.select(*mt.groups, "tb", "rel"), [*mt.groups, "tb"])
-    return picked.groupBy(*mt.groups).agg(C.median(F.col("rel")).alias("m")).agg(C.geomean(F.col("m")).alias("regret"))
+    return picked.groupBy(*mt.groups).agg(C.median(F.col("rel")).alias("m"))
+
+
+def random_column(mt: Measurements, draws: int = 64) -> DataFrame:
+    """Geometric mean over groups of the median of random draws."""
+    return random_groups(mt, draws).agg(C.geomean(F.col("m")).alias("regret"))
 
 
 def _target(mt: Measurements) -> DataFrame:
@@ -112,20 +139,63 @@ def gbdt(mt: Measurements, features: list[str], train: Column, trees: int = 20,
     return model.transform(rows.where(~train)).drop("vector", *coded), dict(zip(names, model.featureImportances.toArray().tolist()))
 
 
-def ridge(mt: Measurements, features: list[str], train: Column, alpha: float = 1.0) -> tuple[DataFrame, np.ndarray]:
-    """Rows with a score from a centred, standardised ridge regression of best / cost on the training groups' rows.
+def _level_sums(rows: DataFrame, codes: dict[str, int], sums: list[str]) -> tuple[dict, dict]:
+    """From rows with a code column for each category: rows of each two levels of different categories, and rows and sums of each level.
 
-    The sums of products are one aggregation; the solve is of the features' number.
+    Rows are counted by all categories together first, so that what is paired is as many rows as there are
+    different combinations; the two results are as long as the levels' pairs.
+    """
+    names = list(codes)
+    every = rows.groupBy(*names).agg(F.count("*").alias("__n"), *[F.sum(c).alias(c) for c in sums])
+    pairs = [[a, b] for i, a in enumerate(names) for b in names[i + 1 :]]
+    found = every.groupingSets([[a] for a in names] + pairs, *names).agg(F.sum("__n").alias("__n"), *[F.sum(c).alias(c) for c in sums], *[F.grouping(c).alias(f"__g_{c}") for c in names])
+    single, double = {}, {}
+    for r in found.collect():  # levels and pairs of levels
+        at = tuple((c, r[c]) for c in names if r[f"__g_{c}"] == 0)
+        (single if len(at) == 1 else double)[at] = (r["__n"], *[r[c] for c in sums])
+    return {k[0]: v for k, v in single.items()}, {k: v[0] for k, v in double.items()}
+
+
+def ridge(mt: Measurements, features: list[str], train: Column, alpha: float = 1.0, categories: dict[str, tuple[str, ...]] | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Rows with a score from a centred ridge regression of best / cost on the training groups' rows: features standardised, categories one-hot.
+
+    categories are columns with fixed levels; a value that is none of them is an error. The sums of products of
+    the features are one aggregation, the levels' counts and sums another; the solve is of the features' and
+    levels' number. The weights come in the order of the features, then the levels.
     """
     rows = _target(mt).withColumn("y", F.col("best") / F.col(mt.cost))
+    coded = {f"__code_{c}": len(levels) for c, levels in (categories or {}).items()}
+    for c, levels in (categories or {}).items():
+        rows = rows.withColumn(f"__code_{c}", level_code(c, levels))
     names = [*features, "y"]
     sums = [F.count("*").alias("n")] + [F.avg(a).alias(f"m{i}") for i, a in enumerate(names)]
     sums += [F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    r = rows.where(train).agg(*sums).first()  # one row
-    d = len(features)
+    fitted = rows.where(train)
+    r = fitted.agg(*sums).first()  # one row
+    d, n = len(features), r.n
     cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(d + 1)] for i in range(d + 1)])
+    mean = np.array([r[f"m{i}"] for i in range(d + 1)])
     scale = np.sqrt(np.maximum(np.diag(cov)[:d], 1e-24))
-    x = cov[:d, :d] / np.outer(scale, scale) * r.n + alpha * np.eye(d)
-    w = np.linalg.solve(x, cov[:d, d] / scale * r.n) / scale
-    score = sum((F.col(a) - r[f"m{i}"]) * float(w[i]) for i, a in enumerate(features))
-    return rows.withColumn("score", -(score + r[f"m{d}"])), w
+    levels = [(c, i) for c, k in coded.items() for i in range(k)]
+    x, right = np.zeros((d + len(levels), d + len(levels))), np.zeros(d + len(levels))
+    x[:d, :d], right[:d] = cov[:d, :d] / np.outer(scale, scale) * n, cov[:d, d] / scale * n
+    share = np.zeros(len(levels))
+    if levels:
+        single, double = _level_sums(fitted, coded, names)
+        share = np.array([single.get(v, (0,))[0] for v in levels]) / n
+        for i, v in enumerate(levels):
+            count, *own = single.get(v, (0, *[0.0] * (d + 1)))
+            own = np.array(own) - count * mean  # sums of what is centred
+            x[d + i, :d] = x[:d, d + i] = own[:d] / scale
+            right[d + i] = own[d]
+            for j, w in enumerate(levels):
+                both = count if v == w else double.get((v, w), double.get((w, v), 0))
+                x[d + i, d + j] = both - n * share[i] * share[j]
+    w = np.linalg.solve(x + alpha * np.eye(len(x)), right)
+    score = sum(((F.col(a) - r[f"m{i}"]) * float(w[i] / scale[i]) for i, a in enumerate(features)), F.lit(0.0))
+    at = d
+    for c, k in coded.items():
+        score += F.get(F.array(*[F.lit(float(v)) for v in w[at : at + k]]), F.col(c).cast("int"))
+        at += k
+    base = float(mean[d] - share @ w[d:])
+    return rows.withColumn("score", -(score + base)).drop(*coded), np.concatenate([w[:d] / scale, w[d:]])

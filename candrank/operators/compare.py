@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candrank.functions import columns as C
+from candrank.operators.order import exact_median
+from candrank.sources.shared import written
 
 STRATA = ("all", "large", "small", "hard", "easy")
 
 
 def with_strata(stats: DataFrame) -> DataFrame:
-    """stats with hard: a difficulty above the median of the groups."""
-    mid = stats.agg(C.median(F.col("difficulty")).alias("mid"))
-    return stats.crossJoin(F.broadcast(mid)).withColumn("hard", F.col("difficulty") > F.col("mid")).drop("mid")
+    """stats with hard: a difficulty above the median of the groups. stats is written once, as the median is found by selection."""
+    stats = written(stats, "stats")
+    return stats.withColumn("hard", F.col("difficulty") > F.lit(exact_median(stats, "difficulty")))
 
 
 def stratified(ev: DataFrame, stats: DataFrame, groups: tuple[str, ...]) -> DataFrame:

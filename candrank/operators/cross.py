@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candrank.functions import columns as C
+from candrank.operators.order import group_places
 from candrank.table import Measurements
 
 
@@ -54,15 +55,39 @@ def match_exact(wanted: DataFrame, mt: Measurements, axes: tuple[str, ...]) -> D
     return wanted.join(at, [*mt.groups, *axes], "left").withColumn("found", F.col("matched").isNotNull())
 
 
+def log_distance(axes: tuple[str, ...], weights: tuple[float, ...], wanted: str = "w_") -> Column:
+    """Weighted squared distance of log2(max(x, 1) + 1) between the axes and the wanted ones, rounded so that ties are ties."""
+    scale = lambda c: F.log2(F.greatest(F.col(c), F.lit(1)) + 1)
+    return F.round(sum((w * F.pow(scale(a) - scale(wanted + a), F.lit(2)) for a, w in zip(axes, weights)), F.lit(0.0)), 9)
+
+
+def recommended(wishes: DataFrame, mt: Measurements, axes: tuple[str, ...], weights: tuple[float, ...], nearest: bool = True, name: str = "wish") -> Measurements:
+    """mt with a score by which its candidates come in the order that wishes(groups, wish, axes) recommend.
+
+    Each wish of a group is the candidate at its coordinates, the first by identity, or else the nearest one;
+    without nearest it is passed over, as are wishes with null coordinates. A candidate that several wishes mean has
+    the first one's place; all others follow by identity. The pick of a wish is an aggregate, and the order a
+    score: no group is sorted before it is evaluated.
+    """
+    asked = wishes.dropna(subset=["wish", *axes]).select(*mt.groups, "wish", *[F.col(a).alias(f"w_{a}") for a in axes])
+    pairs = mt.rows.select(*mt.groups, *dict.fromkeys([*mt.ids, *axes])).join(asked, list(mt.groups))
+    exact = reduce(lambda p, q: p & q, [F.col(a) == F.col(f"w_{a}") for a in axes])
+    pairs = pairs.withColumn("__apart", F.when(exact, F.lit(-1.0)).otherwise(log_distance(axes, weights)))
+    if not nearest:
+        pairs = pairs.where(exact)
+    picks = pairs.groupBy(*mt.groups, "wish").agg(F.min_by(F.struct(*mt.ids), F.struct("__apart", *mt.ids)).alias("x"))
+    first = picks.groupBy(*mt.groups, *[F.col(f"x.{i}").alias(i) for i in mt.ids]).agg(F.min("wish").cast("long").alias("__wish"))
+    rows = mt.rows.join(first, [*mt.groups, *mt.ids], "left").withColumn(name, F.coalesce("__wish", F.lit(1 << 40))).drop("__wish")
+    return mt.of(rows)
+
+
 def match_nearest(wanted: DataFrame, mt: Measurements, axes: tuple[str, ...], weights: tuple[float, ...]) -> DataFrame:
     """wanted with its group's nearest candidate by weighted squared distance of log2(max(x, 1) + 1).
 
     An equi-join on the group; the nearest is an aggregate, so that no group's pairs are sorted.
     """
-    scale = lambda c: F.log2(F.greatest(c, F.lit(1)) + 1)
-    asked = wanted.select(*wanted.columns, *[scale(F.col(a)).alias(f"w_{a}") for a in axes]).drop(*axes)
-    distance = sum((w * F.pow(scale(F.col(a)) - F.col(f"w_{a}"), F.lit(2)) for a, w in zip(axes, weights)), F.lit(0.0))
-    rows = mt.rows.join(asked, list(mt.groups)).withColumn("distance", F.round(distance, 9))
+    asked = wanted.select(*wanted.columns, *[F.col(a).alias(f"w_{a}") for a in axes]).drop(*axes)
+    rows = mt.rows.join(asked, list(mt.groups)).withColumn("distance", log_distance(axes, weights))
     order = F.struct("distance", *mt.ids)
     return rows.groupBy(*mt.groups).agg(F.min("distance").alias("distance"), *[F.min_by(i, order).alias(i) for i in mt.ids], F.min_by(mt.cost, order).alias("picked"))
 
@@ -80,12 +105,11 @@ def pairs(mt: Measurements, top_n: int, anchor_best: bool = False) -> DataFrame:
 
 
 def contrast_pairs(mt: Measurements, n_pos: int, n_neg: int) -> DataFrame:
-    """The n_pos cheapest of each group with n_neg others, spread evenly over the remaining places."""
-    n = F.count("*").over(mt.per_group())
-    rows = mt.ranked(mt.cost).withColumn("n", n).select(*mt.groups, "rn", "n", mt.cost)
-    rest = F.col("n") - n_pos
+    """The n_pos cheapest of each group with n_neg others, spread evenly over the remaining places. A large group is cut for its places."""
+    rows = group_places(mt.rows.select(*mt.groups, *mt.ids, mt.cost), list(mt.groups), mt.cost, list(mt.ids)).withColumn("rn", F.col("place") + 1)
+    rest = F.col("part_rows") - n_pos
     step = F.when(F.lit(n_neg) > 1, (rest - 1) / (n_neg - 1)).otherwise(0.0)
-    places = F.transform(F.sequence(F.lit(0), F.lit(n_neg - 1)), lambda i: (n_pos + 1 + F.floor(i * step + 1e-9)).cast("int"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(n_neg - 1)), lambda i: n_pos + 1 + F.floor(i * step + 1e-9))
     negative = rows.where((rest > 0) & (F.col("rn") > n_pos) & F.array_contains(places, F.col("rn"))).select(*mt.groups, F.col("rn").alias("rn_b"), F.col(mt.cost).alias("t_b"))
     positive = rows.where(F.col("rn") <= n_pos).select(*mt.groups, F.col("rn").alias("rn_a"), F.col(mt.cost).alias("t_a"))
     return positive.join(negative, list(mt.groups))
@@ -115,16 +139,21 @@ def diff_tables(old: DataFrame, new: DataFrame, on: list[str], value: str) -> Da
 def jaccard_pairs(df: DataFrame, block: str, items: str) -> DataFrame:
     """Mean and median Jaccard similarity and exact share over all pairs of sets in a block.
 
-    Equal sets are counted first, so that only different ones are paired, with the product of their counts:
-    with a bounded universe of items the pairs are bounded whatever the number of rows.
+    Equal sets are counted first. Different ones meet in the items that they share, so that a pair comes up as
+    often as it has items in common; disjoint pairs are what is left of all pairs and only counted.
     """
-    sets = df.groupBy(block, F.array_sort(items).alias("x")).agg(F.count("*").alias("c"))
-    a, b = sets.select(block, F.col("x").alias("xa"), F.col("c").alias("ca")), sets.select(block, F.col("x").alias("xb"), F.col("c").alias("cb"))
-    inter = F.size(F.array_intersect("xa", "xb"))
-    apart = a.join(b, block).where("xa < xb").select(block, (inter / (F.size("xa") + F.size("xb") - inter)).alias("j"), (F.col("ca") * F.col("cb")).alias("w"))
+    sets = df.groupBy(block, F.array_sort(items).alias("__x")).agg(F.count("*").alias("c"))
+    sets = sets.select(block, F.md5(F.to_json("__x")).alias("__set"), F.size("__x").alias("size"), "c", "__x")
+    posted = sets.select(block, "__set", "size", "c", F.explode("__x").alias("__item"))
+    side = lambda s: posted.select(block, "__item", *[F.col(c).alias(f"{c}_{s}") for c in ("__set", "size", "c")])
+    shared = side("a").join(side("b"), [block, "__item"]).where("__set_a < __set_b").groupBy(block, "__set_a", "__set_b", "size_a", "size_b", "c_a", "c_b").agg(F.count("*").alias("both"))
+    meet = shared.select(block, (F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("j"), (F.col("c_a") * F.col("c_b")).alias("w"))
     equal = sets.where("c > 1").select(block, F.lit(1.0).alias("j"), F.expr("c * (c - 1) div 2").alias("w"))
-    every = apart.unionByName(equal)
-    return every.groupBy(block).agg(F.sum("w").alias("n"), (F.sum(F.col("j") * F.col("w")) / F.sum("w")).alias("mean"), F.expr("percentile(j, 0.5, w)").alias("median"), (F.sum(F.when(F.col("j") == 1, F.col("w")).otherwise(0)) / F.sum("w")).alias("same"))
+    met = meet.unionByName(equal).groupBy(block, "j").agg(F.sum("w").alias("w"))
+    every = sets.groupBy(block).agg(F.sum("c").alias("n")).select(block, F.expr("n * (n - 1) div 2").alias("n"))
+    apart = every.join(met.groupBy(block).agg(F.sum("w").alias("met")), block, "left").select(block, F.lit(0.0).alias("j"), (F.col("n") - F.coalesce("met", F.lit(0))).alias("w")).where("w > 0")
+    histogram = met.unionByName(apart)
+    return histogram.groupBy(block).agg(F.sum("w").alias("n"), (F.sum(F.col("j") * F.col("w")) / F.sum("w")).alias("mean"), F.expr("percentile(j, 0.5, w)").alias("median"), (F.sum(F.when(F.col("j") == 1, F.col("w")).otherwise(0)) / F.sum("w")).alias("same"))
 
 
 def jaccard_floor(sizes: DataFrame, pool: int, draws: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator, Hashable
 from functools import reduce
 from itertools import combinations
 
@@ -26,13 +26,15 @@ def weight_table(spark, vectors: list[list[float]]) -> DataFrame:
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "weight_id int, w array<double>")
 
 
-def regret_batch(mt: Measurements, features: list[str], vectors: DataFrame) -> DataFrame:
+def regret_batch(mt: Measurements, features: list[str], vectors: DataFrame, on: Column | None = None) -> DataFrame:
     """weight_id, regret, infeasible: the first pick's geometric mean regret of each weight vector, in one pass.
 
-    The vectors are few and broadcast; the pick is an aggregate (no sort), and partial in each task.
+    The vectors are few and broadcast; the pick is an aggregate (no sort), and partial in each task. Where on
+    is given (a condition on the rows and the vectors), each vector is tried on its own rows.
     """
     t = mt.cost
-    each = mt.rows.select(*mt.groups, *mt.ids, t, *features).crossJoin(F.broadcast(vectors))
+    each = mt.rows.join(F.broadcast(vectors), on) if on is not None else mt.rows.crossJoin(F.broadcast(vectors))
+    each = each.select("weight_id", "w", *mt.groups, *mt.ids, t, *features)
     score = linear(features, [F.col("w")[i] for i in range(len(features))])
     each = each.withColumn("score", score)
     bad = F.count_if(F.col("score").isNull() | F.isnan("score")).alias("bad")
@@ -59,39 +61,86 @@ def _pairs(w: list[float], step: float) -> list[list[float]]:
     return [[by(x, d) if j == i else by(x, e) if j == k else x for j, x in enumerate(w)] for i, k in combinations(range(len(w)), 2) for d, e in _MOVES]
 
 
-def descend(mt: Measurements, features: list[str], start: list[float], steps: tuple[float, ...] = STEPS, pairs: bool = True, bounds: list[tuple[float, float]] | None = None, budget: int = 400) -> list[tuple[str, float, list[float]]]:
-    """(kind, regret, weights) of the start and each strict improvement.
+def _descent(start: list[float], steps: tuple[float, ...], pairs: bool, bounds: list[tuple[float, float]] | None, budget: int) -> Generator[list[list[float]], list[float | None], list[tuple[str, float, list[float]]]]:
+    """Asks for the regrets of batches of weight vectors (none where infeasible) and ends with (kind, regret, weights) of the start and each strict improvement.
 
     For each step size the best of all single-weight steps, as long as one is better; then, as the single ones
-    are stuck, the best of all steps of two weights. Each batch is one pass over all rows; budget is the number
-    of weight vectors that may be tried.
+    are stuck, the best of all steps of two weights. budget is the number of weight vectors that may be tried.
     """
-    spark, best = mt.rows.sparkSession, _bounded(start, bounds)
-    first = regret_batch(mt, features, weight_table(spark, [best])).first()
-    value = float("inf") if first is None or first.infeasible or first.regret is None else float(first.regret)
+    best = _bounded(start, bounds)
+    (first,) = yield [best]
+    value = float("inf") if first is None else first
     log, used = [("start", value, best)], 1
-
-    def tried(kind: str, tries: list[list[float]]) -> bool:
-        nonlocal best, value, used
-        tries = [_bounded(t, bounds) for t in tries][: max(0, budget - used)]
-        if not tries:
-            return False
-        used += len(tries)
-        got = regret_batch(mt, features, weight_table(spark, tries)).where("NOT infeasible").orderBy("regret", "weight_id").first()
-        if got is None or got.regret is None or got.regret >= value - 1e-12:
-            return False
-        best, value = tries[got.weight_id], float(got.regret)
-        log.append((kind, value, best))
-        return True
-
     for step in steps:
-        while tried("single", _singles(best, step)):
-            pass
-        if pairs and len(best) > 1:
-            tried("pair", _pairs(best, step))
+        for kind, around in (("single", _singles), ("pair", _pairs)):
+            if kind == "pair" and not (pairs and len(best) > 1):
+                continue
+            while tries := [_bounded(t, bounds) for t in around(best, step)][: max(0, budget - used)]:
+                used += len(tries)
+                got = yield tries
+                i = min((j for j, r in enumerate(got) if r is not None), key=lambda j: (got[j], j), default=None)  # noqa: B023
+                if i is None or got[i] >= value - 1e-12:
+                    break
+                best, value = tries[i], got[i]
+                log.append((kind, value, best))
+                if kind == "pair":
+                    break
     return log
 
 
+def _lockstep(ask: Callable[[dict[Hashable, list[list[float]]]], dict[Hashable, list[float | None]]], descents: dict[Hashable, Generator]) -> dict[Hashable, list[tuple[str, float, list[float]]]]:
+    """The ends of several descents that step together: each round asks for what all of them want to know."""
+    ends, wanted = {}, {k: next(d) for k, d in descents.items()}
+    while wanted:
+        got, wanted = ask(wanted), {}
+        for k, regrets in got.items():
+            try:
+                wanted[k] = descents[k].send(regrets)
+            except StopIteration as end:
+                ends[k] = end.value
+    return ends
+
+
+def descend(mt: Measurements, features: list[str], start: list[float], steps: tuple[float, ...] = STEPS, pairs: bool = True, bounds: list[tuple[float, float]] | None = None, budget: int = 400) -> list[tuple[str, float, list[float]]]:
+    """(kind, regret, weights) of the start and each strict improvement, see _descent; each batch is one pass over all rows."""
+
+    def ask(wanted):
+        got = {r.weight_id: r.regret for r in regret_batch(mt, features, weight_table(mt.rows.sparkSession, wanted[0])).collect()}  # a row for each vector
+        return {0: [got.get(i) for i in range(len(wanted[0]))]}
+
+    return _lockstep(ask, {0: _descent(start, steps, pairs, bounds, budget)})[0]
+
+
+PART, FOLD = "__part", "__fold"  # columns of rows that several fits share
+
+
+def regret_parts(mt: Measurements, features: list[str], trials: list[tuple[Hashable, int, bool, list[float]]]) -> list[float | None]:
+    """The regret of each trial (part, fold, held out or training, weights), none where infeasible or without rows; one pass for all."""
+    rows = [(i, part, fold, held, [float(x) for x in w]) for i, (part, fold, held, w) in enumerate(trials)]
+    kind = dict(mt.rows.dtypes)[PART]
+    vectors = mt.rows.sparkSession.createDataFrame(rows, f"weight_id int, of {kind}, at int, held boolean, w array<double>")
+    on = (F.col(PART) == F.col("of")) & ((F.col(FOLD) == F.col("at")) == F.col("held"))
+    got = {r.weight_id: r.regret for r in regret_batch(mt, features, vectors, on).collect()}  # a row for each trial
+    return [got.get(i) for i in range(len(trials))]
+
+
+def descend_parts(mt: Measurements, features: list[str], starts: dict[Hashable, tuple[Hashable, int, list[float]]], steps: tuple[float, ...] = STEPS, pairs: bool = True, bounds: list[tuple[float, float]] | None = None, budget: int = 400) -> dict[Hashable, list[tuple[str, float, list[float]]]]:
+    """Many fits in lockstep: for each name of starts (part, fold, weights) the log of its descent on the part's rows outside the fold.
+
+    A round is one pass that tries what all fits want to try, each on its own rows; so the passes are those of
+    the longest descent, whatever the number of fits.
+    """
+
+    def ask(wanted):
+        flat = [(k, w) for k, tries in wanted.items() for w in tries]
+        got, out = regret_parts(mt, features, [(*starts[k][:2], False, w) for k, w in flat]), {k: [] for k in wanted}
+        for (k, _), r in zip(flat, got):
+            out[k].append(r)
+        return out
+
+    return _lockstep(ask, {k: _descent(w, steps, pairs, bounds, budget) for k, (_, _, w) in starts.items()})
+
+
 def coordinate_fit(mt: Measurements, features: list[str], start: list[float], steps: tuple[float, ...] = STEPS, pairs: bool = True, restarts: int = 0, bounds: list[tuple[float, float]] | None = None, budget: int = 400, train: Column | None = None, seed: int = 5) -> DataFrame:
     """round, kind, regret, val_regret, weights: the start, each improvement and each restart that is better than all before.
 
@@ -117,54 +166,71 @@ def coordinate_fit(mt: Measurements, features: list[str], start: list[float], st
     return spark.createDataFrame([(i, kind, value, held.get(i), w) for i, (kind, value, w) in enumerate(log)], "round int, kind string, regret double, val_regret double, weights array<double>")
 
 
-def constant_features(mt: Measurements, features: list[str]) -> tuple[list[str], dict[str, bool]]:
-    """Features with one value in all rows, and for each whether it is constant inside every group."""
-    per = mt.rows.groupBy(*mt.groups).agg(*[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features])
-    row = per.agg(*[F.every(F.col(f"lo_{f}") == F.col(f"hi_{f}")).alias(f"g_{f}") for f in features], *[(F.min(f"lo_{f}") == F.max(f"hi_{f}")).alias(f"a_{f}") for f in features]).first()
-    return [f for f in features if row[f"a_{f}"]], {f: bool(row[f"g_{f}"]) for f in features}
+def constant_parts(mt: Measurements, features: list[str]) -> DataFrame:
+    """part, fold, n (groups), and for each feature whether it is constant inside every group (g_) and over all rows (a_)."""
+    per = mt.rows.groupBy(PART, FOLD, *mt.groups).agg(*[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features])
+    same = [F.every(F.col(f"lo_{f}") == F.col(f"hi_{f}")).alias(f"g_{f}") for f in features] + [(F.min(f"lo_{f}") == F.max(f"hi_{f}")).alias(f"a_{f}") for f in features]
+    return per.groupBy(F.col(PART).alias("part"), F.col(FOLD).alias("fold")).agg(F.count("*").alias("n"), *same)
 
 
-def transfer_cells(tables: dict[str, tuple[Measurements, list[float]]], features: list[str], fold: Column, folds: int, others: dict[str, Callable[[Measurements, int], float | None]], steps: tuple[float, ...] = (1.0, 0.3)) -> DataFrame:
+def transfer_cells(tables: dict[str, tuple[Measurements, list[float]]], features: list[str], fold: Column, folds: int, others: dict[str, Callable[[Measurements], DataFrame]], steps: tuple[float, ...] = (1.0, 0.3)) -> DataFrame:
     """For each fold and pair of tables: regrets on the target's held-out groups and what differs between the two.
 
     as_is: the source's weights fitted on its own training groups; refit: those fitted again on the target's;
-    native: the target's own weights fitted there; others: baselines on the held-out groups, by name. moved:
-    the second fit changed the weights; level_flips: features that are constant inside groups in one table
-    only; constant: features with one value on the target's held-out groups.
+    native: the target's own weights fitted there; others: baselines by name, each giving (part, fold, value)
+    for the held-out groups of all tables, whose columns are those of the tables and PART and FOLD. moved: the
+    second fit changed the weights; level_flips: features that are constant inside groups in one table only;
+    constant: features with one value on the target's held-out groups. All fits of a kind step together.
     """
-    spark = next(iter(tables.values()))[0].rows.sparkSession
-    tables = {k: (mt.of(mt.rows.persist()), w) for k, (mt, w) in tables.items()}  # on disk where memory is short, computed again where an executor goes
+    mt = next(iter(tables.values()))[0]
+    spark, cols = mt.rows.sparkSession, [*mt.groups, *mt.ids, mt.cost, *features]
+    every = reduce(lambda a, b: a.unionByName(b), [m.rows.select(*cols, F.lit(k).alias(PART), fold.cast("int").alias(FOLD)) for k, (m, _) in tables.items()])
+    every = mt.of(every.persist())  # on disk where memory is short, computed again where an executor goes
+    cells = [(i, src, dst) for i in range(folds) for src in tables for dst in tables if src != dst]
+    own = descend_parts(every, features, {(k, i): (k, i, w) for k, (_, w) in tables.items() for i in range(folds)}, steps, pairs=False)
+    again = descend_parts(every, features, {c: (c[2], c[0], own[c[1], c[0]][-1][2]) for c in cells}, steps, pairs=False)
+    weights = {(i, src, dst): (own[src, i][-1][2], again[i, src, dst][-1][2], own[dst, i][-1][2]) for i, src, dst in cells}
+    got = regret_parts(every, features, [(c[2], c[0], True, w) for c in cells for w in weights[c]])
+    kinds = {(r.part, r.fold): r.asDict() for r in constant_parts(every, features).collect()}  # a row for each table and fold
+    beside = {name: {(r.part, r.fold): r.value for r in f(every).collect()} for name, f in others.items()}  # the same
     out = []
-    for i in range(folds):
-        train = {k: mt.of(mt.rows.where(fold != i)) for k, (mt, _) in tables.items()}
-        held = {k: mt.of(mt.rows.where(fold == i)) for k, (mt, _) in tables.items()}
-        own = {k: descend(train[k], features, w, steps, pairs=False)[-1][2] for k, (_, w) in tables.items()}
-        kinds = {k: constant_features(held[k], features) for k in tables}
-        beside = {k: {name: f(held[k], i) for name, f in others.items()} for k in tables}
-        for src in tables:
-            for dst in tables:
-                if src == dst:
-                    continue
-                again = descend(train[dst], features, own[src], steps, pairs=False)[-1][2]
-                got = {r.weight_id: r.regret for r in regret_batch(held[dst], features, weight_table(spark, [own[src], again, own[dst]])).collect()}  # three rows
-                flips = sum(kinds[src][1][f] != kinds[dst][1][f] for f in features)
-                n = held[dst].rows.select(*held[dst].groups).distinct().count()
-                out.append((i, src, dst, n, got[0], got[1], got[2], *beside[dst].values(), again != own[src], flips, len(kinds[dst][0])))
-    for mt, _ in tables.values():
-        mt.rows.unpersist()
-    names = ", ".join(f"{n} double" for n in others)
-    return spark.createDataFrame(out, f"fold int, src string, dst string, n long, as_is double, refit double, native double, {names}, moved boolean, level_flips int, constant int")
-
-
-def rank_loss(pairs: DataFrame, score_a: Column, score_b: Column) -> DataFrame:
-    """Weighted mean of softplus(score_a - score_b) over pairs whose first is cheaper."""
-    d = score_a - score_b
-    loss = F.greatest(d, F.lit(0.0)) + F.log1p(F.exp(-F.abs(d)))
-    return pairs.agg((F.sum(F.col("weight") * loss) / F.sum("weight")).alias("loss"), F.count("*").alias("n"))
-
-
-def rank_fit(pairs: DataFrame, features: list[str], iterations: int = 50) -> list[float]:
-    """Weights that minimise the pair loss: logistic regression on the differences, each pair in both directions."""
+    for n, (i, src, dst) in enumerate(cells):
+        a, b = kinds.get((src, i), {}), kinds.get((dst, i), {})
+        flips = sum(a.get(f"g_{f}") != b.get(f"g_{f}") for f in features)
+        out.append((i, src, dst, b.get("n", 0), *got[3 * n : 3 * n + 3], *[x.get((dst, i)) for x in beside.values()], weights[i, src, dst][0] != weights[i, src, dst][1], flips, sum(bool(b.get(f"a_{f}")) for f in features)))
+    every.rows.unpersist()
+    names = "".join(f"{n} double, " for n in others)
+    return spark.createDataFrame(out, f"fold int, src string, dst string, n long, as_is double, refit double, native double, {names}moved boolean, level_flips int, constant int")
+
+
+def _softplus(d: Column) -> Column:
+    return F.greatest(d, F.lit(0.0)) + F.log1p(F.exp(-F.abs(d)))
+
+
+def rank_loss(pairs: DataFrame, score_a: Column, score_b: Column, first: Column | None = None, share: float = 0.0) -> DataFrame:
+    """Weighted mean of softplus(score_a - score_b) over pairs whose first is cheaper.
+
+    Where first is given (a condition: the pair holds its group's cheapest), the loss is (1 - share) of the mean
+    over all pairs and share of the mean over these, each by its own weights; n and n_first count both. A set
+    without pairs leaves the loss null.
+    """
+    loss = _softplus(score_a - score_b)
+    mean = lambda w: F.sum(w * loss) / F.sum(w)
+    if first is None:
+        return pairs.agg(mean(F.col("weight")).alias("loss"), F.count("*").alias("n"))
+    top = F.when(first, F.col("weight"))
+    return pairs.agg(((1 - share) * mean(F.col("weight")) + share * mean(top)).alias("loss"), mean(F.col("weight")).alias("every"), mean(top).alias("first"), F.count("*").alias("n"), F.count_if(first).alias("n_first"))
+
+
+def rank_fit(pairs: DataFrame, features: list[str], iterations: int = 50, first: Column | None = None, share: float = 0.0) -> list[float]:
+    """Weights that minimise the pair loss: logistic regression on the differences, each pair in both directions.
+
+    The first-place term is a second weight of its pairs: the loss of both sets is one weighted sum.
+    """
+    if first is not None:
+        top = F.when(first, F.col("weight")).otherwise(0.0)
+        sums = pairs.agg(F.sum("weight").alias("every"), F.sum(top).alias("top"))  # one row
+        pairs = pairs.withColumn("__top", top).crossJoin(F.broadcast(sums)).withColumn("weight", ((1 - share) * F.col("weight") / F.col("every") + share * F.col("__top") / F.col("top")) * F.col("every"))
     d = [(F.col(f"{f}_a") - F.col(f"{f}_b")).alias(f) for f in features]
     one = pairs.select(*d, "weight", F.lit(0.0).alias("label"))
     both = one.unionByName(one.select(*[(-F.col(f)).alias(f) for f in features], "weight", F.lit(1.0).alias("label")))

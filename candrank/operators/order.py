@@ -30,13 +30,9 @@ def seeded_places(rows: DataFrame, part: list[str], key: list[str], *seed: objec
     """
     drawn = rows.withColumn("__draw", draw(key, *seed)).withColumn("__cut", F.substring("__draw", 1, HEX))
     counts = drawn.groupBy(*part, "__cut").agg(F.count("*").alias("__rows"))
-    w = Window.partitionBy(*part)  # 16^HEX rows for each part at most
-    before = counts.select(*[F.col(p).alias(f"__of_{p}") for p in part], F.col("__cut").alias("__at"), (F.sum("__rows").over(w.orderBy("__cut")) - F.col("__rows")).alias("__before"), F.sum("__rows").over(w).alias("part_rows"))
+    before = _offsets(counts, part, "__cut", "__rows")  # 16^HEX rows for each part at most
     inside = drawn.withColumn("__in", F.row_number().over(Window.partitionBy(*part, "__cut").orderBy("__draw", *key)))
-    on = F.col("__cut") == F.col("__at")
-    for p in part:
-        on &= F.col(p).eqNullSafe(F.col(f"__of_{p}"))
-    out = inside.join(before, on).withColumn("place", F.col("__before") + F.col("__in") - 1)
+    out = inside.join(before, _same_bucket(part, "__cut")).withColumn("place", F.col("__before") + F.col("__in") - 1)
     return out.select(*rows.columns, "place", "part_rows")
 
 
@@ -107,6 +103,64 @@ def places(df: DataFrame, names: list[str], key: list[str], prefix: str = "p_")
     return rows.select(*df.columns, *[(F.col(f"__i{own[n]}") + F.get(f"__o{own[n]}", F.col(own[n]) + 1)).alias(prefix + n) for n in names])
 
 
+def _offsets(counts: DataFrame, part: list[str], bucket: str, n: str) -> DataFrame:
+    """counts(part, bucket, n) with __before and part_rows: the rows of the part in lower buckets, and all of it. A part has as many rows here as buckets."""
+    w = Window.partitionBy(*part)
+    return counts.select(*[F.col(p).alias(f"__of_{p}") for p in part], F.col(bucket).alias("__at"), (F.sum(n).over(w.orderBy(bucket)) - F.col(n)).alias("__before"), F.sum(n).over(w).alias("part_rows"))
+
+
+def _same_bucket(part: list[str], bucket: str) -> Column:
+    on = F.col(bucket) == F.col("__at")
+    for p in part:
+        on &= F.col(p).eqNullSafe(F.col(f"__of_{p}"))
+    return on
+
+
+def group_places(rows: DataFrame, part: list[str], by: str, key: list[str], edges: list[float] | None = None) -> DataFrame:
+    """rows with place (from 0, by a number, ties by key, nulls first, inside each part) and part_rows.
+
+    Parts are cut by approximate quantiles of the number over all rows (edges, where they are known), so that a
+    large part is many tasks; a window sees one bucket of one part.
+    """
+    edges = _edges(rows, [by])[0][by] if edges is None else edges
+    cut = rows.withColumn("__cut", F.when(F.col(by).isNull(), -1).otherwise(bucket_of(edges, F.col(by).cast("double"))).cast("int"))
+    before = _offsets(cut.groupBy(*part, "__cut").agg(F.count("*").alias("__rows")), part, "__cut", "__rows")
+    inside = cut.withColumn("__in", F.row_number().over(Window.partitionBy(*part, "__cut").orderBy(by, *key)))
+    return inside.join(before, _same_bucket(part, "__cut")).withColumn("place", F.col("__before") + F.col("__in") - 1).select(*rows.columns, "place", "part_rows")
+
+
+def mid_ranks(counted: DataFrame, part: list[str], by: str, n: str, edges: list[float]) -> DataFrame:
+    """counted(part, by, n, ...), a row for each different number of a part, with mid: the mean place (from 1) of its n rows inside the part.
+
+    Cut as in group_places.
+    """
+    cut = counted.withColumn("__cut", bucket_of(edges, F.col(by).cast("double")).cast("int"))
+    before = _offsets(cut.groupBy(*part, "__cut").agg(F.sum(n).alias("__rows")), part, "__cut", "__rows")
+    upto = F.sum(n).over(Window.partitionBy(*part, "__cut").orderBy(by))
+    inside = cut.withColumn("__upto", upto)
+    mid = F.col("__before") + F.col("__upto") - F.col(n) + (F.col(n) + 1) / 2
+    return inside.join(before, _same_bucket(part, "__cut")).select(*counted.columns, mid.alias("mid"))
+
+
+def edges_of(df: DataFrame, names: list[str]) -> dict[str, list[float]]:
+    return _edges(df, names)[0]
+
+
+def rank_correlation(rows: DataFrame, part: list[str], a: str, b: str) -> DataFrame:
+    """part, n, rho: correlation of the mean places of two numbers inside each part; null under three rows and where one is constant."""
+    rows = rows.select(*part, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    edges = _edges(rows, [a, b])[0]
+    both = rows.groupBy(*part, a, b).agg(F.count("*").alias("c"))
+    for name in (a, b):
+        ranks = mid_ranks(rows.groupBy(*part, name).agg(F.count("*").alias("m")), part, name, "m", edges[name]).select(*part, name, F.col("mid").alias(f"mid_{name}"))
+        both = both.join(ranks, [*part, name])
+    x, y, c = F.col(f"mid_{a}"), F.col(f"mid_{b}"), F.col("c")
+    sums = both.groupBy(*part).agg(F.sum("c").alias("n"), F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"))
+    square = F.col("n") * F.pow((F.col("n") + 1) / 2, F.lit(2))
+    free = (F.col("xx") - square) * (F.col("yy") - square)
+    return sums.select(*part, "n", F.when((F.col("n") >= 3) & (F.col("xx") > square) & (F.col("yy") > square), (F.col("xy") - square) / F.sqrt(free)).alias("rho"))
+
+
 def values_at(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
     """The values at the given ranks (from 0, in ascending order of the non-null values) of each column, exactly.
 
@@ -158,3 +212,9 @@ def exact_quantiles(df: DataFrame, names: list[str], at: tuple[float, ...]) -> d
         return lo if share == 0 else (1 - share) * lo + share * hi
 
     return {n: [one(n, q) for q in at] for n in names}
+
+
+def exact_median(df: DataFrame, name: str) -> float | None:
+    """The median of the finite values of a column, by selection; null without any."""
+    x = F.col(name).cast("double")
+    return exact_quantiles(df.select(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).alias(name)), [name], (0.5,))[name][0]

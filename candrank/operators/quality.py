@@ -60,13 +60,16 @@ def duplicates(fm: DataFrame, names: list[str], key: list[str], rho: float = 0.9
 
 
 def rank_auc(mt: Measurements, answer: Column, names: list[str]) -> DataFrame:
-    """feature, auc, n: mean over groups of the area under the curve of a feature against the answers (large is bad), ties at mean places."""
-    rows = mt.rows.withColumn("good", answer)
-    frames = []
+    """feature, auc, n: mean over groups of the area under the curve of a feature against the answers (large is bad), ties at mean places.
+
+    Places are those of a group's different values, with their counts of answers and others; a large group is cut.
+    """
+    rows, groups, frames = mt.rows.withColumn("good", answer), list(mt.groups), []
+    edges = order.edges_of(rows, names)
     for n in names:
-        tied = Window.partitionBy(*mt.groups, n)
-        placed = rows.withColumn("place", F.rank().over(mt.per_group(n)) + (F.count("*").over(tied) - 1) / 2)
-        per = placed.groupBy(*mt.groups).agg(F.count_if(F.col("good")).alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"), F.sum(F.when(~F.col("good"), F.col("place"))).alias("sum_bad")).where("n_good > 0 AND n_bad > 0")
+        counted = rows.groupBy(*groups, n).agg(F.count("*").alias("c"), F.count_if(F.col("good")).alias("good"), F.count_if(~F.col("good")).alias("bad"))
+        placed = order.mid_ranks(counted, groups, n, "c", edges[n])
+        per = placed.groupBy(*groups).agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.sum(F.col("bad") * F.col("mid")).alias("sum_bad")).where("n_good > 0 AND n_bad > 0")
         frames.append(per.agg(F.avg((F.col("sum_bad") - F.col("n_bad") * (F.col("n_bad") + 1) / 2) / (F.col("n_good") * F.col("n_bad"))).alias("auc"), F.count("*").alias("n")).withColumn("feature", F.lit(n)))
     return reduce(lambda a, b: a.unionByName(b), frames).withColumn("against", F.col("auc") < 0.45)
 
@@ -114,21 +117,40 @@ def separability(mt: Measurements, names: list[str], n: int = 100) -> DataFrame:
     return per.groupBy("feature").agg(C.median(F.col("d").cast("double")).alias("n_distinct"), C.median(F.col("cv")).alias("cv"), F.count_if(F.col("d") == 1).alias("constant_groups"))
 
 
-def slice_gate(mt: Measurements, axis: str, fields: tuple[str, ...]) -> DataFrame:
-    """For each field: slices through the groups' cheapest candidates along it, the others held.
+# The least mean rank correlation of a time-like axis, and the shares of slices from which a field is judged and fails.
+RANK_LEAST, INTERIOR_LEAST, INTERIOR_SHARE, END_SHARE = 0.3, 3, 0.25, 0.5
+
 
-    n slices of three values or more; interior: the cost is lowest inside the range; end_miss: there the axis
-    is lowest at an end.
+def slice_gate(mt: Measurements, axis: str, fields: tuple[str, ...]) -> DataFrame:
+    """Does an axis behave like the cost: a row for each field, and what holds for all beside it.
+
+    Slices go through the groups' cheapest candidates along the field, the others held: n slices of three values
+    or more along which the axis moves; interior: the cost is lowest inside the range; end_miss: there the axis
+    is lowest at an end; one_way: enough slices are interior, and the axis misses more than half of these.
+    n_groups, rank (mean over groups of the rank correlation of axis and cost, ties at mean places) and pick_gm
+    (geometric mean regret of the candidate with the lowest axis) are of the groups whose axis is finite
+    everywhere. verdict names what fails, rank and fields, and is null where nothing does.
     """
-    t = mt.cost
-    best = mt.rows.groupBy(*mt.groups).agg(F.min_by(F.struct(*fields), F.struct(t, *mt.ids)).alias("b"))
-    rows = mt.rows.join(best, list(mt.groups))
+    t, groups = mt.cost, list(mt.groups)
+    sound = mt.rows.groupBy(*groups).agg(F.every(C.finite(F.col(axis))).alias("sound")).where("sound").select(*groups)
+    mt = mt.of(mt.rows.join(sound, groups, "left_semi"))
+    best = mt.rows.groupBy(*groups).agg(F.min_by(F.struct(*fields), F.struct(t, *mt.ids)).alias("b"))
+    rows = mt.rows.join(best, groups)
     frames = []
     for f in fields:
         held = reduce(lambda p, q: p & q, [F.col(x) == F.col(f"b.{x}") for x in fields if x != f])
-        along = rows.where(held).groupBy(*mt.groups, f).agg(F.min(t).alias("t"), F.min(axis).alias("a"))
-        s = along.groupBy(*mt.groups).agg(F.count("*").alias("v"), F.min(f).alias("lo"), F.max(f).alias("hi"), F.min_by(f, F.struct("t", f)).alias("at"), F.min_by(f, F.struct("a", f)).alias("axis_at")).where("v >= 3")
+        along = rows.where(held).groupBy(*groups, f).agg(F.min(t).alias("t"), F.min(axis).alias("a"))
+        s = along.groupBy(*groups).agg(
+            F.count("*").alias("v"), F.min(f).alias("lo"), F.max(f).alias("hi"), (F.min("a") < F.max("a")).alias("moves"), F.min_by(f, F.struct("t", f)).alias("at"), F.min_by(f, F.struct("a", f)).alias("axis_at")
+        ).where("v >= 3 AND moves")
         inner = (F.col("at") != F.col("lo")) & (F.col("at") != F.col("hi"))
         end = (F.col("axis_at") == F.col("lo")) | (F.col("axis_at") == F.col("hi"))
         frames.append(s.agg(F.count("*").alias("n"), F.count_if(inner).alias("interior"), F.count_if(inner & end).alias("end_miss"), F.count_if(F.col("at") == F.col("axis_at")).alias("hit")).withColumn("field", F.lit(f)))
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    enough = F.col("interior") >= F.greatest(F.lit(INTERIOR_LEAST), INTERIOR_SHARE * F.col("n"))
+    per_field = reduce(lambda a, b: a.unionByName(b), frames).withColumn("one_way", enough & (F.col("end_miss") > END_SHARE * F.col("interior")))
+    ranks = order.rank_correlation(mt.rows, groups, axis, t).agg(F.avg("rho").alias("rank"))
+    picks = mt.rows.groupBy(*groups).agg((F.min_by(t, F.struct(axis, *mt.ids)) / F.min(t)).alias("pick")).agg(C.geomean(F.col("pick")).alias("pick_gm"), F.count("*").alias("n_groups"))
+    failed = per_field.agg(F.array_sort(F.collect_list(F.when(F.col("one_way"), F.col("field")))).alias("ways"))  # one entry for each field at most
+    low = F.when(F.coalesce(F.col("rank") < RANK_LEAST, F.lit(True)), F.array(F.lit("rank"))).otherwise(F.array().cast("array<string>"))
+    every = ranks.crossJoin(picks).crossJoin(failed).withColumn("verdict", F.nullif(F.array_join(F.concat(low, "ways"), ","), F.lit(""))).drop("ways")
+    return per_field.crossJoin(F.broadcast(every))  # one row

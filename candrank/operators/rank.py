@@ -78,16 +78,20 @@ def regret_mean_at_k(mt: Measurements, score: str, ks: tuple[int, ...]) -> DataF
 
 
 def hit_at_pct(mt: Measurements, score: str, pcts: tuple[int, ...]) -> DataFrame:
-    """Share of groups whose first pct % by score (one at least) hold a best candidate, and an answer."""
-    sizes = mt.rows.groupBy(*mt.groups).agg(best_of(F.col(mt.cost)).alias("best"), F.count("*").alias("n"))
-    top = F.greatest(F.lit(1), F.ceil(F.col("n") * max(pcts) / 100))
-    rows = mt.of(mt.rows.join(sizes, list(mt.groups))).ranked(score).where(F.col("rn") <= top)
-    t, good = F.col(mt.cost), F.col("best") * (1 + tolerance(F.col("best"), mt.noise))
-    cols = []
-    for p in pcts:
-        inside = F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100))
-        cols += [F.max((inside & (t == F.col("best"))).cast("int")).alias(f"b{p}"), F.max((inside & (t <= good)).cast("int")).alias(f"a{p}")]
-    shares = rows.groupBy(*mt.groups).agg(*cols).agg(*[F.avg(f"{x}{p}").alias(f"{x}{p}") for p in pcts for x in "ab"])
+    """Share of groups whose first pct % by score (one at least) hold a best candidate, and an answer.
+
+    A group's first best candidate and first answer by score are aggregates, and their places the counts of the
+    candidates before them, so that no group is sorted.
+    """
+    t = F.col(mt.cost)
+    sizes = mt.rows.groupBy(*mt.groups).agg(best_of(t).alias("best"), F.count("*").alias("n"))
+    rows = mt.rows.join(sizes, list(mt.groups)).withColumn("__at", F.struct(score, *mt.ids))
+    good = F.col("best") * (1 + tolerance(F.col("best"), mt.noise))
+    first = rows.groupBy(*mt.groups).agg(F.min(F.when(t == F.col("best"), F.col("__at"))).alias("__b"), F.min(F.when(t <= good, F.col("__at"))).alias("__a"))
+    before = rows.join(first, list(mt.groups)).groupBy(*mt.groups).agg(F.max("n").alias("n"), *[F.when(F.max(F.col(f"__{x}").isNotNull()), F.count_if(F.col("__at") < F.col(f"__{x}"))).alias(x) for x in "ab"])
+    top = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100))
+    inside = lambda p, x: F.avg(F.coalesce(F.col(x) < top(p), F.lit(False)).cast("int")).alias(f"{x}{p}")
+    shares = before.agg(*[inside(p, x) for p in pcts for x in "ab"])
     return shares.select(F.explode(F.array(*[F.struct(F.lit(p).alias("pct"), F.col(f"b{p}").alias("hit_best"), F.col(f"a{p}").alias("hit_answer")) for p in pcts])).alias("x")).select("x.*")
 
 

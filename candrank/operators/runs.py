@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candrank.functions import columns as C
-from candrank.operators.order import values_at
+from candrank.operators.order import exact_median, values_at
+from candrank.sources.shared import written
 
 
 def cumulative_best(runs: DataFrame, last_round: Column | None = None) -> DataFrame:
@@ -62,14 +63,14 @@ def improvements(curve: DataFrame, threshold: float) -> DataFrame:
 def median_of_runs(ev: DataFrame, key: list[str]) -> DataFrame:
     """Geometric mean of the groups' medians over runs, and median of the runs' geometric means."""
     per_group = ev.groupBy(*key).agg(C.median(F.col("regret")).alias("m")).agg(C.geomean(F.col("m")).alias("geo_of_medians"))
-    per_run = ev.groupBy("run").agg(C.geomean(F.col("regret")).alias("m")).agg(C.median(F.col("m")).alias("median_of_geos"), F.count("*").alias("n_runs"))
-    return per_group.crossJoin(per_run)
+    per_run = written(ev.groupBy("run").agg(C.geomean(F.col("regret")).alias("m")), "runs")
+    return per_group.crossJoin(per_run.agg(F.lit(exact_median(per_run, "m")).alias("median_of_geos"), F.count("*").alias("n_runs")))
 
 
 def pooled(runs: DataFrame, weight: str) -> DataFrame:
-    """For each seed the geometric mean over folds weighted by their size, and how many folds are below one."""
+    """For each seed the geometric mean over folds weighted by their size, the median fold, and how many folds there are and are at the best, one, or below."""
     n = F.col(weight)
-    return runs.groupBy("seed").agg(F.exp(F.sum(n * F.log("regret")) / F.sum(n)).alias("pooled"), F.count("*").alias("folds"), C.median(F.col("regret")).alias("median"))
+    return runs.groupBy("seed").agg(F.exp(F.sum(n * F.log("regret")) / F.sum(n)).alias("pooled"), F.count("*").alias("folds"), F.count_if(F.col("regret") <= 1).alias("at_best"), C.median(F.col("regret")).alias("median"))
 
 
 def spread(runs: DataFrame) -> DataFrame:

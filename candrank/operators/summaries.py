@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candrank.functions import columns as C
+from candrank.operators import order
 from candrank.operators.rank import cheapest
+from candrank.sources.shared import written
 from candrank.table import Measurements
 
 
@@ -30,9 +32,9 @@ def table_axes(mt: Measurements, k: int) -> DataFrame:
     t = F.col(mt.cost)
     near = mt.with_best().groupBy(*mt.groups).agg(F.count_if(~C.resolvable(t, F.col("best"), mt.noise)).alias("near"))
     kth = mt.ranked(mt.cost).where(F.col("rn") == k).join(mt.bests(), list(mt.groups)).select(*mt.groups, (t / F.col("best")).alias("kth"))
-    q = F.percentile("near", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    rows = near.join(kth, list(mt.groups), "left").agg(q, C.median(F.col("kth")).alias("kth"))
-    return rows.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "kth")
+    rows = written(near.join(kth, list(mt.groups), "left"), "axes")  # a row for each group, of which several jobs find the quantiles
+    found = order.exact_quantiles(rows, ["near", "kth"], (0.25, 0.5, 0.75))
+    return mt.rows.sparkSession.createDataFrame([(*found["near"], found["kth"][1])], "q1 double, q2 double, q3 double, kth double")
 
 
 def search_space(mt: Measurements, axes: tuple[str, ...], keep: Column) -> DataFrame:
@@ -110,8 +112,8 @@ def feature_gaps(cases: DataFrame, groups: list[str], features: list[str], used:
 
 def table_facts(mt: Measurements, static_regrets: DataFrame, support: int = 15) -> DataFrame:
     """Statements about a table with their support; those of too little support are withheld, but counted."""
-    ties = mt.with_best().where(F.col(mt.cost) == F.col("best")).groupBy(*mt.groups).agg(F.count("*").alias("w"))
-    facts = ties.agg(F.count("*").alias("groups"), F.count_if(F.col("w") > 1).alias("no_single"), C.median(F.col("w").cast("double")).alias("tie_median"), F.max("w").cast("double").alias("tie_max"))
+    ties = written(mt.with_best().where(F.col(mt.cost) == F.col("best")).groupBy(*mt.groups).agg(F.count("*").alias("w")), "ties")
+    facts = ties.agg(F.count("*").alias("groups"), F.count_if(F.col("w") > 1).alias("no_single"), F.lit(order.exact_median(ties, "w")).alias("tie_median"), F.max("w").cast("double").alias("tie_max"))
     long = facts.select("groups", F.explode(F.array(*[F.struct(F.lit(n).alias("fact"), F.col(n).cast("double").alias("value"), s.alias("support")) for n, s in (("no_single", F.col("no_single")), ("tie_median", F.col("groups")), ("tie_max", F.col("groups")))])).alias("x")).select("x.*")
     static = static_regrets.select(F.concat(F.lit("static_top"), "k").alias("fact"), F.col("geo").alias("value"), F.col("n").alias("support"))
     every = long.unionByName(static)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -10,15 +11,16 @@ from pyspark.sql import functions as F
 from candrank.functions import columns as C
 from candrank.functions.features import HARDWARE_AWARE, PHYSICAL, expanded, level_code, raster_of, with_features
 from candrank.operators import baselines as ba
+from candrank.operators import compare as cmp
 from candrank.operators import cross, fit, quality, rank, splits
 from candrank.operators import runs as ops
 from candrank.operators import summaries as su
 from candrank.plans.core_queries import EV, PART_SQL, ST
 from candrank.plans.fixtures import BRAND_SQL, NOISE, RUNS_SQL, brand, part, part_by_status, part_sql, read, runs, stats_sql
 from candrank.plans.registry import query
-from candrank.plans.split_queries import NEAREST, PAIRS, parts, wanted
+from candrank.plans.split_queries import PAIRS, WISHES, _order_sql, parts, wanted, wishes
 from candrank.sources.shared import shared_folder
-from candrank.table import Measurements, evaluate
+from candrank.table import Measurements, evaluate, group_stats
 
 #: lineitem as candidates of tiled products; the same expressions for Spark and the oracle
 CONFIG = {
@@ -167,11 +169,17 @@ def _gate_sql() -> str:
     fields, out = ("tile_m", "tile_n", "tile_k"), []
     for f in fields:
         held = " AND ".join(f"x.{c} = b.{c}" for c in fields if c != f)
-        out.append(f"SELECT '{f}' AS field, count(*) AS n, count(*) FILTER (WHERE pa <> lo AND pa <> hi) AS interior, count(*) FILTER (WHERE pa <> lo AND pa <> hi AND (ax = lo OR ax = hi)) AS end_miss, count(*) FILTER (WHERE pa = ax) AS hit FROM (SELECT g, count(*) AS v, min({f}) AS lo, max({f}) AS hi, arg_min({f}, (t, {f})) AS pa, arg_min({f}, (a, {f})) AS ax FROM (SELECT x.g, x.{f}, min(x.t) AS t, min(x.a) AS a FROM x JOIN b ON x.g = b.g AND {held} GROUP BY x.g, x.{f}) GROUP BY g) WHERE v >= 3")
-    return f"WITH {CONFIG_SQL}, x AS (SELECT g, o, l, t, tile_m, tile_n, tile_k, round(({PLAIN(FEATURES['log_grid_tiles'].sql)})::DOUBLE, 9) AS a FROM cf), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t, o, l) AS rn FROM x) WHERE rn = 1) " + " UNION ALL ".join(out)
+        out.append(f"SELECT '{f}' AS field, count(*) AS n, count(*) FILTER (WHERE pa <> lo AND pa <> hi) AS interior, count(*) FILTER (WHERE pa <> lo AND pa <> hi AND (ax = lo OR ax = hi)) AS end_miss, count(*) FILTER (WHERE pa = ax) AS hit FROM (SELECT g, count(*) AS v, min({f}) AS lo, max({f}) AS hi, min(a) < max(a) AS moves, arg_min({f}, (t, {f})) AS pa, arg_min({f}, (a, {f})) AS ax FROM (SELECT x.g, x.{f}, min(x.t) AS t, min(x.a) AS a FROM x JOIN b ON x.g = b.g AND {held} GROUP BY x.g, x.{f}) GROUP BY g) WHERE v >= 3 AND moves")
+    return f"""WITH {CONFIG_SQL}, x AS (SELECT g, o, l, t, tile_m, tile_n, tile_k, round(({PLAIN(FEATURES['log_grid_tiles'].sql)})::DOUBLE, 9) AS a FROM cf), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t, o, l) AS rn FROM x) WHERE rn = 1),
+      fd AS ({" UNION ALL ".join(out)}), fw AS (SELECT *, interior >= greatest(3, 0.25 * n) AND end_miss > 0.5 * interior AS one_way FROM fd),
+      pl AS (SELECT g, a, t, rank() OVER (PARTITION BY g ORDER BY a) + (count(*) OVER (PARTITION BY g, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY g ORDER BY t) + (count(*) OVER (PARTITION BY g, t) - 1) / 2.0 AS rt FROM x),
+      rk AS (SELECT avg(c) AS rank FROM (SELECT g, corr(ra, rt) AS c FROM pl GROUP BY g HAVING count(*) >= 3 AND min(a) < max(a) AND min(t) < max(t))),
+      pc AS (SELECT exp(avg(ln(p))) AS pick_gm, count(*) AS n_groups FROM (SELECT g, arg_min(t, (a, o, l)) / min(t) AS p FROM x GROUP BY g)),
+      vd AS (SELECT nullif(array_to_string(list_concat(CASE WHEN coalesce((SELECT rank FROM rk) < 0.3, true) THEN ['rank'] ELSE [] END, coalesce(list_sort(list(field) FILTER (WHERE one_way)), [])), ','), '') AS verdict FROM fw)
+      SELECT fw.*, rank, pick_gm, n_groups, verdict FROM fw, rk, pc, vd"""
 
 
-@query("field string, n bigint, interior bigint, end_miss bigint, hit bigint", _gate_sql())
+@query("field string, n bigint, interior bigint, end_miss bigint, hit bigint, one_way boolean, n_groups bigint, rank double, pick_gm double, verdict string", _gate_sql())
 def slice_gate(spark, sf):
     rows = with_features(configs(spark, sf), [FEATURES["log_grid_tiles"]]).withColumn("a", F.round("log_grid_tiles", 9))
     return quality.slice_gate(Measurements(rows, ("g",), ("o", "l"), noise=NOISE), "a", ("tile_m", "tile_n", "tile_k"))
@@ -197,22 +205,54 @@ def static_top1(spark, sf):
     return ba.static_topk(part(spark, sf), ("i1",), 1, scratch(spark))
 
 
-@query("k bigint, i1 bigint, objective double", f"WITH {_greedy_sql(3)} " + " UNION ALL ".join(f"SELECT {i} AS k, i1, objective FROM w{i}" for i in (1, 2, 3)))
+def _static_sql(k: int) -> str:
+    """Objective, coverage and strata of the first rounds."""
+    strata = {"large": "NOT small", "small": "small", "hard": "hard", "easy": "NOT hard"}
+    one = lambda i: f"SELECT {i} AS k, w.i1, w.objective, exp(avg(cur)) AS geo, count(cur) / count(*) AS cover, " + ", ".join(f"exp(avg(cur) FILTER (WHERE {c})) AS geo_{n}" for n, c in strata.items()) + f" FROM c{i} c JOIN sh ON c.g = sh.g, w{i} w GROUP BY w.i1, w.objective"
+    return f"WITH {_greedy_sql(k)}, sh AS (SELECT g, small, difficulty > (SELECT median(difficulty) FROM st) AS hard FROM st) " + " UNION ALL ".join(one(i) for i in range(1, k + 1))
+
+
+@query("k bigint, i1 bigint, objective double, geo double, cover double, geo_large double, geo_small double, geo_hard double, geo_easy double", _static_sql(3))
 def static_topk(spark, sf):
-    return ba.static_topk(part(spark, sf), ("i1",), 3, scratch(spark))
+    mt = part(spark, sf)
+    chosen = ba.static_topk(mt, ("i1",), 3, scratch(spark))
+    return chosen.join(ba.static_regret(mt, ("i1",), chosen, cmp.with_strata(group_stats(mt))), "k")
+
+
+OK_ONLY = _greedy_sql(1).replace("FROM m JOIN st", "FROM (SELECT * FROM m WHERE i3 <> 'R') m JOIN so st").replace("FROM st)", "FROM so)").replace(f"{ST}, ", f"{ST}, so AS (SELECT g, min(t) FILTER (WHERE isfinite(t) AND t > 0) AS best FROM m WHERE i3 <> 'R' GROUP BY g), ", 1)
 
 
-@query("procedure string, geo double, n bigint, failed boolean", f"WITH {_greedy_sql(1)} SELECT 'union' AS procedure, exp(avg(v)) AS geo, count(*) AS n, false AS failed FROM r WHERE i1 = (SELECT i1 FROM w1) UNION ALL SELECT 'individual', NULL, NULL, true WHERE NOT EXISTS (SELECT i1 FROM m GROUP BY i1 HAVING count(DISTINCT g) = (SELECT count(*) FROM st))")
+@query(
+    "procedure string, geo double, n bigint, failed boolean",
+    f"WITH can AS (WITH {_greedy_sql(1)} SELECT exp(avg(v)) AS geo, count(*) AS n FROM r WHERE i1 = (SELECT i1 FROM w1)), oku AS (WITH {OK_ONLY} SELECT exp(avg(v)) AS geo, count(*) AS n FROM r WHERE i1 = (SELECT i1 FROM w1)), {PART_SQL}, ev AS (SELECT i1 FROM m WHERE i3 <> 'R' GROUP BY i1 HAVING count(DISTINCT g) = (SELECT count(DISTINCT g) FROM m WHERE i3 <> 'R')) SELECT 'canonical' AS procedure, geo, n, false AS failed FROM can UNION ALL SELECT 'ok_union', geo, n, false FROM oku UNION ALL SELECT 'ok_individual', NULL, NULL, true WHERE NOT EXISTS (SELECT * FROM ev)",
+)
 def static_procedures(spark, sf):
+    """All candidates and those of a good status alone (not returned), by what all groups together or each of them have."""
     mt = part(spark, sf)
-    return ba.static_procedures([("union", mt), ("individual", ba.individual(mt, ("i1",)))], ("i1",))
+    good = mt.where("i3 <> 'R'")
+    return ba.static_procedures([("ok_individual", ba.individual(good, ("i1",))), ("ok_union", good), ("canonical", mt)], ("i1",))
 
 
-@query("method string, regret double", f"WITH {ST}, {NEAREST}, ne AS (SELECT exp(avg(ln(t / best))) AS v FROM nr JOIN st ON nr.g = st.g WHERE rn = 1), tb AS (SELECT g, t, row_number() OVER (PARTITION BY g ORDER BY i1, i2, i3) - 1 AS tb FROM m), wd AS (SELECT g, best, floor(('0x' || substr(md5(concat_ws('|', g, d)), 1, 8))::UBIGINT / 4294967296.0 * n)::BIGINT AS tb FROM st, (SELECT unnest(range(0, 64)) AS d)), rc AS (SELECT wd.g, median(t / best) AS md FROM wd JOIN tb ON wd.g = tb.g AND wd.tb = tb.tb GROUP BY wd.g) SELECT 'nearest' AS method, v AS regret FROM ne UNION ALL SELECT 'random', exp(avg(ln(md))) FROM rc")
+def _baseline_sql() -> str:
+    """Each method on all parts, the training ones (of a size up to 35) and the others."""
+    return f"""WITH {ST}, {WISHES}, {_order_sql('nr')}, {_order_sql('sr', 'exact')}, sc AS (SELECT st.g, best, n, unnest(['all', CASE WHEN p_size > 35 THEN 'val' ELSE 'train' END]) AS scope FROM st JOIN part ON g = p_partkey),
+      tb AS (SELECT g, t, row_number() OVER (PARTITION BY g ORDER BY i1, i2, i3) - 1 AS tb FROM m), dr AS (SELECT st.g, best, floor(('0x' || substr(md5(concat_ws('|', g, d)), 1, 8))::UBIGINT / 4294967296.0 * n)::BIGINT AS tb FROM st, (SELECT unnest(range(0, 64)) AS d)), rc AS (SELECT dr.g, median(t / best) AS md FROM dr JOIN tb ON dr.g = tb.g AND dr.tb = tb.tb GROUP BY dr.g),
+      re AS (SELECT scope, m.g, i1, ln(min(t / best)) AS v FROM m JOIN sc ON m.g = sc.g WHERE t > 0 GROUP BY scope, m.g, i1), gs AS (SELECT scope, count(*) AS gs FROM sc GROUP BY scope), ob AS (SELECT re.scope, i1, round((sum(v) + {PEN} * (any_value(gs) - count(*))) / any_value(gs), 9) AS ob, exp(avg(v)) AS geo FROM re JOIN gs ON re.scope = gs.scope GROUP BY re.scope, i1),
+      tp AS (SELECT scope, arg_min(geo, (ob, i1)) AS static_top1 FROM ob GROUP BY scope),
+      ev AS (SELECT sc.scope, count(*) AS n, exp(avg(ln(a.t / sc.best))) AS nearest, exp(avg(ln(b.t / sc.best))) AS strict, exp(avg(ln(md))) AS random FROM sc JOIN nr a ON sc.g = a.g AND a.place = 1 JOIN sr b ON sc.g = b.g AND b.place = 1 JOIN rc ON sc.g = rc.g GROUP BY sc.scope)
+      SELECT ev.*, static_top1 FROM ev JOIN tp ON ev.scope = tp.scope"""
+
+
+@query("scope string, n bigint, nearest double, strict double, static_top1 double, random double", _baseline_sql())
 def external_baseline(spark, sf):
+    """The recommended first pick by the nearest candidate and by exact matches only, the static choice and random draws: on all parts, in training and outside."""
     mt = part(spark, sf)
-    near = cross.match_nearest(wanted(spark, sf), mt, ("i1", "i2"), (1.0, 4.0)).join(mt.bests(), "g").agg(C.geomean(F.col("picked") / F.col("best")).alias("regret"))
-    return near.withColumn("method", F.lit("nearest")).unionByName(ba.random_column(mt).withColumn("method", F.lit("random")))
+    own = parts(spark, sf).select("g", F.explode(F.array(F.lit("all"), F.when(F.col("size") > 35, "val").otherwise("train"))).alias("scope"))
+    ev = lambda nearest, name: evaluate(cross.recommended(wishes(spark, sf), mt, ("i1", "i2"), (1.0, 4.0), nearest), "wish", (1,)).select("g", F.col("regret").alias(name))
+    each = ev(True, "nearest").join(ev(False, "strict"), "g").join(ba.random_groups(mt).withColumnRenamed("m", "random"), "g")
+    means = each.join(own, "g").groupBy("scope").agg(F.count("*").alias("n"), *[C.geomean(F.col(c)).alias(c) for c in ("nearest", "strict", "random")])
+    scoped = replace(mt, rows=mt.rows.join(own, "g"), groups=("scope", "g"))
+    return means.join(ba.static_first(scoped, ("i1",), ("scope",)).select("scope", F.col("geo").alias("static_top1")), "scope")
 
 
 def _fold(column="g"):
@@ -282,6 +322,16 @@ def ridge_holdout(spark, sf):
     return evaluate(_held_regret(mt, held, "score"), "score").groupBy("k").agg(C.geomean(F.col("regret")).alias("regret"), F.count("*").alias("n"))
 
 
+@query("k bigint, regret double, n bigint")
+def ridge_categories(spark, sf):
+    """Numbers and fixed levels of two categories, fitted on four folds of blocks and evaluated on the fifth."""
+    mt = in_blocks(spark, sf)
+    mt = mt.of(mt.rows.withColumn("line", F.concat(F.lit("l"), F.col("i2"))))
+    rows, _ = ba.ridge(mt, ["f0", "f1"], F.col("fold") != 0, categories={**CATEGORIES, "line": tuple(f"l{i}" for i in range(1, 8))})
+    held = rows.where("fold = 0").drop("best")
+    return evaluate(_held_regret(mt, held, "score"), "score").groupBy("k").agg(C.geomean(F.col("regret")).alias("regret"), F.count("*").alias("n"))
+
+
 @query("g bigint, i1 bigint, i2 bigint, i3 string, score double", f"WITH {PART_SQL} SELECT g, i1, i2, i3, round(0.5 * f0 - 2 * f1, 9) AS score FROM m")
 def linear_score(spark, sf):
     return part(spark, sf).rows.withColumn("score", fit.linear(["f0", "f1"], [0.5, -2.0]))
@@ -315,19 +365,32 @@ def _pairs(mt):
     return found
 
 
-@query("loss double, n bigint", f"WITH {ST}, {PAIRS.format(n=6)} SELECT sum(weight * (greatest(3 * d0 - d1, 0) + ln(1 + exp(-abs(3 * d0 - d1))))) / sum(weight) AS loss, count(*) AS n FROM pr")
+LOSS = "weight * (greatest(3 * d0 - d1, 0) + ln(1 + exp(-abs(3 * d0 - d1))))"
+
+
+@query("loss double, n bigint", f"WITH {ST}, {PAIRS.format(n=6)} SELECT sum({LOSS}) / sum(weight) AS loss, count(*) AS n FROM pr")
 def pairwise_rank_loss(spark, sf):
     score = lambda s: 3.0 * F.col(f"f0_{s}") - F.col(f"f1_{s}")
     return fit.rank_loss(_pairs(part(spark, sf)), score("a"), score("b"))
 
 
-@query("loss double, start double, better boolean")
+@query("loss double, every double, first double, n bigint, n_first bigint", f"WITH {ST}, {PAIRS.format(n=6)}, x AS (SELECT sum({LOSS}) / sum(weight) AS e, sum({LOSS}) FILTER (WHERE rn_a = 1) / sum(weight) FILTER (WHERE rn_a = 1) AS f, count(*) AS n, count(*) FILTER (WHERE rn_a = 1) AS n_first FROM pr) SELECT 0.7 * e + 0.3 * f AS loss, e AS every, f AS first, n, n_first FROM x")
+def first_place_loss(spark, sf):
+    """All pairs of the top and, as three tenths, the pairs with the first place, each by its own weights."""
+    score = lambda s: 3.0 * F.col(f"f0_{s}") - F.col(f"f1_{s}")
+    return fit.rank_loss(_pairs(part(spark, sf)), score("a"), score("b"), F.col("rn_a") == 1, 0.3)
+
+
+@query("share double, loss double, start double, better boolean")
 def rank_fit(spark, sf):
-    pairs = _pairs(part(spark, sf))
-    w = fit.rank_fit(pairs, ["f0", "f1"])
-    score = lambda s: w[0] * F.col(f"f0_{s}") + w[1] * F.col(f"f1_{s}")
-    end, zero = fit.rank_loss(pairs, score("a"), score("b")), fit.rank_loss(pairs, F.lit(0.0), F.lit(0.0))
-    return end.select("loss").crossJoin(zero.select(F.col("loss").alias("start"))).withColumn("better", F.col("loss") <= F.col("start") + 1e-9)
+    """Fitted on all pairs alone, and with the first-place term as a half."""
+    pairs, first, frames = _pairs(part(spark, sf)), F.col("rn_a") == 1, []
+    for share in (0.0, 0.5):
+        w = fit.rank_fit(pairs, ["f0", "f1"], first=first, share=share)
+        score = lambda s: w[0] * F.col(f"f0_{s}") + w[1] * F.col(f"f1_{s}")  # noqa: E731,B023
+        end, zero = fit.rank_loss(pairs, score("a"), score("b"), first, share), fit.rank_loss(pairs, F.lit(0.0), F.lit(0.0), first, share)
+        frames.append(end.select("loss").crossJoin(zero.select(F.col("loss").alias("start"))).withColumn("share", F.lit(share)))
+    return cross.merge_shards(frames, ["share"]).withColumn("better", F.col("loss") <= F.col("start") + 1e-9)
 
 
 SPREAD = "sd AS (SELECT g, stddev_pop(f0) AS f0, stddev_pop(f1) AS f1, stddev_pop(0.5 * f0 + -2.0 * f1) AS score FROM m GROUP BY g)"
@@ -395,8 +458,18 @@ def transfer_cells(spark, sf):
     """The rule of each table on the held-out groups of the other, fold by fold: as it is, fitted again there, and beside the other's own fit, the nearest match and the static choice."""
     names = ["f0", "f1"]
     tables = {"a": (part_by_status(spark, sf, "F"), [0.28, 0.72]), "b": (part_by_status(spark, sf, "O"), [-0.1, 0.6])}
-    look = lambda mt, n: cross.match_nearest(wanted(spark, sf), mt, ("i1", "i2"), (1.0, 4.0)).join(mt.bests(), "g").agg(C.geomean(F.col("picked") / F.col("best")).alias("v")).first().v
-    return fit.transfer_cells(tables, names, _fold() % 2, 2, {"nearest": look, "static_top1": lambda mt, n: ba.static_regret(mt, ("i1",), ba.static_topk(mt, ("i1",), 1, scratch(spark))).first().geo})
+
+    def nearest(every):
+        mt = replace(every, groups=(fit.PART, fit.FOLD, *every.groups))
+        asked = mt.rows.select(*mt.groups).distinct().join(wanted(spark, sf), "g")
+        near = cross.match_nearest(asked, mt, ("i1", "i2"), (1.0, 4.0)).join(mt.bests(), list(mt.groups))
+        return near.groupBy(F.col(fit.PART).alias("part"), F.col(fit.FOLD).alias("fold")).agg(C.geomean(F.col("picked") / F.col("best")).alias("value"))
+
+    def static(every):
+        best = ba.static_first(replace(every, groups=(fit.PART, fit.FOLD, *every.groups)), ("i1",), (fit.PART, fit.FOLD))
+        return best.select(F.col(fit.PART).alias("part"), F.col(fit.FOLD).alias("fold"), F.col("geo").alias("value"))
+
+    return fit.transfer_cells(tables, names, _fold() % 2, 2, {"nearest": nearest, "static_top1": static})
 
 
 @query("arm bigint, round bigint, best double, native double, reached bigint, recovered double", f"WITH {RUNS_SQL}, x AS (SELECT run % 4 AS arm, round, min(regret) AS regret FROM runs GROUP BY 1, 2), c AS (SELECT arm, round, min(regret) OVER (PARTITION BY arm ORDER BY round) AS best FROM x), na AS (SELECT arm, quantile_cont(regret, 0.05) AS native FROM (SELECT run % 4 AS arm, regret FROM runs) GROUP BY arm), j AS (SELECT c.*, native, first_value(best) OVER (PARTITION BY c.arm ORDER BY round) AS s FROM c JOIN na ON c.arm = na.arm) SELECT arm, round, best, native, min(round) FILTER (WHERE best <= native) OVER (PARTITION BY arm) AS reached, CASE WHEN s > native THEN (s - best) / (s - native) END AS recovered FROM j")

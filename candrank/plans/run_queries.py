@@ -99,7 +99,7 @@ def fold_runs(spark, sf):
     return runs(spark, sf).groupBy((F.col("run") % 5).alias("table"), (F.col("run") % 3).alias("seed"), (F.col("round") % 4).alias("fold")).agg(C.geomean(F.col("regret")).alias("regret"), F.count("*").alias("size"))
 
 
-@query("seed bigint, pooled double, folds bigint, median double", f"WITH {FOLDS} SELECT seed, exp(sum(size * ln(regret)) / sum(size)) AS pooled, count(*) AS folds, median(regret) AS median FROM fo GROUP BY seed")
+@query("seed bigint, pooled double, folds bigint, at_best bigint, median double", f"WITH {FOLDS} SELECT seed, exp(sum(size * ln(regret)) / sum(size)) AS pooled, count(*) AS folds, count(*) FILTER (WHERE regret <= 1) AS at_best, median(regret) AS median FROM fo GROUP BY seed")
 def pooled_geomean(spark, sf):
     return ops.pooled(fold_runs(spark, sf), "size")
 

@@ -42,11 +42,42 @@ def grouped_folds(spark, sf):
     return splits.grouped_folds(parts(spark, sf), ["stratum", "size"], 5, F.col("price") < 1500)
 
 
+#: the greedy deal that begins with the blocks of size 1 in the first fold
+PINNED_FOLDS = (
+    BLOCK_FOLDS.replace("bo AS (SELECT *,", "bp AS (SELECT coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(o), 0)::BIGINT AS o FROM bs WHERE size = 1), bo AS (SELECT *,").replace("FROM bs),\n", "FROM bs WHERE size <> 1),\n")
+    .replace("SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS l, [0, 0, 0, 0, 0]::BIGINT[] AS q, NULL::BIGINT AS fold", "SELECT 0::BIGINT AS i, [n, 0, 0, 0, 0]::BIGINT[] AS l, [o, 0, 0, 0, 0]::BIGINT[] AS q, NULL::BIGINT AS fold FROM bp")
+)
+
+
+@query("stratum string, size bigint, n bigint, fold bigint", f"WITH RECURSIVE {PINNED_FOLDS} SELECT * FROM bf UNION ALL SELECT stratum, size, n, 0 FROM bs WHERE size = 1")
+def pinned_folds(spark, sf):
+    """The parts of size 1 are held out together, as the first fold; the other blocks are dealt around them."""
+    return splits.grouped_folds(parts(spark, sf), ["stratum", "size"], 5, F.col("price") < 1500, F.col("size") == 1)
+
+
 @query("fold bigint, n bigint, repeated bigint, with_twins bigint, out_share double", f"WITH {PARTS}, f AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY md5(concat_ws('|', g, 7)), g) - 1) % 5 AS fold FROM p), s AS (SELECT size, count(DISTINCT fold) AS folds FROM f GROUP BY size) SELECT fold, count(*) AS n, 0 AS repeated, count(*) FILTER (WHERE folds > 1) AS with_twins, avg((NOT price < 1500)::INT) AS out_share FROM f JOIN s ON f.size = s.size GROUP BY fold")
 def fold_checks(spark, sf):
     return splits.fold_checks(splits.stratified_kfold(parts(spark, sf), ["g"], "stratum", 5, 7), ["g"], ["size"], F.col("price") < 1500)
 
 
+CHECKS = """f AS (SELECT p.*, fold, CASE WHEN price < 1100 THEN 'low' ELSE 'high' END AS regime, log2(price) AS v FROM p JOIN bf ON p.stratum = bf.stratum AND p.size = bf.size), sf AS (SELECT size, count(DISTINCT fold) AS folds FROM f GROUP BY size), bl AS (SELECT stratum, size, count(DISTINCT fold) AS folds FROM f GROUP BY stratum, size),
+ ac AS (SELECT fold, size, count(*) AS c FROM f GROUP BY fold, size), mr AS (SELECT a.fold, b.regime, count(*) AS c FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON a.fold <> b.fold GROUP BY 1, 2), mi AS (SELECT fold, min(c) / sum(c) AS minority FROM mr GROUP BY fold),
+ o AS (SELECT fold, v, row_number() OVER (PARTITION BY fold ORDER BY v, g) - 1 AS pl, count(*) OVER (PARTITION BY fold) AS n FROM f), q AS (SELECT fold, min(v) AS lo, max(v) FILTER (WHERE pl = n // 4) AS q1, median(v) AS mid, max(v) FILTER (WHERE pl = 3 * n // 4) AS q3, max(v) AS hi FROM o GROUP BY fold),
+ tp AS (SELECT fold, max(c) / sum(c) AS top_share FROM ac GROUP BY fold)"""
+
+
+@query(
+    "fold bigint, n bigint, repeated bigint, with_twins bigint, out_share double, out_of_all double, attribute_twins bigint, top_share double, minority double, lo double, q1 double, mid double, q3 double, hi double",
+    f"WITH RECURSIVE {BLOCK_FOLDS}, {CHECKS}, z AS (SELECT f.fold, count(*) AS n, 0 AS repeated, count(*) FILTER (WHERE bl.folds > 1) AS with_twins, avg((NOT price < 1500)::INT) AS out_share, coalesce(count(*) FILTER (WHERE NOT price < 1500) / nullif((SELECT count(*) FROM p WHERE NOT price < 1500), 0), 0.0) AS out_of_all, count(*) FILTER (WHERE sf.folds > 1) AS attribute_twins FROM f JOIN sf ON f.size = sf.size JOIN bl ON f.stratum = bl.stratum AND f.size = bl.size GROUP BY f.fold) SELECT z.*, top_share, minority, lo, q1, mid, q3, hi FROM z JOIN tp ON z.fold = tp.fold JOIN mi ON z.fold = mi.fold JOIN q ON z.fold = q.fold",
+)
+def fold_report(spark, sf):
+    """The folds of blocks with all their checks: twins by size, the commonest size, the rarer price band in training, and the spread of the prices."""
+    p = parts(spark, sf)
+    folds = p.join(splits.grouped_folds(p, ["stratum", "size"], 5, F.col("price") < 1500).select("stratum", "size", "fold"), ["stratum", "size"])
+    folds = folds.withColumn("regime", F.when(F.col("price") < 1100, "low").otherwise("high"))
+    return splits.fold_checks(folds, ["g"], ["stratum", "size"], F.col("price") < 1500, "size", "regime", "price")
+
+
 ROLES = f"{PARTS}, h AS (SELECT *, size > 35 AS held FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY md5(concat_ws('|', g, 3)), g) AS rn, count(*) OVER (PARTITION BY held) AS n FROM h), sp AS (SELECT g, stratum, price, CASE WHEN NOT held THEN 'train' WHEN rn <= floor(n * 0.6 + 0.5) THEN 'val' ELSE 'test' END AS role FROM r)"
 
 
@@ -66,6 +97,11 @@ def sample_stratified(spark, sf):
     return splits.sample_stratified(parts(spark, sf), ["g"], "stratum", 60, 2)
 
 
+@query("g bigint, stratum string", f"WITH {PARTS}, z AS (SELECT stratum, count(*) AS size, count(*) OVER () AS k FROM p GROUP BY stratum), y AS (SELECT *, floor(size / sum(size) OVER () * (60 - k)) AS part FROM z), x AS (SELECT *, 60 - k - sum(part) OVER () AS rest, row_number() OVER (ORDER BY stratum) - 1 AS turn FROM y), w AS (SELECT *, least(size, 1 + part + floor(rest / k) + (turn < rest % k)::INT) AS wanted FROM x), o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat_ws('|', g, 2)), g) AS rn FROM p) SELECT o.g, o.stratum FROM o JOIN w ON o.stratum = w.stratum WHERE rn <= wanted")
+def sample_proportional(spark, sf):
+    return splits.sample_stratified(parts(spark, sf), ["g"], "stratum", 60, 2, proportional=True)
+
+
 def _spread_sql(n: int) -> str:
     """The targets one after the other, each taking the nearest group that is left."""
     out = f"{PARTS}"
@@ -80,6 +116,21 @@ def sample_spread(spark, sf):
     return splits.sample_spread(parts(spark, sf), "g", "price", 12)
 
 
+def ratios(spark, sf):
+    return parts(spark, sf).withColumn("ratio", F.round(F.col("price") / 1400, 9))
+
+
+@query("g bigint, ratio double", f"WITH {PARTS} SELECT g, round(price / 1400, 9) AS ratio FROM p ORDER BY abs(round(price / 1400, 9) - 1), g LIMIT 12")
+def sample_boundary(spark, sf):
+    return splits.sample_boundary(ratios(spark, sf), "g", "ratio", 12)
+
+
+@query("g bigint, price double, arm string", _spread_sql(12).replace("WITH ", "WITH sp AS (WITH ", 1) + "), bd AS (SELECT p_partkey AS g, p_retailprice AS price FROM part ORDER BY abs(round(p_retailprice / 1400, 9) - 1), p_partkey LIMIT 6), lf AS (SELECT *, row_number() OVER (ORDER BY price, g) AS rn FROM sp WHERE g NOT IN (SELECT g FROM bd)) SELECT g, price, 'boundary' AS arm FROM bd UNION ALL SELECT g, price, 'spread' FROM lf WHERE rn <= 6")
+def sample_mixed(spark, sf):
+    """Half of the sample at the boundary, the other half spread over the prices."""
+    return splits.sample_mixed(ratios(spark, sf), "g", "ratio", "price", 12)
+
+
 @query("g bigint, stratum string, turn bigint", f"WITH {PARTS}, i AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY g) AS turn FROM p), o AS (SELECT *, row_number() OVER (ORDER BY turn, stratum, g) AS pl FROM i) SELECT g, stratum, turn FROM o WHERE turn = 1 OR pl <= 70")
 def spread_groups(spark, sf):
     return splits.spread_groups(parts(spark, sf), ["g"], "stratum", 70)
@@ -162,6 +213,39 @@ def recommend_nearest(spark, sf):
     return cross.match_nearest(wanted(spark, sf), part(spark, sf), ("i1", "i2"), (1.0, 4.0))
 
 
+WISHES = "wishes AS (SELECT p_partkey AS g, w AS wish, (p_partkey + 37 * w) % 100 AS a1, 1 + (p_size + w // 2) % 7 AS a2 FROM part, (SELECT unnest(range(0, 4)) AS w)), wd AS (SELECT m.g, wish, i1, i2, i3, i1 = a1 AND i2 = a2 AS exact, round(pow(log2(greatest(i1, 1) + 1) - log2(greatest(a1, 1) + 1), 2) + 4 * pow(log2(greatest(i2, 1) + 1) - log2(greatest(a2, 1) + 1), 2), 9) AS apart FROM m JOIN wishes ON m.g = wishes.g)"
+
+
+def _order_sql(name: str, condition: str = "true") -> str:
+    """The candidates in the recommended order, as CTEs."""
+    return f"""{name}p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, wish ORDER BY CASE WHEN exact THEN -1 ELSE apart END, i1, i2, i3) AS rn FROM wd WHERE {condition}) WHERE rn = 1), {name}f AS (SELECT g, i1, i2, i3, min(wish) AS wish FROM {name}p GROUP BY g, i1, i2, i3),
+      {name} AS (SELECT m.*, f.wish, row_number() OVER (PARTITION BY m.g ORDER BY coalesce(f.wish, 1099511627776), m.i1, m.i2, m.i3) AS place FROM m LEFT JOIN {name}f f ON m.g = f.g AND m.i1 = f.i1 AND m.i2 = f.i2 AND m.i3 = f.i3)"""
+
+
+def wishes(spark, sf):
+    """Four wanted vectors for each part, in order."""
+    w = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("wish")
+    asked = read(spark, sf, "part").select("p_partkey", "p_size", w)
+    return asked.select(F.col("p_partkey").alias("g"), "wish", ((F.col("p_partkey") + 37 * F.col("wish")) % 100).alias("i1"), (1 + (F.col("p_size") + F.floor(F.col("wish") / 2)) % 7).cast("long").alias("i2"))
+
+
+def _first_places(mt):
+    top = mt.ranked("wish", "place").where(F.col("place") <= 6)
+    return top.select("g", "place", *mt.ids, (F.col("wish") < 4).alias("wished"))
+
+
+@query("g bigint, place bigint, i1 bigint, i2 bigint, i3 string, wished boolean", f"WITH {PART_SQL}, {WISHES}, {_order_sql('od')} SELECT g, place, i1, i2, i3, wish IS NOT NULL AS wished FROM od WHERE place <= 6")
+def recommend_order(spark, sf):
+    """The first six candidates of each part in the order of four wishes, each the candidate at it or else the nearest."""
+    return _first_places(cross.recommended(wishes(spark, sf), part(spark, sf), ("i1", "i2"), (1.0, 4.0)))
+
+
+@query("g bigint, place bigint, i1 bigint, i2 bigint, i3 string, wished boolean", f"WITH {PART_SQL}, {WISHES}, {_order_sql('od', 'exact')} SELECT g, place, i1, i2, i3, wish IS NOT NULL AS wished FROM od WHERE place <= 6")
+def recommend_strict(spark, sf):
+    """The same with exact matches only."""
+    return _first_places(cross.recommended(wishes(spark, sf), part(spark, sf), ("i1", "i2"), (1.0, 4.0), nearest=False))
+
+
 PAIRS = """o AS (SELECT m.*, row_number() OVER (PARTITION BY g ORDER BY t, i1, i2, i3) AS rn FROM m),
  pr AS (SELECT a.g, a.rn AS rn_a, b.rn AS rn_b, a.t AS t_a, b.t AS t_b, (b.t - a.t) / st.best AS weight, a.f0 - b.f0 AS d0, a.f1 - b.f1 AS d1 FROM o a JOIN o b ON a.g = b.g AND a.rn < b.rn AND b.rn <= {n} JOIN st ON st.g = a.g
    WHERE abs(a.t - b.t) > 2 * sqrt((greatest(0.05 / a.t + 0.002, 0.1 / a.t) * a.t) ** 2 + (greatest(0.05 / b.t + 0.002, 0.1 / b.t) * b.t) ** 2))"""

@@ -76,3 +76,25 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         shared_folder(Elsewhere)
+
+
+def test_places_and_ranks_inside_groups(spark):
+    """Places, mean places and rank correlations of groups of all sizes, one of which holds most rows and one value most of that."""
+    r = random.Random(12)
+    rows = [(g, i, r.choice([0.5, 0.5, 0.5, r.random(), float(r.randrange(9))]), float(r.randrange(5)) + (i % 2) * r.random()) for g, n in (("a", 900), ("b", 40), (None, 30), ("c", 2), ("d", 1)) for i in range(n)]
+    df = spark.createDataFrame([*rows, ("a", 9999, None, 1.0)], "g string, i long, x double, y double")
+    placed = order.group_places(df, ["g"], "x", ["i"]).collect()
+    for g in {x[0] for x in rows}:
+        own = sorted([x[:3] for x in rows if x[0] == g] + ([("a", 9999, -1.0)] if g == "a" else []), key=lambda x: (x[2], x[1]))
+        assert [(x.i, x.part_rows) for x in sorted((x for x in placed if x.g == g), key=lambda x: x.place)] == [(x[1], len(own)) for x in own]
+        assert sorted(x.place for x in placed if x.g == g) == list(range(len(own)))
+    known = [x for x in rows if x[0] is not None]
+    got = {x.g: x.rho for x in order.rank_correlation(spark.createDataFrame(known, df.schema), ["g"], "x", "y").collect()}
+    for g in {x[0] for x in known}:
+        own = [x for x in known if x[0] == g]
+        mid = lambda k: [sum(v[k] < x[k] for v in own) + (sum(v[k] == x[k] for v in own) + 1) / 2 for x in own]  # noqa: E731,B023
+        if len(own) < 3:
+            assert got[g] is None
+        else:
+            assert got[g] == pytest.approx(float(np.corrcoef(mid(2), mid(3))[0, 1]))
+    assert order.exact_median(df, "x") == pytest.approx(float(np.median([x[2] for x in rows])))
