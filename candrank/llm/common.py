@@ -85,9 +85,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write df once and read it back."""
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """Write df once, a folder for each value of by, and read it back."""
+        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name), partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -4,7 +4,7 @@ A token's probability is P(class | history) * P(bucket | class, history) * P(wor
 softmaxes over hashed n-gram and skip features. The class factor starts from a model on the classes of the three
 tokens before, trained by full-batch steps on the corpus's context counts. Features of the words themselves
 follow (the word before and, skipping it, the one before that), for the class and for the bucket in it: frequent words of
-a class have buckets of their own, the others share some. They are trained by full-batch steps over all training
+a class have buckets of their own, the others share some. They are trained in steps over all training
 tokens, each a Spark job over a written table of word numbers. Inside a bucket a word has its add-one share.
 
 Frequent words are broadcast (at most HEAD words of HEAD_BYTES bytes, and a bounded number of longer ones); all others, most of the vocabulary,
@@ -39,8 +39,9 @@ STEPS, STEP, MOMENTUM, RIDGE = 14, 0.3, 0.6, 1.0
 BUCKETS = 16  # of each class
 OWN = 12  # frequent words of a class that have a bucket each
 WORDS = 1 << 16  # frequent words that are features themselves; the others stand for their classes
-WORD_ROWS = 1 << 14  # of the hashed weights of words, each with a column for each class or bucket
-WORD_STEPS, WORD_STEP, WORD_RIDGE = 1, 0.8, 4.0
+WORD_ROWS = 1 << 16  # of the hashed weights of words, each with a column for each class or bucket
+WORD_FEATURES = 3  # of a token: the word before, the one before that, both
+LOTS, PASSES, WORD_STEP, WORD_RIDGE = 4, 1, 0.8, 4.0  # the training documents are dealt to so many lots; each pass takes a step on every lot
 PIECE_TOKENS = 1 << 14  # of a row of the table of word numbers
 AT_ONCE = 1 << 16  # tokens that are trained on at once
 LOT = 1 << 12  # tokens of which all outputs are held at once; more do not fit the processor's cache
@@ -153,15 +154,17 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _numbered(lex):
-    """Rows of whole texts as word numbers and leaves, PIECE_TOKENS tokens or a little more each."""
+    """Rows of whole texts of a lot as word numbers and leaves, PIECE_TOKENS tokens or a little more each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves, at, _, sizes = leaves_of(lex.value, batch.column("text").to_pylist())
-            ends = np.cumsum(np.array(sizes, np.int64) + 3)
-            cuts = [0, *(int(ends[i]) for i in np.flatnonzero(np.diff(ends // PIECE_TOKENS, append=-1)))]
-            parts = [(at[a:b].tobytes(), leaves[a:b].astype("<u2").tobytes()) for a, b in zip(cuts, cuts[1:]) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary())], ["at", "leaves"])
+            parts, dealt = [], np.array(batch.column("lot").to_pylist(), np.int64)
+            for lot in np.unique(dealt).tolist():
+                leaves, at, _, sizes = leaves_of(lex.value, batch.column("text").filter(pa.array(dealt == lot)).to_pylist())
+                ends = np.cumsum(np.array(sizes, np.int64) + 3)
+                cuts = [0, *(int(ends[i]) for i in np.flatnonzero(np.diff(ends // PIECE_TOKENS, append=-1)))]
+                parts += [(at[a:b].tobytes(), leaves[a:b].astype("<u2").tobytes(), lot) for a, b in zip(cuts, cuts[1:]) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int32()))], ["at", "leaves", "lot"])
 
     return run
 
@@ -271,13 +274,13 @@ class WordModel:
 
 
 def word_rows(at: np.ndarray, leaves: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed weight rows of each token's history for its class, and for the bucket in its class: the word before, and the one before that."""
+    """The hashed weight rows of each token's history for its class, and for the bucket in its class: the word before, the one before that, and both."""
     classes = leaves // BUCKETS
     symbols = np.where((at >= 0) & (at < WORDS), at, WORDS + classes).astype(np.uint64)
     one, two = symbols[where - 1], symbols[where - 2]
     own = classes[where].astype(np.uint64) + np.uint64(1)
     none = np.uint64((1 << 20) - 1)
-    parts = np.stack([one << np.uint64(20) | none, none << np.uint64(20) | two], 1)
+    parts = np.stack([one << np.uint64(20) | none, none << np.uint64(20) | two, one << np.uint64(20) | two], 1)
     mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % WORD_ROWS
     return mix(parts + np.uint64(1)), mix(parts + (own << np.uint64(44))[:, None] + np.uint64(1))
 
@@ -288,11 +291,11 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 
 
 def class_logs(model: WordModel, table: np.ndarray, contexts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return _log_softmax(table[contexts] + model.classes[rows[:, 0]] + model.classes[rows[:, 1]])
+    return _log_softmax(sum((model.classes[rows[:, f]] for f in range(WORD_FEATURES)), table[contexts]))
 
 
 def bucket_logs(model: WordModel, classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return _log_softmax(model.shares[classes] + model.buckets[rows[:, 0]] + model.buckets[rows[:, 1]])
+    return _log_softmax(sum((model.buckets[rows[:, f]] for f in range(WORD_FEATURES)), model.shares[classes]))
 
 
 def _add(sums: np.ndarray, rows: np.ndarray, logs, target: np.ndarray) -> float:
@@ -332,20 +335,21 @@ def _word_gradients(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        table, like = own.table(), 0.0
+        table, like, tokens = own.table(), 0.0, 0
         sums, inside = np.zeros((WORD_ROWS, 2 * CLASSES)), np.zeros((WORD_ROWS, 2 * BUCKETS))
         for at, leaves in _in_lots(batches):
             where, contexts = contexts_of(leaves // BUCKETS, at)
             own.fill(table, contexts)
             rows, inner = word_rows(at, leaves, where)
+            tokens += len(where)
             c, b = leaves[where] // BUCKETS, leaves[where] % BUCKETS
             like += _add(sums, rows, lambda x: class_logs(own, table, contexts[x], rows[x]), c)  # noqa: B023
             split = c > SINGLES
             c, b, inner = c[split], b[split], inner[split]
             like += _add(inside, inner, lambda x: bucket_logs(own, c[x], inner[x]), b)  # noqa: B023
         for i, x in enumerate(np.concatenate([sums, inside], 1).reshape(SLICES, -1)):
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([like if i == 0 else 0.0]), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["part", "like", "sums"])
+            if tokens and (x.any() or i == 0):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([tokens if i == 0 else 0]), pa.array([like if i == 0 else 0.0]), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["part", "n", "like", "sums"])
 
     return run
 
@@ -353,46 +357,46 @@ def _word_gradients(model):
 def _summed_gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, list] = {}
     for batch in batches:
-        for part, like, sums in zip(*(batch.column(c).to_pylist() for c in ("part", "like", "sums"))):
+        for part, n, like, sums in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "like", "sums"))):
             x = np.frombuffer(sums, "<f4").astype(np.float64)
             if part in total:
-                total[part][0] += like
-                total[part][1] += x
+                total[part][0] += n
+                total[part][1] += like
+                total[part][2] += x
             else:
-                total[part] = [like, x]
-    for part, (like, x) in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([like]), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["part", "like", "sums"])
+                total[part] = [n, like, x]
+    for part, (n, like, x) in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n]), pa.array([like]), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["part", "n", "like", "sums"])
 
 
-def train_words(spark: SparkSession, ids: DataFrame, model: WordModel, steps: int = WORD_STEPS) -> tuple[WordModel, list[float]]:
-    """The model with trained weights of words (steps along the gradient over a bound of its diagonal curvature), and the log likelihood before each step.
+def train_words(spark: SparkSession, ids: DataFrame, model: WordModel, lots: int = LOTS, passes: int = PASSES) -> tuple[WordModel, list[float]]:
+    """The model with trained weights of words, and each step's log likelihood of a token of its lot before the step.
 
-    A step that lowered it is taken back by half. Each step is one job over all training tokens; what comes to
-    the driver is the model's size.
+    The lots take turns. A step is one job over a lot's tokens and goes along its gradient, over a bound of the
+    diagonal curvature of all steps so far: weights that many steps have fitted move less, as in an average,
+    and a feature that a lot has first moves in full. What comes to the driver is the model's size.
     """
     likes: list[float] = []
-    move = None
     width = CLASSES + BUCKETS
-    for _ in range(steps):
+    curvature = np.zeros((WORD_ROWS, width))
+    for turn in range(lots * passes):
         held = spark.sparkContext.broadcast(model)
-        out = "part int, like double, sums binary"
-        parts = ids.mapInArrow(_word_gradients(held), out).repartition(8, "part").mapInArrow(_summed_gradients, out).collect()  # SLICES rows of the model
+        out = "part int, n long, like double, sums binary"
+        own = ids.where(F.col("lot") == turn % lots).select("at", "leaves")
+        parts = own.mapInArrow(_word_gradients(held), out).repartition(8, "part").mapInArrow(_summed_gradients, out).collect()  # SLICES rows of the model
         held.destroy()
         if not parts:
-            break
-        likes.append(sum(p.like for p in parts))
-        if len(likes) > 1 and likes[-1] < likes[-2]:
-            model = replace(model, classes=model.classes - move[:, :CLASSES] / 2, buckets=model.buckets - move[:, CLASSES:] / 2)
-            break
+            continue
+        likes.append(sum(p.like for p in parts) / sum(p.n for p in parts))
         sums = np.zeros((SLICES, WORD_ROWS // SLICES * 2 * width))
         for p in parts:
             sums[p.part] = np.frombuffer(p.sums, "<f4")
         sums = sums.reshape(WORD_ROWS, -1)
         seen, expected = (np.concatenate([sums[:, i * CLASSES : (i + 1) * CLASSES], sums[:, 2 * CLASSES + i * BUCKETS : 2 * CLASSES + (i + 1) * BUCKETS]], 1) for i in (0, 1))
         n = np.concatenate([np.repeat(seen[:, :CLASSES].sum(1, keepdims=True), CLASSES, 1), np.repeat(seen[:, CLASSES:].sum(1, keepdims=True), BUCKETS, 1)], 1)
-        g, h = seen - expected, expected * (1 - expected / np.maximum(n, 1))  # no less than the sum of p (1 - p)
+        curvature += expected * (1 - expected / np.maximum(n, 1))  # no less than the sum of p (1 - p)
         now = np.concatenate([model.classes, model.buckets], 1).astype(np.float64)
-        move = np.clip(WORD_STEP * (g - WORD_RIDGE * now) / (h + WORD_RIDGE), -2, 2).astype(np.float32)
+        move = np.clip(WORD_STEP * (seen - expected - WORD_RIDGE / lots * now) / (curvature + WORD_RIDGE), -2, 2).astype(np.float32)
         model = replace(model, classes=model.classes + move[:, :CLASSES], buckets=model.buckets + move[:, CLASSES:])
     return model, likes
 
@@ -466,7 +470,7 @@ def leaf_shares(by_leaf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.log(np.maximum(n, 1) / n.sum(1, keepdims=True)), NEVER).astype(np.float32)
 
 
-def score_documents(docs: DataFrame, head: int = HEAD, steps: int = STEPS) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = HEAD, steps: int = STEPS, passes: int = PASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text, ...).
 
     Documents whose crc32(doc_id as text) mod 7 is not 2 train the model; those with a null id train it too.
@@ -480,13 +484,13 @@ def score_documents(docs: DataFrame, head: int = HEAD, steps: int = STEPS) -> Da
     scratch = common.Scratch(spark, "language-model")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     read = common.numbered(docs).withColumn("held_out", held)
-    training = read.where(~F.col("held_out")).select("text")
-    vocabulary = scratch.keep(training.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+    training = read.where(~F.col("held_out")).select("text", F.pmod(F.xxhash64("doc_id"), LOTS).cast("int").alias("lot"))
+    vocabulary = scratch.keep(training.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
     top = [(bytes(r.word), r.n) for r in common.frequent(vocabulary, "word", head, HEAD_BYTES).toLocalIterator()]
     lex = lexicon(sorted(top, key=lambda x: (-x[1], x[0])))
     shared = spark.sparkContext.broadcast(lex)
-    ids = scratch.keep(training.mapInArrow(_numbered(shared), "at binary, leaves binary"), "ids")
-    counted = ids.mapInArrow(_context_counts, "part int, counts binary")
+    ids = scratch.keep(training.mapInArrow(_numbered(shared), "at binary, leaves binary, lot int"), "ids", by="lot")
+    counted = ids.select("at", "leaves").mapInArrow(_context_counts, "part int, counts binary")
     counted = scratch.keep(counted.repartition(8, "part").mapInArrow(_summed, "part int, counts binary"), "contexts")
 
     by_leaf = np.zeros(CLASSES * BUCKETS)
@@ -502,7 +506,7 @@ def score_documents(docs: DataFrame, head: int = HEAD, steps: int = STEPS) -> Da
     sizes += np.bincount(lex.leaves, minlength=len(sizes))
     weights, _ = train(spark, counted.where(F.col("part") < SLICES), (by_class + 1) / (n_train + CLASSES), steps)
     model = WordModel(weights.astype(np.float32), np.zeros((WORD_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, BUCKETS), np.float32), leaf_shares(by_leaf, sizes))
-    model, _ = train_words(spark, ids, model, min(steps, WORD_STEPS))
+    model, _ = train_words(spark, ids, model, passes=passes)
 
     unit = float(np.log10(n_train + distinct + 1))
     total = np.log10(np.maximum(1, by_leaf + sizes))
