@@ -49,7 +49,7 @@ def pair_correlations(fm: DataFrame, names: list[str], prefix: str = "") -> Data
 
 def spearman(fm: DataFrame, names: list[str], key: list[str]) -> DataFrame:
     """Correlation of ordinal places, ties by key."""
-    return pair_correlations(order.places(fm.select(*key, *names), names, key), names, "p_")
+    return pair_correlations(order.place_table(fm, names, key), names, "p_")
 
 
 def duplicates(fm: DataFrame, names: list[str], key: list[str], rho: float = 0.95) -> DataFrame:

@@ -98,3 +98,23 @@ def test_places_and_ranks_inside_groups(spark):
         else:
             assert got[g] == pytest.approx(float(np.corrcoef(mid(2), mid(3))[0, 1]))
     assert order.exact_median(df, "x") == pytest.approx(float(np.median([x[2] for x in rows])))
+
+
+def test_places_of_several_columns(spark):
+    """place_table gives the places of sorting: nulls, infinities, many ties, repeated rows, one value, no values, and a key that is no number."""
+    r = random.Random(3)
+    rows = [(i % 290, r.choice([None, 1.0, 1.0, 2.5, r.random()]), float("inf") if i % 50 == 0 else r.gauss(0, 1), 7.0, None, f"s{i % 290}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, d double, s string")
+    for key in ("k", "s"):
+        got = order.place_table(df, ["a", "b", "c", "d"], [key]).collect()
+        at = 0 if key == "k" else 5
+        for i, n in enumerate("abcd", 1):
+            assert sorted(x[f"p_{n}"] for x in got) == list(range(1, 301))
+        want = []
+        for i in (1, 2, 3):
+            order_ = sorted(range(300), key=lambda j: ((rows[j][i] is not None, rows[j][i] or 0.0), rows[j][at]))  # noqa: B023
+            want.append({j: p + 1 for p, j in enumerate(order_)})
+        unique = {j for j in range(300) if sum(rows[j][at] == x[at] for x in rows) == 1}
+        triples = {(x.p_a, x.p_b, x.p_c) for x in got}
+        assert all((want[0][j], want[1][j], want[2][j]) in triples for j in unique)
+    assert order.place_table(df.limit(0), ["a"], ["k"]).count() == 0
