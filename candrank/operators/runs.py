@@ -123,21 +123,31 @@ def elite_grid(rules: DataFrame, axes: tuple[str, ...], key: str, ident: str, to
 
 
 def duplicate_rate(log: DataFrame, run: str, kind: str, text: str) -> DataFrame:
-    """Proposals, distinct ones and the duplicates' share by run and kind, and by run (kind null)."""
-    counts = log.groupBy(run, kind, text).agg(F.count("*").alias("c"))
-    out = counts.rollup(run, kind).agg(F.sum("c").alias("n"), F.count_distinct(text).alias("distinct")).where(F.col(run).isNotNull())
-    return out.withColumn("rate", 1 - F.col("distinct") / F.col("n"))
+    """Proposals, distinct ones, the duplicates' share, and the most repeated text with its count (ties: the least), by run and kind, and by run (kind null)."""
+    counts = log.where(F.col(run).isNotNull()).groupBy(run, kind, text).agg(F.count("*").alias("c"))
+    whole = counts.groupBy(run, text).agg(F.sum("c").alias("c")).withColumn(kind, F.lit(None).cast(dict(log.dtypes)[kind]))
+    most = F.struct(-F.col("c"), F.col(text))
+    frames = [x.groupBy(run, kind).agg(F.sum("c").alias("n"), F.count(text).alias("distinct"), F.min_by(text, most).alias("top_text"), F.max("c").alias("top_n")) for x in (counts, whole)]
+    return frames[0].unionByName(frames[1]).withColumn("rate", 1 - F.col("distinct") / F.col("n"))
 
 
 def rejections(log: DataFrame, by: list[str]) -> DataFrame:
     return log.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def verdicts(children: DataFrame, parents: DataFrame, on: str, tol: float) -> DataFrame:
-    """children with the best of their parents and better_not_kept, tie or made_worse."""
+def verdicts(children: DataFrame, parents: DataFrame, on: str, tol: float, before: str | None = None) -> DataFrame:
+    """children with parent (the best of their own), and the verdict better_not_kept, tie (within tol) or made_worse against it.
+
+    before is a column of the children: the best of all at the time. A child without parents is judged against
+    that, or is no_parent where there is none; by_best has what the older rule says, which compares with it
+    alone, without a tolerance: made_worse or no_effect.
+    """
     best = parents.groupBy(on).agg(F.min("regret").alias("parent"))
-    gap = F.round(F.col("regret") - F.col("parent"), 9)
-    return children.join(best, on, "left").withColumn("verdict", F.when(F.col("parent").isNull(), "no_parent").when(gap > tol, "made_worse").when(gap < -tol, "better_not_kept").otherwise("tie"))
+    rows = children.join(best, on, "left")
+    ref = F.coalesce(F.col("parent"), F.col(before)) if before else F.col("parent")
+    gap = F.round(F.col("regret") - ref, 9)
+    rows = rows.withColumn("verdict", F.when(ref.isNull(), "no_parent").when(F.abs(gap) < tol, "tie").when(gap > 0, "made_worse").otherwise("better_not_kept"))
+    return rows.withColumn("by_best", F.when(F.col("regret") > F.col(before), "made_worse").otherwise("no_effect")) if before else rows
 
 
 def round_profile(events: DataFrame, stage: str, seconds: str) -> DataFrame:
@@ -145,10 +155,24 @@ def round_profile(events: DataFrame, stage: str, seconds: str) -> DataFrame:
     return per.withColumn("share", F.col("seconds") / F.sum("seconds").over(Window.partitionBy()))
 
 
-def run_summary(runs: DataFrame, arm: str) -> DataFrame:
-    """For each arm: runs, geometric mean and median of the runs' best, runs at or below 1.05, minutes."""
-    per_run = runs.groupBy(arm, "run").agg(F.min("regret").alias("best"), F.sum("seconds").alias("seconds"))
-    return per_run.groupBy(arm).agg(F.count("*").alias("n"), C.geomean(F.col("best")).alias("geo"), C.median(F.col("best")).alias("median"), F.count_if(F.round("best", 9) <= 1.05).alias("hits"), (F.sum("seconds") / 60).alias("minutes"))
+def run_summary(runs: DataFrame, arm: str, size: str | None = None, tied: str | None = None) -> DataFrame:
+    """For each arm: runs, geometric mean and median of the runs' best, runs at or below 1.05, minutes.
+
+    size is how many groups a round's regret is over: pooled is the geometric mean of all rounds weighted by it.
+    tied is how many of these tie at the lowest score: tied_share is the mean over runs of their share.
+    """
+    cols = [F.min("regret").alias("best"), F.sum("seconds").alias("seconds")]
+    if size:
+        cols += [F.sum(size).alias("size"), F.sum(F.col(size) * F.log("regret")).alias("logs")]
+    if tied:
+        cols.append((F.sum(tied) / F.sum(size)).alias("tied"))
+    per_run = runs.groupBy(arm, "run").agg(*cols)
+    out = [F.count("*").alias("n"), C.geomean(F.col("best")).alias("geo"), C.median(F.col("best")).alias("median"), F.count_if(F.round("best", 9) <= 1.05).alias("hits"), (F.sum("seconds") / 60).alias("minutes")]
+    if size:
+        out.append(F.exp(F.sum("logs") / F.sum("size")).alias("pooled"))
+    if tied:
+        out.append(F.avg("tied").alias("tied_share"))
+    return per_run.groupBy(arm).agg(*out)
 
 
 def crossing(curve: DataFrame, target: float, by: list[str]) -> DataFrame:

@@ -14,6 +14,14 @@ from candrank.sources.shared import written
 from candrank.table import Measurements
 
 
+def regime_split(ev: DataFrame, regimes: DataFrame, key: list[str]) -> DataFrame:
+    """k, mem, comp, n_mem: the geometric means of regret on both sides of the knee; null where all groups are on one side."""
+    mem = F.col("regime") == "mem"
+    both = (F.count_if(mem) > 0) & (F.count_if(~mem) > 0)
+    geo = lambda c: F.when(both, C.geomean(F.when(c, F.col("regret"))))
+    return ev.join(regimes, key).groupBy("k").agg(geo(mem).alias("mem"), geo(~mem).alias("comp"), F.when(both, F.count_if(mem)).alias("n_mem"))
+
+
 def by_regime(ev: DataFrame, roles: DataFrame, regimes: DataFrame, key: list[str]) -> DataFrame:
     """Geometric mean of regret by role and regime, and by role (regime null)."""
     rows = ev.join(roles, key).join(regimes, key)
@@ -37,11 +45,13 @@ def table_axes(mt: Measurements, k: int) -> DataFrame:
     return mt.rows.sparkSession.createDataFrame([(*found["near"], found["kth"][1])], "q1 double, q2 double, q3 double, kth double")
 
 
-def search_space(mt: Measurements, axes: tuple[str, ...], keep: Column) -> DataFrame:
-    """Values of each axis, the size of their product, and the shares of it that exist and are kept."""
+def search_space(mt: Measurements, axes: tuple[str, ...], keep: Column, fixed: tuple[str, ...] = ()) -> DataFrame:
+    """Values of each axis, the size of their product, the shares of it that exist and are kept, and the groups in which one of the fixed axes is free (has two values)."""
     n = mt.rows.agg(*[F.count_distinct(a).alias(f"n_{a}") for a in axes], F.count_distinct(*axes).alias("valid"), F.avg(keep.cast("int")).alias("kept"))
     size = reduce(lambda p, a: p * F.col(f"n_{a}"), axes, F.lit(1).cast("double"))
-    return n.withColumn("product", size).withColumn("valid_share", F.col("valid") / F.col("product"))
+    varies = reduce(lambda p, a: p | (F.min(a) < F.max(a)), fixed, F.lit(False))
+    free = mt.rows.groupBy(*mt.groups).agg(varies.alias("free")).agg(F.count_if("free").alias("free_groups"))
+    return n.crossJoin(free).withColumn("product", size).withColumn("valid_share", F.col("valid") / F.col("product"))
 
 
 def measure_cost(mt: Measurements, kernel: str, reps: int, least_warmup: int, warmup: float, build_seconds: float) -> DataFrame:
@@ -110,14 +120,21 @@ def feature_gaps(cases: DataFrame, groups: list[str], features: list[str], used:
     return cases.select(*groups, F.explode(F.slice(F.array_sort(gaps), 1, n)).alias("x")).select(*groups, "x.feature", (-F.col("x.minus")).alias("gap"), "x.used")
 
 
-def table_facts(mt: Measurements, static_regrets: DataFrame, support: int = 15) -> DataFrame:
-    """Statements about a table with their support; those of too little support are withheld, but counted."""
-    ties = written(mt.with_best().where(F.col(mt.cost) == F.col("best")).groupBy(*mt.groups).agg(F.count("*").alias("w")), "ties")
-    facts = ties.agg(F.count("*").alias("groups"), F.count_if(F.col("w") > 1).alias("no_single"), F.lit(order.exact_median(ties, "w")).alias("tie_median"), F.max("w").cast("double").alias("tie_max"))
-    long = facts.select("groups", F.explode(F.array(*[F.struct(F.lit(n).alias("fact"), F.col(n).cast("double").alias("value"), s.alias("support")) for n, s in (("no_single", F.col("no_single")), ("tie_median", F.col("groups")), ("tie_max", F.col("groups")))])).alias("x")).select("x.*")
-    static = static_regrets.select(F.concat(F.lit("static_top"), "k").alias("fact"), F.col("geo").alias("value"), F.col("n").alias("support"))
-    every = long.unionByName(static)
-    return every.withColumn("withheld", F.col("support") < support).withColumn("value", F.when(~F.col("withheld"), F.col("value")))
+def table_facts(stats: DataFrame, static_regrets: DataFrame, ks: tuple[int, ...] = (1, 3, 8), least: int = 15) -> DataFrame:
+    """Statements about a table, from the statistics of its training groups and the static choices made on them, with how many groups they rest on.
+
+    Groups with several candidates that the noise cannot tell from the best, the median (rounded down) and the
+    largest number of these, and the regret of the first ks static choices. Those of too few groups are withheld,
+    but counted.
+    """
+    stats = written(stats.select("n_answers"), "answers")
+    mid = order.exact_median(stats, "n_answers")
+    n = F.count("*")
+    facts = stats.agg(n.alias("support"), F.count_if(F.col("n_answers") > 1).cast("double").alias("no_single"), F.lit(None if mid is None else float(int(mid))).alias("tie_median"), F.max("n_answers").cast("double").alias("tie_max"))
+    long = facts.unpivot(["support"], ["no_single", "tie_median", "tie_max"], "fact", "value")
+    static = static_regrets.where(F.col("k").isin(*ks)).crossJoin(F.broadcast(facts.select("support"))).select("support", F.concat(F.lit("static_top"), "k").alias("fact"), F.col("geo").alias("value"))
+    every = long.unionByName(static).withColumn("withheld", F.col("support") < least)
+    return every.withColumn("value", F.when(~F.col("withheld"), F.col("value")))
 
 
 def top_places(mt: Measurements, n: int) -> DataFrame:

@@ -479,11 +479,23 @@ def porting_curve(spark, sf):
     return ops.porting_curve(r, natives, "arm")
 
 
-@query("fact string, value double, support bigint, withheld boolean", f"WITH {BRAND_SQL}, {stats_sql(0.95)}, ti AS (SELECT m.g, count(*) AS w FROM m JOIN st ON m.g = st.g WHERE t = best GROUP BY m.g), re AS (SELECT m.g, i4, ln(min(t / best)) AS v FROM m JOIN st ON m.g = st.g GROUP BY m.g, i4), c0 AS (SELECT i4, round((sum(v) + {PEN} * ((SELECT count(*) FROM st) - count(*))) / (SELECT count(*) FROM st), 9) AS ob FROM re GROUP BY i4 ORDER BY ob, i4 LIMIT 1), fa AS (SELECT 'no_single' AS fact, count(*) FILTER (WHERE w > 1)::DOUBLE AS value, count(*) FILTER (WHERE w > 1) AS support FROM ti UNION ALL SELECT 'tie_median', median(w), count(*) FROM ti UNION ALL SELECT 'tie_max', max(w), count(*) FROM ti UNION ALL SELECT 'static_top1', exp(avg(v)), count(*) FROM re WHERE i4 = (SELECT i4 FROM c0)) SELECT fact, CASE WHEN support >= 15 THEN value END AS value, support, support < 15 AS withheld FROM fa")
+def _facts_sql() -> str:
+    """The static choices on the training parts, eight rounds of which each needs the one before."""
+    greedy = _greedy_sql(8).replace("FROM lineitem  GROUP", "FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 35) GROUP")
+    for i in range(1, 9):
+        greedy = greedy.replace(f", w{i} AS (", f", w{i} AS MATERIALIZED (").replace(f", c{i} AS (", f", c{i} AS MATERIALIZED (")
+    top = " UNION ALL ".join(f"SELECT 'static_top{i}' AS fact, exp(avg(cur)) AS value FROM c{i}" for i in (1, 3, 8))
+    return f"""WITH {greedy}, an AS (SELECT st.g, count(*) FILTER (WHERE t <= best * (1 + tol)) AS a FROM m JOIN st ON m.g = st.g GROUP BY st.g), fa AS (SELECT 'no_single' AS fact, count(*) FILTER (WHERE a > 1)::DOUBLE AS value FROM an UNION ALL SELECT 'tie_median', floor(median(a)) FROM an UNION ALL SELECT 'tie_max', max(a) FROM an UNION ALL {top}),
+      su AS (SELECT count(*) AS support FROM an) SELECT fact, CASE WHEN support >= 15 THEN value END AS value, support, support < 15 AS withheld FROM fa, su"""
+
+
+@query("fact string, value double, support bigint, withheld boolean", _facts_sql())
 def table_facts(spark, sf):
-    mt = brand(spark, sf)
-    chosen = ba.static_topk(mt, ("i4",), 1)
-    return su.table_facts(mt, ba.static_regret(mt, ("i4",), chosen))
+    """Of the training parts alone, those of a size up to 35."""
+    mt, train = part(spark, sf), parts(spark, sf).where("size <= 35").select("g")
+    mt = mt.of(mt.rows.join(train, "g", "left_semi"))
+    chosen = ba.static_topk(mt, ("i1",), 8, scratch(spark))
+    return su.table_facts(group_stats(mt), ba.static_regret(mt, ("i1",), chosen))
 
 
 @query("n bigint, n_bad bigint", f"WITH {EV} SELECT count(*) AS n, count(*) FILTER (WHERE NOT isfinite(s)) AS n_bad FROM m")

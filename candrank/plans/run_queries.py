@@ -154,9 +154,9 @@ def table_axes(spark, sf):
     return su.table_axes(brand(spark, sf), 100)
 
 
-@query("n_i1 bigint, n_i2 bigint, n_i3 bigint, valid bigint, product double, valid_share double, kept double", f"WITH {PART_SQL}, v AS (SELECT count(*) AS valid FROM (SELECT DISTINCT i1, i2, i3 FROM m)), z AS (SELECT count(DISTINCT i1) AS n_i1, count(DISTINCT i2) AS n_i2, count(DISTINCT i3) AS n_i3, count(DISTINCT i1)::DOUBLE * count(DISTINCT i2) * count(DISTINCT i3) AS product, avg((f1 > 0.02)::INT) AS kept FROM m) SELECT *, valid / product AS valid_share FROM z, v")
+@query("n_i1 bigint, n_i2 bigint, n_i3 bigint, valid bigint, product double, valid_share double, kept double, free_groups bigint", f"WITH {PART_SQL}, v AS (SELECT count(*) AS valid FROM (SELECT DISTINCT i1, i2, i3 FROM m)), z AS (SELECT count(DISTINCT i1) AS n_i1, count(DISTINCT i2) AS n_i2, count(DISTINCT i3) AS n_i3, count(DISTINCT i1)::DOUBLE * count(DISTINCT i2) * count(DISTINCT i3) AS product, avg((f1 > 0.02)::INT) AS kept FROM m), fr AS (SELECT count(*) AS free_groups FROM (SELECT g FROM m GROUP BY g HAVING count(DISTINCT i3) > 1)) SELECT *, valid / product AS valid_share FROM z, v, fr")
 def search_space(spark, sf):
-    return su.search_space(part(spark, sf), ("i1", "i2", "i3"), F.col("f1") > 0.02)
+    return su.search_space(part(spark, sf), ("i1", "i2", "i3"), F.col("f1") > 0.02, ("i3",))
 
 
 @query("measure_s double, n bigint, kernels bigint, build_s double", f"WITH {PART_SQL} SELECT sum(t * (20 + greatest(5, 0.1 * 20)) / 1000) AS measure_s, count(*) AS n, count(DISTINCT i1) AS kernels, count(DISTINCT i1) * 16.5 AS build_s FROM m")
@@ -186,7 +186,10 @@ def elite_grid(spark, sf):
     return ops.elite_grid(rules, ("a", "b"), "key", "run", 0.6)
 
 
-@query("run bigint, kind string, n bigint, distinct_texts bigint, rate double", "SELECT user_id AS run, event_type AS kind, count(*) AS n, count(DISTINCT props) AS distinct_texts, 1 - count(DISTINCT props) / count(*) AS rate FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id))")
+_TEXTS = "SELECT run, kind, sum(c) AS n, count(*) AS distinct_texts, 1 - count(*) / sum(c) AS rate, arg_min(props, (-c, props)) AS top_text, max(c) AS top_n FROM {0} GROUP BY run, kind"
+
+
+@query("run bigint, kind string, n bigint, distinct_texts bigint, rate double, top_text string, top_n bigint", f"WITH a AS (SELECT user_id AS run, event_type AS kind, props, count(*) AS c FROM events GROUP BY 1, 2, 3), b AS (SELECT run, NULL AS kind, props, sum(c)::BIGINT AS c FROM a GROUP BY run, props) {_TEXTS.format('a')} UNION ALL {_TEXTS.format('b')}")
 def duplicate_rate(spark, sf):
     return ops.duplicate_rate(read(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("kind"), "props"), "run", "kind", "props").withColumnRenamed("distinct", "distinct_texts")
 
@@ -198,10 +201,16 @@ def rejection_breakdown(spark, sf):
     return ops.rejections(events.crossJoin(F.broadcast(first)).select(F.col("event_type").alias("kind"), F.datediff(F.to_date("ts"), "first").alias("round")), ["kind", "round"])
 
 
-@query("run bigint, round bigint, regret double, verdict string", f"WITH {RUNS_SQL}, pa AS (SELECT run, min(regret) AS parent FROM runs WHERE round < 5 GROUP BY run) SELECT r.run, r.round, r.regret, CASE WHEN parent IS NULL THEN 'no_parent' WHEN round(regret - parent, 9) > 0.001 THEN 'made_worse' WHEN round(regret - parent, 9) < -0.001 THEN 'better_not_kept' ELSE 'tie' END AS verdict FROM runs r LEFT JOIN pa ON r.run = pa.run WHERE r.round >= 5")
+@query(
+    "run bigint, round bigint, regret double, verdict string, by_best string",
+    f"WITH {RUNS_SQL}, pa AS (SELECT run, min(regret) AS parent FROM runs WHERE round < 5 AND run % 7 > 0 GROUP BY run), be AS (SELECT round, min(min(regret)) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM runs GROUP BY round), j AS (SELECT r.*, before, coalesce(parent, before) AS ref FROM runs r LEFT JOIN pa ON r.run = pa.run JOIN be ON r.round = be.round WHERE r.round >= 5) SELECT run, round, regret, CASE WHEN abs(round(regret - ref, 9)) < 0.001 THEN 'tie' WHEN regret > ref THEN 'made_worse' ELSE 'better_not_kept' END AS verdict, CASE WHEN regret > before THEN 'made_worse' ELSE 'no_effect' END AS by_best FROM j",
+)
 def failure_verdict(spark, sf):
+    """The later rounds against their run's first ones; every seventh run has none and is judged against the best of all rounds before."""
     r = runs(spark, sf)
-    return ops.verdicts(r.where("round >= 5"), r.where("round < 5"), "run", 0.001)
+    before = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)  # a row for each round
+    best = r.groupBy("round").agg(F.min("regret").alias("m")).withColumn("before", F.min("m").over(before)).select("round", "before")
+    return ops.verdicts(r.where("round >= 5").join(best, "round"), r.where("round < 5 AND run % 7 > 0"), "run", 0.001, "before")
 
 
 @query("stage string, seconds double, n bigint, share double", "SELECT event_type AS stage, sum(value) AS seconds, count(*) AS n, sum(value) / sum(sum(value)) OVER () AS share FROM events GROUP BY event_type")
@@ -209,9 +218,10 @@ def round_profile(spark, sf):
     return ops.round_profile(read(spark, sf, "events").withColumnRenamed("event_type", "stage"), "stage", "value")
 
 
-@query("arm bigint, n bigint, geo double, median double, hits bigint, minutes double", f"WITH {RUNS_SQL}, p AS (SELECT run % 4 AS arm, run, min(regret) AS best, sum(seconds) AS seconds FROM runs GROUP BY 1, 2) SELECT arm, count(*) AS n, exp(avg(ln(best))) AS geo, median(best) AS median, count(*) FILTER (WHERE round(best, 9) <= 1.05) AS hits, sum(seconds) / 60 AS minutes FROM p GROUP BY arm")
+@query("arm bigint, n bigint, geo double, median double, hits bigint, minutes double, pooled double, tied_share double", f"WITH {RUNS_SQL}, p AS (SELECT run % 4 AS arm, run, min(regret) AS best, sum(seconds) AS seconds, sum(n) AS size, sum(n * ln(regret)) AS logs, sum(n - cells) / sum(n) AS tied FROM runs GROUP BY 1, 2) SELECT arm, count(*) AS n, exp(avg(ln(best))) AS geo, median(best) AS median, count(*) FILTER (WHERE round(best, 9) <= 1.05) AS hits, sum(seconds) / 60 AS minutes, exp(sum(logs) / sum(size)) AS pooled, avg(tied) AS tied_share FROM p GROUP BY arm")
 def run_aggregate(spark, sf):
-    return ops.run_summary(runs(spark, sf).withColumn("arm", F.col("run") % 4), "arm")
+    """A round's size is its events, of which those that repeat a kind count as tied."""
+    return ops.run_summary(runs(spark, sf).withColumns({"arm": F.col("run") % 4, "tied": F.col("n") - F.col("cells")}), "arm", "n", "tied")
 
 
 @query("g bigint, i1 bigint, i2 bigint, i3 string, t double, best double, regret double, n_tied bigint", f"WITH {ST}, o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s, i1, i2, i3) AS rn, count(*) OVER (PARTITION BY g, s) AS n_tied FROM m) SELECT o.g, i1, i2, i3, t, best, t / best AS regret, n_tied FROM o JOIN st ON o.g = st.g WHERE rn = 1")
@@ -248,13 +258,18 @@ def feature_gaps(spark, sf):
 TRAINING = EV.replace("FROM lineitem  GROUP", "FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 35) GROUP")
 
 
-@query(STRATA, _strata_sql(TRAINING))
+@query(
+    STRATA + ", mem double, comp double, n_mem bigint",
+    f"WITH st_ AS ({_strata_sql(TRAINING)}), rg AS (WITH {TRAINING}, x AS (SELECT g, round(avg(f0), 9) / 0.51 < 1 AS mem FROM m GROUP BY g) SELECT k, exp(avg(ln(regret)) FILTER (WHERE mem)) AS mem, exp(avg(ln(regret)) FILTER (WHERE NOT mem)) AS comp, count(*) FILTER (WHERE mem) AS n_mem FROM ev JOIN x ON ev.g = x.g GROUP BY k) SELECT st_.*, mem, comp, n_mem FROM st_ JOIN rg ON st_.k = rg.k",
+)
 def diagnostic_report(spark, sf):
-    """The overall block on the training groups: the parts of a size up to 35."""
+    """The overall block on the training groups, the parts of a size up to 35: by strata, and on both sides of the knee."""
     mt = part(spark, sf)
     train = read(spark, sf, "part").where("p_size <= 35").select(F.col("p_partkey").alias("g"))
     mt = mt.of(mt.rows.join(train, "g", "left_semi"))
-    return cmp.stratified(evaluate(mt, "s"), group_stats(mt), ("g",))
+    ev = evaluate(mt, "s")
+    regimes = rank.regimes(mt.rows.groupBy("g").agg(F.round(F.avg("f0"), 9).alias("x")), F.col("x"), 0.51).select("g", "regime")
+    return cmp.stratified(ev, group_stats(mt), ("g",)).join(su.regime_split(ev, regimes, ["g"]), "k")
 
 
 @query("run bigint, n bigint, value double", "SELECT user_id AS run, count(*) AS n, sum(value) AS value FROM events GROUP BY user_id")
