@@ -68,16 +68,16 @@ def static_first(mt: Measurements, ids: tuple[str, ...], by: tuple[str, ...] = (
     return gains.groupBy(*by).agg(F.min_by(fields, F.struct("objective", *ids)).alias("x")).select(*by, "x.*")
 
 
-def static_regret(mt: Measurements, ids: tuple[str, ...], chosen: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def static_regret(mt: Measurements, ids: tuple[str, ...], chosen: DataFrame, stats: DataFrame | None = None, rel: DataFrame | None = None) -> DataFrame:
     """k, geo, n, cover: geometric mean of the best of the first k chosen candidates over the groups that they cover.
 
-    With stats (group statistics with small and hard), the same over the covered groups of each stratum, as geo_
-    and its name.
+    With stats (a written table of the group statistics with small and hard), the same over the covered groups of
+    each stratum, as geo_ and its name. rel is what relative gives, where that is written already.
     """
-    rel = relative(mt, ids)
+    rel = relative(mt, ids) if rel is None else rel
     upto = chosen.select(F.col("k").alias("turn"), *ids).join(chosen.select("k"), F.col("turn") <= F.col("k"))
     per = rel.join(F.broadcast(upto), list(ids)).groupBy("k", *mt.groups).agg(F.min("v").alias("v"))
-    total = mt.rows.select(*mt.groups).distinct().agg(F.count("*").alias("total"))
+    total = (mt.rows.select(*mt.groups).distinct() if stats is None else stats).agg(F.count("*").alias("total"))
     strata = []
     if stats is not None:
         per = per.join(stats.select(*mt.groups, "small", "hard"), list(mt.groups))

@@ -215,8 +215,9 @@ def _static_sql(k: int) -> str:
 @query("k bigint, i1 bigint, objective double, geo double, cover double, geo_large double, geo_small double, geo_hard double, geo_easy double", _static_sql(3))
 def static_topk(spark, sf):
     mt = part(spark, sf)
-    chosen = ba.static_topk(mt, ("i1",), 3, scratch(spark))
-    return chosen.join(ba.static_regret(mt, ("i1",), chosen, cmp.with_strata(group_stats(mt))), "k")
+    folder = scratch(spark)
+    chosen = ba.static_topk(mt, ("i1",), 3, folder)
+    return chosen.join(ba.static_regret(mt, ("i1",), chosen, cmp.with_strata(group_stats(mt)), spark.read.parquet(f"{folder}/relative")), "k")
 
 
 OK_ONLY = _greedy_sql(1).replace("FROM m JOIN st", "FROM (SELECT * FROM m WHERE i3 <> 'R') m JOIN so st").replace("FROM st)", "FROM so)").replace(f"{ST}, ", f"{ST}, so AS (SELECT g, min(t) FILTER (WHERE isfinite(t) AND t > 0) AS best FROM m WHERE i3 <> 'R' GROUP BY g), ", 1)
