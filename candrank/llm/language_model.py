@@ -377,8 +377,8 @@ def train_words(spark: SparkSession, ids: DataFrame, model: WordModel, lots: int
     and a feature that a lot has first moves in full. What comes to the driver is the model's size.
     """
     likes: list[float] = []
-    width = CLASSES + BUCKETS
-    curvature = np.zeros((WORD_ROWS, width))
+    rows, ends = WORD_ROWS // SLICES, np.cumsum([0, CLASSES, CLASSES, BUCKETS, BUCKETS])
+    curvature = {"classes": np.zeros((WORD_ROWS, CLASSES), np.float32), "buckets": np.zeros((WORD_ROWS, BUCKETS), np.float32)}
     for turn in range(lots * passes):
         held = spark.sparkContext.broadcast(model)
         out = "part int, n long, like double, sums binary"
@@ -388,16 +388,15 @@ def train_words(spark: SparkSession, ids: DataFrame, model: WordModel, lots: int
         if not parts:
             continue
         likes.append(sum(p.like for p in parts) / sum(p.n for p in parts))
-        sums = np.zeros((SLICES, WORD_ROWS // SLICES * 2 * width))
+        new = {"classes": model.classes.copy(), "buckets": model.buckets.copy()}
         for p in parts:
-            sums[p.part] = np.frombuffer(p.sums, "<f4")
-        sums = sums.reshape(WORD_ROWS, -1)
-        seen, expected = (np.concatenate([sums[:, i * CLASSES : (i + 1) * CLASSES], sums[:, 2 * CLASSES + i * BUCKETS : 2 * CLASSES + (i + 1) * BUCKETS]], 1) for i in (0, 1))
-        n = np.concatenate([np.repeat(seen[:, :CLASSES].sum(1, keepdims=True), CLASSES, 1), np.repeat(seen[:, CLASSES:].sum(1, keepdims=True), BUCKETS, 1)], 1)
-        curvature += expected * (1 - expected / np.maximum(n, 1))  # no less than the sum of p (1 - p)
-        now = np.concatenate([model.classes, model.buckets], 1).astype(np.float64)
-        move = np.clip(WORD_STEP * (seen - expected - WORD_RIDGE / lots * now) / (curvature + WORD_RIDGE), -2, 2).astype(np.float32)
-        model = replace(model, classes=model.classes + move[:, :CLASSES], buckets=model.buckets + move[:, CLASSES:])
+            at = slice(p.part * rows, (p.part + 1) * rows)
+            seen_expected = np.split(np.frombuffer(p.sums, "<f4").reshape(rows, -1), ends[1:-1], axis=1)
+            for name, seen, expected in (("classes", *seen_expected[:2]), ("buckets", *seen_expected[2:])):
+                curvature[name][at] += expected * (1 - expected / np.maximum(seen.sum(1, keepdims=True), 1))  # no less than the sum of p (1 - p)
+                now = new[name][at]
+                new[name][at] = now + np.clip(WORD_STEP * (seen - expected - WORD_RIDGE / lots * now) / (curvature[name][at] + WORD_RIDGE), -2, 2)
+        model = replace(model, **new)
     return model, likes
 
 
