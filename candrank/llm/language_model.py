@@ -43,7 +43,7 @@ WORD_ROWS = 1 << 16  # of the hashed weights of words, each with a column for ea
 WORD_FEATURES = 3  # of a token: the word before, the one before that, both
 LOTS, PASSES, WORD_STEP, WORD_RIDGE = 4, 1, 0.8, 4.0  # the training documents are dealt to so many lots; each pass takes a step on every lot
 PIECE_TOKENS = 1 << 14  # of a row of the table of word numbers
-AT_ONCE = 1 << 16  # tokens that are trained on at once
+AT_ONCE = 1 << 18  # tokens that are trained on at once: each time costs as much as there are weight rows, too
 LOT = 1 << 12  # tokens of which all outputs are held at once; more do not fit the processor's cache
 NEVER = -1e9  # logarithm of a bucket without words
 
@@ -336,7 +336,7 @@ def _word_gradients(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         table, like, tokens = own.table(), 0.0, 0
-        sums, inside = np.zeros((WORD_ROWS, 2 * CLASSES)), np.zeros((WORD_ROWS, 2 * BUCKETS))
+        sums, inside = np.zeros((2 * CLASSES, WORD_ROWS)).T, np.zeros((2 * BUCKETS, WORD_ROWS)).T  # an output's sums beside each other
         for at, leaves in _in_lots(batches):
             where, contexts = contexts_of(leaves // BUCKETS, at)
             own.fill(table, contexts)
