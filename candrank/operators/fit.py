@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Generator, Hashable
+from collections.abc import Callable, Generator, Hashable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -101,69 +104,194 @@ def _lockstep(ask: Callable[[dict[Hashable, list[list[float]]]], dict[Hashable,
     return ends
 
 
-def descend(mt: Measurements, features: list[str], start: list[float], steps: tuple[float, ...] = STEPS, pairs: bool = True, bounds: list[tuple[float, float]] | None = None, budget: int = 400) -> list[tuple[str, float, list[float]]]:
-    """(kind, regret, weights) of the start and each strict improvement, see _descent; each batch is one pass over all rows."""
+PART, FOLD = "__part", "__fold"  # columns of rows that several fits share
 
-    def ask(wanted):
-        got = {r.weight_id: r.regret for r in regret_batch(mt, features, weight_table(mt.rows.sparkSession, wanted[0])).collect()}  # a row for each vector
-        return {0: [got.get(i) for i in range(len(wanted[0]))]}
 
-    return _lockstep(ask, {0: _descent(start, steps, pairs, bounds, budget)})[0]
+@dataclass(frozen=True)
+class Packed:
+    """Rows of parts and folds in blocks, in the order of part, group and identity.
+
+    A block is a batch of rows of one part; its columns are binary arrays, and it names its first and last
+    group, the only ones that other blocks can hold rows of.
+    """
 
+    blocks: DataFrame
+    groups: tuple[str, ...]
+
+
+def _starts(columns: list[pa.Array]) -> np.ndarray:
+    """Where a row differs from the one before it; nulls are alike."""
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        code = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _packing(groups: tuple[str, ...], features: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cuts = [*_starts([batch.column(PART)]).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                rows = batch.slice(lo, hi - lo)
+                code = np.zeros(hi - lo, "<i4")
+                code[_starts([rows.column(g) for g in groups])[1:]] = 1
+                number = lambda c: rows.column(c).to_numpy(zero_copy_only=False).astype("<f8")  # noqa: E731,B023
+                arrays = [np.cumsum(code, dtype="<i4"), rows.column(FOLD).to_numpy(zero_copy_only=False).astype("<i4"), number("__t"), np.concatenate([number(f"__f{i}") for i in range(len(features))])]
+                ends = [rows.column(g).slice(i, 1) for i in (0, hi - lo - 1) for g in groups]
+                yield pa.RecordBatch.from_arrays([rows.column(PART).slice(0, 1), pa.array([at]), *[pa.array([a.tobytes()]) for a in arrays], *ends], [PART, "at", "code", "fold", "t", "f", *[f"{s}_{g}" for s in "az" for g in groups]])
+                at += 1
+
+    return run
 
-PART, FOLD = "__part", "__fold"  # columns of rows that several fits share
 
+def pack(mt: Measurements, features: list[str]) -> Packed:
+    """The rows of mt, whose columns PART and FOLD say which trials see them, packed once for many passes; the caller drops them.
 
-def regret_parts(mt: Measurements, features: list[str], trials: list[tuple[Hashable, int, bool, list[float]]]) -> list[float | None]:
-    """The regret of each trial (part, fold, held out or training, weights), none where infeasible or without rows; one pass for all."""
-    rows = [(i, part, fold, held, [float(x) for x in w]) for i, (part, fold, held, w) in enumerate(trials)]
-    kind = dict(mt.rows.dtypes)[PART]
-    vectors = mt.rows.sparkSession.createDataFrame(rows, f"weight_id int, of {kind}, at int, held boolean, w array<double>")
-    on = (F.col(PART) == F.col("of")) & ((F.col(FOLD) == F.col("at")) == F.col("held"))
-    got = {r.weight_id: r.regret for r in regret_batch(mt, features, vectors, on).collect()}  # a row for each trial
+    Rows are dealt in ranges of part, group and identity, so that a large group is many tasks and blocks.
+    """
+    kinds = dict(mt.rows.dtypes)
+    own = mt.rows.where(F.col(PART).isNotNull() & F.col(FOLD).isNotNull())
+    own = own.select(PART, F.col(FOLD).cast("int").alias(FOLD), *mt.groups, *mt.ids, F.col(mt.cost).cast("double").alias("__t"), *[F.col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)])
+    key = [PART, *mt.groups, *mt.ids]
+    ends = "".join(f", `{s}_{g}` {kinds[g]}" for s in "az" for g in mt.groups)
+    blocks = own.repartitionByRange(*key).sortWithinPartitions(*key).drop(*mt.ids).mapInArrow(_packing(mt.groups, features), f"{PART} {kinds[PART]}, at long, code binary, fold binary, t binary, f binary{ends}")
+    return Packed(blocks.persist(), mt.groups)  # on disk where memory is short, computed again where an executor goes
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """As F.round: half away from zero; larger numbers have no digit to lose."""
+    return np.where(np.abs(x) < 1 << 23, np.copysign(np.floor(np.abs(x) * 10.0**DIGITS + 0.5) / 10.0**DIGITS, x), x)
+
+
+def _tried(groups: tuple[str, ...], trials: list[tuple[int, Hashable, int, bool, list[float]]]):
+    """Each trial's picks in a block: the groups inside it as sums, its first and last group as a row each."""
+    of: dict = {}
+    for i, part, fold, held, w in trials:
+        of.setdefault(part, {}).setdefault((fold, held), []).append((i, w))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []  # weight, row of the batch and end (none inside), score, cost, best, bad, total, n
+            for row, part in enumerate(batch.column(PART).to_pylist()):
+                read = lambda c, kind: np.frombuffer(batch.column(c)[row].as_buffer(), kind)  # noqa: E731,B023
+                if part not in of:
+                    continue
+                codes, folds, costs = read("code", "<i4"), read("fold", "<i4"), read("t", "<f8")
+                f, last = read("f", "<f8").reshape(-1, len(codes)), codes[-1]
+                for (fold, held), vectors in of[part].items():
+                    seen = np.flatnonzero((folds == fold) == held)
+                    if not len(seen):
+                        continue
+                    code, t, x = codes[seen], costs[seen], f[:, seen]
+                    starts = np.flatnonzero(np.diff(code, prepend=-1))
+                    group = code[starts]
+                    lengths = np.diff(starts, append=len(code))
+                    with np.errstate(all="ignore"):
+                        best = np.minimum.reduceat(np.where(np.isfinite(t) & (t > 0), t, np.inf), starts)
+                        inside = (group > 0) & (group < last)
+                        edges = np.flatnonzero(~inside).tolist()
+                        for i, w in vectors:
+                            score = _rounded(reduce(lambda a, b: a + b, [c * y for c, y in zip(w, x)]))
+                            wrong = np.isnan(score)
+                            score[wrong] = np.inf
+                            bad = np.add.reduceat(wrong.astype(np.int64), starts)
+                            low = np.minimum.reduceat(score, starts)
+                            hits = np.flatnonzero(score == np.repeat(low, lengths))
+                            picked = t[hits[np.flatnonzero(np.diff(code[hits], prepend=-1))]]
+                            rel = np.where(np.isfinite(best), picked / best, np.nan)
+                            good = inside & np.isfinite(rel) & (rel > 0)
+                            if inside.any():
+                                out.append((i, None, None, None, None, None, int(bad[inside].sum()), float(np.log(rel[good]).sum()), int(good.sum())))
+                            for e in edges:
+                                out.append((i, row, bool(group[e]), float(low[e]), float(picked[e]), float(best[e]), int(bad[e]), None, None))
+            n = batch.num_rows
+            take = pa.array([None if o[1] is None else o[1] + n * o[2] for o in out], pa.int64())
+            ends = [pa.concat_arrays([batch.column(f"a_{g}"), batch.column(f"z_{g}")]).take(take) for g in groups]
+            column = lambda k, kind: pa.array([o[k] for o in out], kind)  # noqa: E731,B023
+            at = pa.concat_arrays([batch.column("at"), batch.column("at")]).take(take)
+            yield pa.RecordBatch.from_arrays(
+                [column(0, pa.int32()), pa.array([o[1] is not None for o in out], pa.bool_()), at, *ends, *[column(k, pa.float64()) for k in (3, 4, 5)], column(6, pa.int64()), column(7, pa.float64()), column(8, pa.int64())],
+                ["weight_id", "edge", "at", *[f"g_{g}" for g in groups], "score", "t", "best", "bad", "total", "n"],
+            )
+
+    return run
+
+
+def regret_parts(rows: Measurements | Packed, features: list[str], trials: list[tuple[Hashable, int, bool, list[float]]]) -> list[float | None]:
+    """The regret of each trial (part, fold, held out or training, weights), none where infeasible or without rows; one pass for all.
+
+    What regret_batch gives on each trial's rows, without a shuffle of the rows: tasks pick inside their blocks,
+    and only the first and last group of a block are put together with other blocks'.
+    """
+    packed = rows if isinstance(rows, Packed) else pack(rows, features)
+    kinds, keys = dict(packed.blocks.dtypes), [f"g_{g}" for g in packed.groups]
+    schema = "weight_id int, edge boolean, at long, " + "".join(f"`g_{g}` {kinds[f'a_{g}']}, " for g in packed.groups) + "score double, t double, best double, bad long, total double, n long"
+    own = [(i, part, fold, held, [float(x) for x in w]) for i, (part, fold, held, w) in enumerate(trials)]
+    tried = packed.blocks.mapInArrow(_tried(packed.groups, own), schema)
+    per = tried.groupBy("weight_id", "edge", *keys).agg(F.min_by("t", F.struct("score", "at")).alias("t"), C.best_of(F.col("best")).alias("best"), F.sum("bad").alias("bad"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    rel = F.col("t") / F.col("best")
+    per = per.select("weight_id", "bad", F.when(F.col("edge"), F.when(C.usable(rel), F.log(rel))).otherwise(F.col("total")).alias("total"), F.when(F.col("edge"), C.usable(rel).cast("long")).otherwise(F.col("n")).alias("n"))
+    sums = per.groupBy("weight_id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    got = {r.weight_id: r.regret for r in sums.select("weight_id", F.when((F.col("bad") == 0) & (F.col("n") > 0), F.exp(F.col("total") / F.col("n"))).alias("regret")).collect()}  # a row for each trial
+    if packed is not rows:
+        packed.blocks.unpersist()
     return [got.get(i) for i in range(len(trials))]
 
 
-def descend_parts(mt: Measurements, features: list[str], starts: dict[Hashable, tuple[Hashable, int, list[float]]], steps: tuple[float, ...] = STEPS, pairs: bool = True, bounds: list[tuple[float, float]] | None = None, budget: int = 400) -> dict[Hashable, list[tuple[str, float, list[float]]]]:
-    """Many fits in lockstep: for each name of starts (part, fold, weights) the log of its descent on the part's rows outside the fold.
+def descend_parts(rows: Measurements | Packed, features: list[str], starts: dict[Hashable, tuple[Hashable, int, list[float]]], steps: tuple[float, ...] = STEPS, pairs: bool = True, bounds: list[tuple[float, float]] | None = None, budget: int = 400, held: bool = False) -> dict[Hashable, list[tuple[str, float, list[float]]]]:
+    """Many fits in lockstep: for each name of starts (part, fold, weights) the log of its descent on the part's rows outside the fold (held: inside).
 
     A round is one pass that tries what all fits want to try, each on its own rows; so the passes are those of
     the longest descent, whatever the number of fits.
     """
+    packed = rows if isinstance(rows, Packed) else pack(rows, features)
 
     def ask(wanted):
         flat = [(k, w) for k, tries in wanted.items() for w in tries]
-        got, out = regret_parts(mt, features, [(*starts[k][:2], False, w) for k, w in flat]), {k: [] for k in wanted}
+        got, out = regret_parts(packed, features, [(*starts[k][:2], held, w) for k, w in flat]), {k: [] for k in wanted}
         for (k, _), r in zip(flat, got):
             out[k].append(r)
         return out
 
-    return _lockstep(ask, {k: _descent(w, steps, pairs, bounds, budget) for k, (_, _, w) in starts.items()})
+    ends = _lockstep(ask, {k: _descent(w, steps, pairs, bounds, budget) for k, (_, _, w) in starts.items()})
+    if packed is not rows:
+        packed.blocks.unpersist()
+    return ends
+
+
+def descend(mt: Measurements, features: list[str], start: list[float], steps: tuple[float, ...] = STEPS, pairs: bool = True, bounds: list[tuple[float, float]] | None = None, budget: int = 400) -> list[tuple[str, float, list[float]]]:
+    """(kind, regret, weights) of the start and each strict improvement, see _descent; each batch is one pass over all rows."""
+    rows = mt.of(mt.rows.withColumns({PART: F.lit(0), FOLD: F.lit(0)}))
+    return descend_parts(rows, features, {0: (0, 0, start)}, steps, pairs, bounds, budget, held=True)[0]
 
 
 def coordinate_fit(mt: Measurements, features: list[str], start: list[float], steps: tuple[float, ...] = STEPS, pairs: bool = True, restarts: int = 0, bounds: list[tuple[float, float]] | None = None, budget: int = 400, train: Column | None = None, seed: int = 5) -> DataFrame:
     """round, kind, regret, val_regret, weights: the start, each improvement and each restart that is better than all before.
 
     Restarts begin at seeded points around the best weights so far. Only the rows of train are fitted; the others
-    give val_regret, null without them. The result is never worse than the start. The rows are kept in memory
-    and on disk while the batches run; what an executor loses is computed again.
+    give val_regret, null without them. The result is never worse than the start. The rows are packed once and
+    kept in memory and on disk while the batches run; what an executor loses is computed again.
     """
     spark = mt.rows.sparkSession
-    every = mt.rows.select(*mt.groups, *mt.ids, mt.cost, *features, (train if train is not None else F.lit(True)).alias("__train")).persist()
+    packed = pack(mt.of(mt.rows.withColumns({PART: F.lit(0), FOLD: (train if train is not None else F.lit(True)).cast("int")})), features)
+    fitted = lambda w: descend_parts(packed, features, {0: (0, 1, w)}, steps, pairs, bounds, budget, held=True)[0]
     try:
-        own, other = (mt.of(every.where(c).drop("__train")) for c in (F.col("__train"), ~F.col("__train")))
-        log = descend(own, features, start, steps, pairs, bounds, budget)
+        log = fitted(start)
         rng = np.random.default_rng(seed)
         for _ in range(restarts):
             _, value, best = log[-1]
-            point = [x + float(rng.normal(0.0, RESTART_SPREAD * max(abs(x), 1.0))) for x in best]
-            again = descend(own, features, point, steps, pairs, bounds, budget)
+            again = fitted([x + float(rng.normal(0.0, RESTART_SPREAD * max(abs(x), 1.0))) for x in best])
             if again[-1][1] < value - 1e-12:
                 log.append(("restart", *again[-1][1:]))
-        held = {r.weight_id: r.regret for r in regret_batch(other, features, weight_table(spark, [w for *_, w in log])).collect()} if train is not None else {}  # one for each improvement
+        held = regret_parts(packed, features, [(0, 0, True, w) for *_, w in log]) if train is not None else [None] * len(log)
     finally:
-        every.unpersist()
-    return spark.createDataFrame([(i, kind, value, held.get(i), w) for i, (kind, value, w) in enumerate(log)], "round int, kind string, regret double, val_regret double, weights array<double>")
+        packed.blocks.unpersist()
+    return spark.createDataFrame([(i, kind, value, held[i], w) for i, (kind, value, w) in enumerate(log)], "round int, kind string, regret double, val_regret double, weights array<double>")
 
 
 def constant_parts(mt: Measurements, features: list[str]) -> DataFrame:

@@ -296,3 +296,28 @@ def test_pinned_blocks(spark):
         assert got[b] == at
     with pytest.raises(ValueError, match="pinned"):
         splits.grouped_folds(groups, ["b"], 3, F.lit(True), F.col("b") > 99)
+
+
+def test_packed_trials_are_those_of_whole_rows(spark):
+    """Groups over many blocks and tasks, ties, unusable costs, missing features and two parts: as regret_batch on each trial's rows."""
+    r = np.random.default_rng(9)
+    rows = [(p, f"g{g}" if g else None, k, float(r.choice([0.0, math.inf, math.nan, *r.integers(1, 9, 9)])), float(r.integers(0, 4)) / 4, float(r.integers(0, 3)), int(g % 3)) for p in "xy" for g in range(9) for k in range(400 if g == 4 else 7)]
+    rows[-1] = (*rows[-1][:4], None, *rows[-1][5:])
+    mt = Measurements(spark.createDataFrame(rows, f"{fit.PART} string, g string, k long, t double, f0 double, f1 double, {fit.FOLD} int"), ("g",), ("k",), noise=Noise(0, 0, 0))
+    trials = [(p, i, held, w) for p in "xy" for i in range(3) for held in (False, True) for w in ([1.0, 1.0], [-0.5, 0.25], [0.0, 0.0])]
+    before, small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), "16"
+    shuffled = []
+    whole = fit.regret_batch
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+        fit.regret_batch = lambda *a, **k: shuffled.append(1) or whole(*a, **k)
+        got = fit.regret_parts(mt, ["f0", "f1"], trials)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        fit.regret_batch = whole
+    assert not shuffled  # no pass shuffles a row for each candidate and vector
+    for (p, i, held, w), value in zip(trials, got):
+        one = mt.where(f"{fit.PART} = '{p}' AND {fit.FOLD} {'=' if held else '<>'} {i}")
+        want = fit.regret_batch(one, ["f0", "f1"], fit.weight_table(spark, [w])).first().regret
+        assert value == (want if want is None else pytest.approx(want, rel=1e-12))
+    assert got.count(None) == 9
