@@ -314,11 +314,13 @@ def transfer_cells(tables: dict[str, tuple[Measurements, list[float]]], features
     spark, cols = mt.rows.sparkSession, [*mt.groups, *mt.ids, mt.cost, *features]
     every = reduce(lambda a, b: a.unionByName(b), [m.rows.select(*cols, F.lit(k).alias(PART), fold.cast("int").alias(FOLD)) for k, (m, _) in tables.items()])
     every = mt.of(every.persist())  # on disk where memory is short, computed again where an executor goes
+    packed = pack(every, features)
     cells = [(i, src, dst) for i in range(folds) for src in tables for dst in tables if src != dst]
-    own = descend_parts(every, features, {(k, i): (k, i, w) for k, (_, w) in tables.items() for i in range(folds)}, steps, pairs=False)
-    again = descend_parts(every, features, {c: (c[2], c[0], own[c[1], c[0]][-1][2]) for c in cells}, steps, pairs=False)
+    own = descend_parts(packed, features, {(k, i): (k, i, w) for k, (_, w) in tables.items() for i in range(folds)}, steps, pairs=False)
+    again = descend_parts(packed, features, {c: (c[2], c[0], own[c[1], c[0]][-1][2]) for c in cells}, steps, pairs=False)
     weights = {(i, src, dst): (own[src, i][-1][2], again[i, src, dst][-1][2], own[dst, i][-1][2]) for i, src, dst in cells}
-    got = regret_parts(every, features, [(c[2], c[0], True, w) for c in cells for w in weights[c]])
+    got = regret_parts(packed, features, [(c[2], c[0], True, w) for c in cells for w in weights[c]])
+    packed.blocks.unpersist()
     kinds = {(r.part, r.fold): r.asDict() for r in constant_parts(every, features).collect()}  # a row for each table and fold
     beside = {name: {(r.part, r.fold): r.value for r in f(every).collect()} for name, f in others.items()}  # the same
     out = []
