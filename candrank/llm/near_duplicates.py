@@ -4,10 +4,11 @@ Fingerprints within a radius: 64-bit SimHash and 2^(radius+1)-1 structured masks
 vector of radius+1 bits; mask v keeps the bits whose vector has odd parity with v. For any radius differing
 bits some v is orthogonal to all of their vectors, so that the pair agrees under mask v.
 
-Texts of a least similarity: at a Jaccard similarity of 0.8 on five-word shingles 64-bit SimHash differs in
-about 10 bits and often in 16, for which masks of this kind would be 2^17; there the masked vector is a
-MinHash signature and the masks are a partition of its components, by the same pigeonhole guarantee, and
-every candidate is checked on its whole shingle sets.
+Texts of a least similarity: those whose fingerprints the masks link are checked on their whole shingle sets
+and joined first. At a Jaccard similarity of 0.8 on five-word shingles 64-bit SimHash differs in about 10
+bits and often in 16, for which masks of this kind would be 2^17; pairs beyond the radius are therefore found
+by a MinHash signature whose masks are a partition of its components, by the same pigeonhole guarantee, with
+the same check.
 """
 
 from __future__ import annotations
@@ -157,17 +158,18 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(k: int):
-    """Each text's content hash, its shingle hashes (distinct, ascending, 32 bits), signature and bucket of each mask."""
+    """Each text's content hash, its fingerprint, its shingle hashes (distinct, ascending, 32 bits), signature and bucket of each mask."""
     n = BANDS * BAND
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations(n)
         for batch in batches:
-            content, grams, sigs, bands = [], [], [], []
+            content, prints, grams, sigs, bands = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 parts = shingles(words, k)
                 content.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                prints.append(simhash(shingles(words, SHINGLE)))
                 h = np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(p, SEED) for p in parts]), ">u8").astype(np.uint64) >> np.uint64(32)) if parts else np.zeros(0, np.uint64)
                 grams.append(h.astype("<u4").tobytes())
                 sig = np.full(n, (1 << 32) - 1, np.uint64)
@@ -177,8 +179,8 @@ def _signatures(k: int):
                 sigs.append(s.tobytes())
                 bands.append([xxhash.xxh64_intdigest(s[i * BAND : (i + 1) * BAND].tobytes(), i) - (1 << 63) for i in range(BANDS)] if parts else [])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("row", "doc_id", "__key")), pa.array(content, pa.binary()), pa.array(grams, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["row", "doc_id", "__key", "content", "grams", "sig", "bands"],
+                [*(batch.column(c) for c in ("row", "doc_id", "__key")), pa.array(content, pa.binary()), pa.array(prints, pa.int64()), pa.array(grams, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["row", "doc_id", "__key", "content", "fp", "grams", "sig", "bands"],
             )
 
     return run
@@ -206,6 +208,16 @@ def _verified(least: float):
     return run
 
 
+def _print_pairs(nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """Pairs a < b that join all texts whose fingerprints the covering masks link: a fingerprint's texts with its first, and the first of linked ones."""
+    own = nodes.where(F.size("bands") > 0).select("row", "fp")
+    leads = scratch.keep(own.groupBy("fp").agg(F.min("row").alias("lead")), "leads")
+    of = lambda c: leads.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}"))
+    apart = fingerprint_links(leads.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("lead_a").alias("x"), F.col("lead_b").alias("y"))
+    pairs = own.join(leads, "fp").select(F.col("lead").alias("x"), F.col("row").alias("y")).unionByName(apart)
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _candidates(nodes: DataFrame, bands: range, paired: int, scratch: common.Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """Pairs a < b that share a bucket of the given masks, and the rows of buckets of over paired nodes.
 
@@ -276,10 +288,8 @@ def _left_links(signed: DataFrame, crowded: DataFrame, found: DataFrame, similar
     return theirs.unionByName(ours).join(data, "row").groupBy("band", "bucket", "x", "y").applyInArrow(_between(similarity), "a long, b long")
 
 
-def _apart(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs that earlier links do not join already."""
-    if found is None:
-        return pairs
     of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
@@ -294,24 +304,28 @@ def _groups(docs: DataFrame, shingle: int, similarity: float, paired: int) -> tu
     common.small_batches(spark)
     scratch = common.Scratch(spark, "similar")
     read = _keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "__key", F.coalesce("text", F.lit("")).alias("text"))
-    signed = scratch.keep(read.mapInArrow(_signatures(shingle), "row long, doc_id long, __key long, content binary, grams binary, sig binary, bands array<long>"), "signed")
+    signed = scratch.keep(read.mapInArrow(_signatures(shingle), "row long, doc_id long, __key long, content binary, fp long, grams binary, sig binary, bands array<long>"), "signed")
     same = scratch.keep(signed.groupBy("content").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("lead")), "same")
-    nodes = scratch.keep(signed.select("row", "bands").join(same.select(F.col("node").alias("row")), "row", "left_semi"), "nodes")
-    links = found = crowded = None
+    nodes = scratch.keep(signed.select("row", "fp", "bands").join(same.select(F.col("node").alias("row")), "row", "left_semi"), "nodes")
+
+    def confirmed(near: DataFrame, name: str) -> DataFrame:
+        needed = scratch.keep(near.select(F.explode(F.array("a", "b")).alias("row")).distinct(), f"needed-{name}")
+        grams = scratch.keep(signed.select("row", "grams").join(common.sized(needed), "row", "left_semi"), f"grams-{name}")
+        new = near.join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b").mapInArrow(_verified(similarity), "a long, b long")
+        new = scratch.keep(new, f"links-{name}")
+        scratch.drop(f"grams-{name}")
+        return new
+
+    links, crowded = confirmed(scratch.keep(_print_pairs(nodes, scratch), "near-prints"), "prints"), None
+    found = scratch.keep(components(links, common.Scratch(spark, "similar-links")), "found-prints")
     for turn in range(ROUNDS):
         pairs, many = _candidates(nodes, range(turn, BANDS, ROUNDS), paired, scratch, f"crowded-{turn}")
         pairs, crowded = scratch.keep(_apart(pairs, found), f"pairs-{turn}"), many if crowded is None else crowded.unionByName(many)
         ends = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), f"ends-{turn}")
         sig = scratch.keep(signed.select("row", "sig").join(common.sized(ends), "row", "left_semi"), f"sig-{turn}")
         near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_estimated(similarity - ESTIMATE_SLACK), "a long, b long")
-        near = scratch.keep(near, f"near-{turn}")
-        needed = scratch.keep(near.select(F.explode(F.array("a", "b")).alias("row")).distinct(), f"needed-{turn}")
-        grams = scratch.keep(signed.select("row", "grams").join(common.sized(needed), "row", "left_semi"), f"grams-{turn}")
-        new = near.join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b").mapInArrow(_verified(similarity), "a long, b long")
-        new = scratch.keep(new, f"links-{turn}")
-        for name in ("sig", "grams"):
-            scratch.drop(f"{name}-{turn}")
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(confirmed(scratch.keep(near, f"near-{turn}"), str(turn)))
+        scratch.drop(f"sig-{turn}")
         found = scratch.keep(components(links, common.Scratch(spark, "similar-links")), f"found-{turn}")
     left = _left_links(signed, crowded, found, similarity, scratch)
     if left is not None:

@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """The first document of each group of near duplicates (five-word shingles, similarity 0.8): by the covering masks of fingerprints, and beyond their radius by those of signatures."""
     return deduplicate(docs)
 
 

@@ -173,3 +173,16 @@ def test_recall_on_the_given_documents(spark):
     for a, b in zip(empty, empty[1:]):
         root[max(top(a), top(b))] = min(top(a), top(b))
     assert len({top(d) for d in group}) == len(set(group.values()))
+
+
+def test_fingerprints_link_similar_texts_first(spark, monkeypatch):
+    """Without any signature bucket, texts within the masks' radius are joined where their shingle sets are alike, and only there."""
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    near = next(x for x in (words[:i] + ["other"] + words[i + 1 :] for i in range(400)) if nd.simhash(shingles([w.encode() for w in x], 3)) != nd.simhash(shingles([w.encode() for w in words], 3)) and (nd.simhash(shingles([w.encode() for w in x], 3)) ^ nd.simhash(shingles([w.encode() for w in words], 3))).bit_count() <= 2)
+    same = [" ".join(["a", "b", "c"] * 60 + [f"{s}{i}" for i in range(40)]) for s in "xy"]  # one fingerprint, few common shingles
+    assert len({nd.simhash(shingles(words_of(t), 3)) for t in same}) == 1
+    docs = spark.createDataFrame(list(enumerate([" ".join(words), " ".join(near), *same])), "doc_id long, text string")
+    nothing = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "row long, band int, bucket long")
+    monkeypatch.setattr(nd, "_candidates", lambda *a: nothing)
+    assert sorted(x.doc_id for x in similar_groups(docs).where("first").collect()) == [0, 2, 3]
