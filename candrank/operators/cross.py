@@ -92,12 +92,12 @@ def match_nearest(wanted: DataFrame, mt: Measurements, axes: tuple[str, ...], we
     return rows.groupBy(*mt.groups).agg(F.min("distance").alias("distance"), *[F.min_by(i, order).alias(i) for i in mt.ids], F.min_by(mt.cost, order).alias("picked"))
 
 
-def pairs(mt: Measurements, top_n: int, anchor_best: bool = False) -> DataFrame:
-    """Pairs of a group's top_n cheapest that the noise can tell apart, cheaper first, with weight (t_j - t_i) / best."""
+def pairs(mt: Measurements, top_n: int, anchor_best: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a group's top_n cheapest that the noise can tell apart, cheaper first, with weight (t_j - t_i) / best and the columns of keep."""
     t = mt.cost
-    top = mt.ranked(t).where(F.col("rn") <= top_n).select(*mt.groups, "rn", t, *mt.ids)
-    a = top.select(*mt.groups, *[F.col(c).alias(f"{c}_a") for c in ("rn", t, *mt.ids)])
-    b = top.select(*mt.groups, *[F.col(c).alias(f"{c}_b") for c in ("rn", t, *mt.ids)])
+    top = mt.ranked(t).where(F.col("rn") <= top_n).select(*mt.groups, "rn", t, *mt.ids, *keep)
+    a = top.select(*mt.groups, *[F.col(c).alias(f"{c}_a") for c in ("rn", t, *mt.ids, *keep)])
+    b = top.select(*mt.groups, *[F.col(c).alias(f"{c}_b") for c in ("rn", t, *mt.ids, *keep)])
     if anchor_best:
         a = a.where("rn_a = 1")
     out = a.join(b, list(mt.groups)).where("rn_a < rn_b").where(C.resolvable(F.col(f"{t}_a"), F.col(f"{t}_b"), mt.noise))

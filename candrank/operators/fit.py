@@ -352,6 +352,13 @@ def rank_loss(pairs: DataFrame, score_a: Column, score_b: Column, first: Column
     return pairs.agg(((1 - share) * mean(F.col("weight")) + share * mean(top)).alias("loss"), mean(F.col("weight")).alias("every"), mean(top).alias("first"), F.count("*").alias("n"), F.count_if(first).alias("n_first"))
 
 
+def pair_sums(pairs: DataFrame, features: list[str], first: Column) -> DataFrame:
+    """Pairs of the same differences as one, with the sum of their weights and first: rank_fit and the losses of a linear score are those of all pairs."""
+    d = [(F.col(f"{f}_a") - F.col(f"{f}_b")).alias(f"{f}_a") for f in features]
+    sums = pairs.select(*d, first.alias("first"), "weight").groupBy(*[f"{f}_a" for f in features], "first").agg(F.sum("weight").alias("weight"))
+    return sums.withColumns({f"{f}_b": F.lit(0.0) for f in features})
+
+
 def rank_fit(pairs: DataFrame, features: list[str], iterations: int = 50, first: Column | None = None, share: float = 0.0) -> list[float]:
     """Weights that minimise the pair loss: logistic regression on the differences, each pair in both directions.
 

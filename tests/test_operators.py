@@ -321,3 +321,18 @@ def test_packed_trials_are_those_of_whole_rows(spark):
         want = fit.regret_batch(one, ["f0", "f1"], fit.weight_table(spark, [w])).first().regret
         assert value == (want if want is None else pytest.approx(want, rel=1e-12))
     assert got.count(None) == 9
+
+
+def test_pair_sums_fit_as_all_pairs(spark):
+    """Pairs of few differences become as few rows, and fit and loss stay what they are on all pairs."""
+    r = np.random.default_rng(11)
+    rows = [(*(float(x) for x in r.integers(0, 4, 4) / 4), float(1 + r.random()), bool(r.random() < 0.3)) for _ in range(600)]
+    pairs = spark.createDataFrame(rows, "f0_a double, f0_b double, f1_a double, f1_b double, weight double, head boolean")
+    sums = fit.pair_sums(pairs, ["f0", "f1"], F.col("head"))
+    assert sums.count() <= 2 * 49
+    for share in (0.0, 0.5):
+        w = fit.rank_fit(pairs, ["f0", "f1"], first=F.col("head"), share=share)
+        assert fit.rank_fit(sums, ["f0", "f1"], first=F.col("first"), share=share) == pytest.approx(w, rel=1e-4, abs=1e-6)
+        score = lambda s: 0.3 * F.col(f"f0_{s}") - 0.7 * F.col(f"f1_{s}")
+        loss = lambda df, c: fit.rank_loss(df, score("a"), score("b"), F.col(c), share).first().loss
+        assert loss(sums, "first") == pytest.approx(loss(pairs, "head"), rel=1e-9)
