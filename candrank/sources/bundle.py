@@ -54,10 +54,10 @@ def split_answers(mt: Measurements) -> tuple[DataFrame, DataFrame]:
 
 
 def check_keys(features: DataFrame, costs: DataFrame, key: list[str]) -> DataFrame:
-    """n_features, n_costs, one_sided: rows of either side, and keys that only one side has."""
-    a, b = features.groupBy(*key).agg(F.count("*").alias("a")), costs.groupBy(*key).agg(F.count("*").alias("b"))
-    both = a.join(b, key, "full")
-    return both.agg(F.sum("a").alias("n_features"), F.sum("b").alias("n_costs"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("one_sided"))
+    """n_features, n_costs, one_sided: rows of either side, and keys that only one side has (a null is a value like any other)."""
+    side = lambda df, a, b: df.select(*key, F.lit(a).alias("a"), F.lit(b).alias("b"))
+    both = side(features, 1, 0).unionByName(side(costs, 0, 1)).groupBy(*key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return both.agg(F.sum("a").alias("n_features"), F.sum("b").alias("n_costs"), F.count_if((F.col("a") == 0) | (F.col("b") == 0)).alias("one_sided"))
 
 
 def lift_constants(df: DataFrame, cols: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
