@@ -67,7 +67,8 @@ def recommended(wishes: DataFrame, mt: Measurements, axes: tuple[str, ...], weig
     Each wish of a group is the candidate at its coordinates, the first by identity, or else the nearest one;
     without nearest it is passed over, as are wishes with null coordinates. A candidate that several wishes mean has
     the first one's place; all others follow by identity. The pick of a wish is an aggregate, and the order a
-    score: no group is sorted before it is evaluated.
+    score: no group is sorted before it is evaluated. The picks join as one list for each group, as long as its
+    wishes, so that rows dealt by group are not dealt again by identity.
     """
     asked = wishes.dropna(subset=["wish", *axes]).select(*mt.groups, "wish", *[F.col(a).alias(f"w_{a}") for a in axes])
     pairs = mt.rows.select(*mt.groups, *dict.fromkeys([*mt.ids, *axes])).join(asked, list(mt.groups))
@@ -76,8 +77,9 @@ def recommended(wishes: DataFrame, mt: Measurements, axes: tuple[str, ...], weig
     if not nearest:
         pairs = pairs.where(exact)
     picks = pairs.groupBy(*mt.groups, "wish").agg(F.min_by(F.struct(*mt.ids), F.struct("__apart", *mt.ids)).alias("x"))
-    first = picks.groupBy(*mt.groups, *[F.col(f"x.{i}").alias(i) for i in mt.ids]).agg(F.min("wish").cast("long").alias("__wish"))
-    rows = mt.rows.join(first, [*mt.groups, *mt.ids], "left").withColumn(name, F.coalesce("__wish", F.lit(1 << 40))).drop("__wish")
+    listed = picks.groupBy(*mt.groups).agg(F.collect_list(F.struct(F.col("wish").cast("long").alias("wish"), "x")).alias("__picks"))
+    own = F.array_min(F.transform(F.filter("__picks", lambda p: p["x"] == F.struct(*mt.ids)), lambda p: p["wish"]))
+    rows = mt.rows.join(listed, list(mt.groups), "left").withColumn(name, F.coalesce(own, F.lit(1 << 40))).drop("__picks")
     return mt.of(rows)
 
 
