@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from candrank.functions import columns as C
 from candrank.functions.features import level_code
+from candrank.sources.shared import written
 from candrank.table import Measurements
 
 PENALTY = float(np.log(1000.0))
@@ -121,22 +122,55 @@ def _target(mt: Measurements) -> DataFrame:
     return mt.with_best().where(C.usable(F.col(mt.cost)))
 
 
+def _coded(mt: Measurements, categories: dict[str, tuple[str, ...]] | None) -> tuple[DataFrame, dict[str, str]]:
+    """Usable rows with label (ln of the relative cost) and a code column for each category; and the categories by code column."""
+    rows = _target(mt).withColumn("label", F.log(F.col(mt.cost) / F.col("best")))
+    coded = {f"__{c}": c for c in categories or {}}
+    for code, c in coded.items():
+        rows = rows.withColumn(code, level_code(c, categories[c]).cast("double"))
+    return rows, coded
+
+
+def _vectors(rows: DataFrame, features: list[str], coded: dict[str, str], categories: dict[str, tuple[str, ...]] | None) -> DataFrame:
+    for code, c in coded.items():
+        rows = rows.withMetadata(code, {"ml_attr": {"type": "nominal", "name": code, "vals": list(categories[c])}})
+    return VectorAssembler(inputCols=[*features, *coded], outputCol="vector").transform(rows)
+
+
+def _cells(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of the same features as one, with their mean label and number: squared error splits and means are those of the rows. Written, as a fit reads it several times."""
+    return written(rows.groupBy(*by).agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("__n")), "cells")
+
+
+def _trees(trees: int, depth: int, prediction: str = "prediction") -> GBTRegressor:
+    return GBTRegressor(featuresCol="vector", labelCol="label", weightCol="__n", predictionCol=prediction, maxIter=trees, maxDepth=depth, seed=1)
+
+
 def gbdt(mt: Measurements, features: list[str], train: Column, trees: int = 20, depth: int = 4, categories: dict[str, tuple[str, ...]] | None = None) -> tuple[DataFrame, dict[str, float]]:
     """Rows outside the training groups with a predicted ln of the relative cost, and the features' importances.
 
     categories are columns with fixed levels, which the trees split as sets; a value that is none of them is an error.
+    Training rows of the same features are one weighted row, so that the rows are read once for all trees.
     """
-    rows = _target(mt).withColumn("label", F.log(F.col(mt.cost) / F.col("best")))
-    coded = {}
-    for c, levels in (categories or {}).items():
-        coded[f"__{c}"] = c
-        nominal = {"ml_attr": {"type": "nominal", "name": f"__{c}", "vals": list(levels)}}
-        rows = rows.withColumn(f"__{c}", level_code(c, levels).cast("double")).withMetadata(f"__{c}", nominal)
-    features = [*features, *coded]
-    rows = VectorAssembler(inputCols=features, outputCol="vector").transform(rows)
-    model = GBTRegressor(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, seed=1).fit(rows.where(train))
-    names = [coded.get(f, f) for f in features]
-    return model.transform(rows.where(~train)).drop("vector", *coded), dict(zip(names, model.featureImportances.toArray().tolist()))
+    rows, coded = _coded(mt, categories)
+    model = _trees(trees, depth).fit(_vectors(_cells(rows.where(train), [*features, *coded]), features, coded, categories))
+    names = [*features, *coded.values()]
+    return model.transform(_vectors(rows.where(~train), features, coded, categories)).drop("vector", *coded), dict(zip(names, model.featureImportances.toArray().tolist()))
+
+
+def gbdt_folds(mt: Measurements, features: list[str], fold: Column, folds: int, trees: int = 20, depth: int = 4, categories: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """All usable rows with the fold of their group (0 to folds - 1) and the prediction of the trees that were fitted on the other folds, as gbdt gives it for each.
+
+    The rows are read twice at any number of folds: once for the weighted rows of all fits, once for the predictions.
+    """
+    rows, coded = _coded(mt, categories)
+    rows = rows.withColumn("__fold", fold)
+    cells = _vectors(_cells(rows, ["__fold", *features, *coded]), features, coded, categories)
+    out = _vectors(rows, features, coded, categories)
+    for i in range(folds):
+        out = _trees(trees, depth, f"__p{i}").fit(cells.where(F.col("__fold") != i)).transform(out)
+    own = [F.when(F.col("__fold") == i, F.col(f"__p{i}")) for i in range(folds)]
+    return out.withColumn("prediction", F.coalesce(*own)).withColumnRenamed("__fold", "fold").drop("vector", *coded, *[f"__p{i}" for i in range(folds)])
 
 
 def _level_sums(rows: DataFrame, codes: dict[str, int], sums: list[str]) -> tuple[dict, dict]:
