@@ -55,12 +55,12 @@ def static_topk(mt: Measurements, ids: tuple[str, ...], k: int, scratch=None) ->
     return spark.createDataFrame(chosen, "k int, " + ", ".join(f"{i} {kinds[i]}" for i in ids) + ", objective double")
 
 
-def static_first(mt: Measurements, ids: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+def static_first(mt: Measurements, ids: tuple[str, ...], by: tuple[str, ...] = (), rel: DataFrame | None = None) -> DataFrame:
     """by, ids, objective, geo, n, groups: the first static choice of each part of the groups (by: some of their columns), all parts in one pass.
 
-    geo is the geometric mean over the n groups that the choice covers.
+    geo is the geometric mean over the n groups that the choice covers. rel is what relative gives, where it is known.
     """
-    rel = relative(mt, ids)
+    rel = relative(mt, ids) if rel is None else rel
     sizes = mt.rows.select(*mt.groups).distinct().groupBy(*by).agg(F.count("*").alias("groups"))
     sums = rel.groupBy(*by, *ids).agg(F.sum("v").alias("v"), F.count("*").alias("n"))
     sums = sums.join(F.broadcast(sizes), list(by)) if by else sums.crossJoin(F.broadcast(sizes))
@@ -106,11 +106,12 @@ def static_procedures(procedures: list[tuple[str, Measurements]], ids: tuple[str
 
 def random_groups(mt: Measurements, draws: int = 64) -> DataFrame:
     """groups, m: the median relative cost of draws with replacement; the draw's place is an MD5 share of the group's size."""
-    rows = mt.with_best().withColumn("rel", F.col(mt.cost) / F.col("best"))
-    sizes = rows.withColumns({"n": F.count("*").over(mt.per_group()), "tb": F.row_number().over(mt.per_group(*mt.ids)) - 1})
-    wanted = sizes.groupBy(*mt.groups).agg(F.max("n").alias("n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("tb", F.floor(C.uniform(*[F.col(g) for g in mt.groups], F.col("draw")) * F.col("n")).cast("int"))
-    picked = wanted.select(*mt.groups, "tb").join(sizes.select(*mt.groups, "tb", "rel"), [*mt.groups, "tb"])
-    return picked.groupBy(*mt.groups).agg(C.median(F.col("rel")).alias("m"))
+    place = lambda i: F.floor(C.uniform(*[F.col(g) for g in mt.groups], i) * F.col("n")).cast("int")
+    wanted = mt.rows.groupBy(*mt.groups).agg(F.count("*").alias("n"), C.best_of(F.col(mt.cost)).alias("best"))
+    wanted = wanted.select(*mt.groups, "best", F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), place).alias("places"))
+    placed = mt.rows.withColumn("tb", F.row_number().over(mt.per_group(*mt.ids)) - 1).select(*mt.groups, "tb", mt.cost).join(wanted, list(mt.groups))
+    times = placed.withColumn("times", F.size(F.filter("places", lambda p: p == F.col("tb")))).where("times > 0").withColumn("rel", F.col(mt.cost) / F.col("best"))
+    return times.groupBy(*mt.groups).agg(F.percentile(F.when(C.finite(F.col("rel")), F.col("rel")), F.lit(0.5), F.col("times")).alias("m"))
 
 
 def random_column(mt: Measurements, draws: int = 64) -> DataFrame:
