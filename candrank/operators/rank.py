@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candrank.functions.columns import best_of, floor, geomean, tolerance
 from candrank.operators.order import exact_quantiles
+from candrank.sources.shared import written
 from candrank.table import Measurements
 
 
@@ -43,6 +44,7 @@ def classify(mt: Measurements, rules: list[tuple[str, Column]], other: str) -> D
 
 
 def tertile_band(df: DataFrame, col: str) -> DataFrame:
+    df = written(df, "bands")  # the selection reads it several times
     edges = exact_quantiles(df, [col], (1 / 3, 2 / 3))[col]
     return df.withColumn("band", sum((F.when(F.col(col) > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0)))
 
