@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from candrank.functions import columns as C
 from candrank.functions.features import Feature, expanded, with_features
 from candrank.operators import order
+from candrank.sources.shared import written
 from candrank.table import Measurements
 
 
@@ -36,7 +37,7 @@ def constant_check(fm: DataFrame, names: list[str]) -> DataFrame:
 
 def quantiles(fm: DataFrame, names: list[str], at: tuple[float, ...] = (0.0, 0.01, 0.5, 0.99, 1.0)) -> DataFrame:
     """feature, q, value: exact quantiles, linear between values."""
-    found = order.exact_quantiles(fm, names, at)
+    found = order.exact_quantiles(written(fm.select(*names), "quantiles"), names, at)  # the selection reads it several times
     return fm.sparkSession.createDataFrame([(n, q, v) for n in names for q, v in zip(at, found[n])], "feature string, q double, value double")
 
 
