@@ -89,7 +89,7 @@ def static_regret(mt: Measurements, ids: tuple[str, ...], chosen: DataFrame, sta
 def individual(mt: Measurements, ids: tuple[str, ...]) -> Measurements:
     """The candidates that every group has."""
     n = mt.rows.select(*mt.groups).distinct().agg(F.count("*").alias("total"))
-    every = mt.rows.groupBy(*ids).agg(F.count_distinct(*mt.groups).alias("c")).crossJoin(F.broadcast(n)).where("c = total").select(*ids)
+    every = mt.rows.select(*mt.groups, *ids).distinct().groupBy(*ids).agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).where("c = total").select(*ids)
     return mt.of(mt.rows.join(every, list(ids), "left_semi"))
 
 
