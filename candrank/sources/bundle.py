@@ -102,7 +102,8 @@ def materialize(mt: Measurements, features: dict[str, Column], path: str | None
     return reduce(lambda a, b: a.join(b, key), frames)
 
 
-def read_runs(spark: SparkSession, glob: str, file: str) -> DataFrame:
-    """JSON lines of many runs' folders, with the folder's name as run."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file).json(glob)
+def read_runs(spark: SparkSession, glob: str, file: str, schema: str | None = None) -> DataFrame:
+    """JSON lines of many runs' folders, with the folder's name as run. Without a schema all files are read once more to find it."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    df = reader.option("recursiveFileLookup", True).option("pathGlobFilter", file).json(glob)
     return df.withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
