@@ -35,6 +35,7 @@ CLASSES = 1 + SINGLES + GROUPS + TAILS
 GROUP_WORDS = 8192  # frequent words on which the groups are fitted
 ROWS = 1 << 13  # of the hashed weights
 SLICES = 32  # the context counts are kept in so many rows, by the class of the token before
+FEW = 4  # tasks that sum the gradients of the context counts: the driver gets a model's size from each
 STEPS, STEP, MOMENTUM, RIDGE = 14, 0.3, 0.6, 1.0
 BUCKETS = 16  # of each class
 OWN = 12  # frequent words of a class that have a bucket each
@@ -57,11 +58,11 @@ class Lexicon:
     leaves: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # class and bucket: class * BUCKETS + bucket
     suffix: dict[bytes, int] = field(default_factory=dict)
 
-    def tail_class(self, word: bytes) -> int:
-        return 1 + SINGLES + GROUPS + self.suffix.get(word[-2:], 0) * TAILS // GROUPS
-
-    def tail_leaf(self, word: bytes) -> int:
-        return self.tail_class(word) * BUCKETS + word[0] % BUCKETS
+    def tail_leaves(self, words: list[bytes]) -> np.ndarray:
+        """Class by the last two bytes, bucket by the first."""
+        group = np.fromiter(map(self.suffix.get, [w[-2:] for w in words], repeat(0)), np.int64, len(words))
+        first = np.fromiter((w[0] for w in words), np.int64, len(words))
+        return (1 + SINGLES + GROUPS + group * TAILS // GROUPS) * BUCKETS + first % BUCKETS
 
 
 def words_of(text: str) -> list[bytes]:
@@ -129,7 +130,7 @@ def leaves_of(lex: Lexicon, texts: list[str]) -> tuple[np.ndarray, np.ndarray, l
     leaves = np.zeros(len(at), np.int64)
     frequent = at >= 0
     leaves[frequent] = lex.leaves[at[frequent]]
-    leaves[at == -1] = [lex.tail_leaf(w) for tail in tails for w in tail]
+    leaves[at == -1] = lex.tail_leaves([w for tail in tails for w in tail])
     return leaves, at, tails, sizes
 
 
@@ -220,7 +221,7 @@ def _gradients(weights):
                     g[keys] += np.add.reduceat((x - n * p)[order], first)
                     h[keys] += np.add.reduceat((n * p * (1 - p))[order], first)
         if any_:
-            yield pa.RecordBatch.from_arrays([pa.array([like]), pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], ["like", "g", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array([like]), *(pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (g, h))], ["like", "g", "h"])
 
     return run
 
@@ -230,12 +231,13 @@ def train(spark: SparkSession, counted: DataFrame, priors: np.ndarray, steps: in
 
     A step that lowers the objective is taken back and the step size halved.
     """
+    few = counted.coalesce(FEW)
     w = np.zeros((ROWS, CLASSES))
     w[feature_rows(np.zeros(1, np.int64))[0, 0]] += np.log(priors)
     best, move, step, kept = w, np.zeros_like(w), STEP, []
     for _ in range(steps):
         held = spark.sparkContext.broadcast(w)
-        parts = counted.mapInArrow(_gradients(held), "like double, g binary, h binary").collect()  # a model's size for each of a few partitions
+        parts = few.mapInArrow(_gradients(held), "like double, g binary, h binary").collect()  # a model's size for each of FEW partitions
         held.destroy()
         if not parts:
             break
@@ -245,8 +247,8 @@ def train(spark: SparkSession, counted: DataFrame, priors: np.ndarray, steps: in
         else:
             kept.append(reached)
             best = w
-            g = sum(np.frombuffer(p.g).reshape(w.shape) for p in parts) - RIDGE * w
-            h = sum(np.frombuffer(p.h).reshape(w.shape) for p in parts) + RIDGE
+            g = sum(np.frombuffer(p.g, "<f4").reshape(w.shape) for p in parts) - RIDGE * w
+            h = sum(np.frombuffer(p.h, "<f4").reshape(w.shape) for p in parts) + RIDGE
         move = MOMENTUM * move + step * g / h
         w = best + np.clip(move, -2, 2)
     return best, kept
@@ -285,34 +287,55 @@ def word_rows(at: np.ndarray, leaves: np.ndarray, where: np.ndarray) -> tuple[np
     return mix(parts + np.uint64(1)), mix(parts + (own << np.uint64(44))[:, None] + np.uint64(1))
 
 
+def outputs_of(weights: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A row for each output and a column for each token: start and the weights of the token's features. rows has a row for each feature."""
+    z = start + weights.take(rows[0], 0, mode="clip")
+    for r in rows[1:]:
+        z += weights.take(r, 0, mode="clip")
+    z = np.ascontiguousarray(z.T)
+    z -= z.max(0)
+    return z
+
+
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    z -= np.log(np.exp(z).sum(0))
+    return z.T
 
 
 def class_logs(model: WordModel, table: np.ndarray, contexts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return _log_softmax(sum((model.classes[rows[:, f]] for f in range(WORD_FEATURES)), table[contexts]))
+    return _log_softmax(outputs_of(model.classes, rows.T, table.take(contexts, 0)))
 
 
 def bucket_logs(model: WordModel, classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return _log_softmax(sum((model.buckets[rows[:, f]] for f in range(WORD_FEATURES)), model.shares[classes]))
+    return _log_softmax(outputs_of(model.buckets, rows.T, model.shares.take(classes, 0)))
+
 
+def _chosen(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The logarithm of each token's target alone; z is spent."""
+    own = z[target, np.arange(len(target))]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(0))
 
-def _add(sums: np.ndarray, rows: np.ndarray, logs, target: np.ndarray) -> float:
+
+def _add(sums: np.ndarray, rows: np.ndarray, outputs, target: np.ndarray) -> float:
     """Adds to sums, for each weight row, how often each output followed and, in the second half, how often the model expects it; the log likelihood.
 
-    logs gives the outputs' logarithms of a slice of the tokens.
+    sums has a row for each output, rows one for each feature; outputs gives those of a slice of the tokens.
     """
-    n, like = sums.shape[1] // 2, 0.0
+    n, like = len(sums) // 2, 0.0
     p = np.empty((n, len(target)))
     for i in range(0, len(target), LOT):
-        x = logs(slice(i, i + LOT))
-        like += float(x[np.arange(len(x)), target[i : i + LOT]].sum())
-        p[:, i : i + LOT] = np.exp(x).T
-    for f in range(rows.shape[1]):
-        sums[:, :n] += np.bincount(rows[:, f] * n + target, minlength=len(sums) * n).reshape(-1, n)
+        z, t = outputs(slice(i, i + LOT)), target[i : i + LOT]
+        own = z[t, np.arange(len(t))]
+        np.exp(z, out=z)
+        total = z.sum(0)
+        like += float((own - np.log(total)).sum())
+        np.divide(z, total, out=p[:, i : i + LOT])
+    seen = sums[:n].reshape(-1)
+    for r in rows:
+        np.add.at(seen, target * sums.shape[1] + r, 1.0)
         for j in range(n):
-            sums[:, n + j] += np.bincount(rows[:, f], p[j], len(sums))
+            sums[n + j] += np.bincount(r, p[j], sums.shape[1])
     return like
 
 
@@ -336,18 +359,20 @@ def _word_gradients(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         table, like, tokens = own.table(), 0.0, 0
-        sums, inside = np.zeros((2 * CLASSES, WORD_ROWS)).T, np.zeros((2 * BUCKETS, WORD_ROWS)).T  # an output's sums beside each other
+        sums, inside = np.zeros((2 * CLASSES, WORD_ROWS)), np.zeros((2 * BUCKETS, WORD_ROWS))
         for at, leaves in _in_lots(batches):
             where, contexts = contexts_of(leaves // BUCKETS, at)
             own.fill(table, contexts)
-            rows, inner = word_rows(at, leaves, where)
+            rows, inner = (np.ascontiguousarray(x.T) for x in word_rows(at, leaves, where))
             tokens += len(where)
             c, b = leaves[where] // BUCKETS, leaves[where] % BUCKETS
-            like += _add(sums, rows, lambda x: class_logs(own, table, contexts[x], rows[x]), c)  # noqa: B023
-            split = c > SINGLES
-            c, b, inner = c[split], b[split], inner[split]
-            like += _add(inside, inner, lambda x: bucket_logs(own, c[x], inner[x]), b)  # noqa: B023
-        for i, x in enumerate(np.concatenate([sums, inside], 1).reshape(SLICES, -1)):
+            like += _add(sums, rows, lambda x: outputs_of(own.classes, rows[:, x], table.take(contexts[x], 0)), c)  # noqa: B023
+            split = np.flatnonzero(c > SINGLES)
+            c, b, inner = c[split], b[split], inner.take(split, 1)
+            like += _add(inside, inner, lambda x: outputs_of(own.buckets, inner[:, x], own.shares.take(c[x], 0)), b)  # noqa: B023
+        for i in range(SLICES):
+            at = slice(i * WORD_ROWS // SLICES, (i + 1) * WORD_ROWS // SLICES)
+            x = np.concatenate([sums[:, at], inside[:, at]]).T
             if tokens and (x.any() or i == 0):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([tokens if i == 0 else 0]), pa.array([like if i == 0 else 0.0]), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["part", "n", "like", "sums"])
 
@@ -383,20 +408,20 @@ def train_words(spark: SparkSession, ids: DataFrame, model: WordModel, lots: int
         held = spark.sparkContext.broadcast(model)
         out = "part int, n long, like double, sums binary"
         own = ids.where(F.col("lot") == turn % lots).select("at", "leaves")
-        parts = own.mapInArrow(_word_gradients(held), out).repartition(8, "part").mapInArrow(_summed_gradients, out).collect()  # SLICES rows of the model
-        held.destroy()
-        if not parts:
-            continue
-        likes.append(sum(p.like for p in parts) / sum(p.n for p in parts))
-        new = {"classes": model.classes.copy(), "buckets": model.buckets.copy()}
-        for p in parts:
+        parts = own.mapInArrow(_word_gradients(held), out).repartition(8, "part").mapInArrow(_summed_gradients, out)
+        new, like, n = {"classes": model.classes.copy(), "buckets": model.buckets.copy()}, 0.0, 0
+        for p in parts.toLocalIterator():  # SLICES rows of the model, a partition at a time
+            like, n = like + p.like, n + p.n
             at = slice(p.part * rows, (p.part + 1) * rows)
             seen_expected = np.split(np.frombuffer(p.sums, "<f4").reshape(rows, -1), ends[1:-1], axis=1)
             for name, seen, expected in (("classes", *seen_expected[:2]), ("buckets", *seen_expected[2:])):
                 curvature[name][at] += expected * (1 - expected / np.maximum(seen.sum(1, keepdims=True), 1))  # no less than the sum of p (1 - p)
                 now = new[name][at]
                 new[name][at] = now + np.clip(WORD_STEP * (seen - expected - WORD_RIDGE / lots * now) / (curvature[name][at] + WORD_RIDGE), -2, 2)
-        model = replace(model, **new)
+        held.destroy()
+        if n:
+            likes.append(like / n)
+            model = replace(model, **new)
     return model, likes
 
 
@@ -414,14 +439,15 @@ def _score(lex, model, word_base, word_own, tail_own, base_unit: float):
             where, contexts = contexts_of(leaves // BUCKETS, at)
             m.fill(table, contexts)
             target, index = leaves[where], at[where]
-            rows, inner = word_rows(at, leaves, where)
+            rows, inner = (np.ascontiguousarray(x.T) for x in word_rows(at, leaves, where))
             score = np.zeros(len(where))
             for i in range(0, len(where), LOT):
                 part = slice(i, i + LOT)
                 c, b = target[part] // BUCKETS, target[part] % BUCKETS
-                score[part] = class_logs(m, table, contexts[part], rows[part])[np.arange(len(c)), c]
+                score[part] = _chosen(outputs_of(m.classes, rows[:, part], table.take(contexts[part], 0)), c)
                 split = np.flatnonzero(c > SINGLES)
-                score[i + split] += bucket_logs(m, c[split], inner[part][split])[np.arange(len(split)), b[split]] if len(split) else 0
+                if len(split):
+                    score[i + split] += _chosen(outputs_of(m.buckets, inner.take(i + split, 1), m.shares.take(c[split], 0)), b[split])
             score /= np.log(10)
             frequent, tail = index >= 0, index == -1
             score[frequent] += word_own.value[index[frequent]]
@@ -432,15 +458,17 @@ def _score(lex, model, word_base, word_own, tail_own, base_unit: float):
             base[tail] = -base_unit
             known = frequent | (index == -2) & (word_base.value[-2] > 0)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            sums = [np.add.reduceat(x, starts).tolist() for x in (known.astype(np.int64), base, score)]
+            sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, score)]
             row = batch.column("row").to_pylist()
-            rest = [(r, x, n) for r, words in zip(row, tails) for x, n in Counter(words).items()]
-            pad = [None] * len(rest)
+            counts = [Counter(words) for words in tails]
+            rest = np.repeat(np.array(row, np.int64), [len(c) for c in counts])
+            words, times = [x for c in counts for x in c], [n for c in counts for n in c.values()]
+            padded = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(len(rest), t)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(row + [r for r, _, _ in rest], pa.int64()), pa.array([b"\0%d" % r for r in row] + [x for _, x, _ in rest], pa.binary()), pa.array([0] * len(row) + [n for _, _, n in rest], pa.int64()),
-                    pa.array(batch.column("doc_id").to_pylist() + pad, pa.int64()), pa.array(batch.column("held_out").to_pylist() + pad, pa.bool_()), pa.array(sizes + pad, pa.int64()),
-                    *(pa.array(s + pad, t) for s, t in zip(sums, (pa.int64(), pa.float64(), pa.float64()))),
+                    pa.array(np.append(row, rest)), pa.array([b"\0%d" % r for r in row] + words, pa.binary()), pa.array([0] * len(row) + times, pa.int64()),
+                    padded(batch.column("doc_id").to_pylist(), pa.int64()), padded(batch.column("held_out").to_pylist(), pa.bool_()), padded(sizes, pa.int64()),
+                    *(padded(s, t) for s, t in zip(sums, (pa.int64(), pa.float64(), pa.float64()))),
                 ],
                 ["row", "word", "tf", "doc_id", "held_out", "n_tokens", "known", "base", "own"],
             )
@@ -454,9 +482,7 @@ def _tail_sizes(lex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = lex.value, np.zeros(CLASSES * BUCKETS, np.int64)
         for batch in batches:
-            for w in batch.column("word").to_pylist():
-                if w not in own.index:
-                    n[own.tail_leaf(w)] += 1
+            n += np.bincount(own.tail_leaves([w for w in batch.column("word").to_pylist() if w not in own.index]), minlength=len(n))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n)], ["c", "n"])
 
     return run
@@ -487,6 +513,7 @@ def score_documents(docs: DataFrame, head: int = HEAD, steps: int = STEPS, passe
     vocabulary = scratch.keep(training.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
     top = [(bytes(r.word), r.n) for r in common.frequent(vocabulary, "word", head, HEAD_BYTES).toLocalIterator()]
     lex = lexicon(sorted(top, key=lambda x: (-x[1], x[0])))
+    del top
     shared = spark.sparkContext.broadcast(lex)
     ids = scratch.keep(training.mapInArrow(_numbered(shared), "at binary, leaves binary, lot int"), "ids", by="lot")
     counted = ids.select("at", "leaves").mapInArrow(_context_counts, "part int, counts binary")

@@ -127,3 +127,43 @@ def test_likelihood_of_words_grows(spark):
     _, likes = lm.train_words(spark, ids, model, 2, 3)
     assert len(likes) == 6 and min(likes[1:]) > 0.2 * likes[0]  # the penalty of weights keeps the later steps a little below the second
     assert len(lm.train_words(spark, ids, model, 4, 1)[1]) == 2  # lots without documents take no step
+
+
+def test_driver_gets_few_gradients(spark, monkeypatch):
+    """However many partitions hold the context counts, a step brings at most four models' sizes to the driver."""
+    sent, plain = spark.sparkContext.accumulator(0), lm._gradients
+
+    def counting(weights):
+        run = plain(weights)
+
+        def counted(batches):
+            for b in run(batches):
+                sent.add(b.num_rows)
+                yield b
+
+        return counted
+
+    monkeypatch.setattr(lm, "_gradients", counting)
+    part = np.zeros(lm.CLASSES**4 // lm.SLICES, np.int64)
+    part[:64] = 3
+    table = spark.createDataFrame([(i, part.tobytes()) for i in range(lm.SLICES)], "part int, counts binary").repartition(32)
+    lm.train(spark, table, np.full(lm.CLASSES, 1 / lm.CLASSES), steps=3)
+    assert 0 < sent.value <= 3 * 4
+
+
+def test_sums_of_outputs():
+    """What followed and what is expected of a few tokens, each token alone."""
+    r = np.random.default_rng(5)
+    n, tokens, many = 4, 300, 50
+    w, rows, target = r.standard_normal((many, n)), r.integers(0, many, (3, tokens)), r.integers(0, n, tokens)
+    sums = np.zeros((2 * n, many))
+    like = lm._add(sums, rows, lambda x: lm.outputs_of(w, rows[:, x], np.zeros((len(target[x]), n))), target)
+    want, total = np.zeros((2 * n, many)), 0.0
+    for i in range(tokens):
+        p = np.exp(w[rows[:, i]].sum(0))
+        p /= p.sum()
+        total += math.log(p[target[i]])
+        for f in range(3):
+            want[target[i], rows[f, i]] += 1
+            want[n:, rows[f, i]] += p
+    assert np.allclose(sums, want) and math.isclose(like, total)
