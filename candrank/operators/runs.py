@@ -62,6 +62,7 @@ def improvements(curve: DataFrame, threshold: float) -> DataFrame:
 
 def median_of_runs(ev: DataFrame, key: list[str]) -> DataFrame:
     """Geometric mean of the groups' medians over runs, and median of the runs' geometric means."""
+    ev = written(ev, "picks")  # read twice
     per_group = ev.groupBy(*key).agg(C.median(F.col("regret")).alias("m")).agg(C.geomean(F.col("m")).alias("geo_of_medians"))
     per_run = written(ev.groupBy("run").agg(C.geomean(F.col("regret")).alias("m")), "runs")
     return per_group.crossJoin(per_run.agg(F.lit(exact_median(per_run, "m")).alias("median_of_geos"), F.count("*").alias("n_runs")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,3 +72,12 @@ def evaluate(mt: Measurements, score: str, ks: tuple[int, ...] = (1, 3, 5, 10))
     each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.col(f"t{k}").alias("t")) for k in ks])).alias("x")
     out = out.select(*mt.groups, "best", "tol", each)
     return out.select(*mt.groups, F.col("x.k").alias("k"), (F.col("x.t") / F.col("best")).alias("regret"), (F.col("x.t") <= F.col("best") * (1 + F.col("tol"))).alias("hit"), "tol")
+
+
+def first_picks(mt: Measurements, scores: tuple[str, ...], name: str) -> DataFrame:
+    """groups, name (the score's number), regret: evaluate at k = 1 for several scores, in one aggregation that sorts no group."""
+    t = F.col(mt.cost)
+    known = reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in mt.groups])
+    picks = mt.rows.where(known).groupBy(*mt.groups).agg(best_of(t).alias("best"), *[F.min_by(t, F.struct(s, *mt.ids)).alias(f"t{i}") for i, s in enumerate(scores)])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col(f"t{i}") / F.col("best")).alias("regret")) for i in range(len(scores))])).alias("x")
+    return picks.select(*mt.groups, each).select(*mt.groups, F.col("x.i").alias(name), F.col("x.regret").alias("regret"))
