@@ -83,13 +83,16 @@ def hit_at_pct(mt: Measurements, score: str, pcts: tuple[int, ...]) -> DataFrame
     """Share of groups whose first pct % by score (one at least) hold a best candidate, and an answer.
 
     A group's first best candidate and first answer by score are aggregates, and their places the counts of the
-    candidates before them, so that no group is sorted.
+    candidates before them, so that no group is sorted. The rows and the groups' values are written once: Spark then
+    knows how small the latter are before it joins, and moves no rows for a few groups.
     """
     t = F.col(mt.cost)
-    sizes = mt.rows.groupBy(*mt.groups).agg(best_of(t).alias("best"), F.count("*").alias("n"))
+    mt = mt.of(written(mt.rows.select(*mt.groups, *mt.ids, mt.cost, score), "candidates"))
+    sizes = written(mt.rows.groupBy(*mt.groups).agg(best_of(t).alias("best"), F.count("*").alias("n")), "sizes")
     rows = mt.rows.join(sizes, list(mt.groups)).withColumn("__at", F.struct(score, *mt.ids))
     good = F.col("best") * (1 + tolerance(F.col("best"), mt.noise))
     first = rows.groupBy(*mt.groups).agg(F.min(F.when(t == F.col("best"), F.col("__at"))).alias("__b"), F.min(F.when(t <= good, F.col("__at"))).alias("__a"))
+    first = written(first, "firsts")
     before = rows.join(first, list(mt.groups)).groupBy(*mt.groups).agg(F.max("n").alias("n"), *[F.when(F.max(F.col(f"__{x}").isNotNull()), F.count_if(F.col("__at") < F.col(f"__{x}"))).alias(x) for x in "ab"])
     top = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100))
     inside = lambda p, x: F.avg(F.coalesce(F.col(x) < top(p), F.lit(False)).cast("int")).alias(f"{x}{p}")

@@ -43,7 +43,7 @@ def part_by_status(spark: SparkSession, sf_dir: str, status: str) -> Measurement
 
 
 def brand(spark: SparkSession, sf_dir: str) -> Measurements:
-    lines, parts = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
+    lines, parts = lines_by_part(spark, sf_dir), read(spark, sf_dir, "part")  # dealt, as the join's tasks would grow where rows compress well
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("g"), F.col("l_orderkey").alias("i1"), F.col("l_linenumber").cast("long").alias("i2"), F.col("l_partkey").alias("i3"), F.col("l_suppkey").alias("i4"),
         F.round(F.col("l_extendedprice") / 1000, 1).alias("t"), (F.col("l_quantity") / 50).alias("f0"), F.col("l_discount").alias("f1"), F.round(0.28 * F.col("l_quantity") / 50 + 0.72 * F.col("l_discount"), 9).alias("s"),

@@ -3,8 +3,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from candrank.functions.columns import Noise
+from candrank.operators import baselines, order
+from candrank.plans import QUERIES
 from candrank.plans.fixtures import part
 from candrank.table import Measurements, evaluate, first_picks
 
@@ -33,3 +36,34 @@ def test_first_picks_are_those_of_evaluate(odd):
 @given
 def test_first_picks_move_the_lines_once(spark):
     assert plan(first_picks(part(spark, DIR), ("s", "s2", "f0"), "run")).count("Exchange") == 1
+
+
+@given
+def test_hit_at_pct_moves_no_rows_for_few_groups(spark):
+    """The groups' values are known to be small before they are joined; an aggregate of a large table is not."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        made = plan(QUERIES["hit_at_pct"](spark, DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in made and "BroadcastHashJoin" in made
+
+
+def test_ridge_reads_its_rows_from_one_written_table(spark):
+    rows = [(g, k, 1.0 + (g * 7 + k * 3) % 5, float(k), float(g % 3)) for g in range(6) for k in range(5)]
+    mt = Measurements(spark.createDataFrame(rows, "g long, k long, t double, f0 double, f1 double"), ("g",), ("k",), noise=Noise())
+    out, _ = baselines.ridge(mt, ["f0", "f1"], F.col("g") < 4)
+    made = plan(out)
+    assert out.count() == 30 and "Join" not in made and "Exchange" not in made
+
+
+def test_places_move_a_number_in_place_of_the_key(spark):
+    df = spark.range(50).selectExpr("id % 7 AS a", "id % 5 AS b", "id AS u", "concat('x', id) AS w")
+    made = order.place_table(df, ["a", "b"], ["u", "w"])
+    windows = [line for line in plan(made).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(windows) >= 2 and "k0#" not in plan(made) and "k1#" not in plan(made)
+    want, rows = {}, [(i % 7, i % 5, i, f"x{i}") for i in range(50)]
+    for i, n in enumerate("ab"):
+        want[n] = {r[2]: p + 1 for p, r in enumerate(sorted(rows, key=lambda r: (r[i], r[2], r[3])))}  # noqa: B023
+    assert sorted((x.p_a, x.p_b) for x in made.collect()) == sorted((want["a"][i], want["b"][i]) for i in range(50))
