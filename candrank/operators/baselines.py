@@ -202,6 +202,7 @@ def ridge(mt: Measurements, features: list[str], train: Column, alpha: float = 1
     coded = {f"__code_{c}": len(levels) for c, levels in (categories or {}).items()}
     for c, levels in (categories or {}).items():
         rows = rows.withColumn(f"__code_{c}", level_code(c, levels))
+    rows = written(rows, "ridge")  # both sums and the scores read it
     names = [*features, "y"]
     sums = [F.count("*").alias("n")] + [F.avg(a).alias(f"m{i}") for i, a in enumerate(names)]
     sums += [F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
