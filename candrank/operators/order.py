@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candrank.sources.shared import written
+from candrank.sources.shared import ROWS_A_TASK, written
 
 PARTS = 64  # buckets at least
 BUCKET_ROWS = 500_000  # more rows give more buckets, up to MOST_PARTS
@@ -167,14 +167,16 @@ def rank_correlation(rows: DataFrame, part: list[str], a: str, b: str) -> DataFr
 def place_table(df: DataFrame, names: list[str], key: list[str], prefix: str = "p_") -> DataFrame:
     """A row for each row of df with its ordinal place (from 1) by each of the columns, ties by key, nulls first; nothing else of df.
 
-    The columns are written once, cut into buckets by binary search, and put one below the other: one shuffle and
-    one window give the places of all of them, and a second shuffle puts a row's places side by side. Buckets of one
-    value are cut by the first key where that is a number.
+    The rows are sorted by the key and written once, with a number that rises with the key and stands for it from
+    then on. Then the columns are cut into buckets by binary search and put one below the other, each value with
+    that number: one shuffle and one window give the places of all of them, and a second shuffle puts a row's places
+    side by side. Buckets of one value are cut by the number.
     """
-    kinds = dict(df.dtypes)
-    cut = kinds[key[0]] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / ROWS_A_TASK))
     kept = df.select(*[F.col(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)], *[F.col(k).alias(f"k{i}") for i, k in enumerate(key)])
-    kept = written(kept.withColumn("k", F.col("k0").cast("double") if cut else F.lit(0.0)), "places")
+    own = [f"k{i}" for i in range(len(key))]
+    kept = kept.repartitionByRange(tasks, *own).sortWithinPartitions(*own).withColumn("row", F.monotonically_increasing_id())
+    kept = written(kept.drop(*own), "places").withColumn("k", F.col("row").cast("double"))
     inputs = [f"v{i}" for i in range(len(names))]
     edges = {c: [x for x in e if math.isfinite(x)] for c, e in _edges(kept, [*inputs, "k"])[0].items()}
     few = edges["k"][:: max(1, len(edges["k"]) // KEY_PARTS)]
@@ -186,14 +188,17 @@ def place_table(df: DataFrame, names: list[str], key: list[str], prefix: str = "
         b = F.col(outputs[i]).cast("int")  # edges at or below the value
         alone = F.coalesce(F.get(F.array(*[F.lit(e) for e in splits[i][1:-1]]), b - 1) == F.col(inputs[i]), F.lit(False))
         inside = F.when(alone, F.coalesce(F.col("kb").cast("int"), F.lit(0))).otherwise(0)
-        return F.when(F.col(inputs[i]).isNull(), -1).otherwise((2 * b - alone.cast("int")) * (len(few) + 2) + inside)
+        b = F.when(F.col(inputs[i]).isNull(), 0).otherwise(1 + (2 * b - alone.cast("int")) * (len(few) + 2) + inside)
+        return b + sum(2 * (len(x) + 1) * (len(few) + 2) + 1 for x in splits[:i])  # a column's buckets follow the last column's
 
-    rows = wide.withColumn("row", F.monotonically_increasing_id()).select("row", *[f"k{i}" for i in range(len(key))], F.explode(F.array(*[F.struct(F.lit(i).alias("of"), bucket(i).alias("b"), F.col(inputs[i]).alias("v")) for i in range(len(names))])).alias("x"))
-    rows = rows.select("row", *[f"k{i}" for i in range(len(key))], "x.*")
+    first = [bucket(i) for i in range(len(names))]
+    rows = wide.select("row", F.explode(F.array(*[F.struct(F.lit(i).alias("of"), b.alias("b"), F.col(v).alias("v")) for i, (b, v) in enumerate(zip(first, inputs))])).alias("x"))
+    rows = rows.select("row", "x.*")
     before = _offsets(rows.groupBy("of", "b").agg(F.count("*").alias("n")), ["of"], "b", "n").drop("part_rows")  # as many rows as buckets
-    inside = rows.withColumn("__in", F.row_number().over(Window.partitionBy("of", "b").orderBy("v", *[f"k{i}" for i in range(len(key))])))
-    placed = inside.join(F.broadcast(before), (F.col("of") == F.col("__of_of")) & (F.col("b") == F.col("__at"))).select("row", "of", (F.col("__before") + F.col("__in")).alias("place"))
-    return placed.groupBy("row").agg(*[F.max(F.when(F.col("of") == i, F.col("place"))).alias(prefix + n) for i, n in enumerate(names)]).drop("row")
+    inside = rows.drop("of").withColumn("__in", F.row_number().over(Window.partitionBy("b").orderBy("v", "row")))
+    placed = inside.join(F.broadcast(before), F.col("b") == F.col("__at")).select("row", ((F.col("__before") + F.col("__in")) * len(names) + F.col("__of_of")).alias("at"))  # place and column in one number
+    place = lambda i: F.max(F.when(F.col("at") % len(names) == i, F.floor(F.col("at") / len(names))))
+    return placed.groupBy("row").agg(*[place(i).alias(prefix + n) for i, n in enumerate(names)]).drop("row")
 
 
 def values_at(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
