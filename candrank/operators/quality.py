@@ -60,13 +60,14 @@ def duplicates(fm: DataFrame, names: list[str], key: list[str], rho: float = 0.9
     return both.where(s).withColumn("kind", F.when(p & s, "duplicate").otherwise("monotone"))
 
 
-def rank_auc(mt: Measurements, answer: Column, names: list[str]) -> DataFrame:
+def rank_auc(mt: Measurements, answer: Column, names: list[str], edges: dict[str, list[float]] | None = None) -> DataFrame:
     """feature, auc, n: mean over groups of the area under the curve of a feature against the answers (large is bad), ties at mean places.
 
-    Places are those of a group's different values, with their counts of answers and others; a large group is cut.
+    Places are those of a group's different values, with their counts of answers and others; a large group is cut
+    (by edges, approximate quantiles of the features, where they are known).
     """
     rows, groups, frames = mt.rows.withColumn("good", answer), list(mt.groups), []
-    edges = order.edges_of(rows, names)
+    edges = edges or order.edges_of(rows, names)
     for n in names:
         counted = rows.groupBy(*groups, n).agg(F.count("*").alias("c"), F.count_if(F.col("good")).alias("good"), F.count_if(~F.col("good")).alias("bad"))
         placed = order.mid_ranks(counted, groups, n, "c", edges[n])

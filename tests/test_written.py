@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candrank.functions.columns import Noise
-from candrank.operators import baselines, order
+from candrank.operators import baselines, order, quality
 from candrank.plans import QUERIES
 from candrank.plans.fixtures import part
 from candrank.table import Measurements, evaluate, first_picks
@@ -67,3 +67,22 @@ def test_places_move_a_number_in_place_of_the_key(spark):
     for i, n in enumerate("ab"):
         want[n] = {r[2]: p + 1 for p, r in enumerate(sorted(rows, key=lambda r: (r[i], r[2], r[3])))}  # noqa: B023
     assert sorted((x.p_a, x.p_b) for x in made.collect()) == sorted((want["a"][i], want["b"][i]) for i in range(50))
+
+
+@given
+def test_rank_auc_deals_answers_not_lines(spark):
+    """Each feature's places are of rows that are written once; the lines and their bests are not dealt again for each."""
+    made = plan(QUERIES["rank_auc"](spark, DIR))
+    assert made.count("REPARTITION_BY_NUM") == 4 and "l_extendedprice" not in made  # two features, two sides of a join of the same rows
+
+
+@pytest.mark.parametrize("nameless", [False, True])
+def test_rank_auc_with_and_without_nameless_groups(spark, nameless):
+    rows = [(None if nameless and g == 2 else g, k, 1.0, float((k * 5 + g) % 4), k % 3 == 0) for g in range(3) for k in range(12)]
+    mt = Measurements(spark.createDataFrame(rows, "g long, k long, t double, f double, ok boolean"), ("g",), ("k",), noise=Noise())
+    (got,) = quality.rank_auc(mt, F.col("ok"), ["f"]).collect()
+    each = []
+    for g in {r[0] for r in rows}:
+        pairs = [(b[3] > a[3]) + (b[3] == a[3]) / 2 for a in rows for b in rows if a[0] == b[0] == g and a[4] and not b[4]]
+        each.append(sum(pairs) / len(pairs))
+    assert got.n == 3 and got.auc == pytest.approx(sum(each) / 3)
