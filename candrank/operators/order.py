@@ -20,6 +20,7 @@ BUCKET_ROWS = 500_000  # more rows give more buckets, up to MOST_PARTS
 MOST_PARTS = 4096
 KEY_PARTS = 16  # a bucket of one value is cut by the key into so many
 HEX = 3  # digits of an MD5 that make a bucket of a seeded order
+HASHES = 1 << 16  # hashes by which rows are counted before parts are
 
 
 def draw(key: list[str], *seed: object) -> Column:
@@ -132,6 +133,27 @@ def group_places(rows: DataFrame, part: list[str], by: str, key: list[str], edge
     return inside.join(before, _same_bucket(part, "__cut")).withColumn("place", F.col("__before") + F.col("__in") - 1).select(*rows.columns, "place", "part_rows")
 
 
+def large_parts(rows: DataFrame, part: list[str], most: int) -> tuple[DataFrame | None, int]:
+    """The parts of over so many rows, None without any, and the number of all rows.
+
+    Rows are counted by a hash of the part. Only where a hash has too many are parts counted, so that no row for
+    each part is moved; the parts that are brought to the driver are rows / most at most.
+    """
+    h = F.pmod(F.hash(*part), F.lit(HASHES))
+    seen = rows.groupBy(h.alias("h")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > most, F.col("h"))).alias("full")).first()  # one row
+    if not seen.full:
+        return None, seen.n or 0
+    found = rows.where(h.isin(seen.full)).groupBy(*part).agg(F.count("*").alias("__rows")).where(F.col("__rows") > most).select(*part)
+    keys = found.collect()
+    return rows.sparkSession.createDataFrame(keys, found.schema) if keys else None, seen.n
+
+
+def mean_place(part: list[str], by: str) -> Column:
+    """The mean place (from 1) of a number inside its part, which is sorted in one task: for parts that are not large."""
+    w = Window.partitionBy(*part).orderBy(by)
+    return (F.rank().over(w) + F.count("*").over(w)) / 2  # the first and the last place of its value
+
+
 def mid_ranks(counted: DataFrame, part: list[str], by: str, n: str, edges: list[float]) -> DataFrame:
     """counted(part, by, n, ...), a row for each different number of a part, with mid: the mean place (from 1) of its n rows inside the part.
 
@@ -149,6 +171,12 @@ def edges_of(df: DataFrame, names: list[str]) -> dict[str, list[float]]:
     return _edges(df, names)[0]
 
 
+def rho(n: Column, xy: Column, xx: Column, yy: Column) -> Column:
+    """Correlation of the mean places from 1 to n, of the sums of their products; null under three rows and where one is constant."""
+    square = n * F.pow((n + 1) / 2, F.lit(2))
+    return F.when((n >= 3) & (xx > square) & (yy > square), (xy - square) / F.sqrt((xx - square) * (yy - square)))
+
+
 def rank_correlation(rows: DataFrame, part: list[str], a: str, b: str) -> DataFrame:
     """part, n, rho: correlation of the mean places of two numbers inside each part; null under three rows and where one is constant."""
     rows = rows.select(*part, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
@@ -159,9 +187,7 @@ def rank_correlation(rows: DataFrame, part: list[str], a: str, b: str) -> DataFr
         both = both.join(ranks, [*part, name])
     x, y, c = F.col(f"mid_{a}"), F.col(f"mid_{b}"), F.col("c")
     sums = both.groupBy(*part).agg(F.sum("c").alias("n"), F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"))
-    square = F.col("n") * F.pow((F.col("n") + 1) / 2, F.lit(2))
-    free = (F.col("xx") - square) * (F.col("yy") - square)
-    return sums.select(*part, "n", F.when((F.col("n") >= 3) & (F.col("xx") > square) & (F.col("yy") > square), (F.col("xy") - square) / F.sqrt(free)).alias("rho"))
+    return sums.select(*part, "n", rho(F.col("n"), F.col("xy"), F.col("xx"), F.col("yy")).alias("rho"))
 
 
 def place_table(df: DataFrame, names: list[str], key: list[str], prefix: str = "p_") -> DataFrame:
